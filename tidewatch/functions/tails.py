@@ -10,6 +10,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _normal(z: float | None) -> float | None:
@@ -32,13 +33,13 @@ def _chi2(x: float | None, df: float | None) -> float | None:
     return min(1.0, tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|)."""
     return z.astype("float64").map(_normal).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(chi-square with ``df`` degrees of freedom >= x)."""
     return pd.Series([_chi2(a, b) for a, b in zip(x.astype("float64"), df.astype("float64"))], dtype="float64")
