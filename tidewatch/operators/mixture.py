@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +16,11 @@ DENSITY_FLOOR = 1e-300
 MARGIN = 10.0
 
 
-def two_component_bic(df: DataFrame, group: str, x: str, max_iter: int = 500, tol: float = 1e-10) -> DataFrame:
+def two_component_bic(df: DataFrame, group: str, x: str, max_iter: int = 500, tol: float = 1e-9) -> DataFrame:
     """Rows ``(group, n, bic_1, bic_2, delta_bic, m1, m2, s1, s2, weight_1, two_component_preferred, iterations)``.
 
-    The lower half of the ordered values starts component one. Every EM step is one grouped sum over the rows with
+    The lower half of the ordered values starts component one; a fit rests once a step gains less than ``tol`` in log
+    likelihood. Every EM step is one grouped sum over the rows with
     the five current parameters joined on; only those parameters, one row per group, visit the driver to decide
     whether the fit has come to rest. A group at rest is not computed again.
     """
@@ -26,13 +28,12 @@ def two_component_bic(df: DataFrame, group: str, x: str, max_iter: int = 500, to
     spark = data.sparkSession
     start = _median_split(data, group)
     one = start.select(group, "n", "mu", "sd")
-    params = {r[group]: r.asDict() | {"pi": 0.5, "steps": 0, "done": False} for r in start.collect()}
+    params = {r[group]: r.asDict() | {"pi": 0.5, "steps": 0, "done": False, "ll": -math.inf} for r in start.collect()}
     fields = [group, "pi", "m1", "s1", "m2", "s2"]
 
     def small(rows) -> DataFrame:
-        flat = [r[f] for r in rows for f in fields]
-        marks = ", ".join(["(?, ?, ?, ?, ?, ?)"] * (len(flat) // len(fields)))
-        return F.broadcast(spark.sql(f"SELECT * FROM VALUES {marks} AS t(`{'`, `'.join(fields)}`)", args=flat))
+        # a few numbers per group: a local relation, planned without a job of its own
+        return F.broadcast(spark.createDataFrame(pd.DataFrame([{f: r[f] for f in fields} for r in rows])))
 
     p1 = F.col("pi") * F.exp(-0.5 * F.pow((F.col("x") - F.col("m1")) / F.col("s1"), 2)) / F.col("s1")
     p2 = (1 - F.col("pi")) * F.exp(-0.5 * F.pow((F.col("x") - F.col("m2")) / F.col("s2"), 2)) / F.col("s2")
@@ -47,10 +48,11 @@ def two_component_bic(df: DataFrame, group: str, x: str, max_iter: int = 500, to
         sums = e.groupBy(group).agg(
             F.count(F.lit(1)).alias("n"), F.sum("g").alias("g"), F.sum(F.col("g") * a).alias("ga"),
             F.sum(F.col("g") * a * a).alias("gaa"), F.sum((1 - F.col("g")) * b).alias("hb"),
-            F.sum((1 - F.col("g")) * b * b).alias("hbb"))
+            F.sum((1 - F.col("g")) * b * b).alias("hbb"),
+            F.sum(F.log(F.greatest(p1 + p2, F.lit(DENSITY_FLOOR)))).alias("ll"))
         for row in sums.collect():
             old = params[row[group]]
-            new = dict(old, pi=row.g / row.n, steps=old["steps"] + 1)
+            new = dict(old, pi=row.g / row.n, steps=old["steps"] + 1, ll=row.ll)
             h = row.n - row.g
             if row.g < 1e-9 or h < 1e-9:
                 params[row[group]] = new | {"done": True}
@@ -59,9 +61,7 @@ def two_component_bic(df: DataFrame, group: str, x: str, max_iter: int = 500, to
             new |= {"m1": old["m1"] + da, "m2": old["m2"] + db,
                     "s1": max(SD_FLOOR, math.sqrt(max(0.0, row.gaa / row.g - da * da))),
                     "s2": max(SD_FLOOR, math.sqrt(max(0.0, row.hbb / h - db * db)))}
-            scale = max(abs(old["sd"]), 1e-12)
-            moved = max(abs(new["pi"] - old["pi"]), *[abs(new[k] - old[k]) / scale for k in ("m1", "m2", "s1", "s2")])
-            params[row[group]] = new | {"done": moved < tol}
+            params[row[group]] = new | {"done": row.ll - old["ll"] < tol}
     root = math.sqrt(2 * math.pi)
     ll2 = F.sum(F.log(F.greatest((p1 + p2) / root, F.lit(DENSITY_FLOOR))))
     two = data.join(small(params.values()), group).groupBy(group, *fields[1:]).agg(ll2.alias("ll2"))

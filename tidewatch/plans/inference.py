@@ -287,6 +287,6 @@ def comparator_lead_by_coverage(spark, sf_dir):
 def mixture_selection(spark, sf_dir):
     """One against two Gaussian components for each segment's customer balance, by BIC after EM from a median split."""
     c = T.table(spark, sf_dir, "customer", "c_mktsegment", "c_acctbal", "c_custkey")
-    out = mixture.two_component_bic(c, "c_mktsegment", "c_acctbal", tol=1e-3)
+    out = mixture.two_component_bic(c, "c_mktsegment", "c_acctbal", tol=0.02)
     return out.select("c_mktsegment", "n", *[rnd(x, 4).alias(x) for x in (
         "bic_1", "bic_2", "delta_bic", "m1", "m2", "s1", "s2", "weight_1")], "two_component_preferred", "iterations")
