@@ -1 +1,106 @@
-"""Tail, segment and recovery summaries of per-cycle series."""
+"""Tail, segment and recovery summaries of per-cycle series, and end-state distributions."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tidewatch.operators.inference import spearman
+from tidewatch.operators.rolling import trailing_mean
+
+
+def window_mean(x: str, lo: int, hi: int) -> Column:
+    """Aggregate: mean of the known values of cycles ``[lo, hi)``."""
+    return F.avg(F.when((F.col("cycle") >= lo) & (F.col("cycle") < hi), F.col(x)))
+
+
+def recovery_fit(series: DataFrame, keys: Sequence[str], x: str, shock: int, n_cycles: int, before: int = 25,
+                 span: int = 60, tail: int = 30) -> DataFrame:
+    """Exponential return after a shock: rate and R-squared of ln|deviation| against time, and the end state.
+
+    The level before the shock is a small aggregate joined back on the run; points closer than 0.001 to it are
+    left out and at least eight are needed.
+    """
+    keys = list(keys)
+    level = series.groupBy(*keys).agg(window_mean(x, shock - before, shock).alias("z_star"),
+                                      window_mean(x, n_cycles - tail, n_cycles).alias("z_end"))
+    seg = series.where((F.col("cycle") >= shock) & (F.col("cycle") < shock + span)).join(level, keys)
+    dev = F.abs(F.col("z_star") - F.col(x))
+    y, t = F.when(dev > 1e-3, F.ln(dev)), F.when(dev > 1e-3, (F.col("cycle") - shock).cast("double"))
+    enough = F.count(y) >= 8
+    fit = seg.groupBy(*keys).agg(
+        F.count(y).alias("n_points"), F.when(enough, -F.regr_slope(y, t)).alias("recovery_rate"),
+        F.when(enough & (F.regr_syy(y, t) > 1e-12), F.regr_r2(y, t)).alias("fit_r2"))
+    return level.join(fit, keys, "left").withColumn("returned", F.col("z_end") > 0.6 * F.col("z_star"))
+
+
+def tail_state(series: DataFrame, keys: Sequence[str], x: str, n_cycles: int, tail: int = 60) -> DataFrame:
+    """Mean, spread and lag-1 correlation of the last ``tail`` cycles."""
+    last = series.where(F.col("cycle") >= n_cycles - tail).withColumn("_p", F.lag(x).over(W.partitionBy(*keys).orderBy("cycle")))
+    both = F.col("_p").isNotNull() & F.col(x).isNotNull()
+    a, b = F.when(both, F.col("_p")), F.when(both, F.col(x))
+    return last.groupBy(*keys).agg(
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"),
+        F.when((F.count(b) > 3) & (F.stddev_pop(F.col(x)) > 1e-12), F.corr(a, b)).alias("ac1"))
+
+
+def indicator_vs_latent(joined: DataFrame, keys: Sequence[str], indicator: str, latent: str, start: int, n_cycles: int,
+                        level: float, smooth: int = 20, min_length: int = 40, min_points: int = 20) -> DataFrame:
+    """Rank correlation of the published (trailing-mean) indicator with a latent driver until it crosses ``level``.
+
+    The segment runs from ``start`` to the first crossing but at least ``min_length`` cycles. Values are ranked at
+    nine decimals, where ties are ties in any order of addition.
+    """
+    keys = list(keys)
+    crossed = joined.groupBy(*keys).agg(F.greatest(
+        F.lit(start + min_length), F.coalesce(F.min(F.when(F.col(latent) <= level, F.col("cycle"))), F.lit(n_cycles))).alias("stop"))
+    seg = joined.join(crossed, keys).where((F.col("cycle") >= start) & (F.col("cycle") < F.col("stop")))
+    pts = trailing_mean(seg, keys, indicator, smooth, "_s").select(
+        *keys, F.round("_s", 9).alias("a"), F.round(latent, 9).alias("b"))
+    rho = spearman(pts, keys, "a", "b")
+    return crossed.join(rho, keys, "left").withColumn("rho", F.when(F.col("n") >= min_points, F.col("rho")))
+
+
+def largest_gap(df: DataFrame, by: Sequence[str], x: str, buckets: int = 256) -> DataFrame:
+    """Widest gap between neighbouring values of each group, without ordering a group in one task.
+
+    Gaps inside equal parts of the range come from a lag; gaps between parts from their smallest and largest values.
+    """
+    by = list(by)
+    v = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).distinct()
+    span = v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (buckets - 1)), F.lit(0))
+    placed = v.join(span, by).withColumn("_b", part)
+    inner = placed.withColumn("_g", F.col("_x") - F.lag("_x").over(W.partitionBy(*by, "_b").orderBy("_x")))
+    parts = inner.groupBy(*by, "_b").agg(F.max("_g").alias("_g"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))
+    across = F.lead("_a").over(W.partitionBy(*by).orderBy("_b")) - F.col("_z")
+    return parts.withColumn("_c", across).groupBy(*by).agg(
+        F.greatest(F.max("_g"), F.max("_c")).alias("largest_gap"), (F.max("_z") - F.min("_a")).alias("range"))
+
+
+def branch_summary(cells: DataFrame, by: str, gap: float) -> DataFrame:
+    """Jump, fold midpoint, transition width and bistable window of two branches along a design axis.
+
+    ``cells`` has one row per (by, a) with ``upper`` and ``lower`` branch means and the upper branch's spread.
+    """
+    w = W.partitionBy(by)
+    desc = w.orderBy(F.col("a").desc())
+    top, bottom = F.first("upper").over(desc), F.last("upper").over(desc.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rng = F.greatest(F.lit(1e-9), top - bottom)
+    c = cells.withColumns({
+        "drop": F.col("upper") - F.lead("upper").over(desc), "next_a": F.lead("a").over(desc),
+        "frac": (F.col("upper") - bottom) / rng, "rng": rng})
+    inner = F.when((F.col("frac") > 0.15) & (F.col("frac") < 0.85), F.col("a"))
+    both = F.when(F.col("upper") - F.col("lower") > gap, F.col("a"))
+    best = F.struct("drop", "a", "next_a")
+    return c.groupBy(by).agg(
+        F.max_by(best, best).alias("j"), F.max("rng").alias("rng"), F.coalesce(F.max(inner) - F.min(inner), F.lit(0.0)).alias("transition_width"),
+        F.count(both).alias("n_bistable"), F.coalesce(F.max(both) - F.min(both), F.lit(0.0)).alias("bistable_width"),
+        F.max(F.col("upper") - F.col("lower")).alias("max_gap"), F.min_by("a", F.struct(F.abs(F.col("frac") - 0.5), -F.col("a"))).alias("a_mid"),
+        F.max_by("a", F.struct("sd", "a")).alias("peak_sd_at"),
+    ).select(by, F.col("j.drop").alias("jump"), (F.col("j.drop") / F.col("rng")).alias("jump_relative"),
+             (0.5 * (F.col("j.a") + F.col("j.next_a"))).alias("fold_midpoint"), "transition_width", "n_bistable", "bistable_width",
+             "max_gap", "a_mid", "peak_sd_at")

@@ -6,4 +6,4 @@ from tidewatch.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tidewatch.plans import calibration, inference, resampling, runs, series, survival  # noqa: F401
+    from tidewatch.plans import calibration, graph, inference, resampling, runs, series, states, survival, visibility  # noqa: F401
