@@ -205,14 +205,14 @@ def observed_dyads(spark, sf_dir):
 c AS (SELECT level, cycle + {M.PROGRAM_DAYS} AS cycle, sum(value) AS s, count(*) AS n FROM team_events GROUP BY 1, 2),
 g AS (SELECT level, CAST(range AS INTEGER) AS cycle FROM (SELECT DISTINCT level FROM team_events), range({ORDER_DAYS + M.PROGRAM_DAYS})),
 d AS (SELECT level, cycle, s, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (level, cycle))
-SELECT level, cycle, CAST(sum(n) OVER w AS BIGINT) AS output_n, round(CASE WHEN sum(n) OVER w > 0 THEN sum(s) OVER w / sum(n) OVER w END, 9) AS output_close FROM d
+SELECT level, cycle, CAST(sum(n) OVER w AS BIGINT) AS output_n, round(CASE WHEN sum(n) OVER w > 0 THEN sum(s) OVER w / sum(n) OVER w END, 6) AS output_close FROM d
 WINDOW w AS (PARTITION BY level ORDER BY cycle ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def open_close_output(spark, sf_dir):
     """Values land a fixed delay after they open; the output is their pooled mean over ten cycles."""
     e = M.team_events(spark, sf_dir)
     c = e.groupBy("level", (F.col("cycle") + M.PROGRAM_DAYS).alias("cycle")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     out = pooled_trailing_mean(densify(c, ["level"], ORDER_DAYS + M.PROGRAM_DAYS), ["level"], "s", "n", 10, "m")
-    return out.select("level", "cycle", F.col("m_n").alias("output_n"), rnd("m", 9).alias("output_close"))
+    return out.select("level", "cycle", F.col("m_n").alias("output_n"), rnd("m").alias("output_close"))
 
 
 @query("centrality", f"WITH {MEMBERS_SQL}," + """

@@ -201,12 +201,12 @@ def cycle_series(spark, sf_dir):
 
 @query("reporting_mean", f"""WITH {T.EVENT_HOURS_SQL}
 SELECT event_type, cycle, CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS n,
-  round(CASE WHEN sum(coalesce(n, 0)) OVER w > 0 THEN sum(s) OVER w / sum(coalesce(n, 0)) OVER w END, 9) AS mean_value
+  round(CASE WHEN sum(coalesce(n, 0)) OVER w > 0 THEN sum(s) OVER w / sum(coalesce(n, 0)) OVER w END, 7) AS mean_value
 FROM event_hours WINDOW w AS (PARTITION BY event_type ORDER BY cycle ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def reporting_mean(spark, sf_dir):
     """Published output: pooled mean of the events of the trailing ten cycles."""
     out = rolling.pooled_trailing_mean(T.event_hours(spark, sf_dir), ["event_type"], "s", "n", 10, "m")
-    return out.select("event_type", F.col("cycle").cast("bigint"), F.col("m_n").alias("n"), rnd("m", 9).alias("mean_value"))
+    return out.select("event_type", F.col("cycle").cast("bigint"), F.col("m_n").alias("n"), rnd("m", 7).alias("mean_value"))
 
 
 @query("gap_fill", STATS + " SELECT run, scen, class, cycle, round(x, 6) AS x, round(y, 6) AS y FROM filled")

@@ -78,10 +78,10 @@ def team_log(spark, sf_dir):
 
 
 @query("recorded_values", f"WITH {LOG_SQL}" + """
-SELECT team, m, kp, round(vp, 9) AS recorded, round(greatest(0.001, 1 - power(0.2, m) - m * 0.8 * power(0.2, m - 1)), 9) AS p_observed FROM log""")
+SELECT team, m, kp, round(vp, 6) AS recorded, round(greatest(0.001, 1 - power(0.2, m) - m * 0.8 * power(0.2, m - 1)), 9) AS p_observed FROM log""")
 def recorded_values(spark, sf_dir):
     """What partial observation records of every team, and the chance of recording it."""
-    return team_log(spark, sf_dir).select("team", "m", "kp", rnd("vp", 9).alias("recorded"), rnd(C.p_observed("m", 0.8), 9).alias("p_observed"))
+    return team_log(spark, sf_dir).select("team", "m", "kp", rnd("vp").alias("recorded"), rnd(C.p_observed("m", 0.8), 9).alias("p_observed"))
 
 
 DUAL_SQL = LOG_SQL + """,
@@ -95,11 +95,11 @@ def dual_stream_table(spark, sf_dir):
         F.count("vp").alias("n_published"), F.count("vr").alias("n_revised"))
 
 
-@query("dual_stream", f"WITH {DUAL_SQL} SELECT level, cycle, round(published, 9) AS published, round(revised, 9) AS revised, n_published, n_revised FROM dual")
+@query("dual_stream", f"WITH {DUAL_SQL} SELECT level, cycle, round(published, 6) AS published, round(revised, 6) AS revised, n_published, n_revised FROM dual")
 def dual_stream(spark, sf_dir):
     """As-published and re-derived cycle means in one pass."""
     return dual_stream_table(spark, sf_dir).select(
-        "level", "cycle", rnd("published", 9).alias("published"), rnd("revised", 9).alias("revised"), "n_published", "n_revised")
+        "level", "cycle", rnd("published").alias("published"), rnd("revised").alias("revised"), "n_published", "n_revised")
 
 
 RULE = LeadingRule(window=20, classes=("x",), k=1.0, sustain=3, start=60)
@@ -169,10 +169,10 @@ def corrected_table(spark, sf_dir):
     return log.groupBy("level", "cycle").agg(F.avg("value").alias("truth"), F.avg("vr").alias("raw")).join(fixed, ["level", "cycle"], "left")
 
 
-@query("ipw_mean", f"WITH {IPW_SQL} SELECT level, cycle, round(truth, 9) AS truth, round(raw, 9) AS raw, round(corrected, 9) AS corrected FROM truth LEFT JOIN ipw USING (level, cycle)")
+@query("ipw_mean", f"WITH {IPW_SQL} SELECT level, cycle, round(truth, 6) AS truth, round(raw, 6) AS raw, round(corrected, 6) AS corrected FROM truth LEFT JOIN ipw USING (level, cycle)")
 def ipw_mean(spark, sf_dir):
     """Cycle means before and after the propensity correction, beside the truth."""
-    return corrected_table(spark, sf_dir).select("level", "cycle", *[rnd(x, 9).alias(x) for x in ("truth", "raw", "corrected")])
+    return corrected_table(spark, sf_dir).select("level", "cycle", *[rnd(x).alias(x) for x in ("truth", "raw", "corrected")])
 
 
 @query("bias_against_truth", f"""WITH {IPW_SQL}

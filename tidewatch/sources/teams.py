@@ -13,6 +13,8 @@ TIE_WINDOW = 2
 LINK_WINDOW = 20
 COVERAGE = 0.6
 PROGRAM_DAYS = 14
+# A prime, so that scaled means do not end in an exact half that engines would round apart.
+VALUE_SCALE = 997
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def team_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice").select(
         F.col("o_orderkey").alias("team"), day_cycle("o_orderdate", ORDER_ORIGIN).alias("cycle"),
         F.col("o_orderpriority").alias("level"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-        (F.col("o_totalprice") / 1000).alias("value"))
+        (F.col("o_totalprice") / VALUE_SCALE).alias("value"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,6 @@ members AS (SELECT DISTINCT o_orderkey AS team, CAST(date_diff('day', DATE '{ORD
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 EVENTS_SQL = f"""
 team_events AS (SELECT o_orderkey AS team, CAST(date_diff('day', DATE '{ORDER_ORIGIN}', CAST(o_orderdate AS DATE)) AS INTEGER) AS cycle, o_orderpriority AS level,
-  o_orderpriority = '1-URGENT' AS urgent, o_totalprice / 1000 AS value FROM orders)"""
+  o_orderpriority = '1-URGENT' AS urgent, o_totalprice / {VALUE_SCALE} AS value FROM orders)"""
 VISIBLE_SQL = f"{unit_hash_sql('supplier', 'node')} < {COVERAGE}"
 __all__ = ["members", "team_events", "nodes", "visible", "ORDER_DAYS"]
