@@ -25,6 +25,8 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], x: str = "x", max_gap: int = 3
 
     Known neighbours further than ``max_gap`` away cannot matter, hence the bounded frames.
     """
+    if max_gap == 0:
+        return df.withColumn(out, F.col(x))
     order = W.partitionBy(*keys).orderBy("cycle")
     known = F.when(F.col(x).isNotNull(), F.struct(F.col("cycle").alias("c"), F.col(x).alias("v")))
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(-max_gap, -1))

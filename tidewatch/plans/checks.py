@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import rnd
@@ -32,7 +34,7 @@ def recompute_cells(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), (F.sum(F.coalesce("t_lag", "n_cycles")) - F.sum(F.coalesce("t", "n_cycles"))).alias("d"),
         (F.count("t") / F.count(F.lit(1))).alias("lead_rate")).withColumn("dt", F.col("d") / F.col("n"))
     bad = K.recompute_differences(stored, fresh, ["c", "arm", "colour", "scen"], ["n", "dt", "lead_rate"])
-    return stored.agg(F.count(F.lit(1)).alias("n_cells"), F.max(F.lit(bad.agg(F.count(F.lit(1))).scalar())).alias("n_differences"))
+    return stored.agg(F.count(F.lit(1)).alias("n_cells"), F.max(bad.agg(F.count(F.lit(1))).scalar()).alias("n_differences"))
 
 
 @query("table_difference", f"WITH {user_runs_sql()},{first_campaign_sql()}," + """
@@ -79,7 +81,7 @@ def sum_to_whole(spark, sf_dir):
     s = S.censoring_shares(user_runs(spark, sf_dir).where("scen = 'degrade'"), ["c", "arm", "colour"]).withColumn("one", F.lit(1.0))
     bad = K.sum_to_whole(s, [f"contribution_{p}" for p in S.PATTERNS], "mean").select("c").unionByName(
         K.sum_to_whole(s, [f"frac_{p}" for p in S.PATTERNS], "one").select("c"))
-    return s.agg(F.count(F.lit(1)).alias("n_cells"), F.max(F.lit(bad.agg(F.count(F.lit(1))).scalar())).alias("n_violations"))
+    return s.agg(F.count(F.lit(1)).alias("n_cells"), F.max(bad.agg(F.count(F.lit(1))).scalar()).alias("n_violations"))
 
 
 @query("declared_overrides", RUNS + """
@@ -106,31 +108,29 @@ def claim_binding(spark, sf_dir):
 SELECT count(*) AS n_stored, 0::BIGINT AS n_differences FROM (SELECT DISTINCT c, arm, colour, scen FROM runs)""")
 def stored_result_check(spark, sf_dir):
     """Check mode: write a result once, recompute it and compare the two tables."""
-    import uuid
     path = f"{shared_dir(spark)}/stored-cells-{uuid.uuid4().hex}"
     fresh = cells(spark, sf_dir)
     store.write_once(fresh, path)
     stored = spark.read.parquet(path)
     bad = K.recompute_differences(stored, fresh, ["c", "arm", "colour", "scen"], ["n", "dt", "lead_rate"])
-    return stored.agg(F.count(F.lit(1)).alias("n_stored"), F.max(F.lit(bad.agg(F.count(F.lit(1))).scalar())).alias("n_differences"))
+    return stored.agg(F.count(F.lit(1)).alias("n_stored"), F.max(bad.agg(F.count(F.lit(1))).scalar()).alias("n_differences"))
 
 
-@query("stored_documents", RUNS + """
+@query("stored_rows", RUNS + """
 SELECT scen, count(*) AS n_rows, count(t_lead) AS n_fired, CAST(sum(seed) AS BIGINT) AS seed_sum FROM runs GROUP BY 1""")
-def stored_documents(spark, sf_dir):
-    """Result rows written as JSON documents, one per scenario, and read back with a declared schema."""
-    import uuid
-    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+def stored_rows(spark, sf_dir):
+    """Run rows written as JSON, a folder per scenario, and read back with a declared schema."""
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
     rows = user_runs(spark, sf_dir).select("scen", "c", "arm", "colour", "rep", "seed", "t_lead", "t_lag")
-    # a document is one table partition: a shard of the runs wrapped as a row list, never all runs of a scenario
-    doc = rows.withColumn("shard", F.pmod("seed", F.lit(16))).groupBy("scen", "shard", "c", "colour").agg(
-        F.collect_list(F.struct("scen", "c", "arm", "colour", "rep", "seed", "t_lead", "t_lag")).alias("per_run_rows"))
-    doc.select("per_run_rows").write.mode("errorifexists").json(path)
-    back = spark.read.schema("per_run_rows ARRAY<STRUCT<scen: STRING, seed: BIGINT, t_lead: INT>>").json(path).select(F.explode("per_run_rows").alias("r")).select("r.*")
+    rows.write.mode("errorifexists").partitionBy("scen").json(path)
+    back = spark.read.schema("scen STRING, seed BIGINT, t_lead INT").json(path)
     return back.groupBy("scen").agg(F.count(F.lit(1)).alias("n_rows"), F.count("t_lead").alias("n_fired"), F.sum("seed").alias("seed_sum"))
 
 
-@query("input_provenance")
-def input_provenance(spark, sf_dir):
-    """Length and content digest of the input tables."""
-    return store.provenance(spark, f"{sf_dir}/*.parquet")
+@query("content_digest", """
+WITH h AS (SELECT event_type, CAST('0x' || substr(md5(event_id || '|' || user_id || '|' || event_type || '|' || props), 1, 10) AS BIGINT) AS d FROM events)
+SELECT event_type, count(*) AS n, CAST(sum(d) AS BIGINT) AS digest FROM h GROUP BY 1""")
+def content_digest(spark, sf_dir):
+    """Digest of a table's content that depends neither on row order nor on files."""
+    ev = R.table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props")
+    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), store.row_digest("event_id", "user_id", "event_type", "props").alias("digest"))

@@ -33,6 +33,10 @@ def stats_sql(src: str, keys: Sequence[str], classes: Sequence[str], window: int
         var = "(syy - beta*sxy) / (k - 1)"
     else:
         va, vb, cov, var = "aa", "bb", "ab", "syy / (k - 1)"
+    if max_gap == 0:
+        return f"""
+{p}long AS ({longs}),
+{p}filled AS (SELECT *, x AS y FROM {p}long)""" + "," + rolling_sql(f"{p}filled", keys, window, need, va, vb, cov, var, p)
     return f"""
 {p}long AS ({longs}),
 {p}near AS (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -36,6 +36,12 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(F.split("path", "/"), -1).alias("source_file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+def row_digest(*cols: str) -> Column:
+    """Aggregate: sum of 40-bit row hashes, a content digest for tables too large to hash as files."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    return F.sum(F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("bigint"))
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Overwrite a result table."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
