@@ -71,8 +71,9 @@ def degrees(live: DataFrame, by: Sequence[str] = ("cycle",)) -> DataFrame:
 def connected_components(edges: DataFrame, by: str = "cycle", max_rounds: int = 60) -> DataFrame:
     """Component label (its smallest node) of every node that has an edge: rows ``(by, node, comp)``.
 
-    All snapshots advance together. A round takes the smallest label among the neighbours and then follows labels
-    once (label of my label), which shortens long chains by half; it ends when no label moves. Lineage is cut in
+    All snapshots advance together. A round takes the smallest label among the neighbours, hands it to the former
+    label as well, and then follows labels once (label of my label), so chains shrink by more than half; it ends
+    when no label moves. Lineage is cut in
     the shared checkpoint folder each round, so a lost executor repeats at most one.
     """
     e = cut_lineage(
@@ -85,7 +86,10 @@ def connected_components(edges: DataFrame, by: str = "cycle", max_rounds: int =
     for _ in range(max_rounds):
         near = e.join(labels.select(by, F.col("node").alias("v"), "comp"), [by, "v"]).groupBy(by, F.col("u").alias("node")).agg(
             F.min("comp").alias("_near"))
-        hooked = labels.join(near, [by, "node"]).select(by, "node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
+        seen = labels.join(near, [by, "node"]).select(by, "node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
+        # the smaller label is also offered to the node's former label, so whole trees move at once
+        offers = seen.unionByName(seen.select(by, F.col("_old").alias("node"), F.lit(None).cast("bigint").alias("_old"), "comp"))
+        hooked = offers.groupBy(by, "node").agg(F.max("_old").alias("_old"), F.min("comp").alias("comp"))
         jump = hooked.select(by, F.col("node").alias("comp"), F.col("comp").alias("_next"))
         moved = hooked.join(jump, [by, "comp"]).select(by, "node", F.col("_next").alias("comp"), (F.col("_next") != F.col("_old")).alias("_moved"))
         moved = cut_lineage(moved)
