@@ -87,7 +87,7 @@ def test_sustain_counts_only_from_start_and_null_breaks(spark):
         assert alarms.leading_alarm(df, ["run"], rule).first()["t_lead"] == want
     rule = alarms.LeadingRule(k=1.0, sustain=5, start=0)
     row = alarms.leading_alarm(df, ["run"], rule).first()
-    assert row["t_lead"] is None and row["sustained_score"] is None and row["score_null"] == 1
+    assert row["t_lead"] is None and row["sustained_score"] == 0.0 and row["score_null"] == 1
 
 
 def test_alarm_by_threshold_equals_rule_for_every_threshold(spark):

@@ -43,23 +43,23 @@ def two_component_bic(df: DataFrame, group: str, x: str, max_iter: int = 500, to
             break
         g = p1 / F.greatest(p1 + p2, F.lit(DENSITY_FLOOR))
         # second moments about the current means keep the squares small
-        e = data.join(small(active), group).withColumn("g", g)
+        e = data.join(small(active), group).withColumn("_g", g)
         a, b = F.col("x") - F.col("m1"), F.col("x") - F.col("m2")
         sums = e.groupBy(group).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("g").alias("g"), F.sum(F.col("g") * a).alias("ga"),
-            F.sum(F.col("g") * a * a).alias("gaa"), F.sum((1 - F.col("g")) * b).alias("hb"),
-            F.sum((1 - F.col("g")) * b * b).alias("hbb"),
+            F.count(F.lit(1)).alias("n"), F.sum("_g").alias("sg"), F.sum(F.col("_g") * a).alias("ga"),
+            F.sum(F.col("_g") * a * a).alias("gaa"), F.sum((1 - F.col("_g")) * b).alias("hb"),
+            F.sum((1 - F.col("_g")) * b * b).alias("hbb"),
             F.sum(F.log(F.greatest(p1 + p2, F.lit(DENSITY_FLOOR)))).alias("ll"))
         for row in sums.collect():
             old = params[row[group]]
-            new = dict(old, pi=row.g / row.n, steps=old["steps"] + 1, ll=row.ll)
-            h = row.n - row.g
-            if row.g < 1e-9 or h < 1e-9:
+            new = dict(old, pi=row.sg / row.n, steps=old["steps"] + 1, ll=row.ll)
+            h = row.n - row.sg
+            if row.sg < 1e-9 or h < 1e-9:
                 params[row[group]] = new | {"done": True}
                 continue
-            da, db = row.ga / row.g, row.hb / h
+            da, db = row.ga / row.sg, row.hb / h
             new |= {"m1": old["m1"] + da, "m2": old["m2"] + db,
-                    "s1": max(SD_FLOOR, math.sqrt(max(0.0, row.gaa / row.g - da * da))),
+                    "s1": max(SD_FLOOR, math.sqrt(max(0.0, row.gaa / row.sg - da * da))),
                     "s2": max(SD_FLOOR, math.sqrt(max(0.0, row.hbb / h - db * db)))}
             params[row[group]] = new | {"done": row.ll - old["ll"] < tol}
     root = math.sqrt(2 * math.pi)
