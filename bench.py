@@ -17,8 +17,8 @@ from tidewatch.plans import QUERIES, load_all
 from tidewatch.session import local_session
 
 HEADLINE = [
-    "cycle_series", "rolling_variance_autocorrelation", "score_runs", "rolling_tau", "kernel_residual", "lagging_grid",
-    "fpr_curve", "cell_summary", "restricted_mean_time", "comparator_lead", "multiplicity_adjustment",
+    "cycle_series", "rolling_variance_autocorrelation", "score_runs", "lagging_grid",
+    "fpr_curve", "cell_summary", "comparator_lead", "multiplicity_adjustment",
     "permutation_heterogeneity", "spearman_by_flag", "mean_degree", "team_cohesion", "dual_stream", "ipw_mean",
 ]
 
