@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,60 +19,44 @@ def two_component_bic(df: DataFrame, group: str, x: str, max_iter: int = 500, to
     """Rows ``(group, n, bic_1, bic_2, delta_bic, m1, m2, s1, s2, weight_1, two_component_preferred, iterations)``.
 
     The lower half of the ordered values starts component one; a fit rests once a step gains less than ``tol`` in log
-    likelihood. Every EM step is one grouped sum over the rows with
-    the five current parameters joined on; only those parameters, one row per group, visit the driver to decide
-    whether the fit has come to rest. A group at rest is not computed again.
+    likelihood. Every EM step is one grouped sum over the rows with the current parameters of their group joined on.
+    Parameters stay a table, written to the checkpoint folder each step; groups at rest are not computed again.
     """
     data = cut_lineage(df.where(F.col(x).isNotNull()).select(group, F.col(x).cast("double").alias("x")))
-    spark = data.sparkSession
-    start = _median_split(data, group)
-    one = start.select(group, "n", "mu", "sd")
-    params = {r[group]: r.asDict() | {"pi": 0.5, "steps": 0, "done": False, "ll": -math.inf} for r in start.collect()}
-    fields = [group, "pi", "m1", "s1", "m2", "s2"]
-
-    def small(rows) -> DataFrame:
-        # a few numbers per group: a local relation, planned without a job of its own
-        return F.broadcast(spark.createDataFrame(pd.DataFrame([{f: r[f] for f in fields} for r in rows])))
-
-    p1 = F.col("pi") * F.exp(-0.5 * F.pow((F.col("x") - F.col("m1")) / F.col("s1"), 2)) / F.col("s1")
-    p2 = (1 - F.col("pi")) * F.exp(-0.5 * F.pow((F.col("x") - F.col("m2")) / F.col("s2"), 2)) / F.col("s2")
+    c = F.col
+    params = cut_lineage(_median_split(data, group).withColumns({
+        "pi": F.lit(0.5), "steps": F.lit(0), "ll": F.lit(float("-inf")), "done": F.lit(False)}))
+    model = [group, "pi", "m1", "s1", "m2", "s2"]
+    p1 = c("pi") * F.exp(-0.5 * F.pow((c("x") - c("m1")) / c("s1"), 2)) / c("s1")
+    p2 = (1 - c("pi")) * F.exp(-0.5 * F.pow((c("x") - c("m2")) / c("s2"), 2)) / c("s2")
+    w = p1 / F.greatest(p1 + p2, F.lit(DENSITY_FLOOR))
+    # second moments about the current means keep the squares small
+    a, b = c("x") - c("m1"), c("x") - c("m2")
     for _ in range(max_iter):
-        active = [r for r in params.values() if not r["done"]]
-        if not active:
+        rows = data.join(params.where(~c("done")).select(*model), group).withColumn("_g", w)
+        sums = rows.groupBy(group).agg(
+            F.sum("_g").alias("_sg"), F.sum(1 - c("_g")).alias("_sh"), F.sum(c("_g") * a).alias("_ga"),
+            F.sum(c("_g") * a * a).alias("_gaa"), F.sum((1 - c("_g")) * b).alias("_hb"), F.sum((1 - c("_g")) * b * b).alias("_hbb"),
+            F.sum(F.log(F.greatest(p1 + p2, F.lit(DENSITY_FLOOR)))).alias("_ll"))
+        empty = (c("_sg") < 1e-9) | (c("_sh") < 1e-9)
+        da, db = F.try_divide("_ga", "_sg"), F.try_divide("_hb", "_sh")
+        spread = lambda q, n, d: F.greatest(F.lit(SD_FLOOR), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q, n) - d * d)))
+        moved = {"m1": c("m1") + da, "m2": c("m2") + db, "s1": spread("_gaa", "_sg", da), "s2": spread("_hbb", "_sh", db)}
+        step = {k: F.when(c("done") | empty, c(k)).otherwise(v) for k, v in moved.items()}
+        step |= {"pi": F.when(c("done"), c("pi")).otherwise(c("_sg") / c("n")), "steps": c("steps") + F.when(c("done"), 0).otherwise(1),
+                 "ll": F.when(c("done"), c("ll")).otherwise(c("_ll")), "done": c("done") | empty | (c("_ll") - c("ll") < tol)}
+        params = cut_lineage(params.join(sums, group, "left").withColumns(step).select(*params.columns))
+        if params.where(~c("done")).isEmpty():
             break
-        g = p1 / F.greatest(p1 + p2, F.lit(DENSITY_FLOOR))
-        # second moments about the current means keep the squares small
-        e = data.join(small(active), group).withColumn("_g", g)
-        a, b = F.col("x") - F.col("m1"), F.col("x") - F.col("m2")
-        sums = e.groupBy(group).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_g").alias("sg"), F.sum(F.col("_g") * a).alias("ga"),
-            F.sum(F.col("_g") * a * a).alias("gaa"), F.sum((1 - F.col("_g")) * b).alias("hb"),
-            F.sum((1 - F.col("_g")) * b * b).alias("hbb"),
-            F.sum(F.log(F.greatest(p1 + p2, F.lit(DENSITY_FLOOR)))).alias("ll"))
-        for row in sums.collect():
-            old = params[row[group]]
-            new = dict(old, pi=row.sg / row.n, steps=old["steps"] + 1, ll=row.ll)
-            h = row.n - row.sg
-            if row.sg < 1e-9 or h < 1e-9:
-                params[row[group]] = new | {"done": True}
-                continue
-            da, db = row.ga / row.sg, row.hb / h
-            new |= {"m1": old["m1"] + da, "m2": old["m2"] + db,
-                    "s1": max(SD_FLOOR, math.sqrt(max(0.0, row.gaa / row.sg - da * da))),
-                    "s2": max(SD_FLOOR, math.sqrt(max(0.0, row.hbb / h - db * db)))}
-            params[row[group]] = new | {"done": row.ll - old["ll"] < tol}
     root = math.sqrt(2 * math.pi)
     ll2 = F.sum(F.log(F.greatest((p1 + p2) / root, F.lit(DENSITY_FLOOR))))
-    two = data.join(small(params.values()), group).groupBy(group, *fields[1:]).agg(ll2.alias("ll2"))
+    two = data.join(params.select(*model), group).groupBy(group).agg(ll2.alias("ll2"))
     sd = F.greatest("sd", F.lit(1e-9))
     # the sum of squares about the mean is (n - 1) sd^2, so the one-component likelihood needs no second pass
-    ll1 = F.col("n") * (-0.5 * math.log(2 * math.pi) - F.log(sd)) - 0.5 * (F.col("n") - 1) * F.pow(F.col("sd") / sd, 2)
-    steps = F.create_map(*[F.lit(v) for k, r in params.items() for v in (k, r["steps"])])
-    out = one.join(two, group).withColumns({
-        "bic_1": -2 * ll1 + 2 * F.log("n"), "bic_2": -2 * F.col("ll2") + 5 * F.log("n"), "weight_1": F.col("pi"),
-        "iterations": steps[F.col(group)]})
-    return out.withColumn("delta_bic", F.col("bic_1") - F.col("bic_2")).withColumn(
-        "two_component_preferred", F.col("delta_bic") > MARGIN)
+    ll1 = c("n") * (-0.5 * math.log(2 * math.pi) - F.log(sd)) - 0.5 * (c("n") - 1) * F.pow(c("sd") / sd, 2)
+    out = params.join(two, group).withColumns({
+        "bic_1": -2 * ll1 + 2 * F.log("n"), "bic_2": -2 * c("ll2") + 5 * F.log("n"), "weight_1": c("pi"), "iterations": c("steps")})
+    return out.withColumn("delta_bic", c("bic_1") - c("bic_2")).withColumn("two_component_preferred", c("delta_bic") > MARGIN)
 
 
 def _median_split(data: DataFrame, group: str) -> DataFrame:
