@@ -95,7 +95,7 @@ def cluster_bootstrap(spark, sf_dir):
 @query("bootstrap_ratio", RUNS + f""",
 val AS (SELECT arm, {KEY_SQL} AS key, sum(abs(dt_censored)) AS raw, sum(abs(dt_censored)) FILTER (WHERE colour = 'systematic') AS cor FROM runs WHERE scen = 'degrade' GROUP BY c, arm, rep),
 {boot_sql('val', 'arm', ('raw', 'cor'), 1000, SEED)},
-i AS (SELECT arm, quantile_cont(1 - cor / raw, 0.025) AS lo95, quantile_cont(1 - cor / raw, 0.975) AS hi95 FROM boot GROUP BY 1)
+i AS (SELECT arm, quantile_cont(1 - cor / nullif(raw, 0), 0.025) AS lo95, quantile_cont(1 - cor / nullif(raw, 0), 0.975) AS hi95 FROM boot GROUP BY 1)
 SELECT arm, (SELECT count(*) FROM val v WHERE v.arm = i.arm) AS n, (SELECT round(1 - sum(cor) / sum(raw), 9) FROM val v WHERE v.arm = i.arm) AS reduction,
   round(lo95, 9) AS lo95, round(hi95, 9) AS hi95 FROM i""")
 def bootstrap_ratio(spark, sf_dir):
