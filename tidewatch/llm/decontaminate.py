@@ -33,7 +33,11 @@ def words(text: Column) -> Column:
 
 
 def windows(tokens: Column, sizes: list[int]) -> Column:
-    """(size, position, hash) of every run of each size."""
+    """(size, position, hash) of every run of each size. ``tokens`` may be any expression: it is computed once."""
+    return F.flatten(F.transform(F.array(tokens), lambda t: runs(t, sizes)))
+
+
+def runs(tokens: Column, sizes: list[int]) -> Column:
     n = F.size(tokens)
 
     def of(s: int) -> Column:
