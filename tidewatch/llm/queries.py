@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, language, licenses, near_dup, packing, secrets, token_files, topk, toxicity
+from tidewatch.llm import decontaminate, language, licenses, near_dup, packing, parsing_dedup, secrets, token_files, topk, toxicity
 from tidewatch.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+@query("op3_prefix_free_parsing")
+def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 @query("op4_license_scan")
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
