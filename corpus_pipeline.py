@@ -12,13 +12,13 @@ from tidewatch.llm import decontaminate, language, near_dup, packing, secrets
 from tidewatch.llm.common import crc_mod, stored, table
 
 #: Share of a text's words that its language has to label.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.25
 #: What a secret is replaced by.
 MASK = "[secret]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that no language labels for the most part; lang is the one found.
+    """Drops documents without letters and those no language labels in a quarter of their words; lang is the one found.
 
     Learnt from the given labels of the documents whose crc32 mod 5 is not 0, as in the query."""
     model = language.fit(docs.where(crc_mod("doc_id", 5) != 0))

@@ -7,7 +7,6 @@ document labels are needed to fit it, and the sentence scores then say where the
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,41 +17,30 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
-#: Words whose feature a worker keeps; beyond it the store starts afresh, which changes no result.
+#: Words whose score a worker keeps; beyond it the store starts afresh, which changes no result.
 KEPT_WORDS = 1_000_000
 
 
-class Features:
-    """Hashed words of texts, and the sentence that each stands in."""
+def parts(word: str) -> set[str]:
+    """A word's features: itself and its runs of 4 and 5 letters, with its ends marked."""
+    w = f"<{word}>"
+    return {w, *(w[i:i + n] for n in (4, 5) for i in range(len(w) - n + 1))}
 
-    def __init__(self, size: int):
-        self.size, self.index = size, {}
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(feature of each word, number of its sentence from 0)."""
-        tokens = TOKEN.findall((text or "").lower())
-        index = self.index
-        if len(index) > KEPT_WORDS:
-            index.clear()
-        for w in set(tokens).difference(index):
-            index[w] = -1 if w in ENDS else zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.size
-        ids = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
-        word = ids >= 0
-        return ids[word], np.cumsum(~word)[word]
+def sentences(text: str | None) -> tuple[list[str], np.ndarray]:
+    """(words in lower case, number of the sentence of each from 0)."""
+    tokens = TOKEN.findall((text or "").lower())
+    end = np.fromiter((t in ENDS for t in tokens), bool, len(tokens))
+    return [t for t in tokens if t not in ENDS], np.cumsum(end)[~end]
 
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
     slope: float  # of the document log-odds, fitted after the noisy-or
     shift: float
 
-    def sentence_p(self, words: np.ndarray, sentence: np.ndarray) -> np.ndarray:
-        """Probability of each sentence 0..last; one without words has the score of the bias alone."""
-        n = int(sentence[-1]) + 1 if len(sentence) else 0
-        return sigmoid(np.bincount(sentence, self.weights[words], n) + self.bias)
-
     def document(self, log_clean: float) -> float:
         """Score of a document whose sentences are all clean with log-probability ``log_clean``."""
         clean = min(log_clean, -1e-12)
@@ -60,6 +48,27 @@ class ToxicityModel:
         return float(sigmoid(np.array(self.slope * odds + self.shift)))
 
 
+class Scorer:
+    """Scores sentences; keeps the scores of words it has seen."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model, self.known = model, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Probability of each sentence up to the last with words; one without words has that of the bias alone."""
+        tokens = TOKEN.findall((text or "").lower())
+        known, weights = self.known, self.model.weights
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        for w in set(tokens).difference(known):
+            known[w] = np.nan if w in ENDS else sum(weights.get(g, 0.0) for g in sorted(parts(w)))
+        z = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
+        end = np.isnan(z)
+        sentence = np.cumsum(end)[~end]
+        n = int(sentence[-1]) + 1 if len(sentence) else 0
+        return sigmoid(np.bincount(sentence, z[~end], n) + self.model.bias)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -68,70 +77,71 @@ def log_clean(p: np.ndarray) -> np.ndarray:
     return np.log1p(-np.minimum(p, 1 - 1e-12))
 
 
-def fit(docs: DataFrame, sample: int = 8000, features: int = 1 << 18, most_words: int = 20_000, least_docs: int = 5,
-        steps: int = 200, rate: float = 0.05, decay: float = 2e-5) -> ToxicityModel:
+def fit(docs: DataFrame, sample: int = 5000, most_chars: int = 20_000, features: int = 4000, least_docs: int = 5,
+        steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> ToxicityModel:
     """Learn from ``docs`` (text, toxic 0/1): about ``sample`` labelled documents, drawn by a hash of the text.
 
-    Longer documents than ``most_words`` words are not drawn (they are scored whole like any other). The driver holds
-    the sample's word hashes only, four bytes a word. Words in fewer than ``least_docs`` of the sample's documents have
-    no weight. Without labels of both kinds the model gives every text the share of toxic labels (0.5 without any).
+    Longer documents than ``most_chars`` are not drawn (they are scored whole like any other), so the driver holds no
+    more than their product. The ``features`` that go most with the label have weights, of those in ``least_docs``
+    documents or more. Without labels of both kinds every text gets the share of toxic labels (0.5 without any).
     """
-    known = docs.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("text", F.col("toxic").cast("int").alias("toxic"))
+    known = docs.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("text", F.col("toxic").cast("int").alias("toxic")).where(F.length("text") <= most_chars)
     total = known.count()
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample / max(total, 1)) * (1 << 20))
+    rows = known.where(drawn).toPandas().sort_values(["text", "toxic"], kind="stable")  # the fit does not depend on the order of tasks
+    return train(rows["toxic"].to_numpy(np.float64), rows["text"].tolist(), features, least_docs, steps, rate, decay)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feature = Features(features)
-        for b in batches:
-            rows = []
-            for text, y in zip(b["text"], b["toxic"]):
-                words, sentence = feature(text)
-                if len(words) <= most_words:
-                    rows.append((y, words.astype("<i4").tobytes(), sentence.astype("<i4").tobytes()))
-            yield pd.DataFrame(rows, columns=["y", "words", "sentences"])
-
-    rows = known.where(drawn).mapInPandas(hashed, "y int, words binary, sentences binary").toPandas()
-    rows = rows.sort_values(["words", "y"], kind="stable")  # the fit does not depend on the order of tasks
-    return train(rows["y"].to_numpy(), [np.frombuffer(x, "<i4") for x in rows["words"]],
-                 [np.frombuffer(x, "<i4") for x in rows["sentences"]], features, least_docs, steps, rate, decay)
 
-
-def train(y: np.ndarray, words: list[np.ndarray], sentences: list[np.ndarray], features: int, least_docs: int,
-          steps: int, rate: float, decay: float) -> ToxicityModel:
+def train(y: np.ndarray, texts: list[str], features: int, least_docs: int, steps: int, rate: float, decay: float) -> ToxicityModel:
     """Gradient steps (Adam) on the document likelihood under noisy-or, then a two-parameter fit of its log-odds."""
     share = float(np.mean(y)) if len(y) else 0.5
-    if not len(y) or share in (0.0, 1.0):
+    if share in (0.0, 1.0) or not len(y):
         share = min(max(share, 0.02), 0.98)
-        return ToxicityModel(np.zeros(features), 0.0, 0.0, float(np.log(share / (1 - share))))
-    docs_with = np.zeros(features, np.int32)
-    for w in words:
-        docs_with[np.unique(w)] += 1
-    word, sentence, doc_of, offset = [], [], [], 0
-    for i, (w, s) in enumerate(zip(words, sentences)):
-        keep = docs_with[w] >= least_docs
+        return ToxicityModel({}, 0.0, 0.0, float(np.log(share / (1 - share))))
+    cut = [sentences(t) for t in texts]
+    words = sorted({w for ws, _ in cut for w in ws})
+    number = {w: i for i, w in enumerate(words)}
+    own = [parts(w) for w in words]
+    # how many documents of each kind have a feature
+    with_: dict[str, list[int]] = {}
+    for (ws, _), label in zip(cut, y):
+        for g in set().union(*(own[number[w]] for w in set(ws))) if ws else ():
+            with_.setdefault(g, [0, 0])[int(label)] += 1
+    pos, neg = y.sum(), len(y) - y.sum()
+    strength = {g: (b / pos - a / neg) ** 2 / ((a + b + 1) / len(y)) for g, (a, b) in with_.items() if a + b >= least_docs}
+    names = sorted(sorted(strength, key=lambda g: (-strength[g], g))[:features])
+    column = {g: i for i, g in enumerate(names)}
+    pairs = [(i, column[g]) for i, gs in enumerate(own) for g in sorted(gs) if g in column]
+    of_word, of_feature = np.array(pairs, np.int64).reshape(-1, 2).T
+    live = np.zeros(len(words), bool)
+    live[of_word] = True
+    token, sentence, doc_of, offset = [], [], [], 0
+    for i, (ws, s) in enumerate(cut):
+        at = np.fromiter((number[w] for w in ws), np.int64, len(ws))
         n = int(s[-1]) + 1 if len(s) else 1
-        word.append(w[keep])
-        sentence.append(s[keep] + offset)
+        token.append(at[live[at]])
+        sentence.append(s[live[at]] + offset)
         doc_of.append(np.full(n, i))
         offset += n
-    word, at = np.unique(np.concatenate(word), return_inverse=True)
-    sentence, doc_of = np.concatenate(sentence), np.concatenate(doc_of)
-    y = np.asarray(y, np.float64)
-    theta = np.zeros(len(word) + 1)
-    theta[-1] = np.log(share * len(y) / offset)
+    token, sentence, doc_of = np.concatenate(token), np.concatenate(sentence), np.concatenate(doc_of)
+
+    def forward() -> tuple[np.ndarray, np.ndarray]:
+        z = np.bincount(of_word, theta[of_feature], len(words))
+        p = sigmoid(np.bincount(sentence, z[token], offset) + theta[-1])
+        return p, np.minimum(np.bincount(doc_of, log_clean(p), len(y)), -1e-9)
+
+    theta = np.zeros(len(names) + 1)
+    theta[-1] = np.log(0.2 * share * len(y) / offset)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
-        p = sigmoid(np.bincount(sentence, theta[at], offset) + theta[-1])
-        clean = np.minimum(np.bincount(doc_of, log_clean(p), len(y)), -1e-9)
+        p, clean = forward()
         toxic = -np.expm1(clean)
         pull = np.where(y == 1, -(1 - toxic) / toxic, 1.0)[doc_of] * p / len(y)
-        grad = np.append(np.bincount(at, pull[sentence], len(word)) + decay * theta[:-1], pull.sum())
+        by_word = np.bincount(token, pull[sentence], len(words))
+        grad = np.append(np.bincount(of_feature, by_word[of_word], len(names)) + decay * theta[:-1], pull.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-9)
-    weights = np.zeros(features)
-    weights[word] = theta[:-1]
-    p = sigmoid(np.bincount(sentence, theta[at], offset) + theta[-1])
-    clean = np.minimum(np.bincount(doc_of, log_clean(p), len(y)), -1e-12)
+    _, clean = forward()
     odds = np.log(-np.expm1(clean)) - clean
     slope, shift = 1.0, 0.0
     for _ in range(30):  # Newton steps of a logistic fit on one number
@@ -142,7 +152,7 @@ def train(y: np.ndarray, words: list[np.ndarray], sentences: list[np.ndarray], f
         det = a * c - b * b
         slope, shift = slope - (a * g1 - b * g0) / det, shift - (c * g0 - b * g1) / det
         slope = min(max(slope, 0.05), 5.0)
-    return ToxicityModel(weights, float(theta[-1]), float(slope), float(shift))
+    return ToxicityModel(dict(zip(names, theta[:-1].tolist())), float(theta[-1]), float(slope), float(shift))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str | Column]) -> DataFrame:
@@ -150,13 +160,13 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str | Column]) -> Da
     empty one, like one without words, gets the score of a single sentence without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feature = Features(len(model.weights))
+        scorer = Scorer(model)
         empty = float(log_clean(sigmoid(np.array(model.bias))))
         for b in batches:
             out = []
             for text in b["text"]:
-                words, sentence = feature(text)
-                out.append(model.document(log_clean(model.sentence_p(words, sentence)).sum() if len(words) else empty))
+                p = scorer(text)
+                out.append(model.document(log_clean(p).sum() if len(p) else empty))
             yield b.drop(columns="text").assign(score=np.array(out, dtype=np.float64))
 
     picked = docs.select(*keep, "text")
@@ -168,16 +178,13 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, threshold: float
     """Sentences whose own score reaches ``threshold``: (doc_id, sentence, start, end, score), code points."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feature = Features(len(model.weights))
+        scorer = Scorer(model)
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"].astype("Int64"), b["text"]):
-                words, sentence = feature(text)
-                if not len(words):
-                    continue
-                p = model.sentence_p(words, sentence)
-                hits = [i for i in np.flatnonzero(p >= threshold) if (sentence == i).any()]
-                if hits:
+                p = scorer(text)
+                hits = np.flatnonzero(p >= threshold)
+                if len(hits):
                     cuts = [0, *(m.end() for m in re.finditer(r"[.!?\n]", text)), len(text)]
                     rows += [(doc, int(i), cuts[i], cuts[i + 1], float(p[i])) for i in hits]
             yield pd.DataFrame(rows, columns=["doc_id", "sentence", "start", "end", "score"]).astype({"doc_id": "Int64"})
