@@ -17,7 +17,7 @@ from tidewatch.plans import QUERIES, load_all
 from tidewatch.session import local_session
 
 HEADLINE = [
-    "cycle_series", "rolling_variance_autocorrelation", "score_runs", "lagging_grid",
+    "cycle_series", "rolling_variance_autocorrelation", "rolling_tau", "kernel_residual", "restricted_mean_time", "giant_component", "bootstrap_mean", "score_runs", "lagging_grid",
     "fpr_curve", "cell_summary", "comparator_lead", "multiplicity_adjustment",
     "permutation_heterogeneity", "spearman_by_flag", "mean_degree", "team_cohesion", "dual_stream", "ipw_mean",
 ]

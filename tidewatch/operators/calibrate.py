@@ -42,10 +42,11 @@ def fpr_curve(stats: DataFrame, by: Sequence[str], x: str, grid: Sequence[float]
 
 
 def smallest_admissible(curve: DataFrame, by: Sequence[str], target: float) -> DataFrame:
-    """Per group the smallest threshold with a rate at or below ``target``; NULL if the grid has none."""
+    """Per group the smallest threshold with a rate at or below ``target``; a grid without one is an error."""
     ok = F.col("fpr") <= target
+    none = F.raise_error(F.lit(f"no threshold of the grid reaches the target {target}")).cast("double")
     return curve.groupBy(*by).agg(
-        F.min(F.when(ok, F.col("k"))).alias("k"),
+        F.coalesce(F.min(F.when(ok, F.col("k"))), none).alias("k"),
         F.min_by(F.when(ok, F.col("fpr")), F.when(ok, F.col("k"))).alias("fpr"),
         F.min_by(F.when(ok, F.col("n_false")), F.when(ok, F.col("k"))).alias("n_false"), F.max("n").alias("n"))
 

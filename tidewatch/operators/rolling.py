@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,13 +176,15 @@ def twin_baseline_z(
     }).select(*stats.columns, "z_var", "z_ac")
 
 
-def kernel_residual(df: DataFrame, keys: Sequence[str], y: str = "y", bandwidth: float = 10.0, reach: int = 80,
+def kernel_residual(df: DataFrame, keys: Sequence[str], y: str = "y", bandwidth: float = 10.0, reach: int | None = None,
                     out: str = "r") -> DataFrame:
     """Residual of each known value from a Gaussian-kernel mean over the cycles within ``reach``.
 
-    Weights beyond eight bandwidths are below 1.3e-14 of the centre. The neighbours are gathered by a bounded
+    Unless given, ``reach`` is eight and a half bandwidths: weights beyond are below 2.1e-16 of the centre, the rounding of a
+    double. The neighbours are gathered by a bounded
     frame, so nothing is joined; a series with fewer than five known values gives NULL.
     """
+    reach = ceil(8.5 * bandwidth) if reach is None else reach
     order = W.partitionBy(*keys).orderBy("cycle")
     near = F.collect_list(F.when(F.col(y).isNotNull(), F.struct(F.col("cycle").alias("c"), F.col(y).alias("v"))))
     zero = F.struct(F.lit(0.0).alias("wy"), F.lit(0.0).alias("w"))

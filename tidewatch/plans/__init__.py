@@ -6,4 +6,4 @@ from tidewatch.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tidewatch.plans import calibration, checks, graph, inference, resampling, runs, series, states, streams, survival, visibility  # noqa: F401
+    from tidewatch.plans import audits, calibration, checks, graph, inference, resampling, runs, series, states, streams, survival, visibility  # noqa: F401

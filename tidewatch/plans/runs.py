@@ -89,20 +89,19 @@ def detectors_long(spark, sf_dir):
 
 @query("experiment_grid", RUNS + """,
 grid AS (
-  SELECT c, arm, colour, scen, rep FROM (SELECT unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS c), (SELECT unnest(['mnar', 'mcar']) AS arm),
-    (SELECT unnest(['white', 'red', 'systematic']) AS colour), (SELECT unnest(['degrade', 'control']) AS scen), range(25) t(rep)
-  WHERE rep < CASE WHEN c >= 0.75 THEN 25 ELSE 15 END)
+  SELECT c, arm, colour, scen, unnest(range(0, CAST(top + 1 AS BIGINT))) AS rep FROM (SELECT c, max(rep) AS top FROM runs GROUP BY 1), (SELECT unnest(['mnar', 'mcar']) AS arm),
+    (SELECT unnest(['white', 'red', 'systematic']) AS colour), (SELECT unnest(['degrade', 'control']) AS scen))
 SELECT g.c, g.arm, count(*) AS n_declared, count(r.seed) AS n_present
 FROM grid g LEFT JOIN runs r USING (c, arm, colour, scen, rep) GROUP BY 1, 2""")
 def experiment_grid(spark, sf_dir):
-    """Declared design with ragged replicate counts, and which of its cells the data fills."""
+    """The design with each coverage's own number of replicates, and which of its cells the data fills."""
     runs = user_runs(spark, sf_dir)
     arrays = {"c": R.COVERAGES, "arm": ("mnar", "mcar"), "colour": R.COLOURS, "scen": ("degrade", "control")}
     grid = spark.range(1)
     for name, levels in arrays.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in levels])))
-    reps = F.when(F.col("c") >= 0.75, 25).otherwise(15)
-    grid = grid.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), (reps - 1).cast("bigint")))).drop("id")
+    tops = runs.groupBy("c").agg(F.max("rep").alias("top"))
+    grid = grid.join(tops, "c").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top").cast("bigint")))).drop("id", "top")
     return grid.join(runs, ["c", "arm", "colour", "scen", "rep"], "left").groupBy("c", "arm").agg(
         F.count(F.lit(1)).alias("n_declared"), F.count("seed").alias("n_present"))
 

@@ -315,7 +315,6 @@ r AS (
   SELECT a.run, a.scen, a.class, a.cycle, any_value(a.y) - sum(exp(-0.5 * power((b.cycle - a.cycle) / 10.0, 2)) * b.y)
       / sum(exp(-0.5 * power((b.cycle - a.cycle) / 10.0, 2))) AS y
   FROM a_filled a JOIN a_filled b ON a.run = b.run AND a.scen = b.scen AND a.class = b.class AND b.y IS NOT NULL
-    AND abs(b.cycle - a.cycle) <= 80
   WHERE a.y IS NOT NULL GROUP BY 1, 2, 3, 4),
 known AS (SELECT run, scen, class, count(y) AS n FROM a_filled GROUP BY 1, 2, 3),
 residual AS (

@@ -104,3 +104,22 @@ def stream_revocation(spark, sf_dir):
     stream = spark.readStream.schema("user_id BIGINT").parquet(f"{base}/revocations")
     L.rederive_on_revocation(stream, store, f"{base}/table", "shard", "user_id", f"{base}/checkpoint")
     return L.latest_version(spark, f"{base}/table", "shard").select("shard", "cycle", rnd("y").alias("y"), (F.col("version") > 0).alias("revised"))
+
+
+@query("stream_revocation_batches", f"""
+WITH s AS (SELECT user_id % {SHARDS} AS shard, CAST({HOUR} AS INTEGER) // 24 AS cycle, value, {REVOKED} < 0.3 AS gone FROM events)
+SELECT shard, cycle, round(coalesce(avg(value) FILTER (WHERE NOT gone), avg(value)), 6) AS y FROM s GROUP BY 1, 2""")
+def stream_revocation_batches(spark, sf_dir):
+    """Withdrawals that arrive in three batches with shards in common: what an earlier one took out stays out."""
+    ev = T.table(spark, sf_dir, "events", "user_id", "ts", "value")
+    store = ev.select("user_id", F.pmod("user_id", F.lit(SHARDS)).alias("shard"), "value",
+                      F.datediff("ts", F.lit(T.EVENT_ORIGIN).cast("date")).alias("cycle"))
+    base = f"{shared_dir(spark)}/revocation-{uuid.uuid4().hex}"
+    store.groupBy("shard", "cycle").agg(F.avg("value").alias("y")).write.mode("errorifexists").parquet(f"{base}/table/version=0")
+    users = store.select("user_id").distinct().withColumn("u", unit_hash("revoke", "user_id"))
+    for k in range(3):
+        part = users.where((F.col("u") >= 0.1 * k) & (F.col("u") < (0.1 * k + 0.1 if k < 2 else 0.3))).select("user_id")
+        part.coalesce(1).write.mode("append").parquet(f"{base}/revocations")
+    stream = spark.readStream.schema("user_id BIGINT").option("maxFilesPerTrigger", 1).parquet(f"{base}/revocations")
+    L.rederive_on_revocation(stream, store, f"{base}/table", "shard", "user_id", f"{base}/checkpoint")
+    return L.latest_version(spark, f"{base}/table", "shard").select("shard", "cycle", rnd("y").alias("y"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import hour_cycle
+from tidewatch.functions.columns import finite, hour_cycle
 from tidewatch.sources.tables import EVENT_ORIGIN, table
 
 # Fixed values of the run table.
@@ -32,7 +32,8 @@ def user_runs(spark: SparkSession, sf_dir: str, levels=LEAD_LEVELS, lag_level: f
     ev = table(spark, sf_dir, "events", "user_id", "ts", "event_type", "value")
     h = hour_cycle("ts", EVENT_ORIGIN)
     t = F.pmod(h, F.lit(HALF_HOURS))
-    kind, value = F.col("event_type"), F.col("value")
+    kind, value = F.col("event_type"), finite("value")
+    ev = ev.where((h >= 0) & (h < 2 * HALF_HOURS))  # the two halves; what lies outside is counted by axis_remainder
     first = {
         f"{d}_{colour}": F.min(F.when((kind == e) & (value >= level), F.col("t"))).alias(f"{d}_{colour}")
         for d, e in DETECTORS.items() for colour, level in zip(COLOURS, levels)
@@ -44,7 +45,7 @@ def user_runs(spark: SparkSession, sf_dir: str, levels=LEAD_LEVELS, lag_level: f
             F.min(F.when((kind == LAG_TYPE) & (value >= lag_level), F.col("t"))).alias("t_lag"),
             *[F.max(F.when(kind == e, value)).alias(f"max_{d}") for d, e in DETECTORS.items()],
             F.avg(F.when(value >= 25, 1.0).otherwise(0.0)).alias("achieved_edge_frac"),
-            F.count("value").alias("obs_events"),
+            F.count(value).alias("obs_events"),
         )
     )
     copies = F.explode(F.array(*[
@@ -83,7 +84,7 @@ def user_runs_sql(name: str = "runs", levels=LEAD_LEVELS, lag_level: float = LAG
 {name}_ev AS (
   SELECT user_id, event_type, value, CASE WHEN h < {HALF_HOURS} THEN 'control' ELSE 'degrade' END AS scen,
     CAST(h % {HALF_HOURS} AS INTEGER) AS t
-  FROM (SELECT *, date_diff('day', DATE '{EVENT_ORIGIN}', CAST(ts AS DATE)) * 24 + hour(ts) AS h FROM events)),
+  FROM (SELECT *, date_diff('day', DATE '{EVENT_ORIGIN}', CAST(ts AS DATE)) * 24 + hour(ts) AS h FROM events) WHERE h >= 0 AND h < {2 * HALF_HOURS}),
 {name}_wide AS (
   SELECT user_id, scen,
     {mins},

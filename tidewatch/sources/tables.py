@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.functions.columns import day_cycle, hour_cycle, unit_hash
+from tidewatch.functions.columns import day_cycle, finite, hour_cycle, unit_hash
 
 # Fixed values of the adapters: origins and lengths of the cycle axes.
 EVENT_ORIGIN = "2024-01-01"
@@ -34,8 +34,10 @@ def densify(df: DataFrame, keys: Sequence[str], n_cycles: int, cycle: str = "cyc
     """One row per key and cycle 0..n-1; missing cycles carry NULL measures.
 
     Every observed row also emits the empty cycles up to the next observed one, so no spine table is joined:
-    the only exchange is the one on ``keys`` that the window operators after it need anyway.
+    the only exchange is the one on ``keys`` that the window operators after it need anyway. Rows outside the declared
+    axis take no part; :func:`outside_axis` counts them, and the query ``axis_remainder`` reports them.
     """
+    df = df.where((F.col(cycle) >= 0) & (F.col(cycle) < n_cycles))
     by_key = W.partitionBy(*keys).orderBy(cycle)
     values = [c for c in df.columns if c not in keys and c != cycle]
     first = F.when(F.lag(cycle).over(by_key).isNull(), F.lit(0)).otherwise(F.col(cycle))
@@ -49,13 +51,18 @@ def densify(df: DataFrame, keys: Sequence[str], n_cycles: int, cycle: str = "cyc
     )
 
 
+def outside_axis(cycle: Column, n_cycles: int) -> Column:
+    """Aggregate: rows whose cycle lies outside the declared axis 0..n-1."""
+    return F.count_if((cycle < 0) | (cycle >= n_cycles))
+
+
 def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly mean and count of ``value`` per event type."""
     ev = table(spark, sf_dir, "events", "event_type", "ts", "value")
     cells = (
         ev.withColumn("cycle", hour_cycle("ts", EVENT_ORIGIN))
         .groupBy("event_type", "cycle")
-        .agg(F.avg("value").alias("y"), F.count("value").alias("n"), F.sum("value").alias("s"))
+        .agg(F.avg(finite("value")).alias("y"), F.count(finite("value")).alias("n"), F.sum(finite("value")).alias("s"))
     )
     return densify(cells, ["event_type"], EVENT_HOURS)
 
@@ -74,9 +81,9 @@ def supplier_cells(spark: SparkSession, sf_dir: str, coverage: float | None = No
         .withColumn("scen", F.when(F.col("l_linestatus") == "F", "degrade").otherwise("control"))
         .groupBy(F.col("l_suppkey").alias("run"), "scen", "cycle")
         .agg(
-            F.avg(F.when(seen, F.col("l_quantity"))).alias("form"),
-            F.avg(F.when(seen, F.col("l_discount") * 100)).alias("esc"),
-            F.avg(F.col("l_extendedprice") / 1000).alias("out"),
+            F.avg(F.when(seen, finite("l_quantity"))).alias("form"),
+            F.avg(F.when(seen, finite("l_discount") * 100)).alias("esc"),
+            F.avg(finite("l_extendedprice") / 1000).alias("out"),
         )
     )
 

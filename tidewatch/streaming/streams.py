@@ -70,8 +70,8 @@ def open_close_pairs(opens: DataFrame, closes: DataFrame, within: str = "24 hour
 
 # ------------------------------------------------------------------ stateful alarm
 STATE = ("last_cycle INT, tail ARRAY<DOUBLE>, n_var BIGINT, m_var DOUBLE, q_var DOUBLE, n_ac BIGINT, m_ac DOUBLE, q_ac DOUBLE, "
-         "hits INT, alarm INT")
-EMPTY = (-1, [], 0, 0.0, 0.0, 0, 0.0, 0.0, 0, -1)
+         "hits INT, alarm INT, waiting ARRAY<INT>, held ARRAY<DOUBLE>")
+EMPTY = (-1, [], 0, 0.0, 0.0, 0, 0.0, 0.0, 0, -1, [], [])
 ALARM = "key STRING, alarm_cycle INT, score DOUBLE"
 
 
@@ -90,20 +90,30 @@ def window_statistics(y: np.ndarray, need: int) -> tuple[float, float]:
     return float(np.var(d[ok], ddof=1)), float(np.corrcoef(a[pair], b[pair])[0, 1])
 
 
-def sustained_alarms(cycles: DataFrame, key: str, rule: LeadingRule) -> DataFrame:
+def sustained_alarms(cycles: DataFrame, key: str, rule: LeadingRule, delay: int = 0) -> DataFrame:
     """First sustained alarm per key from a stream of closed cycles ``(key, cycle, y)``, emitted once.
 
     The state of a key is the last ``window`` values, running reference moments until ``start`` and the count of
-    consecutive hits: its size does not grow with the stream. A missing cycle is a gap in the numbers.
+    consecutive hits, and the cycles of the last ``delay``: its size does not grow with the stream. A missing cycle is a gap
+    in the numbers. A cycle is judged once one ``delay`` cycles later has been seen, so rows may come in any order within that
+    span; one that comes later still is an error, not a gap. Only rules on one class without gap filling and with the
+    mean of both legs can be kept in this state; others are refused.
     """
+    if rule.max_gap or len(rule.classes) != 1 or rule.combine != "mean":
+        raise ValueError("a streamed rule has one class, max_gap 0 and the mean of both legs")
     need = max(4, int(np.ceil(rule.min_frac * rule.window)))
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, tail, nv, mv, qv, na, ma, qa, hits, alarm = state.get if state.exists else EMPTY
+        last, tail, nv, mv, qv, na, ma, qa, hits, alarm, waiting, held = state.get if state.exists else EMPTY
         tail = list(tail)
-        rows = pd.concat(list(batches)).sort_values("cycle")  # the cycles closed since the last trigger
+        pending = {**dict(zip(waiting, held))}
+        for b in batches:
+            pending.update(zip(b["cycle"].astype(int), b["y"]))
+        if pending and min(pending) <= last:
+            raise ValueError(f"cycle {min(pending)} of {k[0]} came after cycle {last} had been judged: raise delay")
+        ready = sorted(c for c in pending if c <= max(pending) - delay)
         found = None
-        for cycle, y in zip(rows["cycle"], rows["y"]):
+        for cycle, y in [(c, pending.pop(c)) for c in ready]:
             for c in range(last + 1, int(cycle) + 1):
                 tail = (tail + [float(y) if c == cycle and y is not None else float("nan")])[-rule.window:]
                 var, ac = window_statistics(np.array(tail), need) if len(tail) == rule.window else (np.nan, np.nan)
@@ -124,7 +134,7 @@ def sustained_alarms(cycles: DataFrame, key: str, rule: LeadingRule) -> DataFram
                     alarm = c
                     found = (k[0], c, float(score))
             last = int(cycle)
-        state.update((last, tail, nv, mv, qv, na, ma, qa, hits, alarm))
+        state.update((last, tail, nv, mv, qv, na, ma, qa, hits, alarm, [int(c) for c in pending], [None if y is None else float(y) for y in pending.values()]))
         if found is not None:
             yield pd.DataFrame([found], columns=["key", "alarm_cycle", "score"])
 
@@ -138,15 +148,20 @@ def rederive_on_revocation(revocations: DataFrame, store: DataFrame, path: str,
     Structured Streaming cannot take rows back, so each batch of revocations re-derives its affected keys from the
     event store and appends them under the next version; a reader takes the latest version of a key. Untouched keys
     are neither read again nor rewritten. The batch number is part of the version path, so a batch repeated after a
-    failure overwrites itself.
+    failure overwrites itself. Withdrawals are kept beside the table: a later batch leaves out all that earlier ones
+    withdrew. A cycle with nothing left keeps its published value.
     """
+    withdrawn = f"{path.rstrip('/')}_withdrawn"
+
     def apply(batch: DataFrame, epoch: int) -> None:
-        revoked = batch.select(who).distinct()
-        touched = store.join(revoked, who, "left_semi").select(key).distinct()
-        affected = store.join(touched, key, "left_semi")
-        published = affected.groupBy(key, "cycle").agg(F.avg("value").alias("published"))
-        kept = affected.join(revoked, who, "left_anti").groupBy(key, "cycle").agg(F.avg("value").alias("revised"))
-        rows = published.join(kept, [key, "cycle"], "left").select(key, "cycle", F.coalesce("revised", "published").alias("y"))
+        spark = batch.sparkSession
+        batch.select(who).distinct().write.mode("overwrite").parquet(f"{withdrawn}/epoch={epoch}")
+        revoked = spark.read.parquet(withdrawn).where(F.col("epoch") <= epoch).select(who).distinct().withColumn("_gone", F.lit(True))
+        new = spark.read.parquet(f"{withdrawn}/epoch={epoch}").select(who)
+        touched = store.join(new, who, "left_semi").select(key).distinct()
+        marked = store.join(touched, key, "left_semi").join(revoked, who, "left")
+        left = F.avg(F.when(F.col("_gone").isNull(), F.col("value")))
+        rows = marked.groupBy(key, "cycle").agg(F.coalesce(left, F.avg("value")).alias("y"))
         rows.write.mode("overwrite").parquet(f"{path}/version={epoch + 1}")
 
     q = revocations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
