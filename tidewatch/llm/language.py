@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import slices
+from tidewatch.llm.tokens import Stretches
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -32,7 +34,7 @@ SCRIPTS = [
 ]
 NAMES = ["other", *dict.fromkeys(s[0] for s in SCRIPTS)]
 STARTS = np.array([s[1] for s in SCRIPTS])
-#: Words whose scores a worker keeps; beyond it the store starts afresh, which changes no result.
+#: Stretches whose words and scores a worker keeps; beyond it the store starts afresh, which changes no result.
 KEPT_WORDS = 400_000
 
 
@@ -110,8 +112,47 @@ def fit(docs: DataFrame, sample_per_language: int = 2000, features: int = 1 << 1
 def viterbi(scores: np.ndarray, words: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word. ``words`` are rows of ``scores``, text after text; ``sizes`` are words per text.
 
-    All texts advance together, word by word, longest first. Ties stay with the present label, then the smaller.
+    Most texts are in one language throughout, which sums of scores show; the others advance together, word by word,
+    longest first. Ties stay with the present label, then the smaller.
     """
+    labels = np.zeros(len(words), np.uint8)
+    one = constant(scores, words, sizes, penalty)
+    labels[:] = np.repeat(np.maximum(one, 0), sizes)
+    rest = np.flatnonzero(one < 0)
+    if len(rest):
+        own = np.repeat(one < 0, sizes)
+        labels[own] = full_viterbi(scores, words[own], sizes[rest], penalty)
+    return labels
+
+
+def constant(scores: np.ndarray, words: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """The label of each text whose best path is shown to have one label, else -1.
+
+    With k the label of the largest total, no stretch of words may gain more than half the penalty by another label: a
+    path of m stretches of other labels has m - 1 changes or more, so it gains nothing, and all of one label has no
+    larger total.
+    """
+    texts, n = len(sizes), scores.shape[1]
+    of = np.repeat(np.arange(texts), sizes)
+    own = scores[words].astype(np.float64)
+    total = np.stack([np.bincount(of, own[:, j], texts) for j in range(n)], axis=1)
+    best = total.argmax(axis=1)
+    own -= own[np.arange(len(words)), best[of]][:, None]
+    ends = np.cumsum(sizes)
+    sums = np.cumsum(own, axis=0)
+    before = np.zeros((texts, n))
+    before[sizes > 0] = (sums - own)[(ends - sizes)[sizes > 0]]
+    sums -= before[of]
+    # falling by a step from text to text, so that a running minimum begins anew in each
+    step = 2 * np.abs(sums).max(initial=0.0) + 1
+    low = np.minimum.accumulate(np.minimum(sums - own, 0) - (step * of)[:, None], axis=0) + (step * of)[:, None]
+    gain = (sums - low).max(axis=1, initial=0.0)
+    worst = np.zeros(texts)
+    np.maximum.at(worst, of, gain)
+    return np.where(worst <= penalty / 2 - 1e-6, best, -1)
+
+
+def full_viterbi(scores: np.ndarray, words: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-sizes, kind="stable")
     starts = (np.cumsum(sizes) - sizes)[order]
     longest = int(sizes.max()) if len(sizes) else 0
@@ -147,30 +188,40 @@ def viterbi(scores: np.ndarray, words: np.ndarray, sizes: np.ndarray, penalty: f
 
 
 class Labeller:
-    """Labels the words of batches of texts; keeps the scores of words it has seen."""
+    """Labels the words of batches of texts. What stands between blanks is cut into words once for each worker."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.clear()
 
     def clear(self) -> None:
+        self.stretches = Stretches()
         self.index: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
         self.table = np.zeros((0, len(self.model.languages)), np.float32)
 
-    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def number(self, word: str) -> int:
+        if word not in self.index:
+            self.index[word] = len(self.rows)
+            self.rows.append(self.model.word_scores(word))
+        return self.index[word]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(label of every word, words per text)."""
-        if len(self.index) > KEPT_WORDS:
+        if len(self.stretches) > KEPT_WORDS:
             self.clear()
-        index = self.index
-        for new in {w for t in texts for w in t if w not in index}:
-            index[new] = len(self.rows)
-            self.rows.append(self.model.word_scores(new))
+        parts = [t.split() for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = self.stretches.numbers(chain.from_iterable(parts), int(counts.sum()))
+        new, self.stretches.new = self.stretches.new, []
+        own = [[self.number(w) for w in WORD.findall(x.lower())] for x in new]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.stretches.fill(self.stretches.numbers(new, len(new)), np.fromiter(chain.from_iterable(own), "<u4", int(sizes.sum())), sizes)
         if len(self.rows) > len(self.table):
             self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):], np.float32)])
-        sizes = np.array([len(t) for t in texts], np.int64)
-        words = np.fromiter((index[w] for t in texts for w in t), np.int64, int(sizes.sum()))
-        return viterbi(self.table, words, sizes, self.model.penalty), sizes
+        words, n = self.stretches.ids(at)
+        per_text = np.bincount(np.repeat(np.arange(len(parts)), counts), n, len(parts)).astype(np.int64)
+        return viterbi(self.table, words.astype(np.int64), per_text, self.model.penalty), per_text
 
 
 def batches_of(texts: list[str | None], most_chars: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -192,7 +243,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) ->
         for b in batches:
             names, scores = [], []
             for _, texts in batches_of(list(b["text"])):
-                found, sizes = label([WORD.findall(t.lower()) for t in texts]) if languages else (np.zeros(0, np.uint8), np.zeros(len(texts), np.int64))
+                found, sizes = label(texts) if languages else (np.zeros(0, np.uint8), np.zeros(len(texts), np.int64))
                 which = np.repeat(np.arange(len(texts)), sizes)
                 n = np.bincount(which * max(len(languages), 1) + found, minlength=len(texts) * max(len(languages), 1)).reshape(len(texts), -1)
                 top = n.argmax(axis=1)
@@ -215,12 +266,14 @@ def spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for b in batches:
             docs_ = list(b["doc_id"].astype("Int64"))
             for lo, texts in batches_of(list(b["text"])):
-                places = [[m.span() for m in WORD.finditer(t)] for t in texts]
-                found, _ = label([[t[s:e].lower() for s, e in p] for t, p in zip(texts, places)])
+                found, sizes = label(texts)
                 rows, at = [], 0
-                for i, p in enumerate(places):
-                    own = found[at:at + len(p)]
-                    at += len(p)
+                for i, (t, n) in enumerate(zip(texts, sizes.tolist())):
+                    own = found[at:at + n]
+                    at += n
+                    p = [m.span() for m in WORD.finditer(t)]
+                    if len(p) != n:  # a letter whose lower case is no letter alone
+                        p = p[:n] + p[-1:] * (n - len(p))
                     cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(p)] if p else []
                     rows += [(docs_[lo + i], model.languages[own[s]], p[s][0], p[e - 1][1]) for s, e in zip(cuts, cuts[1:])]
                 yield pd.DataFrame(rows, columns=["doc_id", "lang", "start", "end"]).astype({"doc_id": "Int64"})

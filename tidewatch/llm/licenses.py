@@ -108,7 +108,7 @@ def scan_text(text: str, found) -> tuple:
         base.add(label)
     first = last = None
     if starts:
-        first, last = padded.count(" ", 0, min(starts)) - 1, padded.count(" ", 0, max(starts)) - 1
+        first, last = padded.count(" ", 0, min(starts)), padded.count(" ", 0, max(starts))
     labels, sound = set(base), False
     if tagged:
         for m in TAG_LINE.finditer(low):
