@@ -7,23 +7,29 @@ can repeat them. The expanded slots are aggregated per draw on the map side and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.functions.columns import mixed, mixed_sql
+from tidewatch.functions.columns import mixed, mixed_sql, unit_hash
 from tidewatch.session import cut_lineage
 
 # A value table up to this many rows (a few tens of MB at most) may be copied to every executor.
 BROADCAST_ROWS = 500_000
-# Up to this many rows a stratum is numbered by one window; beyond, by hash buckets.
-WINDOW_ROWS = 1_000_000
+# Slots of a stratum and draw that are expanded together.
+SLOT_BLOCK = 4096
 # Strides of the slot number, primes.
 DRAW_STRIDE = 1000003
 SLOT_STRIDE = 7919
 
 
+# Cumulative Poisson(1) probabilities for 0..12; what is left, 6e-11, is below the resolution of the hash.
+POISSON_CDF = list(accumulate(exp(-1) / factorial(k) for k in range(13)))
+
+
 def slot_number(seed: int, draw: Column, slot: Column) -> Column:
     return mixed(F.lit(seed).cast("bigint") + draw.cast("bigint") * DRAW_STRIDE + slot.cast("bigint") * SLOT_STRIDE)
 
@@ -32,17 +38,13 @@ def slot_number_sql(seed: int, draw: str, slot: str) -> str:
     return mixed_sql(f"({seed} + CAST({draw} AS BIGINT) * {DRAW_STRIDE} + CAST({slot} AS BIGINT) * {SLOT_STRIDE})")
 
 
-def dense_index(df: DataFrame, strata: Sequence[str], key: str, n_rows: int, out: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, strata: Sequence[str], key: str, out: str = "idx") -> DataFrame:
     """Number the rows of each stratum 0..n-1 in the order of md5(key).
 
-    A large table is numbered in 4096 hash buckets per stratum whose offsets are running counts, so no stratum is
-    ordered in one task; the numbering is the same.
+    Rows are numbered in 4096 hash buckets per stratum whose offsets are running counts, so no stratum is ordered in
+    one task.
     """
-    df = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    if n_rows <= WINDOW_ROWS:
-        w = W.partitionBy(*strata).orderBy("_h")
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint")).drop("_h")
-    df = df.withColumn("_b", F.substring("_h", 1, 3))
+    df = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
     upto = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = df.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_offset", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
@@ -65,12 +67,13 @@ def bootstrap_sums(values: DataFrame, strata: Sequence[str], key: str, columns:
     strata = list(strata)
     base = cut_lineage(values.select(*strata, key, *columns))
     n_rows = base.count()
-    numbered = dense_index(base, strata, key, n_rows).drop(key)
+    numbered = dense_index(base, strata, key).drop(key)
     sizes = base.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
     draw_rows = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     slots = (
-        draw_rows.repartition(*strata, "draw")
-        .withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+        draw_rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {SLOT_BLOCK}"))))
+        .repartition(*strata, "draw", "_block")
+        .withColumn("_slot", F.explode(F.sequence(F.col("_block") * SLOT_BLOCK, F.least(F.col("n"), (F.col("_block") + 1) * SLOT_BLOCK) - 1)))
         .withColumn("idx", slot_number(seed, F.col("draw"), F.col("_slot")) % F.col("n"))
     )
     return (slots.join(_small(numbered, n_rows), [*strata, "idx"])
@@ -81,13 +84,11 @@ def poisson_sums(values: DataFrame, strata: Sequence[str], key: str, columns: Se
                  seed: int) -> DataFrame:
     """Bootstrap with independent Poisson(1) weights, for tables too long to expand slot by slot.
 
-    Every row meets every draw once in its own task; nothing is joined and the shuffle carries partial sums only.
+    Every row meets every draw once in its own task; nothing is joined and the shuffle carries partial sums only. The
+    weight comes from a hash of (seed, draw, key), so no two keys share their draws.
     """
-    u = slot_number(seed, F.col("draw"), F.pmod(F.xxhash64(key), F.lit(1 << 30))) / F.lit(2147483647.0)
-    # fixed values: cumulative Poisson(1) probabilities for 0..7
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-           0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    weight = sum((F.when(F.col("_u") > p, 1).otherwise(0) for p in cdf), F.lit(0))
+    u = unit_hash(f"poisson{seed}", "draw", key)
+    weight = sum((F.when(F.col("_u") > p, 1).otherwise(0) for p in POISSON_CDF), F.lit(0))
     return (
         values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_u", u)
         .withColumn("_w", weight).where("_w > 0")
@@ -135,7 +136,7 @@ def permutation_heterogeneity(groups: DataFrame, family: Sequence[str], key: str
     family = list(family)
     base = cut_lineage(groups.select(*family, key, cell, arm, x))
     n_rows = base.count()
-    placed = dense_index(base, [*family, arm], key, n_rows)
+    placed = dense_index(base, [*family, arm], key)
     w = W.partitionBy(*family, "draw", arm).orderBy("_u", "idx")
     shuffled = (
         placed.select(*family, arm, cell, "idx")

@@ -15,10 +15,11 @@ from tidewatch.plans.inference import COLLAPSED, GROUPS, comparator_leads, group
 from tidewatch.plans.registry import query
 from tidewatch.sources import runs as R
 from tidewatch.sources.runs import GROUP, user_runs, user_runs_sql
+from tidewatch.sources.tables import unit_hash_sql
 
 RUNS = f"WITH {user_runs_sql()}"
 KEY_SQL = "(c || '|' || arm || '|' || rep)"
-SEED = 20260911
+SEED = 41011
 
 
 def group_key():
@@ -48,19 +49,19 @@ def group_leads(spark, sf_dir):
         F.avg("dt_censored").alias("x")).withColumn("key", group_key())
 
 
-@query("bootstrap_mean", f"""{LEADS},{boot_sql('val', 'c, arm', ('x',), 1000, 12345)},
+@query("bootstrap_mean", f"""{LEADS},{boot_sql('val', 'c, arm', ('x',), 1000, 41015)},
 p AS (SELECT c, arm, avg(x) AS mean, count(*) AS n FROM val GROUP BY 1, 2),
 i AS (SELECT c, arm, stddev_samp(x / n) AS se, quantile_cont(x / n, 0.025) AS lo95, quantile_cont(x / n, 0.975) AS hi95 FROM boot GROUP BY 1, 2)
 SELECT c, arm, n, round(mean, 6) AS mean, round(se, 6) AS se, round(lo95, 6) AS lo95, round(hi95, 6) AS hi95 FROM p JOIN i USING (c, arm)""")
 def bootstrap_mean(spark, sf_dir):
     """Mean, bootstrap error and percentile interval of the group leads of every cell."""
-    out = B.bootstrap_mean(group_leads(spark, sf_dir), ["c", "arm"], "key", "x", 1000, 12345)
+    out = B.bootstrap_mean(group_leads(spark, sf_dir), ["c", "arm"], "key", "x", 1000, 41015)
     return out.select("c", "arm", "n", *[rnd(x).alias(x) for x in ("mean", "se", "lo95", "hi95")])
 
 
 @query("paired_bootstrap", RUNS + f""",
 val AS (SELECT c, {KEY_SQL} || colour AS key, CAST(dt_paired AS DOUBLE) AS x FROM runs WHERE scen = 'degrade' AND dt_paired IS NOT NULL),
-{boot_sql('val', 'c', ('x',), 500, 20260805)},
+{boot_sql('val', 'c', ('x',), 500, 41012)},
 p AS (SELECT c, avg(x) AS mean, count(*) AS n, median(x) AS med, avg(CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0 END) AS earlier FROM val GROUP BY 1),
 i AS (SELECT c, stddev_samp(x / n) AS se, quantile_cont(x / n, 0.025) AS lo95, quantile_cont(x / n, 0.975) AS hi95 FROM boot GROUP BY 1)
 SELECT c, n, round(mean, 6) AS mean, round(med, 6) AS median, round(earlier, 9) AS frac_lead_earlier, round(se, 6) AS se, round(lo95, 6) AS lo95, round(hi95, 6) AS hi95,
@@ -69,7 +70,7 @@ def paired_bootstrap(spark, sf_dir):
     """Paired lead among runs where both fired, with a verdict read from its interval."""
     v = user_runs(spark, sf_dir).where("scen = 'degrade' AND dt_paired IS NOT NULL").select(
         "c", F.concat(group_key(), "colour").alias("key"), F.col("dt_paired").cast("double").alias("x"))
-    out = B.bootstrap_mean(v, ["c"], "key", "x", 500, 20260805)
+    out = B.bootstrap_mean(v, ["c"], "key", "x", 500, 41012)
     extra = v.groupBy("c").agg(F.median("x").alias("median"), rate(F.col("x") > 0).alias("earlier"))
     return out.join(extra, "c").select(
         "c", "n", rnd("mean").alias("mean"), rnd("median").alias("median"), rnd("earlier", 9).alias("frac_lead_earlier"),
@@ -78,14 +79,14 @@ def paired_bootstrap(spark, sf_dir):
 
 @query("cluster_bootstrap", RUNS + f""",
 val AS (SELECT c, {KEY_SQL} AS key, avg(lead_fired::INT) AS f, avg(lag_fired::INT) AS g FROM runs WHERE scen = 'control' GROUP BY c, arm, rep),
-{boot_sql('val', 'c', ('f', 'g'), 2000, 20260910)},
+{boot_sql('val', 'c', ('f', 'g'), 2000, 41013)},
 q AS (SELECT c, f / n AS m, row_number() OVER (PARTITION BY c ORDER BY f / n) - 1 AS r FROM boot)
 SELECT c, (SELECT round(avg(f), 9) FROM val v WHERE v.c = q.c) AS point, round(max(m) FILTER (WHERE r = 50), 9) AS lo95, round(max(m) FILTER (WHERE r = 1950), 9) AS hi95,
   round(max(m) FILTER (WHERE r = 1949), 9) AS hi95_shifted FROM q GROUP BY c""")
 def cluster_bootstrap(spark, sf_dir):
     """Interval of the group false-alarm rate by resampling whole groups, ends read as sorted draws."""
     v = user_runs(spark, sf_dir).where("scen = 'control'").groupBy(*GROUP).agg(rate("lead_fired").alias("f")).withColumn("key", group_key())
-    draws = B.bootstrap_sums(v, ["c"], "key", ["f"], 2000, 20260910).withColumn("m", F.col("f") / F.col("n"))
+    draws = B.bootstrap_sums(v, ["c"], "key", ["f"], 2000, 41013).withColumn("m", F.col("f") / F.col("n"))
     ends = B.order_statistic_interval(draws, ["c"], "m", 2000)
     shifted = B.order_statistic_interval(draws, ["c"], "m", 2000, upper_shift=1).select("c", F.col("hi95").alias("hi95_shifted"))
     return v.groupBy("c").agg(F.avg("f").alias("point")).join(ends, "c").join(shifted, "c").select(
@@ -174,14 +175,14 @@ def permutation_heterogeneity(spark, sf_dir):
 
 
 @query("comparator_lead_bootstrap", f"""{RUNS}, {COLLAPSED},
-val AS (SELECT detector, {KEY_SQL} AS key, gain AS x FROM lead),{boot_sql('val', 'detector', ('x',), 500, 20260906)},
+val AS (SELECT detector, {KEY_SQL} AS key, gain AS x FROM lead),{boot_sql('val', 'detector', ('x',), 500, 41014)},
 i AS (SELECT detector, stddev_samp(x / n) AS se, quantile_cont(x / n, 0.025) AS lo95, quantile_cont(x / n, 0.975) AS hi95 FROM boot GROUP BY 1)
 SELECT detector, (SELECT round(avg(x), 6) FROM val v WHERE v.detector = i.detector) AS mean, round(se, 6) AS se, round(lo95, 6) AS lo95, round(hi95, 6) AS hi95,
   CASE WHEN lo95 > 0 THEN 'beats' WHEN hi95 < 0 THEN 'loses' ELSE 'matches' END AS verdict, lo95 > 0 OR hi95 < 0 AS excludes_zero FROM i""")
 def comparator_lead_bootstrap(spark, sf_dir):
     """Does a detector beat, match or lose to the comparator? Read from the interval of its group leads."""
     v = comparator_leads(spark, sf_dir).select("detector", group_key().alias("key"), F.col("gain").alias("x"))
-    out = B.bootstrap_mean(v, ["detector"], "key", "x", 500, 20260906)
+    out = B.bootstrap_mean(v, ["detector"], "key", "x", 500, 41014)
     return out.select("detector", *[rnd(x).alias(x) for x in ("mean", "se", "lo95", "hi95")], verdict("lo95", "hi95").alias("verdict"),
                       excludes_zero("lo95", "hi95").alias("excludes_zero"))
 
@@ -222,7 +223,16 @@ def matched_pair_contrast(spark, sf_dir):
                       F.signum("mean").cast("int").alias("direction"), rnd((Z95 + Z80) * F.col("sd") / F.sqrt("n")).alias("mde"))
 
 
-@query("poisson_bootstrap")
+POISSON_WEIGHT = " + ".join(f"CASE WHEN u > {p!r} THEN 1 ELSE 0 END" for p in B.POISSON_CDF)
+
+
+@query("poisson_bootstrap", f"""
+WITH u AS (SELECT o_orderpriority, o_totalprice, d.range AS draw, {unit_hash_sql('poisson7', 'd.range', 'o_orderkey')} AS u FROM orders, range(100) d),
+w AS (SELECT o_orderpriority, draw, o_totalprice, {POISSON_WEIGHT} AS w FROM u),
+m AS (SELECT o_orderpriority, draw, sum(w * o_totalprice) / sum(w) AS m FROM w GROUP BY 1, 2),
+p AS (SELECT o_orderpriority, avg(o_totalprice) AS mean FROM orders GROUP BY 1)
+SELECT o_orderpriority, round(any_value(mean), 4) AS mean, round(stddev_samp(m), 4) AS se, round(quantile_cont(m, 0.025), 4) AS lo95, round(quantile_cont(m, 0.975), 4) AS hi95
+FROM m JOIN p USING (o_orderpriority) GROUP BY 1""")
 def poisson_bootstrap(spark, sf_dir):
     """Weighted bootstrap of the mean order value per priority over all orders, without expanding slots."""
     o = R.table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")

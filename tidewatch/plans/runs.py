@@ -53,7 +53,7 @@ def firing_patterns(spark, sf_dir):
 
 @query("stable_keys", """
 SELECT user_id, CAST(CAST('0x' || substr(sha256('users|' || user_id), 1, 12) AS BIGINT) % 900000 AS BIGINT) AS seed,
-  20260805 + CAST('0x' || substr(sha256('floor|' || user_id), 1, 8) AS BIGINT) % 1000000 AS cell_seed,
+  41012 + CAST('0x' || substr(sha256('floor|' || user_id), 1, 8) AS BIGINT) % 1000000 AS cell_seed,
   CASE WHEN user_id % 2 = 0 THEN 'mnar' ELSE 'mcar' END || '|' || (user_id % 3) AS cell_key, count(*) AS n
 FROM events GROUP BY user_id""")
 def stable_keys(spark, sf_dir):
@@ -62,7 +62,7 @@ def stable_keys(spark, sf_dir):
     return (
         R.table(spark, sf_dir, "events", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
         .select("user_id", C.stable_key(F.lit("users"), u).alias("seed"),
-                C.stable_key(F.lit("floor"), u, hex_digits=8, modulus=1000000, offset=20260805).alias("cell_seed"),
+                C.stable_key(F.lit("floor"), u, hex_digits=8, modulus=1000000, offset=41012).alias("cell_seed"),
                 F.concat_ws("|", F.when(u % 2 == 0, "mnar").otherwise("mcar"), (u % 3).cast("string")).alias("cell_key"),
                 "n"))
 
