@@ -5,11 +5,13 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, language, near_dup, packing, secrets
-from tidewatch.llm.common import crc_mod, stored, table
+from tidewatch.llm.common import crc_mod, ship, stored, table
 
 #: Share of a text's words that its language has to label.
 LEAST_SHARE = 0.25
@@ -17,6 +19,18 @@ LEAST_SHARE = 0.25
 MASK = "[secret]"
 
 
+def stage(fn):
+    """A stage that also runs on its own, whatever was called before."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those no language labels in a quarter of their words; lang is the one found.
 
@@ -28,23 +42,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*[F.col("lang_pred" if c == "lang" else f"_doc_{c}").alias(c) for c in docs.columns])
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group."""
     gone = near_dup.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     leaks = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every reported span; n_chars follows the text. Documents stay."""
     return secrets.masked(docs, MASK)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 1024 tokens."""
     return packing.pack_documents(docs.select("doc_id", "text"))
@@ -59,6 +77,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for _, step in STAGES[:-1]:
+        docs = stored(step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,8 @@ class is held against the others, not all pairs:
 
 * compared batch by batch of the signature, a pair is dropped as soon as the posterior probability that its similarity
   reaches the bound falls under the chosen miss probability; what survives is verified on the full sets;
-* what is linked to the smallest class leaves the bucket, the rest starts again among itself;
+* what is linked to the smallest class leaves the bucket. While a bucket keeps many, the rest starts again among itself;
+  the few of a bucket that remain, which no centre took, are then held against each other;
 * distance is a metric, so a class that stays can be linked to one that left only if its own distance from the smallest
   allows it; exactly those pairs are verified too.
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import components, mix64, stored, text_bytes
+from tidewatch.operators.graph import team_pairs
 
 SIGNATURES = "doc_id long, n_shingles long, set_key binary, signature binary"
 #: Words whose hash a worker keeps; beyond it the store starts afresh, which changes no result.
@@ -40,6 +42,8 @@ class NearDup:
     percent: int = 85  # link: 100 * intersection >= percent * union
     bands: int = 24
     rows: int = 5
+    stars: int = 4  # rounds against a centre at most; what they leave is compared pair by pair, in blocks
+    small: int = 128  # members left in a bucket up to which no further round is worth its cost
     miss: float = 1e-7  # posterior probability under which a pair is dropped
     seed: int = 20_231
 
@@ -181,13 +185,11 @@ def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
     width = 4 * p.rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))))
     active = sets.select("doc_id", band.alias("bucket"))
-    out = []
+    out, later = [], []
     near = lambda s: 100 * F.col("both") >= p.percent * F.col("either")
-    while True:
+    for _ in range(p.stars):
         centre = active.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         member = stored(active.join(centre, "bucket").where("doc_id <> a").select("bucket", "a", F.col("doc_id").alias("b")))
-        if member.isEmpty():
-            return out
         checked = stored(compared(member.select("a", "b").distinct(), sets, p))
         exact = stored(verified(checked.where("verify").select("a", "b"), texts, p))
         out.append(exact.where(near(exact)).select("a", "b"))
@@ -202,13 +204,20 @@ def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
         left_ = state.where("linked").select("bucket", F.col("b").alias("x"), (1 - F.col("most")).alias("close"))
         reach = left_.groupBy("bucket").agg(F.max("close").alias("reach"))
         ring = ring.join(reach, "bucket").where(F.col("far") <= F.col("reach") + gap)
-        cross = stored(left_.join(ring, "bucket").where(F.col("far") <= F.col("close") + gap)
-                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if not cross.isEmpty():
-            maybe = stored(compared(cross, sets, p).where("verify").select("a", "b"))
-            more = stored(verified(maybe, texts, p))
-            out.append(more.where(near(more)).select("a", "b"))
+        later.append(left_.join(ring, "bucket").where(F.col("far") <= F.col("close") + gap)
+                     .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         active = stays.select(F.col("b").alias("doc_id"), "bucket")
+        if active.groupBy("bucket").count().where(F.col("count") > p.small).isEmpty():
+            break
+    # what is left of the buckets is few and far apart: every pair, in blocks
+    later.append(team_pairs(active, ["bucket"], "doc_id").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    pairs = later[0]
+    for more in later[1:]:
+        pairs = pairs.union(more)
+    maybe = stored(compared(pairs.distinct(), sets, p).where("verify").select("a", "b"))
+    more = stored(verified(maybe, texts, p))
+    out.append(more.where(near(more)).select("a", "b"))
+    return out
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
