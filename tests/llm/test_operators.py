@@ -337,9 +337,9 @@ def test_language_spans_and_odd_texts(spark):
     model = language.fit(spark.createDataFrame([(t, x) for _, t, x in rows] + [("x", None), (None, "en")], "text string, lang string"))
     assert model.languages == ["de", "en"]
     mixed = say(one, 20) + ". " + say(two, 25)
-    odd = [(1, None), (2, ""), (3, "12 34 !"), (4, mixed), (5, say(two, 3000)), (6, "Привет мир"), (None, say(one, 9))]
+    odd = [(1, None), (2, ""), (3, "12 34 !"), (4, mixed), (5, say(two, 3000)), (6, "Привет мир"), (7, "½ ²"), (None, say(one, 9))]
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs(spark, odd), model, ["doc_id"]).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[1] == got[2] == got[3] == got[7] == ("und", 0.0)
     assert got[4][0] == "de" and 0.5 < got[4][1] < 0.6 and got[5] == ("de", 1.0) and got[None][0] == "en"
     spans = sorted((r.start, r.end, r.lang) for r in language.spans(docs(spark, odd), model).where("doc_id = 4").collect())
     cut = mixed.index(". ")

@@ -38,6 +38,14 @@ STARTS = np.array([s[1] for s in SCRIPTS])
 KEPT_WORDS = 400_000
 
 
+def has_letter(word: str) -> bool:
+    return any(c.isalpha() for c in word)
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in WORD.findall(text) if has_letter(w)]
+
+
 def script(word: str) -> int:
     """Index in NAMES of the script of a word's first letter."""
     point = ord(word[0])
@@ -91,7 +99,7 @@ def fit(docs: DataFrame, sample_per_language: int = 2000, features: int = 1 << 1
         for b in batches:
             words: Counter = Counter()
             for text, lang in zip(b["text"], b["lang"]):
-                words.update((lang, w) for w in WORD.findall(text.lower()))
+                words.update((lang, w.lower()) for w in words_of(text))
             for (lang, w), n in words.items():
                 for g in grams(w, features):
                     total[lang, g] += n
@@ -214,7 +222,7 @@ class Labeller:
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = self.stretches.numbers(chain.from_iterable(parts), int(counts.sum()))
         new, self.stretches.new = self.stretches.new, []
-        own = [[self.number(w) for w in WORD.findall(x.lower())] for x in new]
+        own = [[self.number(w.lower()) for w in words_of(x)] for x in new]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         self.stretches.fill(self.stretches.numbers(new, len(new)), np.fromiter(chain.from_iterable(own), "<u4", int(sizes.sum())), sizes)
         if len(self.rows) > len(self.table):
@@ -271,9 +279,7 @@ def spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 for i, (t, n) in enumerate(zip(texts, sizes.tolist())):
                     own = found[at:at + n]
                     at += n
-                    p = [m.span() for m in WORD.finditer(t)]
-                    if len(p) != n:  # a letter whose lower case is no letter alone
-                        p = p[:n] + p[-1:] * (n - len(p))
+                    p = [m.span() for m in WORD.finditer(t) if has_letter(m[0])]
                     cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(p)] if p else []
                     rows += [(docs_[lo + i], model.languages[own[s]], p[s][0], p[e - 1][1]) for s, e in zip(cuts, cuts[1:])]
                 yield pd.DataFrame(rows, columns=["doc_id", "lang", "start", "end"]).astype({"doc_id": "Int64"})
