@@ -1,18 +1,16 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification.
 
 A document is the set of its distinct 5-word shingles. Documents with equal sets are one class from the start. The
-signatures of the classes are cut into bands; classes that share a band meet in a bucket. In each bucket the smallest
-class is held against the others, not all pairs:
-
-* compared batch by batch of the signature, a pair is dropped as soon as the posterior probability that its similarity
-  reaches the bound falls under the chosen miss probability; what survives is verified on the full sets;
-* what is linked to the smallest class leaves the bucket. While a bucket keeps many, the rest starts again among itself;
-  the few of a bucket that remain, which no centre took, are then held against each other;
-* distance is a metric, so a class that stays can be linked to one that left only if its own distance from the smallest
-  allows it; exactly those pairs are verified too.
-
-So a bucket of n copies costs n pairs, and no link between classes that share a bucket is passed over but with the
-chosen probability. Two sets at the bound share no band with probability (1 - t^rows)^bands, 8e-7 as set.
+signatures of the classes are cut into bands; classes that share a band meet in a bucket.
+
+* In each bucket the smallest class is held against the others; in large ones, two more centres are held against what is
+  not in their component yet. Most buckets are one component by then and are done: n copies cost a few n pairs.
+* What is still apart is compared across components: each class outside the bucket's main component with those of other
+  components. So no pair is passed over that could join two components.
+* A pair is compared batch by batch of the signature and dropped as soon as the posterior probability that its similarity
+  reaches the bound falls under the chosen miss probability; what survives is verified on the full sets.
+
+Two sets at the bound share no band with probability (1 - t^rows)^bands, 8e-7 as set.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import components, mix64, stored, text_bytes
-from tidewatch.operators.graph import team_pairs
 
 SIGNATURES = "doc_id long, n_shingles long, set_key binary, signature binary"
 #: Words whose hash a worker keeps; beyond it the store starts afresh, which changes no result.
@@ -42,8 +39,8 @@ class NearDup:
     percent: int = 85  # link: 100 * intersection >= percent * union
     bands: int = 24
     rows: int = 5
-    stars: int = 4  # rounds against a centre at most; what they leave is compared pair by pair, in blocks
-    small: int = 128  # members left in a bucket up to which no further round is worth its cost
+    stars: int = 2  # further centres of large buckets
+    small: int = 64  # members up to which a bucket has one centre
     miss: float = 1e-7  # posterior probability under which a pair is dropped
     seed: int = 20_231
 
@@ -121,41 +118,25 @@ def drop_below(size: int, step: int, bound: float, miss: float) -> list[tuple[in
     return out
 
 
-def farthest(percent: int) -> float:
-    """Smallest similarity to the centre of a set that can be linked to one linked to the centre."""
-    return max(0.0, 1 - 2 * (1 - percent / 100))
-
-
 def compared(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """(a, b, verify, most): whether the pair has to be verified, and a bound on its similarity; pairs too far apart for
-    any use are left out. Signatures are compared a batch of bands at a time."""
-    step = 4 * p.rows
-    link, ring = drop_below(p.size, step, p.percent / 100, p.miss), drop_below(p.size, step, farthest(p.percent), p.miss)
-    # the largest similarity that m matches of all places leave open
-    grid = np.arange(0, 1001) / 1000
-    tail = np.array([[sum(comb(p.size + 1, j) * g ** j * (1 - g) ** (p.size + 1 - j) for j in range(m + 1)) for g in grid] for m in range(p.size + 1)])
-    most_of = np.array([grid[np.flatnonzero(row >= p.miss).max()] for row in tail])
+    """Those of the pairs (a, b) that have to be verified. Signatures are compared a batch of bands at a time; the sizes of
+    the sets bound their similarity as well."""
+    bounds = drop_below(p.size, 4 * p.rows, p.percent / 100, p.miss)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            n = len(x)
-            one = np.frombuffer(b"".join(x["sig_a"]), "<u4").reshape(n, p.size)
-            two = np.frombuffer(b"".join(x["sig_b"]), "<u4").reshape(n, p.size)
+            one = np.frombuffer(b"".join(x["sig_a"]), "<u4").reshape(-1, p.size)
+            two = np.frombuffer(b"".join(x["sig_b"]), "<u4").reshape(-1, p.size)
             sizes = x[["n_a", "n_b"]].to_numpy()
-            ratio = sizes.min(axis=1) / sizes.max(axis=1)
-            live, verify, matches = np.flatnonzero(ratio >= farthest(p.percent)), ratio >= p.percent / 100, np.zeros(n, np.int64)
-            done = 0
-            for (upto, least_link), (_, least_ring) in zip(link, ring):
+            live, matches, done = np.flatnonzero(100 * sizes.min(axis=1) >= p.percent * sizes.max(axis=1)), np.zeros(len(x), np.int64), 0
+            for upto, least in bounds:
                 matches[live] += (one[live, done:upto] == two[live, done:upto]).sum(axis=1)
-                verify[live] &= matches[live] >= least_link
-                live = live[matches[live] >= least_ring]
-                done = upto
-            yield pd.DataFrame({"a": x["a"].to_numpy()[live], "b": x["b"].to_numpy()[live], "verify": verify[live],
-                                "most": np.minimum(most_of[matches[live]], ratio[live])})
+                live, done = live[matches[live] >= least], upto
+            yield pd.DataFrame({"a": x["a"].to_numpy()[live], "b": x["b"].to_numpy()[live]})
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sig_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long, verify boolean, most double")
+    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
@@ -179,45 +160,46 @@ def verified(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     return both.mapInPandas(run, "a long, b long, both long, either long")
 
 
+def labelled(members: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """``members`` with the component that the links found so far put each class in."""
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.union(more)
+    labels = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    return members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
 def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
     """Tables (a, b) of links between classes whose components are those of all links. ``sets`` and ``texts`` have a row
     for each class, (doc_id, n_shingles, signature) and (doc_id, text)."""
     width = 4 * p.rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))))
-    active = sets.select("doc_id", band.alias("bucket"))
-    out, later = [], []
-    near = lambda s: 100 * F.col("both") >= p.percent * F.col("either")
-    for _ in range(p.stars):
-        centre = active.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        member = stored(active.join(centre, "bucket").where("doc_id <> a").select("bucket", "a", F.col("doc_id").alias("b")))
-        checked = stored(compared(member.select("a", "b").distinct(), sets, p))
-        exact = stored(verified(checked.where("verify").select("a", "b"), texts, p))
-        out.append(exact.where(near(exact)).select("a", "b"))
-        # what is known of each pair: linked and how far, or how near it may be
-        known = checked.join(exact, ["a", "b"], "left").select(
-            "a", "b", F.coalesce(near(exact), F.lit(False)).alias("linked"), F.coalesce(F.col("both") / F.col("either"), "most").alias("most"))
-        state = stored(member.join(known, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
-        stays = state.where(~F.col("linked"))
-        # a class that stays but may be within reach of one that left: pairs between them, as far as the distances allow
-        gap = 1 - p.percent / 100 + 1e-9
-        ring = stays.where(F.col("most") >= farthest(p.percent)).select("bucket", F.col("b").alias("y"), (1 - F.col("most")).alias("far"))
-        left_ = state.where("linked").select("bucket", F.col("b").alias("x"), (1 - F.col("most")).alias("close"))
-        reach = left_.groupBy("bucket").agg(F.max("close").alias("reach"))
-        ring = ring.join(reach, "bucket").where(F.col("far") <= F.col("reach") + gap)
-        later.append(left_.join(ring, "bucket").where(F.col("far") <= F.col("close") + gap)
-                     .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        active = stays.select(F.col("b").alias("doc_id"), "bucket")
-        if active.groupBy("bucket").count().where(F.col("count") > p.small).isEmpty():
-            break
-    # what is left of the buckets is few and far apart: every pair, in blocks
-    later.append(team_pairs(active, ["bucket"], "doc_id").select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    pairs = later[0]
-    for more in later[1:]:
-        pairs = pairs.union(more)
-    maybe = stored(compared(pairs.distinct(), sets, p).where("verify").select("a", "b"))
-    more = stored(verified(maybe, texts, p))
-    out.append(more.where(near(more)).select("a", "b"))
-    return out
+    rows = sets.select("doc_id", band.alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
+    members = stored(rows.join(shared, "bucket"))
+    pool = stored(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        maybe = stored(compared(pairs.distinct(), sets, p))
+        exact = verified(maybe, pool, p)
+        return stored(exact.where(100 * F.col("both") >= p.percent * F.col("either")).select("a", "b"))
+
+    found = [linked(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))]
+    # large buckets: other centres, each against what is not in its component yet
+    large = stored(labelled(members.where(F.col("n") > p.small), found))
+    for k in range(p.stars):
+        key = F.xxhash64("doc_id", F.lit(k))
+        centre = large.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "label"), key).alias("c"))
+        pairs = large.join(centre, "bucket").where("label <> c.label").select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b"))
+        found.append(linked(pairs))
+    # every pair of different components that share a bucket; where all members are in one, there is none
+    now = labelled(members, found)
+    split = now.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by("label", "doc_id").alias("main")).where("least <> most")
+    mixed = stored(now.join(split.select("bucket", "main"), "bucket").select("bucket", "main", "doc_id", "label"))
+    outside = mixed.where("label <> main").select("bucket", F.col("doc_id").alias("o"), F.col("label").alias("of"))
+    rest = mixed.join(outside, "bucket").where("label <> of AND (label = main OR o < doc_id)")
+    found.append(linked(rest.select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b"))))
+    return found
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
