@@ -5,7 +5,7 @@ signatures of the classes are cut into bands; classes that share a band meet in
 
 * In each bucket the smallest class is held against the others; in large ones, two more centres are held against what is
   not in their component yet. Most buckets are one component by then and are done: n copies cost a few n pairs.
-* What is still apart is compared across components: each class outside the bucket's main component with those of other
+* What is still apart is compared across components: each class outside the bucket's largest component with those of other
   components. So no pair is passed over that could join two components.
 * A pair is compared batch by batch of the signature and dropped as soon as the posterior probability that its similarity
   reaches the bound falls under the chosen miss probability; what survives is verified on the full sets.
@@ -194,7 +194,8 @@ def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
         found.append(linked(pairs))
     # every pair of different components that share a bucket; where all members are in one, there is none
     now = labelled(members, found)
-    split = now.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by("label", "doc_id").alias("main")).where("least <> most")
+    sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("k", "label")).alias("main")).where("parts > 1")
     mixed = stored(now.join(split.select("bucket", "main"), "bucket").select("bucket", "main", "doc_id", "label"))
     outside = mixed.where("label <> main").select("bucket", F.col("doc_id").alias("o"), F.col("label").alias("of"))
     rest = mixed.join(outside, "bucket").where("label <> of AND (label = main OR o < doc_id)")
