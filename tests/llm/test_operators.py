@@ -87,6 +87,20 @@ def test_no_link_is_lost_across_centres(spark):
     assert got == label and len(set(label.values())) == 2
 
 
+def test_pipeline_stage_drops_near_copies_from_080_on(spark, corpus):
+    import corpus_pipeline
+
+    rng, rows = random.Random(11), list(corpus)
+    for i in range(12):  # 2 words of 100 changed: 86 of 106 shingles; 3 words: 81 of 111
+        base = prose(rng, 100).split()
+        change = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(base))  # noqa: E731,B023
+        rows += [(1000 + 3 * i, " ".join(base)), (1001 + 3 * i, change(30, 60)), (1002 + 3 * i, change(20, 50, 80))]
+    _, label = brute_components(rows, 80)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()}
+    assert kept == {i for i, c in label.items() if i == c}
+    assert len({*label.values()}) < len({*brute_components(rows)[1].values()}) - 9
+
+
 def test_bayesian_bounds_are_sequential_and_rarely_wrong():
     bounds = near_dup.drop_below(120, 20, 0.85, 1e-7)
     assert [n for n, _ in bounds] == [20, 40, 60, 80, 100, 120]
