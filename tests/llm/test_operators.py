@@ -308,6 +308,18 @@ def test_decontamination_finds_other_numbers_and_names(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_decontamination_does_not_depend_on_letter_case(spark):
+    item = "A train with Maria leaves at 10 km and drives 25 km before Maria stops for 10 minutes near the old station"
+    small = "the old shop, the bakery, the school, the church and the mill sell apples, pears, nuts, plums and figs to every friend"
+    mixed = item.replace("Maria", "Peter", 1).replace("Maria", "Oscar").replace("10 km", "70 km").replace("25 km", "31 km").replace("10 minutes", "9 minutes")
+    rows = [(6, item.lower()), (9, mixed), (10, item.upper()), (11, "Then, " + small.upper()), (12, small.title()), (13, small), (14, "nothing of this kind")]
+    bench = spark.createDataFrame([(10, item), (20, small)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert set(got) == {(6, 10), (9, 10), (10, 10), (11, 20), (12, 20), (13, 20)}
+    assert {k: r.kind for k, r in got.items() if r.coverage == 1.0 and k != (9, 10)} == {k: "verbatim" for k in got if k != (9, 10)}
+    assert (got[9, 10].kind, got[9, 10].n_slots, got[9, 10].n_changed) == ("reparameterised", 4, 4)
+
+
 # ------------------------------------------------------------------------------------------------ search
 def brute_top(vectors, k):
     out = set()

@@ -4,6 +4,10 @@ Names in the middle of a sentence, numbers and numbers with units become typed p
 word sequences are hashed and joined with those of the benchmark's items, so a question asked again with other numbers
 or names still meets its item. The values behind the placeholders are then compared: the same value of the item must
 stand for the same value in the document.
+
+What is taken for a name depends on letter case and on what stands before it. So windows of the plain lower-cased words
+go beside those of the template through the same join; they find copies in capitals or in small letters, and need no
+comparison of values.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ QUANTITY = rf"[$€£]\x20?{NUMBER}|{NUMBER}(?:\x20?%|\x20?(?:{UNITS})\b)"
 SLOT = rf"(?:{QUANTITY})|{NUMBER}"
 #: Placeholders of names, quantities and numbers, as they stand among the words.
 MARKS = ("⟨name⟩", "⟨quantity⟩", "⟨number⟩")
+#: Windows of the template and of the plain words.
+TEMPLATE, PLAIN = 0, 1
 #: Benchmark windows up to which they are sent to every task (32 bytes each); more are joined by a shuffle.
 SENT_WINDOWS = 200_000
 
@@ -32,17 +38,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(t), r"[^\p{L}⟨⟩]+"), lambda w: w != "")
 
 
-def windows(tokens: Column, sizes: list[int]) -> Column:
-    """(size, position, hash) of every run of each size. ``tokens`` may be any expression: it is computed once."""
-    return F.flatten(F.transform(F.array(tokens), lambda t: runs(t, sizes)))
+def plain_words(text: Column) -> Column:
+    """Lower-case words and numbers of a text as they stand; empty for a null text."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+
+
+def windows(tokens: Column, sizes: list[int], form: int) -> Column:
+    """(size, position, hash) of every run of each size. ``tokens`` may be any expression: it is computed once. Runs of
+    different forms have different hashes."""
+    return F.flatten(F.transform(F.array(tokens), lambda t: runs(t, sizes, form)))
 
 
-def runs(tokens: Column, sizes: list[int]) -> Column:
+def runs(tokens: Column, sizes: list[int], form: int) -> Column:
     n = F.size(tokens)
 
     def of(s: int) -> Column:
         return F.when(n >= s, F.transform(F.sequence(F.lit(0), n - s), lambda i: F.struct(
-            F.lit(s).alias("size"), i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, s)).alias("hash"))))
+            F.lit(s).alias("size"), i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, s), F.lit(form)).alias("hash"))))
 
     empty = F.array().cast("array<struct<size:int,at:int,hash:bigint>>")
     return F.concat(*[F.coalesce(of(s), empty) for s in sizes])
@@ -69,29 +81,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     ``docs`` is (doc_id, text), ``benchmark`` (item_id, text); other columns are ignored, rows without an id are left
     out, rows sharing an id are judged together. A pair is reported if ``coverage`` of the item's windows stand in the
     document and at least ``consistency`` of the item's slot values are each answered by one value only. kind is
-    ``verbatim`` if no value changed, else ``reparameterised``. Items of fewer words than ``window`` are one window of
+    ``verbatim`` if no value changed, else ``reparameterised``. Template and plain words are judged each by itself and the
+    better one is given; plain words have no slots (n_slots 0). Items of fewer words than ``window`` are one window of
     their own length; items of one or two words, or none, match nothing.
     """
-    items = stored(benchmark.where("item_id IS NOT NULL").select("item_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= 3))
+    named = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
+    items = stored(named.select("item_id", "text", F.lit(TEMPLATE).alias("form"), words(F.col("text")).alias("w"))
+                   .union(named.select("item_id", "text", F.lit(PLAIN), plain_words(F.col("text")))).where(F.size("w") >= 3))
     short = [r[0] for r in items.where(F.size("w") < window).select(F.size("w").alias("n")).distinct().collect()]  # under `window` numbers
     mine = F.when(F.size("w") < window, F.size("w")).otherwise(window)
     sizes = sorted({window, *short})
-    item_windows = stored(items.select("item_id", mine.alias("own"), F.explode(windows(F.col("w"), sizes)).alias("x")).where("x.size = own")
-                          .groupBy("item_id", "x.hash").agg(F.min("x.at").alias("item_at")))
+    runs_of = F.when(F.col("form") == TEMPLATE, windows(F.col("w"), sizes, TEMPLATE)).otherwise(windows(F.col("w"), sizes, PLAIN))
+    item_windows = stored(items.select("item_id", "form", mine.alias("own"), F.explode(runs_of).alias("x")).where("x.size = own")
+                          .groupBy("item_id", "form", "x.hash").agg(F.min("x.at").alias("item_at")))
     wanted = item_windows.select("hash").distinct()
     if item_windows.count() <= SENT_WINDOWS:
         wanted = F.broadcast(wanted)
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = texts.select("doc_id", F.explode(windows(words(F.col("text")), sizes)).alias("x")).select("doc_id", "x.at", "x.hash")
+    both = F.concat(windows(words(F.col("text")), sizes, TEMPLATE), windows(plain_words(F.col("text")), sizes, PLAIN))
+    seen = texts.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.at", "x.hash")
     first = stored(seen.join(wanted, "hash", "left_semi").groupBy("doc_id", "hash").agg(F.min("at").alias("at")))
     met = first.join(item_windows, "hash")
-    total = item_windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    total = item_windows.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"))
     share = F.col("n_windows") / F.col("item_windows")
-    pairs = stored(met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows")).join(total, "item_id").where(share >= coverage))
+    pairs = stored(met.groupBy("doc_id", "item_id", "form").agg(F.count(F.lit(1)).alias("n_windows")).join(total, ["item_id", "form"]).where(share >= coverage))
     # values: only of the pairs that reach the coverage, and only where the item has placeholders
-    slotted = slots(items.select("item_id", "text"), "item_id").withColumnsRenamed({"place": "item_place", "value": "item_value"})
-    width = item_windows.join(items.select("item_id", mine.alias("own")), "item_id").select("item_id", "hash", "own")
-    aligned = (met.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"]).join(width, ["item_id", "hash"]).join(slotted, "item_id")
+    templates = items.where(F.col("form") == TEMPLATE)
+    slotted = slots(templates.select("item_id", "text"), "item_id").withColumnsRenamed({"place": "item_place", "value": "item_value"})
+    width = item_windows.join(templates.select("item_id", "form", mine.alias("own")), ["item_id", "form"]).select("item_id", "hash", "own")
+    aligned = (met.join(pairs.where(F.col("form") == TEMPLATE).select("doc_id", "item_id"), ["doc_id", "item_id"]).join(width, ["item_id", "hash"]).join(slotted, "item_id")
                .where("item_place >= item_at AND item_place < item_at + own")
                .select("doc_id", "item_id", (F.col("at") + F.col("item_place") - F.col("item_at")).alias("place"), "item_value").distinct())
     flagged = aligned.select("doc_id").distinct()
@@ -100,8 +118,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
                .agg(F.count_distinct("value").alias("n"), F.max(F.col("value") != F.col("item_value")).alias("changed"))
                .groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.sum(F.col("changed").cast("long")).alias("n_changed"),
                                                  F.avg((F.col("n") == 1).cast("double")).alias("same")))
-    out = pairs.join(answers, ["doc_id", "item_id"], "left")
-    kind = F.when(F.coalesce("n_changed", F.lit(0)) == 0, "verbatim").otherwise("reparameterised")
-    return out.where(F.coalesce("same", F.lit(1.0)) >= consistency).select(
-        "doc_id", "item_id", "n_windows", "item_windows", share.alias("coverage"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
-        F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"), kind.alias("kind"))
+    out = pairs.join(answers.withColumn("form", F.lit(TEMPLATE)), ["doc_id", "item_id", "form"], "left").where(F.coalesce("same", F.lit(1.0)) >= consistency)
+    changed = F.coalesce("n_changed", F.lit(0)).cast("long")
+    best = F.struct(share.alias("coverage"), (-changed).alias("unchanged"), (-F.col("form")).alias("form"), "n_windows", "item_windows",
+                    F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), changed.alias("n_changed"))
+    kind = F.when(F.col("b.n_changed") == 0, "verbatim").otherwise("reparameterised")
+    return out.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select(
+        "doc_id", "item_id", "b.n_windows", "b.item_windows", "b.coverage", "b.n_slots", "b.n_changed", kind.alias("kind"))
