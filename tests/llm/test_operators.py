@@ -320,6 +320,20 @@ def test_decontamination_does_not_depend_on_letter_case(spark):
     assert (got[9, 10].kind, got[9, 10].n_slots, got[9, 10].n_changed) == ("reparameterised", 4, 4)
 
 
+def test_decontamination_judges_every_occurrence(spark):
+    say = "the old shop sells apples and pears for {} coins to each friend who comes by the station today while a cold wind blows over the wide empty square before noon".format
+    item, partial = say(5), "the old shop sells apples and pears for 9 coins. then we read: "
+    put_in = say(8).replace("comes by", "comes by on foot")
+    rows = [(1, partial + item), (2, partial + say(7)), (3, say(7) + " " + partial), (4, partial + put_in), (5, partial), (6, (partial + say(7) + ". ") * 40),
+            (7, partial), (7, "before. " + say(7))]
+    bench = spark.createDataFrame([(20, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert set(got) == {1, 2, 3, 4, 6, 7}
+    assert (got[1].kind, got[1].coverage) == ("verbatim", 1.0)
+    assert {(got[i].kind, got[i].coverage, got[i].n_slots, got[i].n_changed) for i in (2, 3, 6, 7)} == {("reparameterised", 1.0, 1, 1)}
+    assert got[4].kind == "reparameterised" and got[4].n_changed == 1 and 0.5 <= got[4].coverage < 1
+
+
 # ------------------------------------------------------------------------------------------------ search
 def brute_top(vectors, k):
     out = set()

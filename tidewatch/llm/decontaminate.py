@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewatch.llm.common import stored
 
@@ -60,19 +61,46 @@ def runs(tokens: Column, sizes: list[int], form: int) -> Column:
     return F.concat(*[F.coalesce(of(s), empty) for s in sizes])
 
 
-def slots(df: DataFrame, key: str) -> DataFrame:
-    """(key, place, value): the value behind each placeholder, by its place among the words.
+def slots(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, place, value): the value behind each placeholder, by its place among the words.
 
     Names are taken out first and numbers from what is left, both in text order, as :func:`words` replaces them."""
     t = F.coalesce("text", F.lit(""))
-    named = df.select(key, words(F.col("text")).alias("w"), F.regexp_extract_all(t, F.lit(NAME), F.lit(0)).alias("names"),
+    named = df.select(*keys, words(F.col("text")).alias("w"), F.regexp_extract_all(t, F.lit(NAME), F.lit(0)).alias("names"),
                       F.regexp_extract_all(F.regexp_replace(t, NAME, f" {MARKS[0]} "), F.lit(SLOT), F.lit(0)).alias("numbers"))
     marks = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("place"), (x == MARKS[0]).alias("name"), x.isin(*MARKS).alias("slot"))), lambda s: s["slot"])
     name = F.filter("m", lambda s: s["name"])
     rest = F.filter("m", lambda s: ~s["name"])
     return (named.withColumn("m", marks).where(F.size("m") > 0)
-            .select(key, F.explode(F.concat(F.arrays_zip(name.alias("s"), F.col("names").alias("value")), F.arrays_zip(rest.alias("s"), F.col("numbers").alias("value")))).alias("z"))
-            .select(key, F.col("z.s.place").alias("place"), F.lower("z.value").alias("value")).where("place IS NOT NULL AND value IS NOT NULL"))
+            .select(*keys, F.explode(F.concat(F.arrays_zip(name.alias("s"), F.col("names").alias("value")), F.arrays_zip(rest.alias("s"), F.col("numbers").alias("value")))).alias("z"))
+            .select(*keys, F.col("z.s.place").alias("place"), F.lower("z.value").alias("value")).where("place IS NOT NULL AND value IS NOT NULL"))
+
+
+def occurrences(met: DataFrame, slack: int) -> DataFrame:
+    """The rows of ``met`` by the places where an item can stand in a document: ``level`` and ``occurrence`` name them.
+
+    * level 0: windows on one diagonal (place in the document less place in the item), that is one unbroken copy;
+    * level 1: diagonals of a text that follow each other by ``slack`` at most, that is a copy with words put in or left out;
+    * level 2: all of the document, each window by its first place only.
+
+    The last two are left out where they hold a single diagonal."""
+    pair = W.partitionBy("doc_id", "item_id", "form")
+    by = pair.orderBy("part", "diagonal", "at")
+    new = F.coalesce((F.lag("part").over(by) != F.col("part")) | (F.col("diagonal") - F.lag("diagonal").over(by) > slack), F.lit(False))
+    where = F.struct("part", "diagonal")
+    marked = (met.withColumn("diagonal", F.col("at") - F.col("item_at")).withColumn("new", new.cast("long"))
+              .withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+              .withColumn("several", F.min(where).over(pair) != F.max(where).over(pair))
+              .withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "item_id", "form", "hash").orderBy("at", "part", "item_at"))))
+
+    def named(level: int, part: Column, name: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), part.cast("long").alias("within"), name.cast("long").alias("occurrence"))
+
+    own = named(0, F.col("part"), F.col("diagonal"))
+    alike = F.when(F.col("several"), named(1, F.col("part"), F.col("run")))
+    whole = F.when(F.col("several") & (F.col("nth") == 1), named(2, F.lit(0), F.lit(0)))
+    kinds = F.explode(F.filter(F.array(own, alike, whole), lambda x: x.isNotNull())).alias("o")
+    return marked.select("doc_id", "item_id", "form", "part", "hash", "at", "item_at", "own", "item_windows", kinds).select("*", "o.*").drop("o")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, consistency: float = 0.5) -> DataFrame:
@@ -92,33 +120,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     mine = F.when(F.size("w") < window, F.size("w")).otherwise(window)
     sizes = sorted({window, *short})
     runs_of = F.when(F.col("form") == TEMPLATE, windows(F.col("w"), sizes, TEMPLATE)).otherwise(windows(F.col("w"), sizes, PLAIN))
-    item_windows = stored(items.select("item_id", "form", mine.alias("own"), F.explode(runs_of).alias("x")).where("x.size = own")
-                          .groupBy("item_id", "form", "x.hash").agg(F.min("x.at").alias("item_at")))
-    wanted = item_windows.select("hash").distinct()
-    if item_windows.count() <= SENT_WINDOWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    item_rows = items.select("item_id", "form", mine.alias("own"), F.explode(runs_of).alias("x")).where("x.size = own").select("item_id", "form", "own", "x.hash", F.col("x.at").alias("item_at"))
+    total = item_rows.groupBy("item_id", "form").agg(F.count_distinct("hash").alias("item_windows"))
+    item_windows = stored(item_rows.join(total, ["item_id", "form"]))
+    sent = F.broadcast if item_windows.count() <= SENT_WINDOWS else lambda df: df
+    # rows that share a doc_id are told apart by their text, so that places are places in one text
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), "text")
     both = F.concat(windows(words(F.col("text")), sizes, TEMPLATE), windows(plain_words(F.col("text")), sizes, PLAIN))
-    seen = texts.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.at", "x.hash")
-    first = stored(seen.join(wanted, "hash", "left_semi").groupBy("doc_id", "hash").agg(F.min("at").alias("at")))
-    met = first.join(item_windows, "hash")
-    total = item_windows.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"))
+    seen = texts.select("doc_id", "part", F.explode(both).alias("x")).select("doc_id", "part", "x.at", "x.hash")
+    met = stored(seen.join(sent(item_windows.select("hash").distinct()), "hash", "left_semi")).distinct().join(sent(item_windows), "hash")
+    placed = stored(occurrences(met, window))
+    one = ["doc_id", "item_id", "form", "level", "within", "occurrence"]
     share = F.col("n_windows") / F.col("item_windows")
-    pairs = stored(met.groupBy("doc_id", "item_id", "form").agg(F.count(F.lit(1)).alias("n_windows")).join(total, ["item_id", "form"]).where(share >= coverage))
-    # values: only of the pairs that reach the coverage, and only where the item has placeholders
-    templates = items.where(F.col("form") == TEMPLATE)
-    slotted = slots(templates.select("item_id", "text"), "item_id").withColumnsRenamed({"place": "item_place", "value": "item_value"})
-    width = item_windows.join(templates.select("item_id", "form", mine.alias("own")), ["item_id", "form"]).select("item_id", "hash", "own")
-    aligned = (met.join(pairs.where(F.col("form") == TEMPLATE).select("doc_id", "item_id"), ["doc_id", "item_id"]).join(width, ["item_id", "hash"]).join(slotted, "item_id")
+    found = stored(placed.groupBy(*one).agg(F.count_distinct("hash").alias("n_windows"), F.first("item_windows").alias("item_windows")).where(share >= coverage))
+    # values: only of the occurrences that reach the coverage, and only where the item has placeholders
+    slotted = slots(items.where(F.col("form") == TEMPLATE).select("item_id", "text"), "item_id").withColumnsRenamed({"place": "item_place", "value": "item_value"})
+    aligned = (placed.join(found.where(F.col("form") == TEMPLATE).select(*one), one, "left_semi").join(sent(slotted), "item_id")
                .where("item_place >= item_at AND item_place < item_at + own")
-               .select("doc_id", "item_id", (F.col("at") + F.col("item_place") - F.col("item_at")).alias("place"), "item_value").distinct())
-    flagged = aligned.select("doc_id").distinct()
-    values = slots(texts.join(flagged, "doc_id", "left_semi"), "doc_id")
-    answers = (aligned.join(values, ["doc_id", "place"]).groupBy("doc_id", "item_id", "item_value")
+               .select(*one, "part", (F.col("at") + F.col("item_place") - F.col("item_at")).alias("place"), "item_value").distinct())
+    flagged = aligned.select("doc_id", "part").distinct()
+    values = slots(texts.join(flagged, ["doc_id", "part"], "left_semi").distinct(), "doc_id", "part")
+    answers = (aligned.join(values, ["doc_id", "part", "place"]).groupBy(*one, "item_value")
                .agg(F.count_distinct("value").alias("n"), F.max(F.col("value") != F.col("item_value")).alias("changed"))
-               .groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.sum(F.col("changed").cast("long")).alias("n_changed"),
-                                                 F.avg((F.col("n") == 1).cast("double")).alias("same")))
-    out = pairs.join(answers.withColumn("form", F.lit(TEMPLATE)), ["doc_id", "item_id", "form"], "left").where(F.coalesce("same", F.lit(1.0)) >= consistency)
+               .groupBy(*one).agg(F.count(F.lit(1)).alias("n_slots"), F.sum(F.col("changed").cast("long")).alias("n_changed"),
+                                  F.avg((F.col("n") == 1).cast("double")).alias("same")))
+    out = found.join(answers, one, "left").where(F.coalesce("same", F.lit(1.0)) >= consistency)
     changed = F.coalesce("n_changed", F.lit(0)).cast("long")
     best = F.struct(share.alias("coverage"), (-changed).alias("unchanged"), (-F.col("form")).alias("form"), "n_windows", "item_windows",
                     F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), changed.alias("n_changed"))
