@@ -334,6 +334,16 @@ def test_decontamination_judges_every_occurrence(spark):
     assert got[4].kind == "reparameterised" and got[4].n_changed == 1 and 0.5 <= got[4].coverage < 1
 
 
+def test_decontamination_finds_long_quotes(spark):
+    w = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "qua") for b in ("ra", "so", "ti", "vu", "xe", "zor", "lin", "mab")]  # 48 words
+    cut = lambda lo, n: "before this " + " ".join(w[lo:lo + n]) + " and after it"
+    apart = " ".join([*w[5:17], "other", *w[18:29]])  # 12 and 11 words
+    rows = [(1, cut(20, 13)), (2, cut(20, 12)), (3, cut(0, 20).upper()), (4, apart), (5, cut(35, 13)), (6, cut(0, 12) + " " + cut(30, 12))]
+    bench = spark.createDataFrame([(20, " ".join(w)), (21, "one two three four five six")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert {i: (r.n_windows, r.item_windows, r.kind) for i, r in got.items()} == {1: (6, 41, "verbatim"), 3: (13, 41, "verbatim"), 5: (6, 41, "verbatim")}
+
+
 # ------------------------------------------------------------------------------------------------ search
 def brute_top(vectors, k):
     out = set()

@@ -103,7 +103,7 @@ def occurrences(met: DataFrame, slack: int) -> DataFrame:
     return marked.select("doc_id", "item_id", "form", "part", "hash", "at", "item_at", "own", "item_windows", kinds).select("*", "o.*").drop("o")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, consistency: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, consistency: float = 0.5, quote: int = 13) -> DataFrame:
     """Documents that hold an item: (doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed, kind).
 
     ``docs`` is (doc_id, text), ``benchmark`` (item_id, text); other columns are ignored, rows without an id are left
@@ -132,7 +132,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     placed = stored(occurrences(met, window))
     one = ["doc_id", "item_id", "form", "level", "within", "occurrence"]
     share = F.col("n_windows") / F.col("item_windows")
-    found = stored(placed.groupBy(*one).agg(F.count_distinct("hash").alias("n_windows"), F.first("item_windows").alias("item_windows")).where(share >= coverage))
+    # a quote: so many windows one after the other on one diagonal, that is in item and document alike
+    chain = max(1, quote - window + 1)
+    at = F.sort_array(F.collect_set(F.when(F.col("level") == 0, F.col("item_at"))))
+    quoted = F.when(F.size("places") >= chain, F.exists(F.sequence(F.lit(0), F.size("places") - chain), lambda i: F.get("places", i + chain - 1) - F.get("places", i) == chain - 1)).otherwise(False)
+    counted = placed.groupBy(*one).agg(F.count_distinct("hash").alias("n_windows"), F.first("item_windows").alias("item_windows"), F.first("own").alias("own"), at.alias("places"))
+    found = stored(counted.where((share >= coverage) | ((F.col("own") == window) & quoted)).select(*one, "n_windows", "item_windows"))
     # values: only of the occurrences that reach the coverage, and only where the item has placeholders
     slotted = slots(items.where(F.col("form") == TEMPLATE).select("item_id", "text"), "item_id").withColumnsRenamed({"place": "item_place", "value": "item_value"})
     aligned = (placed.join(found.where(F.col("form") == TEMPLATE).select(*one), one, "left_semi").join(sent(slotted), "item_id")
