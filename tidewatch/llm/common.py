@@ -29,11 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and any executor can read it."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and any executor can read it.
+    ``by`` names columns that get a folder for each value."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,6 +95,23 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", most_rounds: in
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def held_by_key(rows: DataFrame, values: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row for each key; rows without a match get nulls.
+
+    Keys that hold more than one in ``share`` of all rows are fewer than ``share``: their values are broadcast, and only
+    the other rows are shuffled. So no key fills a task. Both tables should be stored; ``rows`` is read four times.
+    """
+    total = rows.count()
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stored(values.join(counts.where(F.col("_n") * share > total).select(key), key, "left_semi"))
+    names = [c for c in values.columns if c != key]
+    if hot.isEmpty():
+        return rows.join(values, key, "left")
+    flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    rest = flagged.where(F.col("_hot").isNull()).drop("_hot", *names).join(values, key, "left")
+    return flagged.where("_hot").drop("_hot").unionByName(rest.select(key, *[c for c in rows.columns if c != key], *names))
+
+
 def crc_mod(column: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")), F.lit(n))
