@@ -31,7 +31,7 @@ SCALE = 2_000_000
 #: Characters of text whose phrases are counted together, and words whose number a task keeps.
 BLOCK_CHARS = 8_000_000
 KEPT_WORDS = 1_000_000
-COUNTS = "lang string, words int, phrase string, n long"
+COUNTS = "lang string, words int, phrase string, step int, n long"
 KEY = ["lang", "phrase"]
 
 
@@ -39,10 +39,10 @@ KEY = ["lang", "phrase"]
 class Mining:
     longest: int = 4
     least: int = 30
-    shards: int = 4
+    shards: int = 3
     covered: int = 80  # percent of a phrase's count at which a longer one replaces it
     most: int = 2000  # rows of the report for each language
-    filter_bits: int = 1 << 25  # of each Bloom filter
+    filter_bits: int = 1 << 24  # of each Bloom filter
     probes: int = 3
 
 
@@ -162,7 +162,8 @@ TO_END = bytes.maketrans(ENDS, b"." * len(ENDS))
 
 
 def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndarray | None, live_lengths: set[int], p: Mining) -> DataFrame:
-    """(lang, words, phrase, n): counts of the phrases that may be active at ``step`` in the rows (lang, text) of ``shard``."""
+    """(lang, words, phrase, step, n), stored: counts of the phrases that may be active at ``step`` in the rows (lang, text) of
+    ``shard``. The two filters go to the executors once and are taken back."""
     spark = shard.sparkSession
     sent = None if known is None else spark.sparkContext.broadcast((known, live))
 
@@ -183,7 +184,7 @@ def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndar
                 size = len(phrases)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()),
-                     pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
+                     pa.array(np.full(size, step, np.int32)), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "step", "n"])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -196,12 +197,16 @@ def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndar
             yield from rows(lang)
 
     counted = shard.select("lang", "text").mapInArrow(run, COUNTS)
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    out = stored(counted.groupBy("lang", "words", "phrase", "step").agg(F.sum("n").alias("n")))
+    if sent is not None:
+        sent.destroy()
+    return out
 
 
 # ---------------------------------------------------------------------------------------------------------- what was counted
 def windowed(counts: DataFrame, known: DataFrame, p: Mining) -> DataFrame:
-    """(lang, words, phrase, starts, total) of all phrases whose counts within their own window reach the threshold.
+    """(lang, words, phrase, total, last, before) of all phrases whose counts within their own window reach the threshold; ``last``
+    is the last step that added to the total and ``before`` what it was until then.
 
     ``counts`` is (lang, words, phrase, step, n). A phrase that reaches the threshold within a cycle has a
     cycle's share of it in some step, so only phrases with such a step are looked at.
@@ -218,9 +223,14 @@ def windowed(counts: DataFrame, known: DataFrame, p: Mining) -> DataFrame:
         longer = longer.join(reach.select("lang", F.col("part").alias(side), F.col("reached").alias(f"{side}_reached")), ["lang", side])
     started = longer.select("lang", "words", "phrase", "steps", (F.greatest("head_reached", "tail_reached") + 1).alias("starts")).unionByName(
         steps.where("words = 1").withColumn("starts", F.lit(0)))
-    inside = F.filter("steps", lambda s: (s["step"] >= F.col("starts")) & (s["step"] < F.col("starts") + p.shards))
-    total = F.aggregate(inside, F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
-    return started.select("lang", "words", "phrase", "starts", total.alias("total")).where(F.col("total") >= p.least)
+    inside = started.withColumn("in", F.filter("steps", lambda s: (s["step"] >= F.col("starts")) & (s["step"] < F.col("starts") + p.shards)))
+
+    def added(steps: Column) -> Column:
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
+
+    out = inside.withColumn("last", F.array_max("in.step")).where(added(F.col("in")) >= p.least)
+    return out.select("lang", "words", "phrase", added(F.col("in")).alias("total"), "last",
+                      added(F.filter("in", lambda s: s["step"] < F.col("last"))).alias("before"))
 
 
 def together(tables: list[DataFrame]) -> DataFrame:
@@ -229,25 +239,23 @@ def together(tables: list[DataFrame]) -> DataFrame:
 
 def cycles(shards: list[DataFrame], p: Mining) -> tuple[DataFrame, DataFrame]:
     """(counts by step, phrases that reached the threshold and the step at which they did)."""
-    spark = shards[0].sparkSession
-    known = [spark.createDataFrame([], "lang string, words int, phrase string, reached int")]
+    known = shards[0].sparkSession.createDataFrame([], "lang string, words int, phrase string, reached int")
     last = {0: -1}  # last step at which a phrase of each length reached the threshold; words may start at step 0
     by_step: list[DataFrame] = []
     filters, step = (None, None), 0
     while any(k < p.longest and step <= at + p.shards for k, at in last.items()):
         recent = {k for k, at in last.items() if 0 < k < p.longest and at >= step - p.shards}
-        found = scanned(shards[step % p.shards], step, *filters, recent, p)
-        by_step.append(stored(found.select("lang", "words", "phrase", F.lit(step).alias("step"), "n")))
-        reached = together(known)
-        fresh = stored(windowed(together(by_step[-p.shards:]), reached, p).join(reached, KEY, "left_anti").select(
-            "lang", "words", "phrase", F.lit(step).alias("reached")))
-        new = [r["words"] for r in fresh.select("words").distinct().collect()]  # a few lengths
+        by_step.append(scanned(shards[step % p.shards], step, *filters, recent, p))
+        # what reaches the threshold for the first time does so by this step's counts
+        fresh = windowed(together(by_step[-p.shards:]), known, p).where((F.col("last") == step) & (F.col("before") < p.least)).select(
+            "lang", "words", "phrase", F.col("last").alias("reached"))
+        known = stored(known.unionByName(fresh).repartition(*KEY))
+        new = [r["words"] for r in known.where(F.col("reached") == step).select("words").distinct().collect()]  # a few lengths
         last.update({k: step for k in new})
-        known += [fresh] if new else []
         step += 1
-        if len(known) > 1:
-            filters = filters_of(together(known), F.col("reached") >= step - p.shards, p)
-    return together(by_step), together(known)
+        if len(last) > 1:
+            filters = filters_of(known, F.col("reached") >= step - p.shards, p)
+    return together(by_step), known
 
 
 def frequencies(docs: DataFrame, p: Mining) -> tuple[DataFrame, DataFrame]:
