@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.llm.common import held_by_key, stored, text_bytes
+from tidewatch.llm.common import held_by_key, release, stored, text_bytes
 
 #: Characters that end a piece (the blanks between words are the space and the tab), the scale of a score.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -255,6 +255,7 @@ def cycles(shards: list[DataFrame], p: Mining) -> tuple[DataFrame, DataFrame]:
         step += 1
         if len(last) > 1:
             filters = filters_of(known, F.col("reached") >= step - p.shards, p)
+        release(known.sparkSession)
     return together(by_step), known
 
 

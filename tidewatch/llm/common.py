@@ -38,6 +38,12 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files and broadcast tables that nothing refers to any more: it acts when the driver's JVM
+    collects garbage, which a driver with little to do puts off while executors' disks fill."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
