@@ -34,9 +34,12 @@ def team_pairs(members: DataFrame, keys: Sequence[str] = ("team", "cycle"), node
 
 
 def star_edges(members: DataFrame, keys: Sequence[str] = ("team", "cycle"), node: str = "node") -> DataFrame:
-    """Every member tied to the smallest of its team: same components as all pairs, one edge per member."""
-    hub = members.groupBy(*keys).agg(F.min(node).alias("src"))
-    return members.join(hub, list(keys)).where(F.col(node) > F.col("src")).select(*keys, "src", F.col(node).alias("dst"))
+    """Every member tied to one of its team: same components as all pairs, one edge per member.
+
+    The hub of a team is drawn by hash, so no node is the hub of all the teams it belongs to."""
+    hub = members.groupBy(*keys).agg(F.min_by(node, F.xxhash64(node, *keys)).alias("_hub"))
+    spokes = members.join(hub, list(keys)).where(F.col(node) != F.col("_hub"))
+    return spokes.select(*keys, F.least(node, "_hub").alias("src"), F.greatest(node, "_hub").alias("dst"))
 
 
 def live_ties(edges: DataFrame, window: int, end_of_cycle: bool = False, last_cycle: int | None = None) -> DataFrame:
@@ -99,6 +102,97 @@ def connected_components(edges: DataFrame, by: str = "cycle", max_rounds: int =
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def lifetimes(edges: DataFrame, window: int, end_of_cycle: bool = False) -> DataFrame:
+    """Unbroken lifetimes ``(src, dst, b, e)`` of ties, in cycles of the snapshots :func:`live_ties` describes.
+
+    Sightings of a tie that refresh it belong to one lifetime, however many there are.
+    """
+    seen = edges.select("src", "dst", "cycle").distinct()
+    own = W.partitionBy("src", "dst").orderBy("cycle")
+    gap = F.col("cycle") - F.lag("cycle").over(own)
+    broken = F.when(gap <= (window if end_of_cycle else window - 1), 0).otherwise(1)
+    runs = seen.withColumn("_new", broken).withColumn("_run", F.sum("_new").over(own))
+    begin = F.min("cycle") + (0 if end_of_cycle else 1)
+    return runs.groupBy("src", "dst", "_run").agg(begin.alias("b"), (F.max("cycle") + window - 1).alias("e")).where("b <= e").drop("_run")
+
+
+def timeline_cells(spans: DataFrame, n_cycles: int, fanout: int = 4) -> DataFrame:
+    """Lay lifetimes on a tree over cycles 0..n-1: rows ``(level, cell, src, dst)``.
+
+    A cell of a level is an aligned stretch of fanout^level cycles. A lifetime is cut into the largest cells it covers, so
+    it takes at most 2 (fanout - 1) rows a level, and every cycle of it lies in exactly one of them.
+    """
+    levels = 0
+    while fanout ** levels < n_cycles:
+        levels += 1
+
+    def covered(level: int) -> tuple[Column, Column]:
+        size = fanout ** level
+        return F.ceil(F.col("b") / size).cast("int"), (F.floor((F.col("e") + 1) / size) - 1).cast("int")
+
+    def cells(level: int) -> Column:
+        lo, hi = covered(level)
+        plain = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        if level == levels:
+            return plain
+        up_lo, up_hi = covered(level + 1)
+        left, right = up_lo * fanout - 1, (up_hi + 1) * fanout
+        before = F.when(lo <= left, F.sequence(lo, left)).otherwise(F.array().cast("array<int>"))
+        after = F.when(right <= hi, F.sequence(right, hi)).otherwise(F.array().cast("array<int>"))
+        return F.when(up_lo <= up_hi, F.concat(before, after)).otherwise(plain)
+
+    inside = spans.select("src", "dst", F.greatest("b", F.lit(0)).alias("b"), F.least("e", F.lit(n_cycles - 1)).alias("e")).where("b <= e")
+    placed = F.flatten(F.array(*[F.transform(cells(k), lambda c: F.struct(F.lit(k).alias("level"), c.alias("cell"))) for k in range(levels + 1)]))
+    return inside.select("src", "dst", F.explode(placed).alias("_c")).select("_c.level", "_c.cell", "src", "dst")
+
+
+def dynamic_components(spans: DataFrame, n_cycles: int, sizes: bool = False, fanout: int = 4) -> DataFrame:
+    """Connected components of every snapshot of a graph whose ties live from ``b`` to ``e``.
+
+    Returns ``(cycle, node, comp)`` for every tied node, comp being the smallest node, or with ``sizes`` only
+    ``(cycle, comp, s)``. Lifetimes lie on a tree over the cycles (:func:`timeline_cells`) which is descended level by level:
+    the ties of a cell are contracted once for all cycles under it, ties further down see contracted nodes, and those that
+    have become loops are gone. All cells of a level advance together as one table keyed by cell. With ``sizes`` a cell holds
+    its components with their number of nodes and no member is carried.
+    """
+    pieces = cut_lineage(timeline_cells(spans, n_cycles, fanout).distinct())
+    levels = sorted((r.level for r in pieces.select("level").distinct().collect()), reverse=True)
+    spark = spans.sparkSession
+    carried, above = None, None
+
+    def descended(table: DataFrame, down: int, level: int) -> DataFrame:
+        """Rows of a level's cells repeated for the cells ``down`` levels below, without cells after the last cycle."""
+        k = fanout ** down
+        spread = table.withColumn("cell", F.explode(F.sequence(F.col("cell") * k, F.col("cell") * k + (k - 1))))
+        return spread.where(F.col("cell").cast("bigint") * fanout ** level < n_cycles)
+
+    for level in levels:
+        labels = cut_lineage(connected_components(pieces.where(F.col("level") == level).select("cell", "src", "dst"), by="cell"))
+        fresh = labels
+        if carried is not None:
+            below = descended(carried, above - level, level)
+            to = labels.select("cell", F.col("node").alias("comp"), F.col("comp").alias("_to"))
+            known = below.join(to, ["cell", "comp"], "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
+            fresh = labels.join(below.select("cell", F.col("comp").alias("node")).distinct(), ["cell", "node"], "left_anti")
+        fresh = fresh.select("cell", "comp", F.lit(1).cast("bigint").alias("s")) if sizes else fresh.select("cell", "node", "comp")
+        carried = fresh if carried is None else known.unionByName(fresh)
+        if sizes:
+            carried = carried.groupBy("cell", "comp").agg(F.sum("s").alias("s"))
+        carried, above = cut_lineage(carried), level
+        if level != levels[-1]:
+            rest = pieces.where(F.col("level") < level).withColumn("_up", F.floor(F.col("cell") / F.pow(F.lit(fanout), level - F.col("level"))).cast("int"))
+            for end in ("src", "dst"):
+                to = labels.select(F.col("cell").alias("_up"), F.col("node").alias(end), F.col("comp").alias("_to"))
+                rest = rest.join(to, ["_up", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+            rest = rest.where("src <> dst").select("level", "cell", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+            pieces = cut_lineage(rest.distinct())
+    if carried is None:
+        return spark.createDataFrame([], "cycle int, comp bigint, s bigint" if sizes else "cycle int, node bigint, comp bigint")
+    if above:
+        carried = descended(carried, above, 0)
+    return carried.withColumnRenamed("cell", "cycle")
+
+
 def on_all_cycles(df: DataFrame, n_cycles: int, empty: dict[str, Column]) -> DataFrame:
     """Complete a per-cycle table to cycles 0..n-1, filling a cycle without rows with ``empty``."""
     axis = df.sparkSession.range(n_cycles).select(F.col("id").cast("int").alias("cycle"))
@@ -107,11 +201,12 @@ def on_all_cycles(df: DataFrame, n_cycles: int, empty: dict[str, Column]) -> Dat
 
 def component_summary(components: DataFrame, n_nodes: Column, by: str = "cycle", n_cycles: int | None = None) -> DataFrame:
     """Giant fraction and susceptibility per snapshot; nodes without an edge are components of size one.
+    ``components`` has a row for each node, or for each component with its size ``s``.
 
     Susceptibility is the mean component size seen by a node outside the giant component; every component as large
     as the largest is left out, and 0 stands for an empty remainder.
     """
-    sizes = components.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("s"))
+    sizes = components if "s" in components.columns else components.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("s"))
     hist = sizes.groupBy(by, "s").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy(by)
     tied = F.sum(F.col("s") * F.col("n")).over(w)

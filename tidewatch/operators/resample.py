@@ -1,7 +1,7 @@
 """Bootstrap and permutation over independent groups, with draws as rows.
 
-Resampled slots are numbers computed from (seed, draw, slot), so a lost task redoes the same draws and any engine
-can repeat them. The expanded slots are aggregated per draw on the map side and only sums travel.
+Everything drawn is computed from (seed, draw, place), so a lost task redoes the same draws and any engine can repeat them.
+A bootstrap ships the n rows once, in blocks; a task draws the counts of its own blocks. A permutation computes where a row goes.
 """
 
 from __future__ import annotations
@@ -10,20 +10,30 @@ from collections.abc import Sequence
 from itertools import accumulate
 from math import exp, factorial
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.functions.columns import mixed, mixed_sql, unit_hash
+from tidewatch.functions.columns import MIX_MODULUS, MIX_MULTIPLIER, mixed, mixed_sql, unit_hash
 from tidewatch.session import cut_lineage
 
 # A value table up to this many rows (a few tens of MB at most) may be copied to every executor.
 BROADCAST_ROWS = 500_000
-# Slots of a stratum and draw that are expanded together.
-SLOT_BLOCK = 4096
+# Rows of a stratum that a task resamples together.
+BLOCK = 4096
+# Numbers a task holds at once while it draws.
+AT_ONCE = 1 << 20
+# Rows of a stratum that may be numbered together.
+NUMBERED = 20_000
 # Strides of the slot number, primes.
 DRAW_STRIDE = 1000003
 SLOT_STRIDE = 7919
+ROUND_STRIDE = 104729
+# Rounds of the keyed bijection.
+ROUNDS = 6
 
 
 # Cumulative Poisson(1) probabilities for 0..12; what is left, 6e-11, is below the resolution of the hash.
@@ -38,13 +48,27 @@ def slot_number_sql(seed: int, draw: str, slot: str) -> str:
     return mixed_sql(f"({seed} + CAST({draw} AS BIGINT) * {DRAW_STRIDE} + CAST({slot} AS BIGINT) * {SLOT_STRIDE})")
 
 
+def slot_numbers(seed: int, draws: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """:func:`slot_number` for arrays."""
+    x = ((seed + draws * DRAW_STRIDE + slots * SLOT_STRIDE) * MIX_MULTIPLIER + 12345) % MIX_MODULUS
+    for _ in range(3):
+        x = ((x * x) % MIX_MODULUS + x * MIX_MULTIPLIER) % MIX_MODULUS
+    return x
+
+
 def dense_index(df: DataFrame, strata: Sequence[str], key: str, out: str = "idx") -> DataFrame:
     """Number the rows of each stratum 0..n-1 in the order of md5(key).
 
-    Rows are numbered in 4096 hash buckets per stratum whose offsets are running counts, so no stratum is ordered in
-    one task.
+    Rows are numbered in hash buckets of about ``NUMBERED`` rows whose offsets are running counts, so no stratum is ordered
+    in one task. ``df`` should be materialised; it is counted first.
     """
-    df = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    digits, n_rows = 0, df.count()
+    while NUMBERED * 16 ** digits < n_rows:
+        digits += 1
+    df = df.withColumn("_h", F.md5(F.col(key).cast("string")))
+    if not digits:
+        return df.withColumn(out, (F.row_number().over(W.partitionBy(*strata).orderBy("_h")) - 1).cast("bigint")).drop("_h")
+    df = df.withColumn("_b", F.substring("_h", 1, digits))
     upto = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = df.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_offset", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
@@ -57,27 +81,76 @@ def _small(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
+def block_counts(seed: int, stratum: str, n: int, block: int, draws: int, size: int = BLOCK) -> np.ndarray:
+    """How many of the n slots of each draw fall on the rows of ``block``, of a stratum of n rows cut into blocks.
+
+    The blocks are the leaves of a binary tree. At each node the slots that reached it are split between its halves by a
+    binomial number, drawn from a generator that (seed, stratum, node) fixes; so every task that follows a path meets the
+    same numbers, the counts of all blocks add up to n in every draw, and no task draws more than its own path.
+    """
+    own = xxhash.xxh3_64_intdigest(f"{seed}|{stratum}".encode())
+    lo, hi, node = 0, -(-n // size), 1
+    slots = np.full(draws, n, dtype=np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        share = (mid - lo) * size / (min(hi * size, n) - lo * size)
+        left = np.random.Generator(np.random.Philox(key=np.array([own, node], dtype=np.uint64))).binomial(slots, share)
+        if block < mid:
+            hi, node, slots = mid, 2 * node, left
+        else:
+            lo, node, slots = mid, 2 * node + 1, slots - left
+    return slots
+
+
+def block_sums(values: np.ndarray, slots: np.ndarray, seed: int) -> np.ndarray:
+    """(draw, column) sums of the rows that the slots of each draw fall on; ``values`` is (row, column), NaN where missing."""
+    out = np.empty((len(slots), values.shape[1]))
+    per = max(1, AT_ONCE // max(1, int(slots.max(initial=1))))
+    for lo in range(0, len(slots), per):
+        some = slots[lo:lo + per]
+        width = int(some.max(initial=0))
+        draw = np.repeat(np.arange(lo, lo + len(some)), some)
+        slot = np.arange(len(draw)) - np.repeat(np.cumsum(some) - some, some)
+        row = slot_numbers(seed, draw, slot) % len(values)
+        for c in range(values.shape[1]):
+            out[lo:lo + per, c] = np.bincount(draw - lo, weights=values[row, c], minlength=len(some)) if width else 0.0
+    return out
+
+
 def bootstrap_sums(values: DataFrame, strata: Sequence[str], key: str, columns: Sequence[str], draws: int,
-                   seed: int) -> DataFrame:
+                   seed: int, size: int = BLOCK) -> DataFrame:
     """Sums of ``columns`` over each resample with replacement: rows ``(strata…, draw, n, <columns>)``.
 
-    ``values`` holds one row per independent group. It is materialised once, because it is read for its counts and
-    its values; the joins copy it only when the count allows it.
+    ``values`` holds one row per independent group. Its rows are numbered and shipped once, in blocks of ``size``; the task
+    of a block finds how many slots of each draw fall on it (:func:`block_counts`), deals these to its rows and sends one
+    sum a draw. So n rows travel, not n for each draw, and a long stratum is many tasks. NULL values add nothing; a sum
+    without any value is NULL. A row's share in one block does not depend on the partitioning.
     """
-    strata = list(strata)
+    strata, columns = list(strata), list(columns)
     base = cut_lineage(values.select(*strata, key, *columns))
-    n_rows = base.count()
     numbered = dense_index(base, strata, key).drop(key)
     sizes = base.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
-    draw_rows = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    slots = (
-        draw_rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {SLOT_BLOCK}"))))
-        .repartition(*strata, "draw", "_block")
-        .withColumn("_slot", F.explode(F.sequence(F.col("_block") * SLOT_BLOCK, F.least(F.col("n"), (F.col("_block") + 1) * SLOT_BLOCK) - 1)))
-        .withColumn("idx", slot_number(seed, F.col("draw"), F.col("_slot")) % F.col("n"))
-    )
-    return (slots.join(_small(numbered, n_rows), [*strata, "idx"])
-            .groupBy(*strata, "draw").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in columns]))
+    blocks = numbered.join(sizes, strata).withColumn("_block", F.floor(F.col("idx") / size))
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    fields = ", ".join([*(f"`{s}` {kinds[s]}" for s in strata), "draw int", "n long", *(f"`{c}` double, `_k_{c}` double" for c in columns)])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        n, block = int(rows["n"].iloc[0]), int(rows["_block"].iloc[0])
+        name = "|".join(str(rows[s].iloc[0]) for s in strata)
+        x = rows[columns].astype(float).to_numpy()
+        held = np.concatenate([np.nan_to_num(x), ~np.isnan(x)], axis=1)
+        # another block of a stratum draws other numbers; the first keeps the plain seed
+        own = seed + block * ROUND_STRIDE
+        sums = block_sums(held, block_counts(seed, name, n, block, draws, size), own)
+        out = {s: [rows[s].iloc[0]] * draws for s in strata}
+        out |= {"draw": np.arange(draws, dtype=np.int32), "n": np.full(draws, n)}
+        for i, c in enumerate(columns):
+            out |= {c: sums[:, i], f"_k_{c}": sums[:, len(columns) + i]}
+        return pd.DataFrame(out)
+
+    drawn = blocks.groupBy(*strata, "_block").applyInPandas(run, fields)
+    return drawn.groupBy(*strata, "draw").agg(F.max("n").alias("n"), *[F.when(F.sum(f"_k_{c}") > 0, F.sum(c)).alias(c) for c in columns])
 
 
 def poisson_sums(values: DataFrame, strata: Sequence[str], key: str, columns: Sequence[str], draws: int,
@@ -125,28 +198,86 @@ def order_statistic_interval(per_draw: DataFrame, strata: Sequence[str], stat: s
         F.max(F.when(F.col("_r") == hi, F.col(stat))).alias("hi95"), F.stddev_samp(stat).alias("se"))
 
 
+def round_key(seed: int, draw: Column) -> Column:
+    return mixed(F.lit(seed).cast("bigint") + draw.cast("bigint") * DRAW_STRIDE)
+
+
+def round_key_sql(seed: int, draw: str) -> str:
+    return mixed_sql(f"({seed} + CAST({draw} AS BIGINT) * {DRAW_STRIDE})")
+
+
+def with_keyed_place(df: DataFrame, idx: str, n: str, key: str, out: str) -> DataFrame:
+    """Where a keyed bijection of 0..n-1 sends ``idx``: nothing is sorted and no other row is looked at.
+
+    The numbers 0..ab-1, with a = ceil(sqrt n) and b = ceil(n / a), are pairs (l, r) of Z_a and Z_b. In each round one half
+    is moved by a keyed number of the other (a Feistel network), which is a bijection. A number from n on is sent on until it
+    falls below n: there are less than a of them, so after that many rounds it has.
+    """
+    def whole(y: Column, by: Column) -> Column:
+        return ((y - y % by) / by).cast("bigint")
+
+    m, one = F.lit(MIX_MODULUS).cast("bigint"), F.lit(1).cast("bigint")
+    a, b = F.col("_a"), F.col("_b")
+
+    def keyed(other: Column, i: Column | int) -> Column:
+        return (other * MIX_MULTIPLIER + F.col(key) + i * ROUND_STRIDE) % m
+
+    def moved(half: Column, y: Column, size: Column) -> Column:
+        return (half + ((y * y) % m + y) % m) % size
+
+    def sent_on(x: Column) -> Column:
+        start = F.struct(whole(x, b).alias("l"), (x % b).alias("r"))
+        return F.aggregate(
+            F.sequence(one, F.lit(ROUNDS).cast("bigint")), start,
+            lambda s, i: F.struct(F.when(i % 2 == 1, moved(s["l"], keyed(s["r"], i), a)).otherwise(s["l"]).alias("l"),
+                                  F.when(i % 2 == 0, moved(s["r"], keyed(s["l"], i), b)).otherwise(s["r"]).alias("r")),
+            lambda s: s["l"] * b + s["r"])
+
+    rows = df.withColumn("_a", F.ceil(F.sqrt(n)).cast("bigint")).withColumn("_b", whole(F.col(n) + a - 1, a))
+    rows = rows.withColumns({"_l": whole(F.col(idx), b), "_r": F.col(idx) % b})
+    for i in range(1, ROUNDS + 1):  # compiled, unlike the few rows' further passes below
+        half, other, size = ("_l", "_r", a) if i % 2 else ("_r", "_l", b)
+        rows = rows.withColumn("_y", keyed(F.col(other), i)).withColumn(half, moved(F.col(half), F.col("_y"), size))
+    first = F.col("_first")
+    # never NULL (and so never -1): else a join on it would copy the whole expression into a filter
+    walked = F.when(first < F.col(n), first).otherwise(F.aggregate(F.sequence(one, a), first, lambda x, i: F.when(x < F.col(n), x).otherwise(sent_on(x))))
+    return rows.withColumn("_first", F.col("_l") * b + F.col("_r")).withColumn(out, F.coalesce(walked, F.lit(-1))).drop("_a", "_b", "_l", "_r", "_y", "_first")
+
+
+def keyed_place_sql(x: str, n: str, key: str) -> str:
+    """One pass of :func:`with_keyed_place` over the pairs; a result of ``n`` or more has to be sent on."""
+    m = MIX_MODULUS
+    a = f"CAST(ceil(sqrt({n})) AS BIGINT)"
+    b = f"(({n} + {a} - 1) // {a})"
+
+    def moved(half: int, other: int, size: str) -> str:
+        y = f"((s[{other}] * {MIX_MULTIPLIER} + {key} + t[1] * {ROUND_STRIDE}) % {m})"
+        return f"((s[{half}] + (({y} * {y}) % {m} + {y}) % {m}) % {size})"
+
+    rounds = ", ".join(f"[CAST({i} AS BIGINT), 0]" for i in range(1, ROUNDS + 1))
+    pair = (f"list_reduce([[CAST({x} AS BIGINT) // {b}, CAST({x} AS BIGINT) % {b}], {rounds}], lambda s, t: "
+            f"CASE WHEN t[1] % 2 = 1 THEN [{moved(1, 2, a)}, s[2]] ELSE [s[1], {moved(2, 1, b)}] END)")
+    return f"list_reduce({pair}, lambda l, r: l * {b} + r)"
+
+
 def permutation_heterogeneity(groups: DataFrame, family: Sequence[str], key: str, cell: str, arm: str, x: str,
                               draws: int, seed: int) -> DataFrame:
     """Between-cell spread of ``x`` against its permutations within ``arm``, per ``family``.
 
-    The statistic is the group-count weighted sum of squared deviations of cell means. In every draw the groups of
-    an arm are ordered by their slot numbers and the value of the r-th group moves to the r-th place. Draws are the
-    unit of distribution; one draw of one arm is the largest piece a task orders.
+    The statistic is the group-count weighted sum of squared deviations of cell means. In every draw the value of a group
+    moves to the place that a bijection keyed by the draw gives it (:func:`with_keyed_place`), so no task orders an arm: a row
+    is expanded to its draws where it lies, meets the cell of its place, and partial sums of cells are what is shuffled.
     """
     family = list(family)
     base = cut_lineage(groups.select(*family, key, cell, arm, x))
     n_rows = base.count()
-    placed = dense_index(base, [*family, arm], key)
-    w = W.partitionBy(*family, "draw", arm).orderBy("_u", "idx")
-    shuffled = (
-        placed.select(*family, arm, cell, "idx")
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_u", slot_number(seed, F.col("draw"), F.col("idx")))
-        .withColumn("_from", (F.row_number().over(w) - 1).cast("bigint"))
-        .drop("idx")
-    )
-    source = placed.select(*family, arm, F.col("idx").alias("_from"), x)
-    moved = shuffled.join(_small(source, n_rows), [*family, arm, "_from"])
+    sizes = base.groupBy(*family, arm).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut_lineage(dense_index(base, [*family, arm], key).join(sizes, [*family, arm]))
+    spread_out = placed.repartition(*family, arm, "idx").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
+        "_key", round_key(seed, F.col("draw")))
+    gone = with_keyed_place(spread_out, "idx", "_n", "_key", "_place").select(*family, arm, "draw", "_place", x)
+    cells_at = placed.select(*family, arm, F.col("idx").alias("_place"), cell)
+    moved = gone.join(_small(cells_at, n_rows), [*family, arm, "_place"])
     overall = base.groupBy(*family).agg(F.avg(x).alias("_all"))
 
     def spread(rows: DataFrame, extra: list[str]) -> DataFrame:

@@ -26,11 +26,12 @@ def live_sql(end: bool, src: str = "pairs", name: str = "live", window: int = TI
 
 
 def components_sql(edges: str, name: str = "comps") -> str:
+    """The smallest label reaches a node over the edges of its cycle; a row is replaced while a smaller one arrives."""
     return f"""
 {name}_e AS (SELECT cycle, src AS u, dst AS v FROM {edges} UNION SELECT cycle, dst, src FROM {edges}),
-{name}_r AS (SELECT DISTINCT cycle, u AS node, u AS label FROM {name}_e UNION
-  SELECT e.cycle, e.v, r.label FROM {name}_r r JOIN {name}_e e ON e.cycle = r.cycle AND e.u = r.node),
-{name} AS (SELECT cycle, node, min(label) AS comp FROM {name}_r GROUP BY 1, 2)"""
+{name}(cycle, node, comp) USING KEY (cycle, node) AS (SELECT DISTINCT cycle, u, u FROM {name}_e UNION
+  SELECT e.cycle, e.v, min(r.comp) FROM {name} r JOIN {name}_e e ON e.cycle = r.cycle AND e.u = r.node
+  JOIN recurring.{name} k ON k.cycle = e.cycle AND k.node = e.v WHERE r.comp < k.comp GROUP BY 1, 2)"""
 
 
 def summary_sql(comps: str, n_nodes: str, name: str = "summary") -> str:
@@ -51,9 +52,9 @@ def visible_nodes(spark, sf_dir):
     return M.nodes(spark, sf_dir).where(M.visible())
 
 
-def start_components(spark, sf_dir, members=None):
+def start_components(spark, sf_dir, members=None, sizes=False):
     members = M.members(spark, sf_dir) if members is None else members
-    return G.connected_components(G.live_ties(G.star_edges(members), TIE_WINDOW, last_cycle=ORDER_DAYS - 1))
+    return G.dynamic_components(G.lifetimes(G.star_edges(members), TIE_WINDOW), ORDER_DAYS, sizes)
 
 
 @query("team_pairs", BASE + "," + PAIRS_SQL + " SELECT src, dst, count(*) AS times, min(cycle) AS first_cycle, max(cycle) AS last_cycle FROM pairs GROUP BY 1, 2")
@@ -113,7 +114,7 @@ SELECT cycle, giant, round(1.0 * giant / (SELECT count(*) FROM supplier), 9) AS
 def giant_component(spark, sf_dir):
     """Giant fraction and susceptibility per cycle, isolated nodes counted as components."""
     n = M.nodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    s = G.component_summary(start_components(spark, sf_dir), n.scalar(), n_cycles=ORDER_DAYS)
+    s = G.component_summary(start_components(spark, sf_dir, sizes=True), n.scalar(), n_cycles=ORDER_DAYS)
     return s.select("cycle", "giant", rnd(F.col("giant") / n.scalar(), 9).alias("giant_frac"), "isolated", "n_components", rnd("susceptibility", 9).alias("susceptibility"))
 
 
@@ -127,7 +128,7 @@ def observed_giant_component(spark, sf_dir):
     """The same on the subgraph induced by visible nodes, against the number of visible nodes."""
     seen = M.members(spark, sf_dir).join(visible_nodes(spark, sf_dir), "node", "left_semi").select("team", "cycle", "node")
     n = visible_nodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    s = G.component_summary(start_components(spark, sf_dir, seen), n.scalar(), n_cycles=ORDER_DAYS)
+    s = G.component_summary(start_components(spark, sf_dir, seen, sizes=True), n.scalar(), n_cycles=ORDER_DAYS)
     return s.select("cycle", "giant", rnd(F.try_divide("giant", n.scalar()), 9).alias("obs_giant_frac"), "isolated", rnd("susceptibility", 9).alias("obs_susceptibility"))
 
 

@@ -158,12 +158,14 @@ def floor_gap(spark, sf_dir):
 PERM_DRAWS = 999
 
 
-@query("permutation_heterogeneity", f"""{RUNS}, {GROUPS},
-pv AS (SELECT detector, arm, c, f, row_number() OVER (PARTITION BY detector, arm ORDER BY md5({KEY_SQL})) - 1 AS idx FROM g),
+@query("permutation_heterogeneity", f"""{RUNS.replace('WITH', 'WITH RECURSIVE', 1)}, {GROUPS},
+pv AS (SELECT detector, arm, c, f, row_number() OVER (PARTITION BY detector, arm ORDER BY md5({KEY_SQL})) - 1 AS idx, count(*) OVER (PARTITION BY detector, arm) AS n FROM g),
 ov AS (SELECT detector, avg(f) AS m FROM pv GROUP BY 1),
 obs AS (SELECT detector, sum(n * power(cm - m, 2)) AS stat FROM (SELECT detector, c, count(*) AS n, avg(f) AS cm FROM pv GROUP BY 1, 2) JOIN ov USING (detector) GROUP BY 1),
-sh AS (SELECT detector, arm, c, d.range AS draw, row_number() OVER (PARTITION BY detector, arm, d.range ORDER BY {slot_number_sql(SEED, 'd.range', 'idx')}, idx) - 1 AS src FROM pv, range({PERM_DRAWS}) d),
-mv AS (SELECT s.detector, s.draw, s.c, count(*) AS n, avg(v.f) AS cm FROM sh s JOIN pv v ON v.detector = s.detector AND v.arm = s.arm AND v.idx = s.src GROUP BY 1, 2, 3),
+keys AS (SELECT d.range AS draw, {B.round_key_sql(SEED, 'd.range')} AS k FROM range({PERM_DRAWS}) d),
+walk AS (SELECT detector, arm, f, n, draw, k, {B.keyed_place_sql('idx', 'n', 'k')} AS x FROM pv, keys
+  UNION ALL SELECT detector, arm, f, n, draw, k, {B.keyed_place_sql('x', 'n', 'k')} FROM walk WHERE x >= n),
+mv AS (SELECT s.detector, s.draw, v.c, count(*) AS n, avg(s.f) AS cm FROM walk s JOIN pv v ON v.detector = s.detector AND v.arm = s.arm AND v.idx = s.x GROUP BY 1, 2, 3),
 dr AS (SELECT detector, draw, sum(n * power(cm - m, 2)) AS stat FROM mv JOIN ov USING (detector) GROUP BY 1, 2)
 SELECT d.detector, round(max(o.stat), 9) AS statistic, count(*) FILTER (WHERE d.stat >= o.stat - 1e-9) AS exceedances,
   round((count(*) FILTER (WHERE d.stat >= o.stat - 1e-9) + 1) / {PERM_DRAWS + 1}.0, 9) AS p FROM dr d JOIN obs o USING (detector) GROUP BY 1""")

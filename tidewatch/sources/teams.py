@@ -9,7 +9,7 @@ from tidewatch.functions.columns import day_cycle, unit_hash
 from tidewatch.sources.tables import ORDER_DAYS, ORDER_ORIGIN, table, unit_hash_sql
 
 # Fixed values of the team graph.
-TIE_WINDOW = 2
+TIE_WINDOW = 20
 LINK_WINDOW = 20
 COVERAGE = 0.6
 PROGRAM_DAYS = 14
