@@ -41,10 +41,15 @@ def fpr_curve(stats: DataFrame, by: Sequence[str], x: str, grid: Sequence[float]
     ).withColumn("fpr", F.col("n_false") / F.col("n"))
 
 
-def smallest_admissible(curve: DataFrame, by: Sequence[str], target: float) -> DataFrame:
-    """Per group the smallest threshold with a rate at or below ``target``; a grid without one is an error."""
+def smallest_admissible(curve: DataFrame, by: Sequence[str], target: float, required: bool = True) -> DataFrame:
+    """Per group the smallest threshold with a rate at or below ``target``.
+
+    A group without one is an error where a threshold is ``required``; a search over many groups leaves it out.
+    """
     ok = F.col("fpr") <= target
     none = F.raise_error(F.lit(f"no threshold of the grid reaches the target {target}")).cast("double")
+    if not required:
+        curve, none = curve.where(ok), F.lit(None).cast("double")
     return curve.groupBy(*by).agg(
         F.coalesce(F.min(F.when(ok, F.col("k"))), none).alias("k"),
         F.min_by(F.when(ok, F.col("fpr")), F.when(ok, F.col("k"))).alias("fpr"),

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import combine_legs, rnd
 from tidewatch.operators import alarms, rolling
 from tidewatch.operators import calibrate as K
+from tidewatch.operators.alarms import LaggingRule, LeadingRule, Rule
 from tidewatch.operators.inference import auc
 from tidewatch.plans import series as P
 from tidewatch.plans.registry import query
 from tidewatch.plans.series import COMBINE_SQL, RULE, RUN, RUNS, SCORED, STATS, SUP
+from tidewatch.session import cut_lineage, shared_dir
+from tidewatch.sources import store
 from tidewatch.sources import tables as T
 
 GRID = K.grid_values(0.0, 6.0, 0.25)
@@ -76,7 +82,7 @@ def observable_thresholds(spark, sf_dir):
     z = rolling.baseline_z(P.supplier_stats(spark, sf_dir), RUN, 20, 60)
     fl = alarms.sustained_floor(z, keys, 0.5 * (F.col("z_var") + F.col("z_ac")), 3, 60, "f")
     s = fl.where("scen = 'control'").groupBy(F.col("class").alias("observable"), "run").agg(F.max("f").alias("s"))
-    pick = K.smallest_admissible(K.fpr_curve(s, ["observable"], "s", GRID), ["observable"], TARGET)
+    pick = K.smallest_admissible(K.fpr_curve(s, ["observable"], "s", GRID), ["observable"], TARGET, required=False)
     return pick.select("observable", "k", "n", "n_false", rnd("fpr", 9).alias("fpr"))
 
 
@@ -134,15 +140,22 @@ def lagging_grid(spark, sf_dir):
         "sustain", F.col("k").alias("k_sd"), rnd("fpr", 9).alias("fpr"), rnd("detect_rate", 9).alias("detect_rate"), "median_t")
 
 
-@query("lagging_pick", LAG_GRID + """ SELECT sustain, k AS k_sd, round(fpr, 9) AS fpr, round(detect, 9) AS detect_rate, med AS median_t
-FROM lg WHERE fpr <= 0.6 AND detect >= 0.4 AND med IS NOT NULL ORDER BY med, k LIMIT 1""")
+LAG_PICK = LAG_GRID + """ SELECT sustain, k AS k_sd, round(fpr, 9) AS fpr, round(detect, 9) AS detect_rate, med AS median_t
+FROM lg WHERE fpr <= 0.6 AND detect >= 0.4 AND med IS NOT NULL ORDER BY med, k LIMIT 1"""
+
+
+@query("lagging_pick", LAG_PICK)
 def lagging_pick(spark, sf_dir):
     """Earliest-detecting admissible comparator; of equals the smaller threshold."""
-    ok = (F.col("fpr") <= 0.6) & (F.col("detect_rate") >= 0.4) & F.col("median_t").isNotNull()
-    return lagging_grid_table(spark, sf_dir).where(ok).orderBy("median_t", "k").limit(1).select(
+    return lagging_choice(spark, sf_dir).select(
         "sustain", F.col("k").alias("k_sd"), rnd("fpr", 9).alias("fpr"), rnd("detect_rate", 9).alias("detect_rate"), "median_t")
 
 
+def lagging_choice(spark, sf_dir):
+    ok = (F.col("fpr") <= 0.6) & (F.col("detect_rate") >= 0.4) & F.col("median_t").isNotNull()
+    return lagging_grid_table(spark, sf_dir).where(ok).orderBy("median_t", "k").limit(1)
+
+
 # ------------------------------------------------------------------ leading rule grid
 WINDOWS, CLASS_SETS, SUSTAINS = (20, 30), {"both": ("form", "esc"), "form": ("form",)}, (3, 5)
 V = ["window", "classes", "combine", "sustain"]
@@ -151,7 +164,7 @@ V = ["window", "classes", "combine", "sustain"]
 def variant_floors(spark, sf_dir, windows=WINDOWS, sustains=SUSTAINS):
     """Scores and sustained floors of every rule variant: rows ``(V…, run, scen, cycle, score, f)``."""
     out = None
-    series = T.supplier_series(spark, sf_dir)
+    series = cut_lineage(T.supplier_series(spark, sf_dir))
     for w in windows:
         z = rolling.baseline_z(rolling.rolling_statistics(series, RUN, ("form", "esc"), w), RUN, w, 60)
         pick = lambda leg, cls: F.avg(F.when(F.col("class").isin(*cls), F.col(leg)))
@@ -197,21 +210,82 @@ vauc AS (SELECT "window", classes, combine, sustain, ((sum(rk) FILTER (WHERE sce
     return ",".join(parts)
 
 
-@query("leading_grid_search", variants_sql() + """
+SEARCH = variants_sql() + """
 SELECT "window", classes, combine, sustain, k, round(fpr, 9) AS fpr, round(avg(CASE WHEN t IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 9) AS detect_rate,
   median(t) AS median_t, 150 - median(t) AS median_lead, round(any_value(auc), 9) AS auc
-FROM va JOIN vk USING ("window", classes, combine, sustain) JOIN vauc USING ("window", classes, combine, sustain) GROUP BY 1, 2, 3, 4, 5, fpr""")
+FROM va JOIN vk USING ("window", classes, combine, sustain) JOIN vauc USING ("window", classes, combine, sustain) GROUP BY 1, 2, 3, 4, 5, fpr"""
+
+
+@query("leading_grid_search", SEARCH)
 def leading_grid_search(spark, sf_dir):
-    """Every variant of the leading rule at its smallest admissible threshold, with detection, lead and AUC."""
-    fl = variant_floors(spark, sf_dir)
+    """Every variant of the leading rule at its smallest admissible threshold, with detection, lead and AUC. Variants without
+    an admissible threshold are left out."""
+    return search_table(spark, sf_dir).withColumn("median_lead", 150 - F.col("median_t"))
+
+
+def search_table(spark, sf_dir):
+    """All variants from one materialised table of floors, which the thresholds, the detections and the AUC share."""
+    fl = cut_lineage(variant_floors(spark, sf_dir))
     runs = fl.groupBy(*V, *RUN).agg(F.max("f").alias("top"), F.max(F.when(F.col("cycle") >= 60, F.col("score"))).alias("max_score"))
-    pick = K.smallest_admissible(K.fpr_curve(runs.where("scen = 'control'"), V, "top", GRID), V, TARGET).where("k IS NOT NULL")
+    runs = cut_lineage(runs)
+    pick = K.smallest_admissible(K.fpr_curve(runs.where("scen = 'control'"), V, "top", GRID), V, TARGET, required=False)
     hit = fl.where("scen = 'degrade'").join(pick.select(*V, "k", "fpr"), V).groupBy(*V, "k", "fpr", "run").agg(
         alarms.first_cycle(F.col("f") >= F.col("k")).alias("t"))
     table = hit.groupBy(*V, "k", "fpr").agg((F.count("t") / F.count(F.lit(1))).alias("detect_rate"), F.median("t").alias("median_t"))
     a = auc(runs, V, "max_score", F.col("scen") == "degrade").select(*V, "auc")
     return table.join(a, V).select(*V, "k", rnd("fpr", 9).alias("fpr"), rnd("detect_rate", 9).alias("detect_rate"), "median_t",
-                                   (150 - F.col("median_t")).alias("median_lead"), rnd("auc", 9).alias("auc"))
+                                   rnd("auc", 9).alias("auc"))
+
+
+# least share of transitions that a chosen rule has to detect; the given tables hold no true transition, so it is low
+DETECT = 0.05
+LEAD_PICK = f"""WITH s AS ({SEARCH}), l AS ({LAG_PICK})
+SELECT s.* EXCLUDE (median_lead), l.median_t - s.median_t AS median_lead, l.k_sd, l.sustain AS lag_sustain FROM s, l
+WHERE s.detect_rate >= {DETECT} AND s.median_t IS NOT NULL ORDER BY median_lead DESC, auc DESC, "window", classes, combine, sustain LIMIT 1"""
+
+
+def leading_choice(spark, sf_dir):
+    """The variant with the longest median lead on the chosen comparator, then the largest AUC; ties in the order of the grid."""
+    lag = lagging_choice(spark, sf_dir).select(F.col("k").alias("k_sd"), F.col("sustain").alias("lag_sustain"), F.col("median_t").alias("_lag_t"))
+    ok = search_table(spark, sf_dir).where((F.col("detect_rate") >= DETECT) & F.col("median_t").isNotNull())
+    ranked = ok.join(lag, F.lit(True)).withColumn("median_lead", F.col("_lag_t") - F.col("median_t"))  # one comparator row
+    return ranked.orderBy(F.desc("median_lead"), F.desc("auc"), *V).limit(1).drop("_lag_t")
+
+
+@query("leading_pick", LEAD_PICK)
+def leading_pick(spark, sf_dir):
+    """The admissible variant of the leading rule that leads the comparator most, with the comparator it was chosen against."""
+    return leading_choice(spark, sf_dir)
+
+
+@query("calibrated_rule", f"""WITH p AS ({LEAD_PICK})
+SELECT "window", classes, combine, sustain, k AS stored_k, k AS selected_k, k_sd AS stored_k_sd, k_sd AS selected_k_sd, lag_sustain,
+  k = {RULE.leading.k} AND "window" = {RULE.leading.window} AS is_default FROM p""")
+def calibrated_rule(spark, sf_dir):
+    """The rule that calibration chooses, both sides, written once as a rule file, read back, and selected anew from it.
+
+    The second selection scores the runs by the stored rule itself, not by the floors of the search.
+    """
+    chosen = leading_choice(spark, sf_dir).first()
+    schema = ('"window" int, classes string, combine string, sustain int, stored_k double, selected_k double, stored_k_sd double, '
+              "selected_k_sd double, lag_sustain int, is_default boolean").replace('"', "`")
+    if chosen is None:  # no variant is admissible on these data
+        return spark.createDataFrame([], schema)
+    leading = dict(asdict(RULE.leading), window=chosen["window"], classes=CLASS_SETS[chosen["classes"]], combine=chosen["combine"],
+                   sustain=chosen["sustain"], k=chosen["k"])
+    lagging = dict(asdict(RULE.lagging), k_sd=chosen["k_sd"], sustain=chosen["lag_sustain"])
+    path = f"{shared_dir(spark)}/rule-{uuid.uuid4().hex}"
+    store.write_rule(spark, Rule(LeadingRule(**leading), LaggingRule(**lagging)), path)
+    rule = store.load_rule(spark, path)
+    scores = alarms.leading_alarm(P.supplier_scores(spark, sf_dir, rule.leading), RUN, rule.leading)
+    lead = K.smallest_admissible(K.fpr_curve(scores.where("scen = 'control'"), [], "sustained_score", GRID), [], TARGET)
+    lag = lagging_choice(spark, sf_dir).where(F.col("sustain") == rule.lagging.sustain)
+    classes = next(name for name, cls in CLASS_SETS.items() if cls == rule.leading.classes)
+    return lead.join(lag.select(F.col("k").alias("selected_k_sd")), F.lit(True)).select(
+        F.lit(rule.leading.window).alias("window"), F.lit(classes).alias("classes"), F.lit(rule.leading.combine).alias("combine"),
+        F.lit(rule.leading.sustain).alias("sustain"), F.lit(float(rule.leading.k)).alias("stored_k"), F.col("k").alias("selected_k"),
+        F.lit(float(rule.lagging.k_sd)).alias("stored_k_sd"), "selected_k_sd", F.lit(rule.lagging.sustain).alias("lag_sustain"),
+        F.lit(rule.leading.k == RULE.leading.k and rule.leading.window == RULE.leading.window).alias("is_default"))
 
 
 THR = [0.2, 0.3, 0.4, 0.5]

@@ -74,6 +74,11 @@ def load_rule(spark: SparkSession, path: str | None = None) -> Rule:
     return Rule(LeadingRule(**known(LeadingRule, doc.get("leading", {}))), LaggingRule(**known(LaggingRule, doc.get("lagging", {}))))
 
 
+def write_rule(spark: SparkSession, rule: Rule, path: str) -> None:
+    """Write a declared rule as the one JSON document of a new folder; :func:`load_rule` reads it."""
+    spark.createDataFrame([(json.dumps(asdict(rule)),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
 def rule_table(spark: SparkSession, rule: Rule, evidence: DataFrame) -> DataFrame:
     """The chosen rule with its calibration evidence as one row, ready for :func:`write_once`."""
     fixed = [F.lit(json.dumps(v)).alias(k) for k, v in asdict(rule).items()]
