@@ -239,7 +239,8 @@ def batches_of(texts: list[str | None], most_chars: int = 8_000_000) -> Iterator
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) -> DataFrame:
-    """``keep`` columns of ``docs``, lang_pred and score for each row.
+    """``keep`` columns of ``docs``, lang_pred and score for each row. If ``keep`` names the text, it is passed through: each
+    text goes to Python once and comes back once.
 
     lang_pred is the language of most words on the best path (ties to the smaller name) and score the share of words
     it labels. A null text, one without letters, or a model without languages gives ``und`` and 0. Whole texts are used.
@@ -257,10 +258,12 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) ->
                 top = n.argmax(axis=1)
                 names += [languages[k] if s else UNKNOWN for k, s in zip(top, sizes)]
                 scores.append(n.max(axis=1) / np.maximum(sizes, 1))
-            yield b.drop(columns="text").assign(lang_pred=names, score=np.concatenate(scores) if scores else [])
+            b = b if passed else b.drop(columns="text")
+            yield b.assign(lang_pred=names, score=np.concatenate(scores) if scores else [])
 
-    picked = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.drop("text").schema)
+    passed = any(isinstance(c, str) and c == "text" for c in keep)
+    picked = docs.select(*[c for c in keep if not (isinstance(c, str) and c == "text")], "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if passed or f.name != "text")
     return picked.mapInPandas(run, f"{schema}, lang_pred string, score double")
 
 
