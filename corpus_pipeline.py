@@ -39,10 +39,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Learnt from the given labels of the documents whose crc32 mod 5 is not 0, as in the query."""
     model = language.fit(docs.where(crc_mod("doc_id", 5) != 0))
-    own = [F.col(c).alias(f"_doc_{c}") for c in docs.columns]
-    found = language.predict(docs.select(*own, "text"), model, [f"_doc_{c}" for c in docs.columns])
+    # the old labels are replaced, and the text is the one long column: it goes to Python once
+    own = {c: "text" if c == "text" else f"_doc_{c}" for c in docs.columns if c != "lang"}
+    found = language.predict(docs.select(*[F.col(c).alias(name) for c, name in own.items()]), model, list(own.values()))
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*[F.col("lang_pred" if c == "lang" else f"_doc_{c}").alias(c) for c in docs.columns])
+    return kept.select(*[F.col(own.get(c, "lang_pred")).alias(c) for c in docs.columns])
 
 
 @stage
