@@ -13,6 +13,7 @@ from tidewatch.plans.registry import query
 from tidewatch.session import shared_dir
 from tidewatch.sources import tables as T
 from tidewatch.sources.tables import unit_hash_sql
+from tidewatch.streaming import expiry as X
 from tidewatch.streaming import streams as L
 
 MARK = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
@@ -66,6 +67,55 @@ def stream_open_close(spark, sf_dir):
     return L.run_available(pairs, "open-close").select("user_id", "open_id", "close_id", rnd("value").alias("value"))
 
 
+TIE_DAYS, SILENT_DAYS = 5, 3
+
+
+def islands_sql(keys: str, window: int) -> str:
+    """CTEs ending in ``over(keys, first, last)``: lifetimes of closed days that had run out by the last watermark."""
+    return f"""
+day AS (SELECT DISTINCT {keys}, date_diff('day', DATE '{T.EVENT_ORIGIN}', CAST(ts AS DATE)) AS cycle FROM events),
+mark AS (SELECT date_diff('day', DATE '{T.EVENT_ORIGIN}', CAST({MARK} AS DATE)) AS d),
+fresh AS (SELECT *, CASE WHEN cycle - lag(cycle) OVER (PARTITION BY {keys} ORDER BY cycle) < {window} THEN 0 ELSE 1 END AS n FROM day, mark WHERE cycle < d),
+run AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY cycle) AS r FROM fresh),
+over AS (SELECT {keys}, CAST(min(cycle) AS INTEGER) AS first, CAST(max(cycle) AS INTEGER) AS last FROM run GROUP BY {keys}, r HAVING max(cycle) + {window} <= max(d))"""
+
+
+def expired(spark, sf_dir, keys, window, name):
+    with X.timed_state(spark):
+        return L.run_available(X.lifetimes(L.event_stream(spark, sf_dir), keys, window, T.EVENT_ORIGIN), name)
+
+
+@query("stream_live_ties", f"WITH {islands_sql('user_id, event_type', TIE_DAYS)}" + f"""
+SELECT CAST(c.range AS INTEGER) AS cycle, event_type, count(*) AS n_ties, CAST(sum(user_id) AS BIGINT) AS id_sum FROM over, range(0, 2000) c
+WHERE c.range BETWEEN first + 1 AND last + {TIE_DAYS - 1} GROUP BY 1, 2""")
+def stream_live_ties(spark, sf_dir):
+    """Ties between users and kinds of event under a sliding window with refresh: made, refreshed and expired in the stream."""
+    over = expired(spark, sf_dir, ["user_id", "event_type"], TIE_DAYS, "ties")
+    live = over.select("user_id", "event_type", F.explode(F.sequence(F.col("first") + 1, F.col("last") + TIE_DAYS - 1)).alias("cycle"))
+    return live.groupBy("cycle", "event_type").agg(F.count(F.lit(1)).alias("n_ties"), F.sum("user_id").alias("id_sum"))
+
+
+@query("stream_silences", f"WITH {islands_sql('user_id', SILENT_DAYS)} SELECT user_id, first, last FROM over")
+def stream_silences(spark, sf_dir):
+    """Every time a user falls silent, reported by a timer: when the activity began and its last day."""
+    return expired(spark, sf_dir, ["user_id"], SILENT_DAYS, "silences")
+
+
+@query("stream_longest_inactive", f"""WITH {islands_sql('user_id', SILENT_DAYS)}, back AS (SELECT user_id, max(cycle) AS seen FROM day, mark WHERE cycle < d GROUP BY 1)
+SELECT user_id, max(last) AS last_active, CAST((SELECT d FROM mark) - max(last) AS INTEGER) AS idle FROM over JOIN back USING (user_id) WHERE last = seen
+GROUP BY 1 ORDER BY last_active, user_id LIMIT 5""")
+def stream_longest_inactive(spark, sf_dir):
+    """The five users silent for longest when the stream ends, from the silences it reported."""
+    from tidewatch.session import cut_lineage
+    over = cut_lineage(expired(spark, sf_dir, ["user_id"], SILENT_DAYS, "inactive"))
+    events = T.table(spark, sf_dir, "events", "user_id", "ts")
+    day = F.datediff(F.col("ts").cast("date"), F.lit(T.EVENT_ORIGIN))
+    mark = events.agg(F.datediff((F.max("ts") - F.expr("INTERVAL 1 HOUR")).cast("date"), F.lit(T.EVENT_ORIGIN)).alias("d")).first()["d"]
+    seen = events.where("user_id IS NOT NULL").select("user_id", day.alias("day")).where(F.col("day") < mark).groupBy("user_id").agg(F.max("day").alias("seen"))
+    last = over.groupBy("user_id").agg(F.max("last").alias("last_active")).join(seen, "user_id").where("last_active = seen")
+    return last.orderBy("last_active", "user_id").limit(5).select("user_id", "last_active", (F.lit(mark) - F.col("last_active")).alias("idle"))
+
+
 RULE = LeadingRule(window=24, classes=("y",), k=1.5, sustain=3, start=120, max_gap=0)
 KEY = ["event_type"]
 STREAM_SCORE = f"""WITH ev AS (SELECT * FROM events), {T.EVENT_HOURS_SQL},
