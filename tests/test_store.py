@@ -25,8 +25,32 @@ def test_write_once_and_cache(spark, tmp_path):
     store.write_table(spark.range(7), f"{tmp_path}/t2")
     store.write_table(spark.range(8), f"{tmp_path}/t2")
     assert spark.read.parquet(f"{tmp_path}/t2").count() == 8
-    assert store.materialised(spark.range(3), f"{tmp_path}/m").count() == 3
-    assert store.materialised(spark.range(9), f"{tmp_path}/m").count() == 3
+
+
+def test_kept_tables_follow_query_and_input(spark, tmp_path):
+    read = lambda: spark.read.schema("id long").parquet(f"{tmp_path}/in")
+    keep = lambda df, **kw: store.materialised(df, f"{tmp_path}/kept", **kw)
+    folders = lambda: len(list((tmp_path / "kept").iterdir()))
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    doubled = lambda by: read().selectExpr(f"id * {by} AS x")
+    assert keep(doubled(2)).agg({"x": "sum"}).first()[0] == 20 and folders() == 1
+    assert keep(doubled(2)).agg({"x": "sum"}).first()[0] == 20 and folders() == 1
+    assert keep(doubled(3)).agg({"x": "sum"}).first()[0] == 30 and folders() == 2
+    assert keep(doubled(2).withColumnRenamed("x", "y")).columns == ["y"] and folders() == 3
+    assert keep(doubled(2), version="2").count() == 5 and folders() == 4
+    spark.range(5, 7).write.mode("append").parquet(f"{tmp_path}/in")
+    assert keep(doubled(2)).agg({"x": "sum"}).first()[0] == 42 and folders() == 5
+    many = [f"id + {i} AS c{i}" for i in range(60)]
+    other = many[:50] + ["id + 999 AS c50"] + many[51:]
+    assert keep(read().selectExpr(*many)).where("c0 = 0").first()["c50"] == 50
+    assert keep(read().selectExpr(*other)).where("c0 = 0").first()["c50"] == 999
+    for p in (tmp_path / "kept").rglob("_SUCCESS"):  # a write that did not end is not taken for a result
+        p.unlink()
+    assert keep(doubled(2)).agg({"x": "sum"}).first()[0] == 42
+    with pytest.raises(ValueError):
+        keep(spark.range(3))
+    with pytest.raises(ValueError):
+        keep(read().join(spark.createDataFrame([(1, 2)], "id long, z long"), "id"))
 
 
 def test_rule_files(spark, tmp_path):

@@ -236,12 +236,19 @@ def quantile(df: DataFrame, by: Sequence[str], x: str, q: float, out: str = "q",
     return j.groupBy(*by).agg((lo + (hi - lo) * frac).alias(out))
 
 
-def weighted_score(df: DataFrame, key: str, x: str, alpha: float = 0.15) -> DataFrame:
-    """Exponentially weighted score over a key's active cycles: rows ``(key, score, n_updates)``.
+def weighted_score(events: DataFrame, key: str, x: str, time: str = "cycle", tie: str = "team", alpha: float = 0.15, width: int = 4096) -> DataFrame:
+    """Exponentially weighted score of every key, one update an event: rows ``(key, score, n_updates)``.
 
-    ``df`` has one row per key and active cycle. The recursion s <- (1 - alpha) s + alpha x started at 0 is the sum
-    of alpha (1 - alpha)^age x, so it needs an age and a sum, not an ordered list.
+    An update s <- (1 - alpha) s + alpha x is an affine map, and the maps of consecutive events compose to one. Events are
+    taken in the order of ``time``, then of the whole number ``tie``; those of one time and one stretch of ``width`` numbers are
+    a block, which is ordered by itself. A block becomes one map (its number of events and its weighted sum), and a suffix
+    scan over a key's blocks tells how far each one is damped. The score starts at 0. Events whose ``x`` is NULL update nothing.
     """
-    age = F.row_number().over(W.partitionBy(key).orderBy(F.col("cycle").desc())) - 1
-    return df.withColumn("_w", F.lit(alpha) * F.pow(F.lit(1 - alpha), age)).groupBy(key).agg(
-        F.sum(F.col("_w") * F.col(x)).alias("score"), F.count(F.lit(1)).alias("n_updates"))
+    known = events.where(F.col(x).isNotNull()).withColumn("_block", F.floor(F.col(tie) / width))
+    own = W.partitionBy(key, time, "_block").orderBy(F.col(tie).desc())
+    damp = lambda n: F.pow(F.lit(1 - alpha), n)
+    maps = known.withColumn("_age", F.row_number().over(own) - 1).groupBy(key, time, "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.lit(alpha) * damp(F.col("_age")) * F.col(x)).alias("_b"))
+    later = W.partitionBy(key).orderBy(F.col(time).desc(), F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)
+    placed = maps.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    return placed.groupBy(key).agg(F.sum(F.col("_b") * damp(F.col("_after"))).alias("score"), F.sum("_n").alias("n_updates"))

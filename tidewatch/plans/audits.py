@@ -141,3 +141,35 @@ def win_probability_interval(spark, sf_dir):
     w = S.win_probability(user_runs(spark, sf_dir).where("scen = 'degrade'"), ["c", "arm", "colour"])
     return w.select("c", "arm", "colour", "n_lead_first", "n_decided", rnd(wilson("n_lead_first", "n_decided", -1), 9).alias("lo"),
                     rnd(wilson("n_lead_first", "n_decided", 1), 9).alias("hi"))
+
+
+@query("kept_series", """
+WITH a AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT step, built, n_rows, n_lines FROM (SELECT 'first' AS step, TRUE AS built, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_lines FROM a
+  UNION ALL SELECT 'again', FALSE, count(*), CAST(sum(n) AS BIGINT) FROM a UNION ALL SELECT 'other query', TRUE, count(*), CAST(sum(n) AS BIGINT) FROM a WHERE n > 5
+  UNION ALL SELECT 'input grown', TRUE, count(*), CAST(sum(n) AS BIGINT) FROM b)""")
+def kept_series(spark, sf_dir):
+    """A kept table is read again while query and input are the same, and built anew when either changes."""
+    base = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    lines = T.table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey")
+    lines.where("l_orderkey % 2 = 0").write.parquet(f"{base}/input")
+    steps, seen = [], set()
+
+    def look(step, least=0):
+        per = spark.read.schema(lines.schema).parquet(f"{base}/input").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+        kept = store.materialised(per.where(F.col("n") > least) if least else per, f"{base}/kept")
+        folders = {path.rsplit("/", 2)[-2] for path in kept.inputFiles()}
+        built = not folders <= seen
+        seen.update(folders)
+        steps.append(kept.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_lines")).select(
+            F.lit(step).alias("step"), F.lit(built).alias("built"), "n_rows", "n_lines"))
+
+    look("first")
+    look("again")
+    look("other query", 5)
+    lines.where("l_orderkey % 2 <> 0").write.mode("append").parquet(f"{base}/input")
+    look("input grown")
+    out = steps[0]
+    for s in steps[1:]:
+        out = out.unionByName(s)
+    return out

@@ -260,19 +260,18 @@ def newcomers(spark, sf_dir):
 
 
 SCORE = f"""WITH {MEMBERS_SQL},{EVENTS_SQL},
-u AS (SELECT m.node, m.cycle, avg(value) AS x FROM members m JOIN team_events e USING (team) GROUP BY 1, 2),
-a AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cycle DESC) - 1 AS age FROM u),
+a AS (SELECT m.node, value AS x, row_number() OVER (PARTITION BY m.node ORDER BY m.cycle DESC, m.team DESC) - 1 AS age FROM members m JOIN team_events e USING (team)),
 sc AS (SELECT node, sum(0.15 * power(0.85, age) * x) AS score, count(*) AS n_updates FROM a GROUP BY 1)"""
 
 
 def member_scores(spark, sf_dir):
     m, e = M.members(spark, sf_dir), M.team_events(spark, sf_dir).select("team", "value")
-    return G.weighted_score(m.join(e, "team").groupBy("node", "cycle").agg(F.avg("value").alias("x")), "node", "x")
+    return G.weighted_score(m.join(e, "team"), "node", "value")
 
 
 @query("weighted_score", SCORE + " SELECT node, round(score, 6) AS score, n_updates FROM sc")
 def weighted_score(spark, sf_dir):
-    """Exponentially weighted score of every member over its active cycles."""
+    """Exponentially weighted score of every member, updated by each of its events in turn."""
     return member_scores(spark, sf_dir).select("node", rnd("score").alias("score"), "n_updates")
 
 

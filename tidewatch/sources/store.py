@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -52,16 +52,46 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def materialised(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Series computed once and read back: built on the first call, re-read after."""
-    spark = df.sparkSession
+def plan_text(df: DataFrame) -> str:
+    """The optimised plan without names and expression numbers: equal for queries that compute the same."""
+    conf, setting = df.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(setting)
+    conf.set(setting, str(1 << 30))
     try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+        return df._jdf.queryExecution().optimizedPlan().canonicalized().treeString()
+    finally:
+        conf.set(setting, before)
+
+
+def input_versions(df: DataFrame) -> str:
+    """Digest of the files a query reads: number of them, and a sum over hashes of their path, length and time of change."""
+    files = df.inputFiles()
+    if not files:
+        raise ValueError("only a query over files can be kept: nothing tells when its input has changed")
+    seen = df.sparkSession.read.format("binaryFile").load(files)
+    text = F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    row = seen.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(text), 1, 14), 16, 10).cast("decimal(38,0)")).alias("s")).first()
+    return f"{row['n']}|{row['s']}"
+
+
+def materialised(df: DataFrame, root: str, version: str = "", partition_by: Sequence[str] = ()) -> DataFrame:
+    """A table computed once and re-read after, in a folder of ``root`` named by what it is computed from.
+
+    The name is a digest of the query's plan, its schema and the versions of its input files, so another query, another
+    input or a changed one never meets an old result. A folder counts only once its write was complete. A plan shows a Python
+    function by its name alone: whoever changes one changes ``version``. A query over rows that are not in files (or behind a
+    checkpoint) is refused.
+    """
+    spark = df.sparkSession
+    plan = plan_text(df)
+    if "LogicalRDD" in plan or "ExistingRDD" in plan or "LocalRelation" in plan:
+        raise ValueError("only a query over files can be kept: part of its rows come from memory")
+    name = hashlib.sha256("\n".join([plan, df.schema.json(), input_versions(df), version]).encode()).hexdigest()
+    path = f"{root.rstrip('/')}/{name}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def load_rule(spark: SparkSession, path: str | None = None) -> Rule:
