@@ -79,6 +79,22 @@ def test_rolling_tau_equals_pairs(series):
             assert got[run, e][0] == (None if want is None else pytest.approx(want))
 
 
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_kendall_tau_equals_all_pairs_whatever_the_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    data = {0: rng.normal(size=90), 1: rng.integers(0, 3, 60).astype(float), 2: np.ones(20), 3: np.arange(40.0), 4: rng.normal(size=3), 5: np.array([np.nan] * 5)}
+    data[0][rng.random(90) < 0.2] = np.nan
+    rows = [(r, c - 7, None if np.isnan(v) else float(v)) for r, y in data.items() for c, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "run INT, cycle INT, form DOUBLE").repartition(7)
+    got = {r["run"]: (r["n"], r["tau"]) for r in rolling.kendall_tau(df, ["run"], "form", block=block).collect()}
+    for run, y in data.items():
+        y = y[~np.isnan(y)]
+        pairs = [(y[i], y[j]) for i in range(len(y)) for j in range(i + 1, len(y))]
+        s, tied = sum(np.sign(b - a) for a, b in pairs), sum(a == b for a, b in pairs)
+        want = s / np.sqrt((len(pairs) - tied) * len(pairs)) if len(y) >= 4 and len(pairs) > tied else None
+        assert got[run] == (len(y), None if want is None else pytest.approx(want, abs=1e-12)), run
+
+
 def test_sustain_counts_only_from_start_and_null_breaks(spark):
     score = [5, 5, 5, 0, 5, 5, None, 5, 5, 5, 5]
     df = spark.createDataFrame([(1, c, None if s is None else float(s)) for c, s in enumerate(score)], "run INT, cycle INT, score DOUBLE")

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewatch.operators.inference import cumulative_below
+from tidewatch.session import cut_lineage
+
 
 def unpivot_classes(series: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """Wide measures to rows ``(keys, cycle, class, x)``."""
@@ -217,18 +220,66 @@ def pooled_trailing_mean(df: DataFrame, keys: Sequence[str], total: str, count:
     return df.withColumns({out: F.try_divide(F.sum(total).over(frame), n), f"{out}_n": n})
 
 
-def kendall_tau(points: Column, t: str = "t", v: str = "v") -> Column:
-    """Tau-b of an array of points whose ``t`` are distinct; NULL below four points or with all values tied."""
-    def pair_sum(f):
-        return F.aggregate(
-            points, F.lit(0).cast("bigint"),
-            lambda acc, p: acc + F.aggregate(
-                points, F.lit(0).cast("bigint"),
-                lambda part, q: part + F.when(p[t] < q[t], f(p, q)).otherwise(F.lit(0)).cast("bigint")))
+def pair_signs(points: Column, cell: str, same: bool) -> Column:
+    """Sum of the signs of ``v`` over pairs of one array, earlier point first; pairs within one ``cell`` only, or across cells only."""
+    def sign(p, q):
+        apart = p[cell] == q[cell] if same else p[cell] != q[cell]
+        return F.when((p["t"] < q["t"]) & apart, F.signum(q["v"] - p["v"])).otherwise(F.lit(0)).cast("bigint")
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(points, zero, lambda acc, p: acc + F.aggregate(points, zero, lambda part, q: part + sign(p, q)))
+
 
-    s = pair_sum(lambda p, q: F.signum(q[v] - p[v]).cast("bigint"))
-    tied = pair_sum(lambda p, q: F.when(q[v] == p[v], F.lit(1)).otherwise(F.lit(0)))
-    return tau_b(F.size(points), s, tied)
+def kendall_tau(df: DataFrame, keys: Sequence[str], x: str, out: str = "tau", time: str = "cycle", block: int = 64) -> DataFrame:
+    """Tau-b of every whole series against time: rows ``(keys…, n, tau)``; NULL below four known values or with all of them tied.
+
+    No task sees a whole series. Time is cut into blocks of ``block`` cycles and the distinct values of a series into buckets of
+    ``block`` by rank. A pair of points lies in one time block, or in one bucket, or differs in both:
+
+    * pairs of a time block from different buckets are counted in the block, which has ``block`` points at most;
+    * pairs of a bucket are counted there over its distinct values in each time block and, across blocks, on the points of the
+      bucket; a bucket is cut by value, so equal values, which add nothing, do not fill it: they are carried as counts;
+    * all others are told by their block and bucket alone: for a cell of the (block, bucket) grid it takes the points of earlier
+      blocks in lower buckets less those in higher ones, a running count along time and then along the buckets.
+
+    ``time`` is a whole number, distinct within a series.
+    """
+    keys = list(keys)
+    known = df.where(F.col(x).isNotNull()).select(*keys, F.col(time).alias("t"), F.col(x).alias("v"))
+    values = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = cumulative_below(values.withColumn("_one", F.lit(1)), keys, "v", ["_one"], 64)
+    buckets = ranked.select(*keys, "v", F.floor(F.col("below__one") / block).alias("bucket"))
+    points = cut_lineage(known.join(buckets, [*keys, "v"]).withColumn("slab", F.floor(F.col("t") / block)))
+
+    inside = points.groupBy(*keys, "slab").agg(pair_signs(F.collect_list(F.struct("t", "v", "bucket")), "bucket", same=False).alias("s"))
+    # one bucket: a row for each value and slab; within a slab by time, across slabs by counts
+    near = points.groupBy(*keys, "bucket", "slab").agg(pair_signs(F.collect_list(F.struct("t", "v", "bucket")), "bucket", same=True).alias("s"))
+    per = points.groupBy(*keys, "bucket", "slab", "v").agg(F.count(F.lit(1)).alias("c"))
+    levels = points.select(*keys, "bucket", F.col("v").alias("u")).distinct()
+    slabs = points.select(*keys, "bucket", "slab").distinct()
+    # for every value of the bucket the points of earlier slabs at it, at each slab of the bucket
+    earlier = W.partitionBy(*keys, "bucket", "u").orderBy("slab").rowsBetween(W.unboundedPreceding, -1)
+    table = slabs.join(levels, [*keys, "bucket"]).join(per.withColumnRenamed("v", "u"), [*keys, "bucket", "slab", "u"], "left")
+    table = table.select(*keys, "bucket", "slab", "u", F.coalesce("c", F.lit(0)).alias("c")).withColumn("_before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    row = W.partitionBy(*keys, "bucket", "slab").orderBy("u")
+    lower = F.coalesce(F.sum("_before").over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    higher = F.coalesce(F.sum("_before").over(row.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    across = table.withColumn("s", F.col("c") * (lower - higher)).select(*keys, "s")
+    # the grid of slabs and buckets
+    cells = points.groupBy(*keys, "slab", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    grid = points.select(*keys, "slab").distinct().join(points.select(*keys, "bucket").distinct(), keys).join(cells, [*keys, "slab", "bucket"], "left")
+    along = W.partitionBy(*keys, "bucket").orderBy("slab").rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.withColumn("c", F.coalesce("c", F.lit(0))).withColumn("_before", F.coalesce(F.sum("c").over(along), F.lit(0)))
+    line = W.partitionBy(*keys, "slab").orderBy("bucket")
+    below = F.coalesce(F.sum("_before").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    above = F.coalesce(F.sum("_before").over(line.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    far = grid.withColumn("s", F.col("c") * (below - above)).select(*keys, "s")
+
+    total = inside.select(*keys, "s").unionByName(near.select(*keys, "s")).unionByName(across).unionByName(far).groupBy(*keys).agg(F.sum("s").alias("_s"))
+    ties = values.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1) div 2")).alias("_tied"))
+    every = df.select(*keys).distinct().join(ties, keys, "left").join(total, keys, "left")
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return every.select(*keys, n.alias("n"), tau_b(n, F.col("_s"), F.col("_tied")).alias(out))
 
 
 def tau_b(n: Column, s: Column, tied: Column) -> Column:
@@ -245,25 +296,19 @@ def rolling_tau(df: DataFrame, keys: Sequence[str], x: str, span: int, out: str)
     are integers, so the work per row is linear in ``span`` and the result exact.
     """
     order = W.partitionBy(*keys).orderBy("cycle")
-    before = F.collect_list(x).over(order.rowsBetween(1 - span, -1))
-    after = F.collect_list(x).over(order.rowsBetween(1, span - 1))
-    here = F.col(x)
+    here, steps, zero = F.col(x), range(1, span), F.lit(0)
+    df = df.withColumns({f"_p{d}": F.lag(x, d).over(order) for d in steps} | {f"_f{d}": F.lead(x, d).over(order) for d in steps})
 
-    def total(values: str, term) -> Column:
-        return F.when(here.isNotNull(), F.aggregate(
-            values, F.lit(0), lambda acc, p: acc + term(p).cast("int"))).otherwise(F.lit(0))
+    def total(side: str, term) -> Column:
+        return sum((F.coalesce(term(F.col(f"{side}{d}")).cast("int"), zero) for d in steps), zero)
 
-    def tie(p: Column) -> Column:
-        return F.when(p == here, F.lit(1)).otherwise(F.lit(0))
-
-    df = df.withColumns({"_pre": before, "_post": after}).withColumns({
-        "_in": total("_pre", lambda p: F.signum(here - p)), "_out": total("_post", lambda p: F.signum(p - here)),
-        "_tin": total("_pre", tie), "_tout": total("_post", tie),
-    }).drop("_pre", "_post")
+    df = df.withColumns({
+        "_in": total("_p", lambda p: F.signum(here - p)), "_out": total("_f", lambda p: F.signum(p - here)),
+        "_tin": total("_p", lambda p: p == here), "_tout": total("_f", lambda p: p == here),
+    }).drop(*[f"_{side}{d}" for side in "pf" for d in steps])
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
     gone = order.rowsBetween(W.unboundedPreceding, -span)
     frame = order.rowsBetween(1 - span, 0)
-    zero = F.lit(0)
     df = df.withColumns({
         "_s": F.sum("_in").over(so_far) - F.coalesce(F.sum("_out").over(gone), zero),
         "_t": F.sum("_tin").over(so_far) - F.coalesce(F.sum("_tout").over(gone), zero),

@@ -352,10 +352,8 @@ SELECT run, scen, n.n, round(CASE WHEN n.n >= 4 AND n.n * (n.n - 1) / 2 > tied T
 FROM n LEFT JOIN p USING (run, scen)""")
 def kendall_tau(spark, sf_dir):
     """Tau-b of each series against time."""
-    pts = T.supplier_series(spark, sf_dir).groupBy(*RUN).agg(
-        F.collect_list(F.when(F.col("form").isNotNull(), F.struct(F.col("cycle").alias("t"), F.col("form").alias("v"))))
-        .alias("p"))
-    return pts.select(*RUN, F.size("p").cast("bigint").alias("n"), rnd(rolling.kendall_tau(F.col("p"))).alias("tau"))
+    out = rolling.kendall_tau(T.supplier_series(spark, sf_dir), RUN, "form")
+    return out.select(*RUN, "n", rnd("tau").alias("tau"))
 
 
 def tau_sql(span: int, need: int) -> str:
