@@ -31,7 +31,7 @@ SCALE = 2_000_000
 #: Characters of text whose phrases are counted together, and words whose number a task keeps.
 BLOCK_CHARS = 8_000_000
 KEPT_WORDS = 1_000_000
-COUNTS = "lang string, words int, phrase string, step int, n long"
+COUNTS = "lang string, phrase string, n long"
 KEY = ["lang", "phrase"]
 
 
@@ -39,7 +39,7 @@ KEY = ["lang", "phrase"]
 class Mining:
     longest: int = 4
     least: int = 30
-    shards: int = 3
+    shards: int = 2
     covered: int = 80  # percent of a phrase's count at which a longer one replaces it
     most: int = 2000  # rows of the report for each language
     filter_bits: int = 1 << 24  # of each Bloom filter
@@ -118,13 +118,13 @@ class Scanner:
         self.status = np.concatenate([self.status, self.tested(fresh)], axis=1)
         return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
 
-    def count(self, texts: list[str | None]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-        """(words, phrases, counts) for each length that is active."""
+    def count(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """(phrases, counts) for each length that is active."""
         at = self.numbered(texts)
         if self.step < self.p.shards:
             n = np.bincount(at[at >= 0], minlength=len(self.words))
             seen = np.flatnonzero(n)
-            yield 1, [self.words[i] for i in seen], n[seen]
+            yield [self.words[i] for i in seen], n[seen]
         if self.known is None:
             return
         inside = np.flatnonzero(at >= 0)
@@ -147,7 +147,7 @@ class Scanner:
             found = [phrases[i] + b" " + self.words[j] for i, j in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist())]
             counted = np.flatnonzero(active[first_at])
             if len(counted):
-                yield k, [found[i] for i in counted], n[counted]
+                yield [found[i] for i in counted], n[counted]
             if not deeper:
                 return
             status = self.tested(found)
@@ -162,7 +162,7 @@ TO_END = bytes.maketrans(ENDS, b"." * len(ENDS))
 
 
 def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndarray | None, live_lengths: set[int], p: Mining) -> DataFrame:
-    """(lang, words, phrase, step, n), stored: counts of the phrases that may be active at ``step`` in the rows (lang, text) of
+    """(lang, phrase, step, n), stored: counts of the phrases that may be active at ``step`` in the rows (lang, text) of
     ``shard``. The two filters go to the executors once and are taken back."""
     spark = shard.sparkSession
     sent = None if known is None else spark.sparkContext.broadcast((known, live))
@@ -180,11 +180,10 @@ def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndar
             if scanner is None:
                 scanner = scanners[lang] = Scanner(lang, step, *filters, live_lengths, p)
             chars.pop(lang)
-            for k, phrases, n in scanner.count(waiting.pop(lang)):
-                size = len(phrases)
+            for phrases, n in scanner.count(waiting.pop(lang)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()),
-                     pa.array(np.full(size, step, np.int32)), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "step", "n"])
+                    [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
+                    names=["lang", "phrase", "n"])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -197,7 +196,7 @@ def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndar
             yield from rows(lang)
 
     counted = shard.select("lang", "text").mapInArrow(run, COUNTS)
-    out = stored(counted.groupBy("lang", "words", "phrase", "step").agg(F.sum("n").alias("n")))
+    out = stored(counted.groupBy(*KEY).agg(F.sum("n").alias("n")).withColumn("step", F.lit(step)))
     if sent is not None:
         sent.destroy()
     return out
@@ -208,13 +207,13 @@ def windowed(counts: DataFrame, known: DataFrame, p: Mining) -> DataFrame:
     """(lang, words, phrase, total, last, before) of all phrases whose counts within their own window reach the threshold; ``last``
     is the last step that added to the total and ``before`` what it was until then.
 
-    ``counts`` is (lang, words, phrase, step, n). A phrase that reaches the threshold within a cycle has a
+    ``counts`` is (lang, phrase, step, n). A phrase that reaches the threshold within a cycle has a
     cycle's share of it in some step, so only phrases with such a step are looked at.
     """
     share = -(-p.least // p.shards)
     maybe = counts.where(F.col("n") >= share).select(*KEY).distinct()
-    steps = counts.join(maybe, KEY, "left_semi").groupBy("lang", "words", "phrase").agg(
-        F.collect_list(F.struct("step", "n")).alias("steps"))  # one entry a step
+    steps = counts.join(maybe, KEY, "left_semi").groupBy(*KEY).agg(
+        F.collect_list(F.struct("step", "n")).alias("steps")).withColumn("words", F.size(F.split("phrase", " ")))  # one entry a step
     reach = known.select("lang", F.col("phrase").alias("part"), "reached")
     words = F.split("phrase", " ")
     longer = steps.where("words > 1").select(
@@ -265,7 +264,7 @@ def frequencies(docs: DataFrame, p: Mining) -> tuple[DataFrame, DataFrame]:
     dealt = stored(docs.select(lang.alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p.shards)).cast("int").alias("shard")), "shard")
     counts, known = cycles([dealt.where(F.col("shard") == i) for i in range(p.shards)], p)
     totals = windowed(counts, known, p)
-    words = counts.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = counts.where(~F.col("phrase").contains(" ")).groupBy("lang").agg(F.sum("n").alias("n"))
     return stored(totals.select("lang", "words", "phrase", "total")), stored(words)
 
 

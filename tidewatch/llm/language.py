@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,6 +234,10 @@ class Labeller:
         return viterbi(self.table, words.astype(np.int64), per_text, self.model.penalty), per_text
 
 
+#: Bytes of text that are labelled together.
+AT_ONCE = 2_000_000
+
+
 def batches_of(texts: list[str | None], most_chars: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
     texts = ["" if t is None else t for t in texts]
     for lo, hi in slices([len(t) for t in texts], most_chars):
@@ -247,24 +253,28 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) ->
     """
     languages = model.languages
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(model)
         for b in batches:
-            names, scores = [], []
-            for _, texts in batches_of(list(b["text"])):
+            column = b.column(b.schema.names.index("text"))
+            sizes_of = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            rest = [i for i, name in enumerate(b.schema.names) if passed or name != "text"]
+            for lo, hi in slices(sizes_of, AT_ONCE):  # only a slice of the texts is decoded at a time, and none is encoded again
+                texts = ["" if t is None else t for t in column.slice(lo, hi - lo).to_pylist()]
                 found, sizes = label(texts) if languages else (np.zeros(0, np.uint8), np.zeros(len(texts), np.int64))
-                which = np.repeat(np.arange(len(texts)), sizes)
-                n = np.bincount(which * max(len(languages), 1) + found, minlength=len(texts) * max(len(languages), 1)).reshape(len(texts), -1)
+                which, m = np.repeat(np.arange(len(texts)), sizes), max(len(languages), 1)
+                n = np.bincount(which * m + found, minlength=len(texts) * m).reshape(len(texts), -1)
                 top = n.argmax(axis=1)
-                names += [languages[k] if s else UNKNOWN for k, s in zip(top, sizes)]
-                scores.append(n.max(axis=1) / np.maximum(sizes, 1))
-            b = b if passed else b.drop(columns="text")
-            yield b.assign(lang_pred=names, score=np.concatenate(scores) if scores else [])
+                names = [languages[k] if s else UNKNOWN for k, s in zip(top, sizes)]
+                kept = [b.column(i).slice(lo, hi - lo) for i in rest]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(names, pa.string()), pa.array(n.max(axis=1) / np.maximum(sizes, 1), pa.float64())],
+                    names=[*(b.schema.names[i] for i in rest), "lang_pred", "score"])
 
     passed = any(isinstance(c, str) and c == "text" for c in keep)
     picked = docs.select(*[c for c in keep if not (isinstance(c, str) and c == "text")], "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if passed or f.name != "text")
-    return picked.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return picked.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
