@@ -11,8 +11,8 @@ from tidewatch.operators import resample as B
 from tidewatch.operators import survival as S
 from tidewatch.operators.cells import crossing
 from tidewatch.operators.resample import slot_number_sql
-from tidewatch.plans.inference import COLLAPSED, GROUPS, comparator_leads, group_rates
-from tidewatch.plans.registry import query
+from tidewatch.plans.inference import COLLAPSED, GROUPS, comparator_leads, comparator_matching, group_rates
+from tidewatch.plans.registry import ORACLES, query
 from tidewatch.sources import runs as R
 from tidewatch.sources.runs import GROUP, user_runs, user_runs_sql
 from tidewatch.sources.tables import unit_hash_sql
@@ -137,6 +137,37 @@ def _floors(spark, sf_dir):
     return crossing(long, ["arm", "draw", "est"], "c", "y", out="floor_c")
 
 
+WIN_SQL = "lead_fired AND (NOT lag_fired OR t_lead < t_lag)"
+
+
+@query("floor_bootstrap_by_colour", RUNS + f""",
+val AS (SELECT arm, colour, c, {KEY_SQL} AS key, avg(dt_censored) AS dt, avg(lead_fired::INT) AS det, CAST(count(*) FILTER (WHERE {WIN_SQL}) AS DOUBLE) AS won,
+  CAST(count(*) FILTER (WHERE lead_fired OR lag_fired) AS DOUBLE) AS decided FROM runs WHERE scen = 'degrade' GROUP BY c, arm, colour, rep),
+{boot_sql('val', 'arm, colour, c', ('dt', 'det', 'won', 'decided'), FLOOR_DRAWS, 20260807)},
+curve AS (SELECT arm, colour, draw, est, c, a, lead(a) OVER w AS b, lead(c) OVER w AS c2
+  FROM (SELECT arm, colour, draw, c, unnest(['dt', 'det', 'win']) AS est, unnest([dt / n, det / n - 0.4, won / nullif(decided, 0) - 0.5]) AS a FROM boot)
+  WINDOW w AS (PARTITION BY arm, colour, draw, est ORDER BY c)),
+x AS (SELECT arm, colour, draw, est, arg_min(c + (c2 - c) * (-a) / (b - a), c) FILTER (WHERE (a <= 0) <> (b <= 0)) AS floor_c FROM curve GROUP BY 1, 2, 3, 4)
+SELECT arm, colour, est, count(floor_c) AS n_resolved, round(avg(floor_c), 6) AS mean, round(quantile_cont(floor_c, 0.025), 6) AS lo95,
+  round(quantile_cont(floor_c, 0.975), 6) AS hi95 FROM x GROUP BY 1, 2, 3""")
+def floor_bootstrap_by_colour(spark, sf_dir):
+    """The floor of every variant by mean lead, detection and probability of winning, found anew in every draw.
+
+    Wins and decided runs are resampled together and divided within the draw; a draw without a decided run has no point there.
+    """
+    v = user_runs(spark, sf_dir).where("scen = 'degrade'").groupBy(*GROUP, "colour").agg(
+        F.avg("dt_censored").alias("dt"), rate("lead_fired").alias("det"), F.count_if(S.lead_first()).cast("double").alias("won"),
+        F.count_if(S.any_fired()).cast("double").alias("decided")).withColumn("key", group_key())
+    draws = B.bootstrap_sums(v, ["arm", "colour", "c"], "key", ["dt", "det", "won", "decided"], FLOOR_DRAWS, 20260807)
+    curves = draws.select("arm", "colour", "c", "draw", (F.col("dt") / F.col("n")).alias("dt"), (F.col("det") / F.col("n") - 0.4).alias("det"),
+                          (F.try_divide("won", "decided") - 0.5).alias("win"))
+    long = curves.unpivot(["arm", "colour", "c", "draw"], ["dt", "det", "win"], "est", "y")
+    floors = crossing(long, ["arm", "colour", "draw", "est"], "c", "y", out="floor_c")
+    return floors.groupBy("arm", "colour", "est").agg(
+        F.count("floor_c").alias("n_resolved"), rnd(F.avg("floor_c")).alias("mean"),
+        rnd(F.expr("percentile(floor_c, 0.025)")).alias("lo95"), rnd(F.expr("percentile(floor_c, 0.975)")).alias("hi95"))
+
+
 @query("floor_gap", RUNS + f""",
 val AS (SELECT arm, c, {KEY_SQL} AS key, avg(dt_censored) AS dt, avg(lead_fired::INT) AS det FROM runs WHERE scen = 'degrade' GROUP BY c, arm, rep),
 {boot_sql('val', 'arm, c', ('dt', 'det'), FLOOR_DRAWS, 20260806)},
@@ -176,11 +207,14 @@ def permutation_heterogeneity(spark, sf_dir):
     return out.select("detector", rnd("statistic", 9).alias("statistic"), "exceedances", rnd("p", 9).alias("p"))
 
 
-@query("comparator_lead_bootstrap", f"""{RUNS}, {COLLAPSED},
+LEAD_VERDICT = f"""{RUNS}, {COLLAPSED},
 val AS (SELECT detector, {KEY_SQL} AS key, gain AS x FROM lead),{boot_sql('val', 'detector', ('x',), 500, 41014)},
 i AS (SELECT detector, stddev_samp(x / n) AS se, quantile_cont(x / n, 0.025) AS lo95, quantile_cont(x / n, 0.975) AS hi95 FROM boot GROUP BY 1)
 SELECT detector, (SELECT round(avg(x), 6) FROM val v WHERE v.detector = i.detector) AS mean, round(se, 6) AS se, round(lo95, 6) AS lo95, round(hi95, 6) AS hi95,
-  CASE WHEN lo95 > 0 THEN 'beats' WHEN hi95 < 0 THEN 'loses' ELSE 'matches' END AS verdict, lo95 > 0 OR hi95 < 0 AS excludes_zero FROM i""")
+  CASE WHEN lo95 > 0 THEN 'beats' WHEN hi95 < 0 THEN 'loses' ELSE 'matches' END AS verdict, lo95 > 0 OR hi95 < 0 AS excludes_zero FROM i"""
+
+
+@query("comparator_lead_bootstrap", LEAD_VERDICT)
 def comparator_lead_bootstrap(spark, sf_dir):
     """Does a detector beat, match or lose to the comparator? Read from the interval of its group leads."""
     v = comparator_leads(spark, sf_dir).select("detector", group_key().alias("key"), F.col("gain").alias("x"))
@@ -189,6 +223,20 @@ def comparator_lead_bootstrap(spark, sf_dir):
                       excludes_zero("lo95", "hi95").alias("excludes_zero"))
 
 
+@query("comparator_verdict", f"""WITH b AS ({LEAD_VERDICT}), m AS ({ORACLES['comparator_matching']})
+SELECT detector, m.matched AS comparable, CASE WHEN m.matched THEN b.mean END AS mean, CASE WHEN m.matched THEN b.lo95 END AS lo95,
+  CASE WHEN m.matched THEN b.hi95 END AS hi95, CASE WHEN m.matched THEN b.verdict ELSE 'not comparable' END AS verdict
+FROM b JOIN m USING (detector) WHERE m.level = 'run'""")
+def comparator_verdict(spark, sf_dir):
+    """Beats, loses or matches, but only for a detector whose false-alarm rate matches the comparator's: leads bought with
+    more false alarms are not compared."""
+    rates = comparator_matching(spark, sf_dir).where("level = 'run'").select("detector", F.col("matched").alias("comparable"))
+    gated = lambda x: F.when(F.col("comparable"), F.col(x)).alias(x)
+    return comparator_lead_bootstrap(spark, sf_dir).join(rates, "detector").select(
+        "detector", "comparable", gated("mean"), gated("lo95"), gated("hi95"),
+        F.when(F.col("comparable"), F.col("verdict")).otherwise("not comparable").alias("verdict"))
+
+
 @query("matched_seed_sensitivity", RUNS + f""",
 b AS (SELECT seed, c, dt_censored FROM runs WHERE scen = 'degrade' AND colour = 'white'), v AS (SELECT seed, colour, dt_censored FROM runs WHERE scen = 'degrade' AND colour <> 'white'),
 val AS (SELECT v.colour, v.seed AS key, CAST(v.dt_censored - b.dt_censored AS DOUBLE) AS x FROM v JOIN b USING (seed)),{boot_sql('val', 'colour', ('x',), 400, SEED)},
@@ -206,13 +254,16 @@ def matched_seed_sensitivity(spark, sf_dir):
     return out.join(lost, "colour").select("colour", "n", "unmatched", *[rnd(c).alias(c) for c in ("mean", "se", "lo95", "hi95")])
 
 
-@query("matched_pair_contrast", RUNS + f""",
+CONTRAST = RUNS + f""",
 p AS (SELECT c, rep, colour, max(abs(dt_censored)) FILTER (WHERE arm = 'mnar') AS a, max(abs(dt_censored)) FILTER (WHERE arm = 'mcar') AS b FROM runs WHERE scen = 'degrade' GROUP BY 1, 2, 3),
 val AS (SELECT colour, c || '|' || rep AS key, CAST(a - b AS DOUBLE) AS x FROM p WHERE a IS NOT NULL AND b IS NOT NULL),{boot_sql('val', 'colour', ('x',), 500, 77)},
 i AS (SELECT colour, stddev_samp(x / n) AS se, quantile_cont(x / n, 0.025) AS lo95, quantile_cont(x / n, 0.975) AS hi95 FROM boot GROUP BY 1),
 s AS (SELECT colour, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd FROM val GROUP BY 1)
 SELECT colour, n, round(mean, 6) AS mean, round(lo95, 6) AS lo95, round(hi95, 6) AS hi95, lo95 > 0 OR hi95 < 0 AS resolved, CAST(sign(mean) AS INTEGER) AS direction,
-  round({1.959963984540054 + 0.8416212335729143} * sd / sqrt(n), 6) AS mde FROM s JOIN i USING (colour)""")
+  round({1.959963984540054 + 0.8416212335729143} * sd / sqrt(n), 6) AS mde FROM s JOIN i USING (colour)"""
+
+
+@query("matched_pair_contrast", CONTRAST)
 def matched_pair_contrast(spark, sf_dir):
     """Difference of magnitudes between paired arms, pooled over coverage, with a mechanical verdict."""
     from tidewatch.functions.intervals import Z80, Z95
@@ -225,6 +276,33 @@ def matched_pair_contrast(spark, sf_dir):
                       F.signum("mean").cast("int").alias("direction"), rnd((Z95 + Z80) * F.col("sd") / F.sqrt("n")).alias("mde"))
 
 
+@query("matched_pair_by_coverage", RUNS + f""",
+p AS (SELECT c, rep, colour, max(abs(dt_censored)) FILTER (WHERE arm = 'mnar') AS a, max(abs(dt_censored)) FILTER (WHERE arm = 'mcar') AS b FROM runs WHERE scen = 'degrade' GROUP BY 1, 2, 3),
+val AS (SELECT colour, c, CAST(rep AS VARCHAR) AS key, CAST(a - b AS DOUBLE) AS x FROM p WHERE a IS NOT NULL AND b IS NOT NULL),{boot_sql('val', 'colour, c', ('x',), 500, 78)},
+i AS (SELECT colour, c, stddev_samp(x / n) AS se, quantile_cont(x / n, 0.025) AS lo95, quantile_cont(x / n, 0.975) AS hi95 FROM boot GROUP BY 1, 2),
+s AS (SELECT colour, c, count(*) AS n, avg(x) AS mean FROM val GROUP BY 1, 2)
+SELECT colour, c, n, round(mean, 6) AS mean, round(se, 6) AS se, round(lo95, 6) AS lo95, round(hi95, 6) AS hi95 FROM s JOIN i USING (colour, c)""")
+def matched_pair_by_coverage(spark, sf_dir):
+    """The paired contrast of magnitudes at every coverage by itself."""
+    a = lambda arm: F.max(F.when(F.col("arm") == arm, F.abs("dt_censored").cast("double")))
+    p = user_runs(spark, sf_dir).where("scen = 'degrade'").groupBy("c", "rep", "colour").agg((a("mnar") - a("mcar")).alias("x"))
+    v = p.where("x IS NOT NULL").select("colour", "c", F.col("rep").cast("string").alias("key"), "x")
+    out = B.bootstrap_mean(v, ["colour", "c"], "key", "x", 500, 78)
+    return out.select("colour", "c", "n", *[rnd(x).alias(x) for x in ("mean", "se", "lo95", "hi95")])
+
+
+@query("matched_pair_verdict", f"""WITH p AS ({CONTRAST})
+SELECT count(*) AS n_variants, count(*) FILTER (WHERE resolved) AS n_resolved, min(direction) AS least_direction, max(direction) AS most_direction,
+  CASE WHEN NOT bool_and(resolved) THEN 'unresolved' WHEN count(DISTINCT direction) = 1 THEN 'resolved' ELSE 'direction depends on the variant' END AS verdict,
+  round(max(mde), 6) AS largest_mde FROM p""")
+def matched_pair_verdict(spark, sf_dir):
+    """One verdict over all variants: resolved if every interval leaves zero out and all point the same way."""
+    p = matched_pair_contrast(spark, sf_dir)
+    verdict_ = F.when(~F.bool_and("resolved"), "unresolved").when(F.count_distinct("direction") == 1, "resolved").otherwise("direction depends on the variant")
+    return p.agg(F.count(F.lit(1)).alias("n_variants"), F.count_if("resolved").alias("n_resolved"), F.min("direction").alias("least_direction"),
+                 F.max("direction").alias("most_direction"), verdict_.alias("verdict"), rnd(F.max("mde")).alias("largest_mde"))
+
+
 POISSON_WEIGHT = " + ".join(f"CASE WHEN u > {p!r} THEN 1 ELSE 0 END" for p in B.POISSON_CDF)
 
 
