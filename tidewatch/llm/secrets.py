@@ -2,8 +2,9 @@
 
 Strong findings (assigned secrets, access identifiers, long hex strings) are always reported. Weak candidates
 (identifiers, opaque strings, endpoints) are reported only where the parts that complete them stand in the same scope,
-a number of characters to either side: an opaque string with an identifier, an identifier with a secret, an endpoint
-with both. The interval join is a range frame over the spans of a text, so no pairs are made.
+a number of characters before or behind them: an opaque string with an identifier, an identifier with a secret, an endpoint
+with both. Parts do not overlap what they complete. The interval join is a range frame over the ends of a text's spans, so no
+pairs are made.
 """
 
 from __future__ import annotations
@@ -74,21 +75,41 @@ def spans(docs: DataFrame, scope: int = 400, kinds: tuple[Kind, ...] = KINDS) ->
     strong = F.array(*[F.lit(k.strong) for k in kinds])[F.col("rank")]
     placed = each.withColumn("end", end).where(F.col("group") >= least).select(
         "row", "rank", named.alias("kind"), (F.col("end") - F.col("own")).alias("start"), "end", strong.alias("strong"))
-    near = W.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    roles = ("identifier", "secret", "endpoint")
-    ranks = {r: [i for i, k in enumerate(kinds) if k.role == r] for r in roles}
     # a candidate that lies inside a strong span is that span
     inside = F.max(F.when(F.col("strong"), F.col("end"))).over(W.partitionBy("row").orderBy("start", F.desc("strong"), F.desc("end")).rowsBetween(W.unboundedPreceding, 0))
-    placed = placed.withColumns({"_in": inside, **{f"_{r}": F.max(F.col("rank").isin(ranks[r])).over(near) for r in roles}})
-    reported = F.col("strong")
+    apart = F.coalesce(inside <= F.col("start"), F.lit(True))
+    placed = placed.withColumn("reported", F.col("strong") | apart)
+    # first with every candidate as a part, then with those that found theirs
+    for _ in range(2):
+        placed = complemented(placed, kinds, scope)
+    return rows.select("row", "doc_id"), placed.where("reported").select("row", "rank", "kind", "start", "end", "strong")
+
+
+def complemented(placed: DataFrame, kinds: tuple[Kind, ...], scope: int) -> DataFrame:
+    """``placed`` with weak spans still reported only if for each role they need a reported span of it ends at most ``scope``
+    characters before them or starts as near behind them. So no part overlaps the span it completes, and one string is never
+    two parts. Each span is two points of its text, and a range frame over the points is the interval join."""
+    roles = ("identifier", "secret", "endpoint")
+    role = F.array(*[F.lit(k.role) for k in kinds])[F.col("rank")]
+    points = placed.withColumn("role", role).withColumn("p", F.explode(F.array(
+        F.struct(F.col("start").alias("at"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("at"), F.lit(False).alias("opens"))))).select("*", "p.*")
+    near = W.partitionBy("row").orderBy("at")
+
+    def met(r: str) -> Column:
+        part = (F.col("role") == r) & F.col("reported")
+        behind, ahead = F.max(part & ~F.col("opens")).over(near.rangeBetween(-scope, 0)), F.max(part & F.col("opens")).over(near.rangeBetween(0, scope))
+        return F.when(F.col("opens"), behind).otherwise(ahead)
+
+    both = points.withColumns({f"_{r}": met(r) for r in roles}).groupBy("row", "rank", "kind", "start", "end", "strong", "reported").agg(
+        *[F.max(f"_{r}").alias(f"_{r}") for r in roles])
+    complete = F.lit(False)
     for i, k in enumerate(kinds):
         if not k.strong:
-            with_all = F.lit(True)
+            has = F.lit(True)
             for r in k.needs:
-                with_all = with_all & F.col(f"_{r}")
-            apart = F.col("_in").isNull() | (F.col("_in") <= F.col("start"))
-            reported = reported | ((F.col("rank") == i) & with_all & apart)
-    return rows.select("row", "doc_id"), placed.where(reported).select("row", "rank", "kind", "start", "end", "strong")
+                has = has & F.col(f"_{r}")
+            complete = complete | ((F.col("rank") == i) & has)
+    return both.withColumn("reported", F.col("strong") | (F.col("reported") & complete)).drop(*[f"_{r}" for r in roles])
 
 
 def joined(items: Column) -> Column:
@@ -114,20 +135,26 @@ def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
 def masked(docs: DataFrame, mask: str, scope: int = 400) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``mask`` (overlapping spans by one), n_chars recounted.
 
-    The other columns and rows stay as they are; a null text stays null.
+    The other columns and rows stay as they are, whatever their names; a null text stays null.
     """
-    kept = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows, found_ = spans(kept.select(F.col("_row").alias("doc_id"), "text"), scope)
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return name if name not in taken else free(f"_{name}")
+
+    row_, spans_ = free("_row"), free("_spans")
+    kept = stored(docs.withColumn(row_, F.monotonically_increasing_id()))
+    rows, found_ = spans(kept.select(F.col(row_).alias("doc_id"), "text"), scope)
     w = W.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     runs = found_.withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
     merged = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    per_row = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).join(rows, "row").select(F.col("doc_id").alias("_row"), "_spans")
-    upto = lambda i: F.when(i > 0, F.get(F.col("_spans"), i - 1)["end"]).otherwise(0)
-    pieces = F.transform("_spans", lambda s, i: F.concat(F.substr("text", upto(i) + 1, s["start"] - upto(i)), F.lit(mask)))
-    rest = F.substr(F.col("text"), F.element_at("_spans", -1)["end"] + 1)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    changed = kept.join(per_row, "_row", "left").withColumn("text", text)
+    per_row = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans_)).join(rows, "row").select(F.col("doc_id").alias(row_), spans_)
+    upto = lambda i: F.when(i > 0, F.get(F.col(spans_), i - 1)["end"]).otherwise(0)
+    pieces = F.transform(spans_, lambda s, i: F.concat(F.substr("text", upto(i) + 1, s["start"] - upto(i)), F.lit(mask)))
+    rest = F.substr(F.col("text"), F.element_at(spans_, -1)["end"] + 1)
+    text = F.when(F.col(spans_).isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    changed = kept.join(per_row, row_, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        changed = changed.withColumn("n_chars", F.when(F.col(spans_).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)
