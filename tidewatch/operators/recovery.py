@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.operators.inference import spearman
+from tidewatch.operators.inference import guarded_corr, spearman
 from tidewatch.operators.rolling import trailing_mean
+from tidewatch.session import cut_lineage
 
 
 def window_mean(x: str, lo: int, hi: int) -> Column:
@@ -64,6 +65,27 @@ def indicator_vs_latent(joined: DataFrame, keys: Sequence[str], indicator: str,
     return crossed.join(rho, keys, "left").withColumn("rho", F.when(F.col("n") >= min_points, F.col("rho")))
 
 
+def indicator_legs(joined: DataFrame, keys: Sequence[str], indicators: dict[str, str], latent: str, start: int, n_cycles: int, level: float,
+                   smooth: int = 20, min_length: int = 40, min_points: int = 20) -> DataFrame:
+    """The three ways a driver is compared: rows ``(keys…, n_raw, pearson_raw, <name>…)``.
+
+    ``indicators`` names published columns; each is ranked by its trailing mean as in :func:`indicator_vs_latent`. The first
+    is also correlated as it is, without smoothing or ranks, given enough points that differ.
+    """
+    keys = list(keys)
+    crossed = joined.groupBy(*keys).agg(F.greatest(
+        F.lit(start + min_length), F.coalesce(F.min(F.when(F.col(latent) <= level, F.col("cycle"))), F.lit(n_cycles))).alias("stop"))
+    seg = cut_lineage(joined.join(crossed, keys).where((F.col("cycle") >= start) & (F.col("cycle") < F.col("stop"))))
+    raw = next(iter(indicators.values()))
+    out = crossed.join(seg.groupBy(*keys).agg(
+        F.count_if(F.col(raw).isNotNull() & F.col(latent).isNotNull()).alias("n_raw"), guarded_corr(raw, latent, min_points).alias("pearson_raw")), keys, "left")
+    for name, col in indicators.items():
+        pts = trailing_mean(seg, keys, col, smooth, "_s").select(*keys, F.round("_s", 9).alias("a"), F.round(latent, 9).alias("b"))
+        rho = spearman(pts, keys, "a", "b").select(*keys, F.when(F.col("n") >= min_points, F.col("rho")).alias(name))
+        out = out.join(rho, keys, "left")
+    return out.withColumn("n_raw", F.coalesce("n_raw", F.lit(0)))
+
+
 def largest_gap(df: DataFrame, by: Sequence[str], x: str, buckets: int = 256) -> DataFrame:
     """Widest gap between neighbouring values of each group, without ordering a group in one task.
 

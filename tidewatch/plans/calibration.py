@@ -343,7 +343,7 @@ def chosen_rule(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ detrending and window variants
-VAR_W = (20, 30)
+VAR_W = (20, 30, 45)
 
 
 def _variant_parts():
@@ -366,7 +366,7 @@ def _variant_parts():
 SELECT variant, run, scen, count(s) AS n_scored, round(max(s) FILTER (WHERE cycle >= 60), 6) AS max_score
 FROM (SELECT variant, run, scen, cycle, CASE WHEN z_var IS NULL THEN z_ac WHEN z_ac IS NULL THEN z_var ELSE (z_var + z_ac) / 2 END AS s FROM allz) GROUP BY 1, 2, 3""")
 def score_variants(spark, sf_dir):
-    """The score under linear and kernel detrending at two windows; the mean runs over all defined z values."""
+    """The score under linear and kernel detrending at three windows; the mean runs over all defined z values."""
     filled = rolling.fill_gaps(rolling.unpivot_classes(T.supplier_series(spark, sf_dir), RUN, ("form",)), [*RUN, "class"])
     residual = rolling.kernel_residual(filled, [*RUN, "class"])
     out = None

@@ -133,6 +133,23 @@ def indicator_vs_latent(spark, sf_dir):
     return r.select(*RUN, "stop", F.col("n").alias("n_points"), rnd("rho", 8).alias("rho"))
 
 
+@query("indicator_legs", LATENT + f""",
+sv AS (SELECT s.run, s.scen, s.cycle, s.z_var, l.a FROM scored s JOIN lat l USING (run, scen, cycle) JOIN st USING (run, scen) WHERE s.cycle >= 60 AND s.cycle < stop),
+sw AS (SELECT run, scen, round(CASE WHEN count(z_var) OVER w >= 6 THEN avg(z_var) OVER w END, 9) AS xs, round(a, 9) AS ya FROM sv
+  WINDOW w AS (PARTITION BY run, scen ORDER BY cycle ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),{rank_corr_sql('sw', 'run, scen', 'xs', 'ya').replace('rk AS', 'rkv AS').replace('FROM rk', 'FROM rkv').replace('rho AS (', 'rhov AS (')},
+plain AS (SELECT run, scen, count(*) AS n, CASE WHEN count(*) >= 20 AND stddev_pop(score) > 1e-12 AND stddev_pop(a) > 1e-12 THEN corr(score, a) END AS r FROM seg
+  WHERE score IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2)
+SELECT st.run, st.scen, coalesce(plain.n, 0) AS n_raw, round(r, 8) AS pearson_raw, round(CASE WHEN rho.n >= 20 THEN rho.rho END, 8) AS mean_leg,
+  round(CASE WHEN rhov.n >= 20 THEN rhov.rho END, 8) AS var_leg FROM st LEFT JOIN plain USING (run, scen) LEFT JOIN rho USING (run, scen) LEFT JOIN rhov USING (run, scen)""")
+def indicator_legs(spark, sf_dir):
+    """The published score against the driver as it is and by ranks, and its variance leg by ranks."""
+    series = supplier_series(spark, sf_dir)
+    driver = rolling.trailing_mean(series, RUN, "out", 20, "tm").withColumn("a", F.try_divide("tm", F.avg("out").over(W.partitionBy(*RUN))))
+    joined = P.supplier_scores(spark, sf_dir).select(*RUN, "cycle", "score", "z_var").join(driver.select(*RUN, "cycle", "a"), [*RUN, "cycle"])
+    r = recovery.indicator_legs(joined, RUN, {"mean_leg": "score", "var_leg": "z_var"}, "a", 60, N, 0.9)
+    return r.select(*RUN, "n_raw", *[rnd(x, 8).alias(x) for x in ("pearson_raw", "mean_leg", "var_leg")])
+
+
 @query("largest_gap", """
 WITH v AS (SELECT DISTINCT c_mktsegment, c_acctbal AS x FROM customer), g AS (SELECT c_mktsegment, x, x - lag(x) OVER (PARTITION BY c_mktsegment ORDER BY x) AS gap FROM v)
 SELECT c_mktsegment, round(max(gap), 6) AS largest_gap, round(max(gap) / (max(x) - min(x)), 9) AS relative_gap FROM g GROUP BY 1""")
