@@ -186,7 +186,29 @@ def bias_against_truth(spark, sf_dir):
         rnd(F.abs(raw) - F.abs(fixed)).alias("bias_reduction"))
 
 
-@query("propensity_fit")
+# Newton steps on counted degrees: a recursive table whose rows are the iterates
+FIT_SQL = f"""WITH RECURSIVE {MEMBERS_SQL},
+t AS (SELECT team, count(*) AS m FROM members GROUP BY 1), d AS (SELECT node, sum(m - 1) AS deg FROM members JOIN t USING (team) GROUP BY 1),
+f AS (SELECT s_suppkey AS node, CAST(coalesce(deg, 0) AS DOUBLE) AS deg, s_suppkey FROM supplier LEFT JOIN d ON d.node = s_suppkey),
+marked AS (SELECT node, deg, {U} < {AFTER} AS visible, {U} < {BEFORE} AS seen_before FROM f),
+h AS (SELECT deg, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE visible) AS DOUBLE) AS k FROM marked GROUP BY 1),
+mo AS (SELECT sum(n * deg) / sum(n) AS mean, sqrt(greatest(sum(n * deg * deg) / sum(n) - power(sum(n * deg) / sum(n), 2), 0)) AS sd0 FROM h),
+mom AS (SELECT mean, CASE WHEN sd0 > 1e-9 THEN sd0 ELSE 1 END AS sd FROM mo),
+hx AS (SELECT (deg - mean) / sd AS x, n, k FROM h, mom),
+newton(i, w0, w1, moved) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, w0 + (c * g0 - b * g1) / (a * c - b * b), w1 + (a * g1 - b * g0) / (a * c - b * b),
+    greatest(abs((c * g0 - b * g1) / (a * c - b * b)), abs((a * g1 - b * g0) / (a * c - b * b)))
+  FROM (SELECT i, w0, w1, sum(k - n * p) - {V.RIDGE} * w0 AS g0, sum((k - n * p) * x) - {V.RIDGE} * w1 AS g1, sum(v) + {V.RIDGE} AS a, sum(v * x) AS b,
+      sum(v * x * x) + {V.RIDGE} AS c
+    FROM (SELECT *, n * (p * (1 - p) + 1e-9) AS v FROM (SELECT w.i, w.w0, w.w1, hx.*, 1 / (1 + exp(-greatest(-30, least(30, w.w0 + w.w1 * x)))) AS p
+      FROM newton w, hx WHERE w.moved >= 1e-8 AND w.i < 200)) GROUP BY 1, 2, 3)),
+fit AS (SELECT w0, w1 FROM newton ORDER BY i DESC LIMIT 1),
+pi AS (SELECT *, greatest(0.02, least(1, 1 / (1 + exp(-greatest(-30, least(30, w0 + w1 * (deg - mean) / sd)))))) AS p FROM marked, mom, fit)"""
+
+
+@query("propensity_fit", FIT_SQL + """
+SELECT count(*) AS n, count(*) FILTER (WHERE visible) AS n_visible, round(any_value(w0), 6) AS intercept, round(any_value(w1), 6) AS slope,
+  round(avg(p), 6) AS p_hat, round(avg(p) FILTER (WHERE visible), 6) AS p_visible, count(*) FILTER (WHERE seen_before AND NOT visible) AS mislabelled FROM pi""")
 def propensity_fit(spark, sf_dir):
     """Logistic fit of visibility on cumulative degree with its predictions averaged over nodes."""
     z = centrality_z(spark, sf_dir).withColumn("visible", V.mcar("node", AFTER))
