@@ -18,6 +18,8 @@ LEAST_SHARE = 0.25
 #: Near copies share 80 % of their word shingles; op2's query has its own bound of 85 %. Two sets at the bound share no band
 #: with probability (1 - 0.8^5)^36 = 6e-7.
 NEAR = near_dup.NearDup(percent=80, bands=36)
+#: Bytes of text that a task labels together: texts pass through Python here, so less is held at a time than in op8's query.
+LABELLED_AT_ONCE = 2_000_000
 #: What a secret is replaced by.
 MASK = "[secret]"
 
@@ -41,7 +43,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs.where(crc_mod("doc_id", 5) != 0))
     # the old labels are replaced, and the text is the one long column: it goes to Python once
     own = {c: "text" if c == "text" else f"_doc_{c}" for c in docs.columns if c != "lang"}
-    found = language.predict(docs.select(*[F.col(c).alias(name) for c, name in own.items()]), model, list(own.values()))
+    found = language.predict(docs.select(*[F.col(c).alias(name) for c, name in own.items()]), model, list(own.values()), LABELLED_AT_ONCE)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return kept.select(*[F.col(own.get(c, "lang_pred")).alias(c) for c in docs.columns])
 
@@ -75,7 +77,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("decontaminate", drop_benchmark_leaks),
           ("secrets", mask_secrets), ("packing", pack)]
 
-#: Models, sets and a tokenizer are not expressible in SQL; the tests hold the stages against brute force.
+#: Models, sets and a tokenizer are not expressible in SQL; the operators' tests hold near duplicates and secrets against brute
+#: force, tests/llm/test_pipeline.py runs the language stage and the whole.
 ORACLE_SQL = None
 
 
