@@ -100,6 +100,18 @@ def test_blocked_bootstrap_is_a_resample_whatever_the_partitioning(spark):
         assert whole["a", d][1] == sum(float(order[i]) for i in idx)
 
 
+@pytest.mark.parametrize("at_once", [300, 4000])
+def test_bootstrap_of_many_blocks_draws_the_rows_that_sql_names(spark, monkeypatch, at_once):
+    monkeypatch.setattr(resample, "AT_ONCE", at_once)  # pieces of a draw, or of several draws
+    n, draws = 700, 20
+    df = spark.createDataFrame([("a", f"k{i}", float(i), None if i < 690 else 1.0) for i in range(n)] + [(None, "lost", 1.0, 1.0)], "s string, key string, x double, y double")
+    got = {r.draw: (r.s, r.n, r.x, r.y) for r in resample.bootstrap_sums(df, ["s"], "key", ["x", "y"], draws, 11, 64).collect()}
+    order = sorted(range(n), key=lambda i: __import__("hashlib").md5(f"k{i}".encode()).hexdigest())
+    for d in range(draws):
+        rows = [order[i] for i in resample.slot_numbers(11, np.full(n, d), np.arange(n)) % n]
+        assert got[d] == ("a", n, float(sum(rows)), float(sum(i >= 690 for i in rows)) or None)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 97, 1000])
 def test_keyed_place_is_a_bijection(spark, n):
     draws = spark.range(n).select(F.col("id").alias("idx"), F.lit(n).cast("long").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(199))))
