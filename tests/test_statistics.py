@@ -73,6 +73,17 @@ def test_bootstrap_error_near_theory(spark):
     assert p["se"] == pytest.approx(se, rel=0.15)
 
 
+def test_poisson_weights_are_hashed_once_and_follow_the_number(spark):
+    df = spark.range(300).select(F.lit(1).alias("s"), F.col("id").alias("key"), F.col("id").cast("double").alias("x"))
+    sums = resample.poisson_sums(df, ["s"], "key", ["x"], 40, 9)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("md5(") == 1  # once for every comparison before
+    u = lambda d, k: int(hashlib.md5(f"poisson9|{d}|{k}".encode()).hexdigest()[:8], 16) / 2 ** 32
+    for r in sums.collect():
+        w = [sum(u(r.draw, k) > p for p in resample.POISSON_CDF) for k in range(300)]
+        assert (r.n, r.x) == (sum(w), sum(k * v for k, v in enumerate(w)))
+
+
 @pytest.mark.parametrize("buckets", [None, 16])
 def test_ranks_with_ties(spark, buckets):
     rng = np.random.default_rng(2)
