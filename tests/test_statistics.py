@@ -84,6 +84,22 @@ def test_poisson_weights_are_hashed_once_and_follow_the_number(spark):
         assert (r.n, r.x) == (sum(w), sum(k * v for k, v in enumerate(w)))
 
 
+def test_rate_trend_ties_do_not_depend_on_the_order_of_sums(spark, tmp_path):
+    import os
+
+    import duckdb
+    from check_queries import check
+    from tidewatch.plans import load_all
+    load_all()
+    src = "/root/testdata/sf0.1"
+    # copies whose keys move through the coverages: every coverage has the same rate
+    duckdb.sql(f"COPY (SELECT * REPLACE (user_id + i * 1501 AS user_id) FROM range(8) r(i), '{src}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    ok, text = check(spark, con, "rate_trend", os.fspath(tmp_path))
+    assert ok, text
+
+
 @pytest.mark.parametrize("buckets", [None, 16])
 def test_ranks_with_ties(spark, buckets):
     rng = np.random.default_rng(2)
