@@ -60,6 +60,21 @@ def test_lifetimes_spread_to_live_ties(spark, end_of_cycle):
         assert all(p[:2] != q[:2] or q[2] > p[3] + 1 for p, q in zip(rows, rows[1:]))
 
 
+@pytest.mark.parametrize("end_of_cycle", [False, True])
+def test_running_totals_equal_counts_of_live_ties(spark, end_of_cycle):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(4), 5 + rng.randrange(3), rng.randrange(-4, 45)) for _ in range(70)], "src long, dst long, cycle int")
+    live = [tuple(r) for r in graph.live_ties(edges, 6, end_of_cycle, last_cycle=39).collect()]
+    spans = graph.lifetimes(edges, 6, end_of_cycle)
+    node = graph.running_totals(spans.withColumn("node", F.explode(F.array("src", "dst"))), 39, ["node"], {"d": F.lit(1)}).collect()
+    got = {(r.node, t): r.d for r in node for t in range(r.cycle, r.until) if r.d}
+    assert got == Counter((x, t) for t, a, b in live for x in (a, b))
+    rows = graph.running_totals(spans, 39, [], {"n": F.lit(1), "ids": F.col("src") + F.col("dst")}).collect()
+    assert len(rows) <= 2 * spans.count()  # a row for each change, not for each cycle of each tie
+    assert {t: (r.n, r.ids) for r in rows for t in range(r.cycle, r.until) if r.n} == {
+        t: (len(own), sum(own)) for t in {t for t, _, _ in live} for own in [[a + b for u, a, b in live if u == t]]}
+
+
 def test_hubs_of_a_node_s_teams_differ(spark):
     members = spark.createDataFrame([(t, 0, n) for t in range(60) for n in (1, 2, 3, 4)], "team int, cycle int, node long")
     edges = graph.star_edges(members).collect()

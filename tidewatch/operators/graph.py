@@ -116,6 +116,22 @@ def lifetimes(edges: DataFrame, window: int, end_of_cycle: bool = False) -> Data
     return runs.groupBy("src", "dst", "_run").agg(begin.alias("b"), (F.max("cycle") + window - 1).alias("e")).where("b <= e").drop("_run")
 
 
+def running_totals(spans: DataFrame, last_cycle: int, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums over the live ties of every snapshot up to ``last_cycle``: rows ``(by…, cycle, until, <sums>)``.
+
+    A row holds from ``cycle`` to before ``until``, the next snapshot at which a tie comes or goes. Ties are counted where they
+    come and where they have gone, so a lifetime costs two rows however long it is.
+    """
+    by = list(by)
+    ends = F.explode(F.array(F.struct(F.col("b").alias("cycle"), F.lit(1).alias("_sign")),
+                             F.struct((F.least("e", F.lit(last_cycle)) + 1).alias("cycle"), F.lit(-1).alias("_sign"))))
+    turns = spans.where(F.col("b") <= last_cycle).withColumn("_end", ends).withColumn("cycle", F.col("_end.cycle"))
+    changes = turns.groupBy(*by, "cycle").agg(*[F.sum(F.col("_end._sign") * v).alias(c) for c, v in sums.items()])
+    order = W.partitionBy(*(by or [F.lit(0)])).orderBy("cycle")
+    return changes.select(*by, "cycle", F.coalesce(F.lead("cycle").over(order), F.col("cycle")).alias("until"),
+                          *[F.sum(c).over(order.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in sums])
+
+
 def timeline_cells(spans: DataFrame, n_cycles: int, fanout: int = 4) -> DataFrame:
     """Lay lifetimes on a tree over cycles 0..n-1: rows ``(level, cell, src, dst)``.
 

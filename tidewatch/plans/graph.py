@@ -67,8 +67,8 @@ def team_pairs(spark, sf_dir):
 @query("live_ties", BASE + "," + PAIRS_SQL + "," + live_sql(False, window=5) + " SELECT cycle, count(*) AS n_edges, CAST(sum(src + dst) AS BIGINT) AS id_sum FROM live GROUP BY 1")
 def live_ties(spark, sf_dir):
     """Edges live at the start of every cycle under a five-cycle sliding tie window with refresh."""
-    live = G.live_ties(pairs(spark, sf_dir), 5, last_cycle=ORDER_DAYS - 1)
-    return live.groupBy("cycle").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("src") + F.col("dst")).alias("id_sum"))
+    live = G.running_totals(G.lifetimes(pairs(spark, sf_dir), 5), ORDER_DAYS - 1, [], {"n_edges": F.lit(1), "id_sum": F.col("src") + F.col("dst")})
+    return live.where("n_edges > 0").select(F.explode(F.sequence("cycle", F.col("until") - 1)).alias("cycle"), "n_edges", "id_sum")
 
 
 @query("mean_degree", BASE + "," + PAIRS_SQL + "," + live_sql(True) + f""",
@@ -80,12 +80,12 @@ SELECT cycle, count(src) AS n_edges, count(*) FILTER (WHERE src IN (SELECT node
 FROM (SELECT CAST(range AS INTEGER) AS cycle FROM range(2405)) LEFT JOIN live USING (cycle), n GROUP BY 1""")
 def mean_degree(spark, sf_dir):
     """End-of-cycle mean degree of the whole graph and of the subgraph on visible nodes, in one pass."""
-    live = G.live_ties(pairs(spark, sf_dir), TIE_WINDOW, end_of_cycle=True, last_cycle=ORDER_DAYS - 1)
-    both = M.visible(node="src") & M.visible(node="dst")
+    both = F.when(M.visible(node="src") & M.visible(node="dst"), 1).otherwise(0)
+    live = G.running_totals(G.lifetimes(pairs(spark, sf_dir), TIE_WINDOW, end_of_cycle=True), ORDER_DAYS - 1, [],
+                            {"n_edges": F.lit(1), "n_visible_edges": both})
+    live = live.where("n_edges > 0").select(F.explode(F.sequence("cycle", F.col("until") - 1)).alias("cycle"), "n_edges", "n_visible_edges")
     counts = M.nodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(M.visible()).alias("v"))
-    g = G.on_all_cycles(
-        live.groupBy("cycle").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(both).alias("n_visible_edges")),
-        ORDER_DAYS, {"n_edges": F.lit(0), "n_visible_edges": F.lit(0)})
+    g = G.on_all_cycles(live, ORDER_DAYS, {"n_edges": F.lit(0), "n_visible_edges": F.lit(0)})
     return g.withColumns({
         "mean_degree": rnd(F.try_divide(2.0 * F.col("n_edges"), counts.select("n").scalar()), 9),
         "obs_mean_degree": rnd(F.try_divide(2.0 * F.col("n_visible_edges"), counts.select("v").scalar()), 9)})
@@ -96,8 +96,10 @@ SELECT node, count(*) AS active_cycles, max(d) AS max_degree, round(avg(d), 9) A
  (SELECT cycle, node, count(*) AS d FROM (SELECT cycle, src AS node FROM live UNION ALL SELECT cycle, dst FROM live) GROUP BY 1, 2) GROUP BY 1""")
 def node_degrees(spark, sf_dir):
     """Degree of every node over the cycles in which it has a tie."""
-    d = G.degrees(G.live_ties(pairs(spark, sf_dir), TIE_WINDOW, end_of_cycle=True, last_cycle=ORDER_DAYS - 1))
-    return d.groupBy("node").agg(F.count(F.lit(1)).alias("active_cycles"), F.max("degree").alias("max_degree"), rnd(F.avg("degree"), 9).alias("mean_degree"))
+    spans = G.lifetimes(pairs(spark, sf_dir), TIE_WINDOW, end_of_cycle=True).withColumn("node", F.explode(F.array("src", "dst")))
+    d = G.running_totals(spans, ORDER_DAYS - 1, ["node"], {"degree": F.lit(1)}).where("degree > 0").withColumn("cycles", F.col("until") - F.col("cycle"))
+    return d.groupBy("node").agg(F.sum("cycles").alias("active_cycles"), F.max("degree").alias("max_degree"),
+                                 rnd(F.sum(F.col("degree") * F.col("cycles")) / F.sum("cycles"), 9).alias("mean_degree"))
 
 
 COMPS = BASE + "," + PAIRS_SQL + "," + live_sql(False) + "," + components_sql("live")
