@@ -29,6 +29,23 @@ def test_kernel_reach_follows_the_bandwidth(spark):
     assert np.allclose(got, y - (w @ y) / w.sum(axis=1), atol=1e-9)
 
 
+def test_kernel_residual_in_blocks_equals_the_whole_series(spark, monkeypatch):
+    monkeypatch.setattr(rolling, "KERNEL_BLOCK", 64)
+    rng = np.random.default_rng(5)
+    t = np.arange(-70, 230)
+    y = np.where(rng.random(300) < 0.3, np.nan, rng.normal(size=300))
+    rows = [("a", int(c), None if np.isnan(v) else float(v)) for c, v in zip(t, y)] + [("b", c, 1.0 if c < 4 else None) for c in range(9)]
+    out = rolling.kernel_residual(spark.createDataFrame(rows, "k string, cycle int, y double"), ["k"])
+    assert "collect_list(CASE" not in out._jdf.queryExecution().optimizedPlan().toString()  # no list of neighbours for every row
+    got = {(r.k, r.cycle): r.r for r in out.collect()}
+    near = abs(t[:, None] - t[None, :]) <= 85
+    w = np.where(near & ~np.isnan(y)[None, :], np.exp(-0.5 * ((t[:, None] - t[None, :]) / 10) ** 2), 0)
+    r = y - w @ np.nan_to_num(y) / w.sum(axis=1)
+    assert len(got) == len(rows) and all(got["b", c] is None for c in range(9))
+    for c, v in zip(t, r):
+        assert got["a", c] is None if np.isnan(v) else abs(got["a", c] - v) < 1e-9
+
+
 def test_no_admissible_threshold_is_an_error(spark):
     curve = spark.createDataFrame([(1.0, 9, 10, 0.9), (2.0, 5, 10, 0.5)], "k double, n_false int, n int, fpr double")
     assert calibrate.smallest_admissible(curve, [], 0.6).first().k == 2.0

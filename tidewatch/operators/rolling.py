@@ -11,6 +11,8 @@ import math
 from collections.abc import Sequence
 from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,6 +20,9 @@ from pyspark.sql import Window as W
 from tidewatch.operators.inference import cumulative_below
 from tidewatch.session import cut_lineage
 
+# Cycles of a series whose kernel means are found together.
+KERNEL_BLOCK = 1024
+
 
 def unpivot_classes(series: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """Wide measures to rows ``(keys, cycle, class, x)``."""
@@ -184,25 +189,36 @@ def kernel_residual(df: DataFrame, keys: Sequence[str], y: str = "y", bandwidth:
     """Residual of each known value from a Gaussian-kernel mean over the cycles within ``reach``.
 
     Unless given, ``reach`` is eight and a half bandwidths: weights beyond are below 2.1e-16 of the centre, the rounding of a
-    double. The neighbours are gathered by a bounded
-    frame, so nothing is joined; a series with fewer than five known values gives NULL.
+    double. A series is cut into blocks of ``KERNEL_BLOCK`` cycles that carry the rows within ``reach`` of them; the rows of a
+    block are one array, and a batch of blocks is worked on at once. A series with fewer than five known values gives NULL.
     """
     reach = ceil(8.5 * bandwidth) if reach is None else reach
-    order = W.partitionBy(*keys).orderBy("cycle")
-    near = F.collect_list(F.when(F.col(y).isNotNull(), F.struct(F.col("cycle").alias("c"), F.col(y).alias("v"))))
-    zero = F.struct(F.lit(0.0).alias("wy"), F.lit(0.0).alias("w"))
-
-    def add(acc: Column, p: Column) -> Column:
-        w = F.exp(-0.5 * F.pow((p["c"] - F.col("cycle")) / F.lit(bandwidth), 2))
-        return F.struct((acc["wy"] + w * p["v"]).alias("wy"), (acc["w"] + w).alias("w"))
-
-    known = F.col(y).isNotNull() & (F.count(y).over(W.partitionBy(*keys)) >= 5)
-    return (
-        df.withColumns({"_near": near.over(order.rowsBetween(-reach, reach)), "_known": known})
-        .withColumn("_mean", F.when(F.col("_known"), F.aggregate("_near", zero, add, lambda a: F.try_divide(a["wy"], a["w"]))))
-        .withColumn(out, F.col(y) - F.col("_mean"))
-        .drop("_near", "_known", "_mean")
-    )
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / bandwidth) ** 2)
+
+    @F.pandas_udf("array<double>")
+    def kernel_mean(blocks: pd.DataFrame) -> pd.Series:
+        def one(cycle, value):
+            first = cycle.min()
+            value = np.asarray(value, dtype=np.float64)  # a NULL is NaN here
+            wy, w = np.zeros(cycle.max() - first + 1), np.zeros(cycle.max() - first + 1)
+            found = ~np.isnan(value)
+            wy[cycle[found] - first], w[cycle[found] - first] = value[found], 1.0
+            wy, w = (np.convolve(x, weights)[reach:reach + len(x)] for x in (wy, w))
+            return wy[cycle - first] / np.where(found, w[cycle - first], np.nan)
+        return pd.Series([one(c, v) for c, v in zip(blocks["cycle"], blocks["value"])], dtype=object)
+
+    rest = [c for c in df.columns if c not in keys]
+    whole, c = W.partitionBy(*keys), F.col("cycle")
+    block = lambda x: F.floor(x / KERNEL_BLOCK)
+    first, last = block(F.min(c).over(whole)), block(F.max(c).over(whole))  # a series' own blocks
+    near = df.withColumns({"_known": F.count(y).over(whole) >= 5, "_first": F.greatest(first, block(c - reach)), "_last": F.least(last, block(c + reach))})
+    cut = near.withColumn("_block", F.explode(F.sequence("_first", "_last"))).withColumn("_own", block(c) == F.col("_block"))
+    blocks = cut.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*rest, "_known", "_own")).alias("_rows"))
+    value = F.transform("_rows", lambda r: r[y].cast("double"))
+    means = blocks.withColumn("_mean", kernel_mean(F.struct(F.col("_rows.cycle").alias("cycle"), value.alias("value"))))
+    each = means.select(*keys, F.explode(F.arrays_zip("_rows", "_mean")).alias("_r")).where("_r._rows._own")
+    mean = F.when(F.col("_r._rows._known"), F.nanvl("_r._mean", F.lit(None).cast("double")))
+    return each.select(*keys, *[F.col(f"_r._rows.{c}").alias(c) for c in rest], (F.col(f"_r._rows.{y}") - mean).alias(out)).select(*df.columns, out)
 
 
 def trailing_mean(df: DataFrame, keys: Sequence[str], x: str, window: int, out: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import combine_legs, rnd
+from tidewatch.functions.columns import combine_legs, null_safe_mean, rnd
 from tidewatch.operators import alarms, rolling
 from tidewatch.operators import calibrate as K
 from tidewatch.operators.alarms import LaggingRule, LeadingRule, Rule
@@ -368,14 +368,13 @@ FROM (SELECT variant, run, scen, cycle, CASE WHEN z_var IS NULL THEN z_ac WHEN z
 def score_variants(spark, sf_dir):
     """The score under linear and kernel detrending at three windows; the mean runs over all defined z values."""
     filled = rolling.fill_gaps(rolling.unpivot_classes(T.supplier_series(spark, sf_dir), RUN, ("form",)), [*RUN, "class"])
-    residual = rolling.kernel_residual(filled, [*RUN, "class"])
+    series = cut_lineage(rolling.kernel_residual(filled, [*RUN, "class"]))  # read by six variants
     out = None
     for w in VAR_W:
         for mode in ("linear", "gauss"):
-            st = rolling.rolling_var_ac(filled if mode == "linear" else residual, [*RUN, "class"],
-                                        y="y" if mode == "linear" else "r", window=w, detrend=mode == "linear")
+            st = rolling.rolling_var_ac(series, [*RUN, "class"], y="y" if mode == "linear" else "r", window=w, detrend=mode == "linear")
             z = rolling.baseline_z(st.select(*RUN, "class", "cycle", "var", "ac"), RUN, w, 60)
-            s = z.unpivot([*RUN, "cycle"], ["z_var", "z_ac"], "leg", "z").groupBy(*RUN, "cycle").agg(F.avg("z").alias("s"))
+            s = z.withColumn("s", null_safe_mean([F.col("z_var"), F.col("z_ac")]))  # of the one class
             one = s.groupBy(*RUN).agg(F.count("s").alias("n_scored"), rnd(F.max(F.when(F.col("cycle") >= 60, F.col("s")))).alias("max_score")).withColumn("variant", F.lit(f"{mode}_w{w}"))
             out = one if out is None else out.unionByName(one)
     return out
