@@ -53,54 +53,64 @@ def rolling_var_ac(
 ) -> DataFrame:
     """Add ``var`` and ``ac``: variance and lag-1 autocorrelation of the window ending at each row.
 
-    With ``detrend`` the window's own least-squares line is removed first; without, only its mean. Both come from
-    regression and covariance aggregates over two frames of one window node. The autocorrelation uses the
-    consecutive valid pairs inside the window.
+    With ``detrend`` the window's own least-squares line is removed first; without, only its mean. The autocorrelation uses the
+    consecutive valid pairs inside the window. The rows of a key are one array whose windows are worked on together, each
+    centred on its own mean before anything is squared; :func:`with_blocks` cuts keys that are too long for that.
     """
     need = max(4, math.ceil(min_frac * window))
-    order = W.partitionBy(*keys).orderBy("cycle")
-    full, pairs = order.rowsBetween(1 - window, 0), order.rowsBetween(2 - window, 0)
-    t = F.col("cycle").cast("double")
-    b = F.col(y)
-    df = df.withColumn("_lag", F.lag(b).over(order))
-    a = F.col("_lag")
-    both = a.isNotNull() & b.isNotNull()
-    pa, pb, pt = (F.when(both, c) for c in (a, b, t))
-    parts: dict[str, Column] = {
-        "_k": F.count(b).over(full),
-        "_syy": F.regr_syy(b, t).over(full),
-        "_np": F.count(pa).over(pairs),
-        "_ab": F.covar_pop(pa, pb).over(pairs),
-        "_aa": F.var_pop(pa).over(pairs),
-        "_bb": F.var_pop(pb).over(pairs),
-        "_rows": F.count(F.lit(1)).over(full),
-    }
-    if detrend:
-        parts |= {
-            "_sxy": F.regr_sxy(b, t).over(full),
-            "_sxx": F.regr_sxx(b, t).over(full),
-            "_at": F.covar_pop(pa, pt).over(pairs),
-            "_bt": F.covar_pop(pb, pt).over(pairs),
-            "_tt": F.var_pop(pt).over(pairs),
-        }
-    df = df.withColumns(parts)
-    valid = (F.col("_rows") == window) & (F.col("_k") >= need)
-    c = F.col
-    if detrend:
-        df = df.withColumn("_beta", F.try_divide(c("_sxy"), c("_sxx")))
-        beta = c("_beta")
-        var = F.try_divide(c("_syy") - beta * c("_sxy"), c("_k") - 1)
-        va = c("_aa") - 2 * beta * c("_at") + beta * beta * c("_tt")
-        vb = c("_bb") - 2 * beta * c("_bt") + beta * beta * c("_tt")
-        cov = c("_ab") - beta * c("_at") - beta * c("_bt") + beta * beta * c("_tt")
-    else:
-        var, va, vb, cov = F.try_divide(c("_syy"), c("_k") - 1), c("_aa"), c("_bb"), c("_ab")
-    # a leg counts as constant below a standard deviation of 1e-12
-    usable = valid & (c("_np") >= 4) & (va >= 1e-24) & (vb >= 1e-24)
-    return df.withColumns({
-        "var": F.when(valid, F.greatest(var, F.lit(0.0))),
-        "ac": F.when(usable, F.try_divide(cov, F.sqrt(va * vb))),
-    }).drop("_lag", "_beta", *parts)
+
+    def one(cycle: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+        nothing = np.full(len(cycle), np.nan)
+        out = {"var": nothing, "ac": nothing.copy()}
+        if len(cycle) < window:
+            return out
+        views = np.lib.stride_tricks.sliding_window_view
+        b, t = views(np.asarray(value, np.float64), window), views(np.asarray(cycle, np.float64), window)
+        known = ~np.isnan(b)
+        k = known.sum(axis=1)
+        valid = k >= need
+        b, t, known, k = b[valid], t[valid], known[valid], k[valid]
+
+        def centred(x, among, n):
+            mean = np.where(among, x, 0.0).sum(axis=1) / np.maximum(n, 1)
+            return np.where(among, x - mean[:, None], 0.0)
+
+        y, x = centred(b, known, k), centred(t, known, k)
+        syy = (y * y).sum(axis=1)
+        beta = np.zeros(len(k))
+        if detrend:
+            sxy, sxx = (x * y).sum(axis=1), (x * x).sum(axis=1)
+            beta = np.divide(sxy, sxx, out=np.full(len(k), np.nan), where=sxx != 0)
+            syy = syy - beta * sxy
+        both = known[:, 1:] & known[:, :-1]
+        n = both.sum(axis=1)
+        of = lambda p, q: (p * q).sum(axis=1) / np.maximum(n, 1)
+        pa, pb, pt = centred(b[:, :-1], both, n), centred(b[:, 1:], both, n), centred(t[:, 1:], both, n)
+        va, vb, cov = of(pa, pa), of(pb, pb), of(pa, pb)
+        if detrend:
+            at, bt, tt = of(pa, pt), of(pb, pt), of(pt, pt)
+            va, vb, cov = (va - 2 * beta * at + beta * beta * tt, vb - 2 * beta * bt + beta * beta * tt,
+                           cov - beta * at - beta * bt + beta * beta * tt)
+        # a leg counts as constant below a standard deviation of 1e-12
+        usable = (n >= 4) & (va >= 1e-24) & (vb >= 1e-24)
+        ends = np.flatnonzero(valid) + window - 1
+        out["var"][ends] = np.maximum(syy / (k - 1), 0.0)
+        out["ac"][ends] = np.divide(cov, np.sqrt(np.where(usable, va * vb, 1.0)), out=np.full(len(k), np.nan), where=usable)
+        return out
+
+    @F.pandas_udf("struct<var: array<double>, ac: array<double>>")
+    def windows(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [one(c, np.asarray(v, np.float64)) for c, v in zip(rows["cycle"], rows["value"])]
+        return pd.DataFrame({leg: pd.Series([f[leg] for f in found], dtype=object) for leg in ("var", "ac")})
+
+    rest = [c for c in df.columns if c not in keys]
+    by_cycle = F.array_sort(F.collect_list(F.struct(F.col("cycle").alias("_at"), *rest)))
+    series = df.groupBy(*keys).agg(by_cycle.alias("_rows"))
+    value = F.transform("_rows", lambda r: r[y].cast("double"))
+    done = series.withColumn("_legs", windows(F.struct(F.col("_rows._at").alias("cycle"), value.alias("value"))))
+    each = done.select(*keys, F.explode(F.arrays_zip("_rows", F.col("_legs.var").alias("var"), F.col("_legs.ac").alias("ac"))).alias("_r"))
+    leg = lambda c: F.nanvl(f"_r.{c}", F.lit(None).cast("double")).alias(c)
+    return each.select(*keys, *[F.col(f"_r._rows.{c}").alias(c) for c in rest], leg("var"), leg("ac")).select(*df.columns, "var", "ac")
 
 
 def with_blocks(df: DataFrame, keys: Sequence[str], block: int, before: int, after: int) -> DataFrame:
