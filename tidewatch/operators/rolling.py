@@ -314,32 +314,47 @@ def tau_b(n: Column, s: Column, tied: Column) -> Column:
     return F.when(n >= 4, F.try_divide(s.cast("double"), F.sqrt((pairs - tied) * pairs)))
 
 
-def rolling_tau(df: DataFrame, keys: Sequence[str], x: str, span: int, out: str) -> DataFrame:
+def rolling_tau(df: DataFrame, keys: Sequence[str], x: str | Sequence[str], span: int, out: str | Sequence[str]) -> DataFrame:
     """Kendall tau-b against time of the last ``span`` values, given max(4, floor(0.6 span)) known ones.
 
-    Moving the window one row on adds the new value's pairs with the span-1 values before it and takes away the
-    dropped value's pairs with the span-1 values after it. Both are sums over a short frame; their running totals
-    are integers, so the work per row is linear in ``span`` and the result exact.
+    The rows of a key are one array. The pairs of two values ``d`` rows apart have their signs taken once, and running totals of
+    them tell the sum in every window; these are integers, so the work per row is linear in ``span`` and the result exact.
+    ``x`` and ``out`` may be several columns, which share one array of rows.
     """
-    order = W.partitionBy(*keys).orderBy("cycle")
-    here, steps, zero = F.col(x), range(1, span), F.lit(0)
-    df = df.withColumns({f"_p{d}": F.lag(x, d).over(order) for d in steps} | {f"_f{d}": F.lead(x, d).over(order) for d in steps})
-
-    def total(side: str, term) -> Column:
-        return sum((F.coalesce(term(F.col(f"{side}{d}")).cast("int"), zero) for d in steps), zero)
-
-    df = df.withColumns({
-        "_in": total("_p", lambda p: F.signum(here - p)), "_out": total("_f", lambda p: F.signum(p - here)),
-        "_tin": total("_p", lambda p: p == here), "_tout": total("_f", lambda p: p == here),
-    }).drop(*[f"_{side}{d}" for side in "pf" for d in steps])
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    gone = order.rowsBetween(W.unboundedPreceding, -span)
-    frame = order.rowsBetween(1 - span, 0)
-    df = df.withColumns({
-        "_s": F.sum("_in").over(so_far) - F.coalesce(F.sum("_out").over(gone), zero),
-        "_t": F.sum("_tin").over(so_far) - F.coalesce(F.sum("_tout").over(gone), zero),
-        "_n": F.count(x).over(frame), "_rows": F.count(F.lit(1)).over(frame),
-    })
-    enough = (F.col("_rows") == span) & (F.col("_n") >= max(4, int(0.6 * span)))
-    return df.withColumn(out, F.when(enough, tau_b(F.col("_n"), F.col("_s"), F.col("_t")))).drop(
-        "_in", "_out", "_tin", "_tout", "_s", "_t", "_n", "_rows")
+    names, outs = ([x], [out]) if isinstance(x, str) else (list(x), list(out))
+    need = max(4, int(0.6 * span))
+
+    def one(y: np.ndarray) -> np.ndarray:
+        tau = np.full(len(y), np.nan)
+        if len(y) < span:
+            return tau
+        ends = np.arange(span - 1, len(y))
+
+        def within(terms: np.ndarray, d: int) -> np.ndarray:
+            """Sum over the pairs (i, i + d) of each window."""
+            so_far = np.concatenate([[0], np.cumsum(terms, dtype=np.int64)])
+            return so_far[ends - d + 1] - so_far[ends - span + 1]
+
+        n = within(~np.isnan(y), 0)
+        s, tied = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        for d in range(1, span):
+            early, late = y[:-d], y[d:]  # comparisons with a missing value are false
+            more, less = early < late, early > late
+            s += within(more.astype(np.int8) - less, d)
+            tied += within(early == late, d)
+        pairs = n * (n - 1) / 2
+        spread = np.sqrt((pairs - tied) * pairs)
+        tau[ends] = np.divide(s, spread, out=np.full(len(ends), np.nan), where=(n >= need) & (spread > 0))
+        return tau
+
+    @F.pandas_udf(f"struct<{', '.join(f't{i}: array<double>' for i in range(len(names)))}>")
+    def windows(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({f"t{i}": pd.Series([one(np.asarray(v, np.float64)) for v in rows[f"x{i}"]], dtype=object) for i in range(len(names))})
+
+    rest = [c for c in df.columns if c not in keys]
+    by_cycle = F.array_sort(F.collect_list(F.struct(F.col("cycle").alias("_at"), *rest)))
+    values = [F.col(f"_rows.{c}").cast("array<double>").alias(f"x{i}") for i, c in enumerate(names)]
+    done = df.groupBy(*keys).agg(by_cycle.alias("_rows")).withColumn("_taus", windows(F.struct(*values)))
+    each = done.select(*keys, F.explode(F.arrays_zip("_rows", *[F.col(f"_taus.t{i}").alias(f"t{i}") for i in range(len(names))])).alias("_r"))
+    taus = [F.nanvl(f"_r.t{i}", F.lit(None).cast("double")).alias(o) for i, o in enumerate(outs)]
+    return each.select(*keys, *[F.col(f"_r._rows.{c}").alias(c) for c in rest], *taus).select(*df.columns, *outs)

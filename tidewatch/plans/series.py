@@ -382,10 +382,9 @@ trends AS (
 
 def class_trends(spark, sf_dir, window=20, span=15):
     stats = supplier_stats(spark, sf_dir, window)
-    for leg in ("var", "ac"):
-        # ties are judged at nine decimals: the last bits of a double depend on the order of addition
-        stats = rolling.rolling_tau(stats.withColumn(leg, rnd(leg, 9)), [*RUN, "class"], leg, span, f"tau_{leg}")
-    return stats
+    # ties are judged at nine decimals: the last bits of a double depend on the order of addition
+    judged = stats.withColumns({leg: rnd(leg, 9) for leg in ("var", "ac")})
+    return rolling.rolling_tau(judged, [*RUN, "class"], ["var", "ac"], span, ["tau_var", "tau_ac"])
 
 
 def mixed_trends(spark, sf_dir, window=20, span=15):
