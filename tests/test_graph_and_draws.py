@@ -40,6 +40,43 @@ def test_dynamic_components_equal_every_snapshot(spark, fanout, n_cycles):
     assert sizes == Counter((t, comp) for (t, _), comp in expected.items())
 
 
+def test_small_snapshots_settle_without_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(t, *sorted(rng.sample(range(60 * (t + 1)), 2))) for t in range(5) for _ in range(45 * (t + 1))]
+    expected = {(t, n): c for t in range(5) for n, c in union_find([(a, b) for u, a, b in rows if u == t]).items()}
+    edges = spark.createDataFrame([*rows, *rows[:9]], "cycle int, src long, dst long")
+    found = lambda: {(r.cycle, r.node): r.comp for r in graph.connected_components(edges).collect()}
+    monkeypatch.setattr(graph, "FOREST_EDGES", 100)  # some snapshots in chunks
+    assert found() == expected
+
+    def no_rounds(*_):
+        raise AssertionError("a round for snapshots that fit a task")
+
+    monkeypatch.setattr(graph, "FOREST_EDGES", 1000)
+    monkeypatch.setattr(graph, "spread_labels", no_rounds)
+    assert found() == expected
+
+
+@pytest.mark.parametrize("most", [0, 75, 1000])
+def test_blocks_of_any_size_equal_every_snapshot(spark, monkeypatch, most):
+    rng = random.Random(most)
+    n_cycles, spans = 37, []
+    for _ in range(170):
+        b = rng.randrange(-5, n_cycles)
+        a, c = rng.sample(range(40), 2)
+        spans.append((min(a, c), max(a, c), b, b + rng.choice([0, 1, 3, 20, 90])))
+    expected = {(t, node): comp for t in range(n_cycles) for node, comp in union_find([(a, c) for a, c, b, e in spans if b <= t <= e]).items()}
+    table = spark.createDataFrame(spans, "src long, dst long, b int, e int")
+    trees, tree = [], graph.tree_components
+    monkeypatch.setattr(graph, "BLOCK_TIES", most)
+    monkeypatch.setattr(graph, "tree_components", lambda *args: trees.append(1) or tree(*args))
+    got = graph.dynamic_components(table, n_cycles).collect()
+    assert len(got) == len(expected) and {(r.cycle, r.node): r.comp for r in got} == expected
+    sizes = {(r.cycle, r.comp): r.s for r in graph.dynamic_components(table, n_cycles, sizes=True).collect()}
+    assert sizes == Counter((t, comp) for (t, _), comp in expected.items())
+    assert len(trees) == (0 if most == 1000 else 2)  # the tree of cells is only for blocks that do not fit a task
+
+
 def test_dynamic_components_of_nothing(spark):
     table = spark.createDataFrame([(1, 2, 9, 12)], "src long, dst long, b int, e int")
     assert graph.dynamic_components(table, 5).collect() == []

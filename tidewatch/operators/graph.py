@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +15,11 @@ from tidewatch.session import cut_lineage
 
 # Members of a team that one join key may hold; a larger team is cut into chunks.
 CHUNK = 64
+# Edges of a snapshot that are contracted together in a task; a larger snapshot is cut into hash chunks of about that many.
+FOREST_EDGES = 500_000
+# Cycles of a block whose snapshots one task contracts, and the most ties such a block may have; others take the tree of cells.
+BLOCK_CYCLES = 16
+BLOCK_TIES = 3_000_000
 
 
 def team_pairs(members: DataFrame, keys: Sequence[str] = ("team", "cycle"), node: str = "node") -> DataFrame:
@@ -71,9 +78,81 @@ def degrees(live: DataFrame, by: Sequence[str] = ("cycle",)) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("degree")))
 
 
+def smallest_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node reachable over the edges (u, v) of every node 0..n-1: roots hook to smaller roots, trees are flattened."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def contracted(edges: DataFrame, by: str) -> DataFrame:
+    """Rows ``(by, _chunk, node, comp)``: the components of each chunk of each snapshot's edges, which has a row a node.
+
+    Tasks read their edges in the order of snapshots and chunks and hold those of a few chunks at a time.
+    """
+    def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solved(rows: pd.DataFrame) -> pd.DataFrame:
+            m = len(rows)
+            cell = np.tile(rows[by].to_numpy(np.int64), 2)
+            chunk, end = np.tile(rows["_chunk"].to_numpy(np.int64), 2), np.concatenate([rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64)])
+            order = np.lexsort((end, chunk, cell))
+            key = np.stack([cell[order], chunk[order], end[order]])
+            first = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+            number = np.empty(2 * m, np.int64)
+            number[order] = np.cumsum(first) - 1
+            cell, chunk, node = key[:, first]  # in ascending order, so the smallest number is the smallest node
+            label = smallest_labels(number[:m], number[m:], len(node))
+            return pd.DataFrame({by: cell, "_chunk": chunk, "node": node, "comp": node[label]})
+
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += len(b)
+            if rows >= FOREST_EDGES:
+                whole = pd.concat(held, ignore_index=True)
+                open_ = ((whole[by] == whole[by].iloc[-1]) & (whole["_chunk"] == whole["_chunk"].iloc[-1])).to_numpy()
+                if not open_.all():
+                    yield solved(whole[~open_])
+                    whole = whole[open_].reset_index(drop=True)
+                held, rows = [whole], len(whole)
+        if rows:
+            yield solved(pd.concat(held, ignore_index=True))
+
+    types = {f.name: f.dataType.simpleString() for f in edges.schema}
+    dealt = edges.repartition(by, "_chunk").sortWithinPartitions(by, "_chunk")
+    found = dealt.mapInPandas(contract, f"`{by}` bigint, _chunk bigint, node bigint, comp bigint")
+    return found.select(F.col(by).cast(types[by]).alias(by), "_chunk", "node", "comp")
+
+
 def connected_components(edges: DataFrame, by: str = "cycle", max_rounds: int = 60) -> DataFrame:
     """Component label (its smallest node) of every node that has an edge: rows ``(by, node, comp)``.
 
+    A snapshot's edges are contracted in chunks of about ``FOREST_EDGES``. A snapshot of one chunk is done with that; from the
+    chunks of a larger one an edge for each node and chunk is left, over which labels spread in rounds.
+    """
+    edges = edges.select(by, F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    counts = edges.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FOREST_EDGES)
+    large = {r[by]: r["_n"] for r in counts.collect()}
+    if not large:
+        return contracted(edges.withColumn("_chunk", F.lit(0)), by).drop("_chunk")
+    chunks = F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, -(-n // FOREST_EDGES))])
+    placed = edges.withColumn("_chunk", F.pmod(F.xxhash64("src", "dst"), F.coalesce(chunks[F.col(by)], F.lit(1))).cast("int"))
+    parts = cut_lineage(contracted(placed, by))
+    is_large = F.col(by).isin(*large)
+    rest = parts.where(is_large).select(by, F.col("comp").alias("src"), F.col("node").alias("dst"))
+    return parts.where(~is_large).drop("_chunk").unionByName(spread_labels(rest, by, max_rounds))
+
+
+def spread_labels(edges: DataFrame, by: str, max_rounds: int) -> DataFrame:
+    """Components of snapshots of any size: rows ``(by, node, comp)``. An edge may tie a node to itself.
+
     All snapshots advance together. A round takes the smallest label among the neighbours, hands it to the former
     label as well, and then follows labels once (label of my label), so chains shrink by more than half; it ends
     when no label moves. Lineage is cut in
@@ -162,16 +241,83 @@ def timeline_cells(spans: DataFrame, n_cycles: int, fanout: int = 4) -> DataFram
     return inside.select("src", "dst", F.explode(placed).alias("_c")).select("_c.level", "_c.cell", "src", "dst")
 
 
+def block_snapshots(src: np.ndarray, dst: np.ndarray, b: np.ndarray, e: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cycle, node, comp) of every snapshot lo..hi, for the nodes with a tie; ties have two different ends.
+
+    Ties that live through a stretch of cycles are contracted once, the others are handed to its halves with contracted ends.
+    """
+    nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+
+    def halves(lo, hi, label, u, v, b, e):
+        whole = (b <= lo) & (e >= hi)
+        if whole.any():
+            to = smallest_labels(u[whole], v[whole], len(label))
+            label, u, v = to[label], to[u], to[v]
+        if lo == hi:
+            tied = np.bincount(label, minlength=len(label))[label] > 1
+            if tied.any():
+                yield lo, nodes[tied], nodes[label[tied]]
+            return
+        mid, open_ = (lo + hi) // 2, ~whole & (u != v)
+        for first, last in ((lo, mid), (mid + 1, hi)):
+            own = open_ & (b <= last) & (e >= first)
+            yield from halves(first, last, label, u[own], v[own], b[own], e[own])
+
+    yield from halves(lo, hi, np.arange(len(nodes)), ends[:len(src)], ends[len(src):], b, e)
+
+
 def dynamic_components(spans: DataFrame, n_cycles: int, sizes: bool = False, fanout: int = 4) -> DataFrame:
-    """Connected components of every snapshot of a graph whose ties live from ``b`` to ``e``.
+    """Connected components of every snapshot of a graph whose ties, between different nodes, live from ``b`` to ``e``.
 
     Returns ``(cycle, node, comp)`` for every tied node, comp being the smallest node, or with ``sizes`` only
-    ``(cycle, comp, s)``. Lifetimes lie on a tree over the cycles (:func:`timeline_cells`) which is descended level by level:
+    ``(cycle, comp, s)``. Ties are dealt to the blocks of ``BLOCK_CYCLES`` cycles they live in, and a block is contracted in one
+    task. Blocks of more than ``BLOCK_TIES`` ties are spread over many tasks by :func:`tree_components`.
+    """
+    width, most = BLOCK_CYCLES, BLOCK_TIES
+    b, e = F.greatest("b", F.lit(0)).cast("int"), F.least("e", F.lit(n_cycles - 1)).cast("int")
+    inside = cut_lineage(spans.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), b.alias("b"), e.alias("e")).where("b <= e"))
+    dealt = inside.withColumn("_block", F.explode(F.sequence(F.floor(F.col("b") / width).cast("int"), F.floor(F.col("e") / width).cast("int"))))
+    large = [r["_block"] for r in dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def block(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            lo = int(rows["_block"].iloc[0]) * width
+            found = block_snapshots(*[rows[c].to_numpy() for c in ("src", "dst", "b", "e")], lo, min(lo + width, n_cycles) - 1)
+            for cycle, node, comp in found:
+                if sizes:
+                    comp, s = np.unique(comp, return_counts=True)
+                    yield pd.DataFrame({"cycle": cycle, "comp": comp, "s": s})
+                else:
+                    yield pd.DataFrame({"cycle": cycle, "node": node, "comp": comp})
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for own, rows in batch.groupby("_block"):  # tasks read block after block
+                if held and held[0]["_block"].iloc[0] != own:
+                    yield from block(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(rows)
+        if held:
+            yield from block(pd.concat(held, ignore_index=True))
+
+    small = dealt.where(~F.col("_block").isin(large)) if large else dealt
+    out = small.repartition("_block").sortWithinPartitions("_block").mapInPandas(
+        solve, "cycle int, comp bigint, s bigint" if sizes else "cycle int, node bigint, comp bigint")
+    if not large:
+        return out
+    first = F.col("_block") * width
+    cut = dealt.where(F.col("_block").isin(large)).select(
+        "src", "dst", F.greatest("b", first).alias("b"), F.least(F.col("e"), first + (width - 1)).alias("e"))
+    return out.unionByName(tree_components(cut, n_cycles, sizes, fanout).select(*out.columns))
+
+
+def tree_components(spans: DataFrame, n_cycles: int, sizes: bool = False, fanout: int = 4) -> DataFrame:
+    """As :func:`dynamic_components`, with every snapshot spread over tasks. Lifetimes lie on a tree over the cycles (:func:`timeline_cells`) which is descended level by level:
     the ties of a cell are contracted once for all cycles under it, ties further down see contracted nodes, and those that
     have become loops are gone. All cells of a level advance together as one table keyed by cell. With ``sizes`` a cell holds
     its components with their number of nodes and no member is carried.
     """
-    pieces = cut_lineage(timeline_cells(spans, n_cycles, fanout).distinct())
+    pieces = cut_lineage(timeline_cells(spans, n_cycles, fanout))  # a repeated piece is harmless
     levels = sorted((r.level for r in pieces.select("level").distinct().collect()), reverse=True)
     spark = spans.sparkSession
     carried, above = None, None
@@ -201,7 +347,7 @@ def dynamic_components(spans: DataFrame, n_cycles: int, sizes: bool = False, fan
                 to = labels.select(F.col("cell").alias("_up"), F.col("node").alias(end), F.col("comp").alias("_to"))
                 rest = rest.join(to, ["_up", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
             rest = rest.where("src <> dst").select("level", "cell", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-            pieces = cut_lineage(rest.distinct())
+            pieces = cut_lineage(rest)
     if carried is None:
         return spark.createDataFrame([], "cycle int, comp bigint, s bigint" if sizes else "cycle int, node bigint, comp bigint")
     if above:

@@ -10,6 +10,7 @@ from tidewatch.functions.columns import rnd
 from tidewatch.operators import graph as G
 from tidewatch.operators.rolling import pooled_trailing_mean
 from tidewatch.plans.registry import query
+from tidewatch.session import cut_lineage
 from tidewatch.sources import teams as M
 from tidewatch.sources.tables import ORDER_DAYS, densify, table
 from tidewatch.sources.teams import COVERAGE, EVENTS_SQL, LINK_WINDOW, MEMBERS_SQL, TIE_WINDOW, VISIBLE_SQL
@@ -172,7 +173,7 @@ SELECT t.team, count(DISTINCT l.pathway) AS reach FROM tc t LEFT JOIN lc l USING
 def pathway_reach(spark, sf_dir):
     """Distinct pathways with a live member in any component of a team."""
     members = M.members(spark, sf_dir)
-    comps = start_components(spark, sf_dir, members)
+    comps = cut_lineage(start_components(spark, sf_dir, members))  # read twice
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
