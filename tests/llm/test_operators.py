@@ -438,3 +438,20 @@ def test_ordinals_number_every_key(spark):
     df = common.stored(spark.createDataFrame([(i % 2 if i % 3 else 0, i) for i in range(500)], "k int, i long"))
     got = common.ordinals(df, "k", ["i"], rows_per_part=20).groupBy("k").agg(F.sort_array(F.collect_list("ordinal")).alias("o")).collect()
     assert all(list(r.o) == list(range(len(r.o))) for r in got) and len(got) == 2
+
+
+def test_new_words_are_scored_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    written = rng.random((len(language.NAMES), 3)) < 0.6
+    written[language.NAMES.index("thai")] = False  # a script of no language
+    model = language.LanguageModel(["a", "b", "c"], rng.normal(-9, 3, (1 << 10, 3)), written)
+    words = ["a", "\u00e9t\u00e9", "\u4e2d\u6587", "\u0e01\u0e02", "\u0431\u043e\u043b\u044c\u0448\u043e\u0439", "\U0001d400b", "\u02b0x", "x" * 5000, "ab", "aba"]
+    want = np.array([model.word_scores(w) for w in words])
+    monkeypatch.setattr(language, "SCORES_AT_ONCE", 60)  # several slices
+    assert np.array_equal(model.scores_of(words, language.Grams(1 << 10)), want)
+    assert model.scores_of([], language.Grams(1 << 10)).shape == (0, 3)
+    monkeypatch.setattr(language.LanguageModel, "word_scores", None)  # no call for a single word
+    label = language.Labeller(model)
+    _, sizes = label([" ".join(words), "aba ab", ""])
+    assert sizes.tolist() == [len(words), 2, 0]
+    assert np.array_equal(label.table[[label.index[w.lower()] for w in words]], model.scores_of([w.lower() for w in words], language.Grams(1 << 10)))

@@ -12,7 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,9 +35,12 @@ SCRIPTS = [
     ("hangul", 0xAC00, 0xD7AF),
 ]
 NAMES = ["other", *dict.fromkeys(s[0] for s in SCRIPTS)]
-STARTS = np.array([s[1] for s in SCRIPTS])
+STARTS, LASTS = np.array([s[1] for s in SCRIPTS]), np.array([s[2] for s in SCRIPTS])
+INDEX = np.array([NAMES.index(s[0]) for s in SCRIPTS])
 #: Stretches whose words and scores a worker keeps; beyond it the store starts afresh, which changes no result.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Scores that are added up together, so that many new words at once take no more memory than a few.
+SCORES_AT_ONCE = 1 << 20
 
 
 def has_letter(word: str) -> bool:
@@ -45,7 +48,7 @@ def has_letter(word: str) -> bool:
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in WORD.findall(text) if has_letter(w)]
+    return [w for w in WORD.findall(text) if w.isalpha() or has_letter(w)]
 
 
 def script(word: str) -> int:
@@ -55,6 +58,13 @@ def script(word: str) -> int:
     return NAMES.index(SCRIPTS[i][0]) if i >= 0 and point <= SCRIPTS[i][2] else 0
 
 
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """:func:`script` of words by the code points of their first letters."""
+    i = np.searchsorted(STARTS, points, side="right") - 1
+    inside = (i >= 0) & (points <= LASTS[i])
+    return np.where(inside, INDEX[i], 0)
+
+
 def grams(word: str, size: int) -> list[int]:
     """Hashed letter n-grams (1 to 3, with word ends) and the word itself."""
     w = f"<{word}>"
@@ -62,6 +72,17 @@ def grams(word: str, size: int) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % size for g in [*found, w]]
 
 
+class Grams(dict):
+    """Letter n-gram to its hash, each found once."""
+
+    def __init__(self, size: int):
+        self.of = size
+
+    def __missing__(self, gram: str) -> int:
+        n = self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % self.of
+        return n
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -79,6 +100,31 @@ class LanguageModel:
         s = np.maximum(s - s[allowed].max(), -self.most)
         return np.where(allowed, s, -self.most).astype(np.float32)
 
+    def scores_of(self, words: list[str], known: Grams) -> np.ndarray:
+        """:func:`word_scores` of every word, a row each; ``known`` keeps the hashes of n-grams."""
+        n, size = len(self.languages), len(self.log_p)
+        out = np.zeros((len(words), n), np.float32)
+        if not n or not words:
+            return out
+        letters = np.array([max(len(w), 1) for w in words], np.int64)
+        for lo, hi in slices((letters * 3 * n).tolist(), SCORES_AT_ONCE):
+            flat: list[int] = []
+            starts = []
+            for word in words[lo:hi]:
+                w = f"<{word}>"
+                starts.append(len(flat))
+                flat += map(known.__getitem__, w[2:])
+                flat += map(known.__getitem__, map(str.__add__, w, w[1:]))
+                flat += map(known.__getitem__, [w[i:i + 3] for i in range(len(w) - 2)])
+                flat.append(zlib.crc32(w.encode("utf-8", "surrogatepass")) % size)
+            s = np.add.reduceat(self.log_p[flat], starts, axis=0)
+            points = np.array([ord(w[0]) for w in words[lo:hi]])
+            allowed = self.written[scripts_of(points)]
+            s -= np.where(allowed, s, -np.inf).max(axis=1, keepdims=True)
+            s = np.where(allowed, np.maximum(s, -self.most), -self.most)
+            out[lo:hi] = np.where(allowed.any(axis=1)[:, None], s, 0)
+        return out
+
 
 def fit(docs: DataFrame, sample_per_language: int = 2000, features: int = 1 << 16, most_languages: int = 200) -> LanguageModel:
     """Learn from ``docs`` (text, lang): n-gram counts of about ``sample_per_language`` whole documents of each language.
@@ -207,14 +253,11 @@ class Labeller:
     def clear(self) -> None:
         self.stretches = Stretches()
         self.index: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.grams = Grams(len(self.model.log_p))
         self.table = np.zeros((0, len(self.model.languages)), np.float32)
 
     def number(self, word: str) -> int:
-        if word not in self.index:
-            self.index[word] = len(self.rows)
-            self.rows.append(self.model.word_scores(word))
-        return self.index[word]
+        return self.index.setdefault(word, len(self.index))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(label of every word, words per text)."""
@@ -227,8 +270,9 @@ class Labeller:
         own = [[self.number(w.lower()) for w in words_of(x)] for x in new]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         self.stretches.fill(self.stretches.numbers(new, len(new)), np.fromiter(chain.from_iterable(own), "<u4", int(sizes.sum())), sizes)
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):], np.float32)])
+        if len(self.index) > len(self.table):
+            fresh = list(islice(self.index, len(self.table), None))  # in the order of their numbers
+            self.table = np.concatenate([self.table, self.model.scores_of(fresh, self.grams)])
         words, n = self.stretches.ids(at)
         per_text = np.bincount(np.repeat(np.arange(len(parts)), counts), n, len(parts)).astype(np.int64)
         return viterbi(self.table, words.astype(np.int64), per_text, self.model.penalty), per_text
