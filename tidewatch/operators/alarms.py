@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewatch.functions.columns import combine_legs
-from tidewatch.operators.rolling import baseline_z, fill_gaps, mix_classes, rolling_statistics
+from tidewatch.operators.rolling import baseline_z, class_scores, fill_gaps, mix_classes, rolling_statistics
 
 
 @dataclass(frozen=True)
@@ -49,10 +49,15 @@ class Rule:
         return replace(self, lagging=replace(self.lagging, **changes))
 
 
-def score_series(series: DataFrame, keys: Sequence[str], rule: LeadingRule, block: int | None = None) -> DataFrame:
-    """Rows ``(keys, cycle, z_var, z_ac, score)`` of the leading rule."""
-    stats = rolling_statistics(series, keys, rule.classes, rule.window, rule.min_frac, rule.max_gap, block=block)
-    z = mix_classes(baseline_z(stats, keys, rule.window, rule.start), keys)
+def score_series(series: DataFrame, keys: Sequence[str], rule: LeadingRule, block: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(keys, cycle, z_var, z_ac, score)`` of the leading rule, with the columns of ``series`` named in ``carry``."""
+    if block is None:
+        z = class_scores(series, keys, rule.classes, rule.window, rule.min_frac, rule.max_gap, rule.start, carry)
+    else:
+        stats = rolling_statistics(series, keys, rule.classes, rule.window, rule.min_frac, rule.max_gap, block=block)
+        z = mix_classes(baseline_z(stats, keys, rule.window, rule.start), keys)
+        if carry:
+            z = z.join(series.select(*keys, "cycle", *carry), [*keys, "cycle"])
     return z.withColumn("score", combine_legs(F.col("z_var"), F.col("z_ac"), rule.combine))
 
 

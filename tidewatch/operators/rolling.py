@@ -8,7 +8,7 @@ so a series of any length can also be cut into blocks that carry the rows of the
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import ceil
 
 import numpy as np
@@ -22,6 +22,135 @@ from tidewatch.session import cut_lineage
 
 # Cycles of a series whose kernel means are found together.
 KERNEL_BLOCK = 1024
+# Series of one axis worked on together; their arrays stay in a core's cache.
+STACK = 64
+
+
+def by_axis(rows: pd.DataFrame, names: Sequence[str], work: Callable[..., dict[str, np.ndarray]]) -> pd.DataFrame:
+    """``work(cycle, *values)`` on the series of a batch that share their cycles, up to ``STACK`` of them at once.
+
+    ``rows`` has a row for each series: its cycles and then the columns of values, all as arrays. Values and results are
+    matrices of series and cycles with NaN for NULL; ``names`` are the results wanted.
+    """
+    axes: dict[bytes, list[int]] = {}
+    for i, c in enumerate(rows["cycle"]):
+        axes.setdefault(np.asarray(c, np.int64).tobytes(), []).append(i)
+    values = [rows[c].to_numpy() for c in rows.columns if c != "cycle"]
+    out = {name: np.empty(len(rows), dtype=object) for name in names}
+    for axis, members in axes.items():
+        cycle = np.frombuffer(axis, np.int64)
+        for lo in range(0, len(members), STACK):
+            part = members[lo:lo + STACK]
+            found = work(cycle, *[np.stack([np.asarray(v[i], np.float64) for i in part]) for v in values])
+            for name in names:
+                for i, row in zip(part, found[name]):
+                    out[name][i] = row
+    return pd.DataFrame(out)
+
+
+def filled(cycle: np.ndarray, x: np.ndarray, max_gap: int) -> np.ndarray:
+    """:func:`fill_gaps` on a matrix of series and cycles."""
+    if max_gap == 0 or not len(cycle):
+        return x
+    known, place = ~np.isnan(x), np.arange(len(cycle))
+    before = np.maximum.accumulate(np.where(known, place, -1), axis=1)
+    after = np.minimum.accumulate(np.where(known, place, len(cycle))[:, ::-1], axis=1)[:, ::-1]
+    row, at = np.nonzero(~known & (before >= 0) & (after < len(cycle)))
+    b, a = before[row, at], after[row, at]
+    near = cycle[a] - cycle[b] - 1 <= max_gap
+    row, at, a, b = row[near], at[near], a[near], b[near]
+    out = x.copy()
+    slope = (x[row, a] - x[row, b]) / (cycle[a] - cycle[b])
+    out[row, at] = x[row, b] + slope * (cycle[at] - cycle[b])
+    return out
+
+
+def window_legs(cycle: np.ndarray, value: np.ndarray, window: int, min_frac: float, detrend: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Variance and lag-1 autocorrelation of the window ending at each cycle, NaN where undefined; see :func:`rolling_var_ac`.
+
+    Each window is centred on its own mean before anything is squared; sums run over the places of all windows at once.
+    """
+    need, m = max(4, math.ceil(min_frac * window)), value.shape[1] - window + 1
+    var, ac = np.full(value.shape, np.nan), np.full(value.shape, np.nan)
+    if m < 1 or not len(value):
+        return var, ac
+    ok = ~np.isnan(value)
+    b, known = np.where(ok, value, 0.0), ok.astype(np.float64)
+    both = known[:, 1:] * known[:, :-1]
+    t = cycle.astype(np.float64)
+    over = lambda x, n: sum(x[:, j:j + m] for j in range(n))
+    k, n = over(known, window), over(both, window - 1)
+    safe_k, safe_n = np.maximum(k, 1), np.maximum(n, 1)
+    mean = over(b, window) / safe_k
+    mean_a, mean_b = over(b[:, :-1] * both, window - 1) / safe_n, over(b[:, 1:] * both, window - 1) / safe_n
+    if detrend:
+        mean_t, mean_u = over(t * known, window) / safe_k, over(t[1:] * both, window - 1) / safe_n
+    syy, sxy, sxx, va, vb, cov, at, bt, tt = np.zeros((9, *k.shape))
+    for j in range(window):
+        y = (b[:, j:j + m] - mean) * known[:, j:j + m]
+        syy += y * y
+        if detrend:
+            x = (t[j:j + m] - mean_t) * known[:, j:j + m]
+            sxy += x * y
+            sxx += x * x
+    for j in range(window - 1):
+        pair = both[:, j:j + m]
+        pa, pb = (b[:, j:j + m] - mean_a) * pair, (b[:, j + 1:j + 1 + m] - mean_b) * pair
+        va += pa * pa
+        vb += pb * pb
+        cov += pa * pb
+        if detrend:
+            pt = (t[j + 1:j + 1 + m] - mean_u) * pair
+            at += pa * pt
+            bt += pb * pt
+            tt += pt * pt
+    if detrend:
+        beta = np.divide(sxy, sxx, out=np.full(k.shape, np.nan), where=sxx != 0)
+        syy = syy - beta * sxy
+        va, vb, cov = (va - 2 * beta * at + beta * beta * tt, vb - 2 * beta * bt + beta * beta * tt, cov - beta * at - beta * bt + beta * beta * tt)
+    va, vb, cov, valid = va / safe_n, vb / safe_n, cov / safe_n, k >= need
+    # a leg counts as constant below a standard deviation of 1e-12
+    usable = valid & (n >= 4) & (va >= 1e-24) & (vb >= 1e-24)
+    np.divide(np.maximum(syy, 0.0), k - 1, out=var[:, window - 1:], where=valid)
+    np.divide(cov, np.sqrt(np.where(usable, va * vb, 1.0)), out=ac[:, window - 1:], where=usable)
+    return var, ac
+
+
+def standard_rows(cycle: np.ndarray, x: np.ndarray, window: int, baseline_end: int, min_n: int = 8) -> np.ndarray:
+    """:func:`baseline_z` of one leg on a matrix of series and cycles."""
+    ref = x[:, (cycle >= window - 1) & (cycle < baseline_end)]
+    known = ~np.isnan(ref)
+    n = known.sum(axis=1, keepdims=True)
+    mean = np.where(known, ref, 0.0).sum(axis=1, keepdims=True) / np.maximum(n, 1)
+    d = np.where(known, ref - mean, 0.0)
+    sd = np.sqrt((d * d).sum(axis=1, keepdims=True) / np.maximum(n - 1, 1))
+    return np.where(n >= min_n, (x - mean) / np.where(sd > 1e-9, sd, 1e-9), np.nan)
+
+
+def mean_known(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """Mean of matrices place by place, skipping NaN; NaN where all are."""
+    n = sum((~np.isnan(p)).astype(np.float64) for p in parts)
+    return np.divide(sum(np.where(np.isnan(p), 0.0, p) for p in parts), n, out=np.full(parts[0].shape, np.nan), where=n > 0)
+
+
+def series_arrays(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """One row for each key with ``_rows``, its cycles and ``cols`` in order of cycle."""
+    by_cycle = F.sort_array(F.collect_list(F.struct(F.col("cycle").alias("_at"), *cols)))
+    return df.groupBy(*keys).agg(by_cycle.alias("_rows"))
+
+
+def array_columns(values: dict[str, str]) -> Column:
+    """The struct that :func:`by_axis` takes: cycles and, under each name, the values of a column of ``_rows``."""
+    return F.struct(F.col("_rows._at").alias("cycle"), *[F.col(f"_rows.{c}").cast("array<double>").alias(n) for n, c in values.items()])
+
+
+def array_type(names: Sequence[str]) -> str:
+    return f"struct<{', '.join(f'{n}: array<double>' for n in names)}>"
+
+
+def known_value(c: str) -> Column:
+    """NaN from a worker's arrays back to NULL."""
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def unpivot_classes(series: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> DataFrame:
@@ -54,63 +183,18 @@ def rolling_var_ac(
     """Add ``var`` and ``ac``: variance and lag-1 autocorrelation of the window ending at each row.
 
     With ``detrend`` the window's own least-squares line is removed first; without, only its mean. The autocorrelation uses the
-    consecutive valid pairs inside the window. The rows of a key are one array whose windows are worked on together, each
-    centred on its own mean before anything is squared; :func:`with_blocks` cuts keys that are too long for that.
+    consecutive valid pairs inside the window. The rows of a key are one array; :func:`with_blocks` cuts keys that are too long
+    for that.
     """
-    need = max(4, math.ceil(min_frac * window))
-
-    def one(cycle: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
-        nothing = np.full(len(cycle), np.nan)
-        out = {"var": nothing, "ac": nothing.copy()}
-        if len(cycle) < window:
-            return out
-        views = np.lib.stride_tricks.sliding_window_view
-        b, t = views(np.asarray(value, np.float64), window), views(np.asarray(cycle, np.float64), window)
-        known = ~np.isnan(b)
-        k = known.sum(axis=1)
-        valid = k >= need
-        b, t, known, k = b[valid], t[valid], known[valid], k[valid]
-
-        def centred(x, among, n):
-            mean = np.where(among, x, 0.0).sum(axis=1) / np.maximum(n, 1)
-            return np.where(among, x - mean[:, None], 0.0)
-
-        y, x = centred(b, known, k), centred(t, known, k)
-        syy = (y * y).sum(axis=1)
-        beta = np.zeros(len(k))
-        if detrend:
-            sxy, sxx = (x * y).sum(axis=1), (x * x).sum(axis=1)
-            beta = np.divide(sxy, sxx, out=np.full(len(k), np.nan), where=sxx != 0)
-            syy = syy - beta * sxy
-        both = known[:, 1:] & known[:, :-1]
-        n = both.sum(axis=1)
-        of = lambda p, q: (p * q).sum(axis=1) / np.maximum(n, 1)
-        pa, pb, pt = centred(b[:, :-1], both, n), centred(b[:, 1:], both, n), centred(t[:, 1:], both, n)
-        va, vb, cov = of(pa, pa), of(pb, pb), of(pa, pb)
-        if detrend:
-            at, bt, tt = of(pa, pt), of(pb, pt), of(pt, pt)
-            va, vb, cov = (va - 2 * beta * at + beta * beta * tt, vb - 2 * beta * bt + beta * beta * tt,
-                           cov - beta * at - beta * bt + beta * beta * tt)
-        # a leg counts as constant below a standard deviation of 1e-12
-        usable = (n >= 4) & (va >= 1e-24) & (vb >= 1e-24)
-        ends = np.flatnonzero(valid) + window - 1
-        out["var"][ends] = np.maximum(syy / (k - 1), 0.0)
-        out["ac"][ends] = np.divide(cov, np.sqrt(np.where(usable, va * vb, 1.0)), out=np.full(len(k), np.nan), where=usable)
-        return out
-
-    @F.pandas_udf("struct<var: array<double>, ac: array<double>>")
+    @F.pandas_udf(array_type(["var", "ac"]))
     def windows(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [one(c, np.asarray(v, np.float64)) for c, v in zip(rows["cycle"], rows["value"])]
-        return pd.DataFrame({leg: pd.Series([f[leg] for f in found], dtype=object) for leg in ("var", "ac")})
+        return by_axis(rows, ["var", "ac"], lambda c, v: dict(zip(["var", "ac"], window_legs(c, v, window, min_frac, detrend))))
 
     rest = [c for c in df.columns if c not in keys]
-    by_cycle = F.array_sort(F.collect_list(F.struct(F.col("cycle").alias("_at"), *rest)))
-    series = df.groupBy(*keys).agg(by_cycle.alias("_rows"))
-    value = F.transform("_rows", lambda r: r[y].cast("double"))
-    done = series.withColumn("_legs", windows(F.struct(F.col("_rows._at").alias("cycle"), value.alias("value"))))
+    done = series_arrays(df, keys, rest).withColumn("_legs", windows(array_columns({"value": y})))
     each = done.select(*keys, F.explode(F.arrays_zip("_rows", F.col("_legs.var").alias("var"), F.col("_legs.ac").alias("ac"))).alias("_r"))
-    leg = lambda c: F.nanvl(f"_r.{c}", F.lit(None).cast("double")).alias(c)
-    return each.select(*keys, *[F.col(f"_r._rows.{c}").alias(c) for c in rest], leg("var"), leg("ac")).select(*df.columns, "var", "ac")
+    legs = [known_value(f"_r.{c}").alias(c) for c in ("var", "ac")]
+    return each.select(*keys, *[F.col(f"_r._rows.{c}").alias(c) for c in rest], *legs).select(*df.columns, "var", "ac")
 
 
 def with_blocks(df: DataFrame, keys: Sequence[str], block: int, before: int, after: int) -> DataFrame:
@@ -132,22 +216,59 @@ def rolling_statistics(
     series: DataFrame, keys: Sequence[str], classes: Sequence[str], window: int = 30, min_frac: float = 0.5,
     max_gap: int = 3, detrend: bool = True, block: int | None = None,
 ) -> DataFrame:
-    """Gap filling and rolling statistics of every class: rows ``(keys, class, cycle, y, var, ac)``."""
-    long = unpivot_classes(series, keys, classes)
-    part = [*keys, "class"]
-    if block is not None:
-        long = with_blocks(long, part, block, before=window + max_gap, after=max_gap)
-        part = [*part, "_block"]
-    out = rolling_var_ac(fill_gaps(long, part, max_gap=max_gap), part, window=window, min_frac=min_frac,
-                         detrend=detrend)
-    if block is not None:
-        out = out.where("_own").withColumns({
-            "var": F.when(F.col("cycle") >= window - 1, F.col("var")),
-            "ac": F.when(F.col("cycle") >= window - 1, F.col("ac")),
-        })
+    """Gap filling and rolling statistics of every class: rows ``(keys, class, cycle, y, var, ac)``.
+
+    Without ``block`` all classes of a key are worked on in the arrays of its one row.
+    """
+    if block is None:
+        names = [f"{leg}{i}" for i in range(len(classes)) for leg in ("y", "var", "ac")]
+
+        @F.pandas_udf(array_type(names))
+        def legs(rows: pd.DataFrame) -> pd.DataFrame:
+            def work(cycle, *xs):
+                out = {}
+                for i, x in enumerate(xs):
+                    out[f"y{i}"] = filled(cycle, x, max_gap)
+                    out[f"var{i}"], out[f"ac{i}"] = window_legs(cycle, out[f"y{i}"], window, min_frac, detrend)
+                return out
+            return by_axis(rows, names, work)
+
+        done = series_arrays(series, keys, classes).withColumn("_legs", legs(array_columns({f"x{i}": c for i, c in enumerate(classes)})))
+        per_class = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.arrays_zip(
+            F.col("_rows._at").alias("cycle"), *[F.col(f"_legs.{leg}{i}").alias(leg) for leg in ("y", "var", "ac")]).alias("z")) for i, c in enumerate(classes)]))
+        each = done.select(*keys, per_class.alias("_c")).select(*keys, F.col("_c.class").alias("class"), F.explode("_c.z").alias("_r"))
+        return each.select(*keys, "class", F.col("_r.cycle").alias("cycle"), *[known_value(f"_r.{leg}").alias(leg) for leg in ("y", "var", "ac")])
+    part = [*keys, "class", "_block"]
+    long = with_blocks(unpivot_classes(series, keys, classes), [*keys, "class"], block, before=window + max_gap, after=max_gap)
+    out = rolling_var_ac(fill_gaps(long, part, max_gap=max_gap), part, window=window, min_frac=min_frac, detrend=detrend)
+    out = out.where("_own").withColumns({leg: F.when(F.col("cycle") >= window - 1, F.col(leg)) for leg in ("var", "ac")})
     return out.select(*keys, "class", "cycle", "y", "var", "ac")
 
 
+def mixed_legs(cycle: np.ndarray, ys: Sequence[np.ndarray], window: int, min_frac: float, baseline_end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The standardised legs of every class from its gap-filled values."""
+    legs = [window_legs(cycle, y, window, min_frac, True) for y in ys]
+    return [tuple(standard_rows(cycle, leg, window, baseline_end) for leg in pair) for pair in legs]
+
+
+def class_scores(series: DataFrame, keys: Sequence[str], classes: Sequence[str], window: int, min_frac: float, max_gap: int,
+                 baseline_end: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(keys, cycle, z_var, z_ac, carry…)``: gap filling, rolling statistics, :func:`baseline_z` and :func:`mix_classes` in
+    the arrays of a key's one row. ``carry`` names columns of ``series`` that are kept."""
+    @F.pandas_udf(array_type(["z_var", "z_ac"]))
+    def scores(rows: pd.DataFrame) -> pd.DataFrame:
+        def work(cycle, *xs):
+            legs = mixed_legs(cycle, [filled(cycle, x, max_gap) for x in xs], window, min_frac, baseline_end)
+            return {"z_var": mean_known([v for v, _ in legs]), "z_ac": mean_known([a for _, a in legs])}
+        return by_axis(rows, ["z_var", "z_ac"], work)
+
+    done = series_arrays(series, keys, list(dict.fromkeys([*classes, *carry]))).withColumn("_z", scores(array_columns({f"x{i}": c for i, c in enumerate(classes)})))
+    each = done.select(*keys, F.explode(F.arrays_zip(
+        F.col("_rows._at").alias("cycle"), F.col("_z.z_var").alias("z_var"), F.col("_z.z_ac").alias("z_ac"), *[F.col(f"_rows.{c}").alias(c) for c in carry])).alias("_r"))
+    return each.select(*keys, F.col("_r.cycle").alias("cycle"), known_value("_r.z_var").alias("z_var"), known_value("_r.z_ac").alias("z_ac"),
+                       *[F.col(f"_r.{c}").alias(c) for c in carry])
+
+
 def standardised(col: Column, mean: Column, sd: Column, n: Column, min_n: int = 8) -> Column:
     """Distance from a reference mean in reference standard deviations; NULL on a short reference."""
     return F.when(n >= min_n, (col - mean) / F.when(sd > 1e-9, sd).otherwise(F.lit(1e-9)))
@@ -194,6 +315,46 @@ def twin_baseline_z(
     }).select(*stats.columns, "z_var", "z_ac")
 
 
+def kernel_mean(cycle: np.ndarray, value: np.ndarray, bandwidth: float, reach: int) -> np.ndarray:
+    """Gaussian-kernel mean at each known value over the known ones within ``reach`` cycles; NaN elsewhere."""
+    place = cycle - cycle.min()
+    wy, w = np.zeros((2, len(value), place.max() + 1))
+    found = ~np.isnan(value)
+    wy[:, place], w[:, place] = np.where(found, value, 0.0), found
+    total, weight = wy.copy(), w.copy()
+    for d in range(1, min(reach, wy.shape[1] - 1) + 1):
+        g = math.exp(-0.5 * (d / bandwidth) ** 2)
+        for into, x in ((total, wy), (weight, w)):
+            into[:, d:] += g * x[:, :-d]
+            into[:, :-d] += g * x[:, d:]
+    return np.divide(total[:, place], weight[:, place], out=np.full(value.shape, np.nan), where=found)
+
+
+def kernel_statistics(series: DataFrame, keys: Sequence[str], classes: Sequence[str], window: int, min_frac: float = 0.5,
+                      max_gap: int = 3, bandwidth: float = 10.0) -> DataFrame:
+    """Rows ``(keys, class, cycle, var, ac)``: gap filling, :func:`kernel_residual` and the rolling statistics of the residual, which is
+    centred but not detrended again, in the arrays of a key's one row."""
+    names, reach = [f"{leg}{i}" for i in range(len(classes)) for leg in ("var", "ac")], ceil(8.5 * bandwidth)
+
+    @F.pandas_udf(array_type(names))
+    def legs(rows: pd.DataFrame) -> pd.DataFrame:
+        def work(cycle, *xs):
+            out = {}
+            for i, x in enumerate(xs):
+                y = filled(cycle, x, max_gap)
+                enough = (~np.isnan(y)).sum(axis=1, keepdims=True) >= 5
+                r = np.where(enough, y - kernel_mean(cycle, y, bandwidth, reach), np.nan)
+                out[f"var{i}"], out[f"ac{i}"] = window_legs(cycle, r, window, min_frac, False)
+            return out
+        return by_axis(rows, names, work)
+
+    done = series_arrays(series, keys, classes).withColumn("_legs", legs(array_columns({f"x{i}": c for i, c in enumerate(classes)})))
+    per_class = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.arrays_zip(
+        F.col("_rows._at").alias("cycle"), F.col(f"_legs.var{i}").alias("var"), F.col(f"_legs.ac{i}").alias("ac")).alias("z")) for i, c in enumerate(classes)]))
+    each = done.select(*keys, per_class.alias("_c")).select(*keys, F.col("_c.class").alias("class"), F.explode("_c.z").alias("_r"))
+    return each.select(*keys, "class", F.col("_r.cycle").alias("cycle"), known_value("_r.var").alias("var"), known_value("_r.ac").alias("ac"))
+
+
 def kernel_residual(df: DataFrame, keys: Sequence[str], y: str = "y", bandwidth: float = 10.0, reach: int | None = None,
                     out: str = "r") -> DataFrame:
     """Residual of each known value from a Gaussian-kernel mean over the cycles within ``reach``.
@@ -203,19 +364,10 @@ def kernel_residual(df: DataFrame, keys: Sequence[str], y: str = "y", bandwidth:
     block are one array, and a batch of blocks is worked on at once. A series with fewer than five known values gives NULL.
     """
     reach = ceil(8.5 * bandwidth) if reach is None else reach
-    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / bandwidth) ** 2)
 
     @F.pandas_udf("array<double>")
-    def kernel_mean(blocks: pd.DataFrame) -> pd.Series:
-        def one(cycle, value):
-            first = cycle.min()
-            value = np.asarray(value, dtype=np.float64)  # a NULL is NaN here
-            wy, w = np.zeros(cycle.max() - first + 1), np.zeros(cycle.max() - first + 1)
-            found = ~np.isnan(value)
-            wy[cycle[found] - first], w[cycle[found] - first] = value[found], 1.0
-            wy, w = (np.convolve(x, weights)[reach:reach + len(x)] for x in (wy, w))
-            return wy[cycle - first] / np.where(found, w[cycle - first], np.nan)
-        return pd.Series([one(c, v) for c, v in zip(blocks["cycle"], blocks["value"])], dtype=object)
+    def means(blocks: pd.DataFrame) -> pd.Series:
+        return by_axis(blocks, ["mean"], lambda c, v: {"mean": kernel_mean(c, v, bandwidth, reach)})["mean"]
 
     rest = [c for c in df.columns if c not in keys]
     whole, c = W.partitionBy(*keys), F.col("cycle")
@@ -223,11 +375,9 @@ def kernel_residual(df: DataFrame, keys: Sequence[str], y: str = "y", bandwidth:
     first, last = block(F.min(c).over(whole)), block(F.max(c).over(whole))  # a series' own blocks
     near = df.withColumns({"_known": F.count(y).over(whole) >= 5, "_first": F.greatest(first, block(c - reach)), "_last": F.least(last, block(c + reach))})
     cut = near.withColumn("_block", F.explode(F.sequence("_first", "_last"))).withColumn("_own", block(c) == F.col("_block"))
-    blocks = cut.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*rest, "_known", "_own")).alias("_rows"))
-    value = F.transform("_rows", lambda r: r[y].cast("double"))
-    means = blocks.withColumn("_mean", kernel_mean(F.struct(F.col("_rows.cycle").alias("cycle"), value.alias("value"))))
-    each = means.select(*keys, F.explode(F.arrays_zip("_rows", "_mean")).alias("_r")).where("_r._rows._own")
-    mean = F.when(F.col("_r._rows._known"), F.nanvl("_r._mean", F.lit(None).cast("double")))
+    blocks = series_arrays(cut, [*keys, "_block"], [*rest, "_known", "_own"]).withColumn("_mean", means(array_columns({"value": y})))
+    each = blocks.select(*keys, F.explode(F.arrays_zip("_rows", "_mean")).alias("_r")).where("_r._rows._own")
+    mean = F.when(F.col("_r._rows._known"), known_value("_r._mean"))
     return each.select(*keys, *[F.col(f"_r._rows.{c}").alias(c) for c in rest], (F.col(f"_r._rows.{y}") - mean).alias(out)).select(*df.columns, out)
 
 

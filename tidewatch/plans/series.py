@@ -339,7 +339,7 @@ KERNEL_STATS = KERNEL + "," + rolling_sql("residual", RUN, 20, 10, "aa", "bb", "
 @query("kernel_rolling", KERNEL_STATS + " SELECT run, scen, cycle, round(var, 6) AS var, round(ac, 6) AS ac FROM stats")
 def kernel_rolling(spark, sf_dir):
     """Rolling variance and autocorrelation of the kernel residual, centred but not detrended again."""
-    out = rolling.rolling_var_ac(kernel_residuals(spark, sf_dir), [*RUN, "class"], y="r", window=20, detrend=False)
+    out = rolling.kernel_statistics(T.supplier_series(spark, sf_dir), RUN, ("form",), 20)
     return out.select(*RUN, "cycle", rnd("var").alias("var"), rnd("ac").alias("ac"))
 
 
