@@ -55,3 +55,22 @@ def test_kernel_statistics_take_one_array_for_a_series(series):
     want = rolling.rolling_var_ac(rolling.kernel_residual(filled, ["run", "class"]), ["run", "class"], y="r", window=12, detrend=False)
     same(got, want, ["run", "class", "cycle"], ["var", "ac"])
     assert "Window" not in plan(got) and plan(got).count("ArrowEvalPython") == 1
+
+
+def test_driver_is_compared_without_joins(series):
+    joined = series.withColumns({"score": F.col("form"), "a": F.col("esc") / 10})
+    got = recovery.indicator_vs_latent(joined, KEYS, "score", "a", 10, 100, 0.45, smooth=8, min_length=30, min_points=10)
+    legs = recovery.indicator_legs(joined, KEYS, {"m": "score", "v": "esc"}, "a", 10, 100, 0.45, smooth=8, min_length=30, min_points=10)
+    crossed = joined.groupBy("run").agg(F.greatest(F.lit(40), F.coalesce(F.min(F.when(F.col("a") <= 0.45, F.col("cycle"))), F.lit(100))).alias("stop"))
+    seg = joined.join(crossed, "run").where((F.col("cycle") >= 10) & (F.col("cycle") < F.col("stop")))
+
+    def rho(c):
+        pts = rolling.trailing_mean(seg, KEYS, c, 8, "_s").select("run", F.round("_s", 9).alias("p"), F.round("a", 9).alias("q"))
+        return crossed.join(inference.spearman(pts, KEYS, "p", "q"), "run", "left").withColumn("rho", F.when(F.col("n") >= 10, F.col("rho")))
+
+    same(got, rho("score"), ["run"], ["stop", "n", "rho"])
+    plain = seg.groupBy("run").agg(F.count_if(F.col("score").isNotNull() & F.col("a").isNotNull()).alias("n_raw"), inference.guarded_corr("score", "a", 10).alias("r"))
+    same(legs.select("run", "n_raw", F.col("pearson_raw").alias("r")), plain, ["run"], ["n_raw", "r"])
+    same(legs.select("run", F.col("v").alias("rho")), rho("esc"), ["run"], ["rho"])
+    for df in (got, legs):
+        assert "Join" not in plan(df) and "Window" not in plan(df)

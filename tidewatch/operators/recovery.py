@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.operators.inference import guarded_corr, spearman
-from tidewatch.operators.rolling import trailing_mean
-from tidewatch.session import cut_lineage
+from tidewatch.operators.rolling import array_columns, series_arrays
 
 
 def window_mean(x: str, lo: int, hi: int) -> Column:
@@ -55,14 +55,8 @@ def indicator_vs_latent(joined: DataFrame, keys: Sequence[str], indicator: str,
     The segment runs from ``start`` to the first crossing but at least ``min_length`` cycles. Values are ranked at
     nine decimals, where ties are ties in any order of addition.
     """
-    keys = list(keys)
-    crossed = joined.groupBy(*keys).agg(F.greatest(
-        F.lit(start + min_length), F.coalesce(F.min(F.when(F.col(latent) <= level, F.col("cycle"))), F.lit(n_cycles))).alias("stop"))
-    seg = joined.join(crossed, keys).where((F.col("cycle") >= start) & (F.col("cycle") < F.col("stop")))
-    pts = trailing_mean(seg, keys, indicator, smooth, "_s").select(
-        *keys, F.round("_s", 9).alias("a"), F.round(latent, 9).alias("b"))
-    rho = spearman(pts, keys, "a", "b")
-    return crossed.join(rho, keys, "left").withColumn("rho", F.when(F.col("n") >= min_points, F.col("rho")))
+    r = _followed(joined, keys, [indicator], latent, start, n_cycles, level, smooth, min_length, min_points)
+    return r.select(*keys, "stop", F.when(F.col("n0") > 0, F.col("n0")).alias("n"), F.when(F.col("n0") >= min_points, F.col("rho0")).alias("rho"))
 
 
 def indicator_legs(joined: DataFrame, keys: Sequence[str], indicators: dict[str, str], latent: str, start: int, n_cycles: int, level: float,
@@ -72,18 +66,53 @@ def indicator_legs(joined: DataFrame, keys: Sequence[str], indicators: dict[str,
     ``indicators`` names published columns; each is ranked by its trailing mean as in :func:`indicator_vs_latent`. The first
     is also correlated as it is, without smoothing or ranks, given enough points that differ.
     """
-    keys = list(keys)
-    crossed = joined.groupBy(*keys).agg(F.greatest(
-        F.lit(start + min_length), F.coalesce(F.min(F.when(F.col(latent) <= level, F.col("cycle"))), F.lit(n_cycles))).alias("stop"))
-    seg = cut_lineage(joined.join(crossed, keys).where((F.col("cycle") >= start) & (F.col("cycle") < F.col("stop"))))
-    raw = next(iter(indicators.values()))
-    out = crossed.join(seg.groupBy(*keys).agg(
-        F.count_if(F.col(raw).isNotNull() & F.col(latent).isNotNull()).alias("n_raw"), guarded_corr(raw, latent, min_points).alias("pearson_raw")), keys, "left")
-    for name, col in indicators.items():
-        pts = trailing_mean(seg, keys, col, smooth, "_s").select(*keys, F.round("_s", 9).alias("a"), F.round(latent, 9).alias("b"))
-        rho = spearman(pts, keys, "a", "b").select(*keys, F.when(F.col("n") >= min_points, F.col("rho")).alias(name))
-        out = out.join(rho, keys, "left")
-    return out.withColumn("n_raw", F.coalesce("n_raw", F.lit(0)))
+    r = _followed(joined, keys, list(indicators.values()), latent, start, n_cycles, level, smooth, min_length, min_points)
+    return r.select(*keys, "stop", "n_raw", "pearson_raw", *[
+        F.when(F.col(f"n{i}") >= min_points, F.col(f"rho{i}")).alias(name) for i, name in enumerate(indicators)])
+
+
+def _followed(joined: DataFrame, keys: Sequence[str], indicators: Sequence[str], latent: str, start: int, n_cycles: int, level: float,
+              smooth: int, min_length: int, min_points: int) -> DataFrame:
+    """Rows ``(keys…, stop, n_raw, pearson_raw, n0, rho0, n1, …)``, each run worked on as the arrays of one row."""
+    def trailing(x: np.ndarray) -> np.ndarray:
+        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(smooth - 1, np.nan), x]), smooth)
+        known = ~np.isnan(frames)
+        n = known.sum(axis=1)
+        return np.divide(np.where(known, frames, 0.0).sum(axis=1), n, out=np.full(len(x), np.nan), where=n >= max(3, smooth // 3))
+
+    def ranks(x: np.ndarray) -> np.ndarray:
+        _, which, n = np.unique(x, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - n + (n + 1) / 2)[which]
+
+    def correlation(a: np.ndarray, b: np.ndarray, least: float) -> float | None:
+        da, db = a - a.mean(), b - b.mean()
+        va, vb = (da * da).mean(), (db * db).mean()
+        return (da * db).mean() / np.sqrt(va * vb) if min(va, vb) >= least else None
+
+    def one(cycle: np.ndarray, driver: np.ndarray, *xs: np.ndarray) -> tuple:
+        crossed = cycle[driver <= level]
+        stop = max(start + min_length, int(crossed.min()) if len(crossed) else n_cycles)
+        inside = (cycle >= start) & (cycle < stop)
+        d, xs = driver[inside], [x[inside] for x in xs]
+        raw = ~np.isnan(xs[0]) & ~np.isnan(d)
+        out = [stop, int(raw.sum()), correlation(xs[0][raw], d[raw], 1e-24) if raw.sum() >= min_points else None]
+        for x in xs:
+            a, b = np.round(trailing(x), 9), np.round(d, 9)
+            both = ~np.isnan(a) & ~np.isnan(b)
+            out += [int(both.sum()), correlation(ranks(a[both]), ranks(b[both]), 1e-12) if both.any() else None]
+        return tuple(out)
+
+    kinds = ["stop int", "n_raw bigint", "pearson_raw double", *[f"n{i} bigint, rho{i} double" for i in range(len(indicators))]]
+    names = [k.split()[0] for k in ", ".join(kinds).split(", ")]
+
+    @F.pandas_udf(f"struct<{', '.join(kinds).replace(' ', ': ').replace(',: ', ', ')}>")
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [one(np.asarray(r[0]), *[np.asarray(x, np.float64) for x in r[1:]]) for r in rows.itertuples(index=False)]
+        return pd.DataFrame(found, columns=names)
+
+    values = {"driver": latent} | {f"x{i}": c for i, c in enumerate(indicators)}
+    cols = list(dict.fromkeys([latent, *indicators]))
+    return series_arrays(joined, keys, cols).select(*keys, compare(array_columns(values)).alias("_c")).select(*keys, "_c.*")
 
 
 def largest_gap(df: DataFrame, by: Sequence[str], x: str, buckets: int = 256) -> DataFrame:

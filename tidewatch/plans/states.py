@@ -128,7 +128,7 @@ def indicator_vs_latent(spark, sf_dir):
     """Does the published indicator follow the latent driver up to its threshold crossing?"""
     series = supplier_series(spark, sf_dir)
     driver = rolling.trailing_mean(series, RUN, "out", 20, "tm").withColumn("a", F.try_divide("tm", F.avg("out").over(W.partitionBy(*RUN))))
-    joined = P.supplier_scores(spark, sf_dir).select(*RUN, "cycle", "score").join(driver.select(*RUN, "cycle", "a"), [*RUN, "cycle"])
+    joined = alarms.score_series(driver, RUN, RULE.leading, carry=("a",))
     r = recovery.indicator_vs_latent(joined, RUN, "score", "a", 60, N, 0.9)
     return r.select(*RUN, "stop", F.col("n").alias("n_points"), rnd("rho", 8).alias("rho"))
 
@@ -145,7 +145,7 @@ def indicator_legs(spark, sf_dir):
     """The published score against the driver as it is and by ranks, and its variance leg by ranks."""
     series = supplier_series(spark, sf_dir)
     driver = rolling.trailing_mean(series, RUN, "out", 20, "tm").withColumn("a", F.try_divide("tm", F.avg("out").over(W.partitionBy(*RUN))))
-    joined = P.supplier_scores(spark, sf_dir).select(*RUN, "cycle", "score", "z_var").join(driver.select(*RUN, "cycle", "a"), [*RUN, "cycle"])
+    joined = alarms.score_series(driver, RUN, RULE.leading, carry=("a",))
     r = recovery.indicator_legs(joined, RUN, {"mean_leg": "score", "var_leg": "z_var"}, "a", 60, N, 0.9)
     return r.select(*RUN, "n_raw", *[rnd(x, 8).alias(x) for x in ("pearson_raw", "mean_leg", "var_leg")])
 
