@@ -74,3 +74,28 @@ def test_driver_is_compared_without_joins(series):
     same(legs.select("run", F.col("v").alias("rho")), rho("esc"), ["run"], ["rho"])
     for df in (got, legs):
         assert "Join" not in plan(df) and "Window" not in plan(df)
+
+
+def test_levels_have_one_row_for_a_run_and_variant(series):
+    grid = [0.0, 0.5, 1.0, 2.0, 3.0]
+    got = calibrate.leading_levels(series, KEYS, (12,), {"both": ("form", "esc"), "form": ("form",)}, ["mean", "and", "var_only"], (2, 3), 50, grid).cache()
+    assert got.count() == 8 * 2 * 3 * 2 and "Window" not in plan(got)
+    for name, cls in (("both", ("form", "esc")), ("form", ("form",))):
+        for how in ("mean", "and", "var_only"):
+            rule = LeadingRule(window=12, classes=cls, sustain=3, start=50, combine=how)
+            scores = alarms.score_series(series, KEYS, rule)
+            mine = got.where(f"classes = '{name}' AND combine = '{how}' AND sustain = 3")
+            want = alarms.leading_alarm(scores, KEYS, rule).select("run", F.col("sustained_score").alias("top"), F.col("lead_max_score").alias("most"))
+            same(mine, want, ["run"], ["top", "most"])
+            floors = alarms.sustained_floor(scores, KEYS, F.col("score"), 3, 50, "f")
+            first = {(r.run, r.k): r.alarm_cycle for r in calibrate.alarm_by_threshold(floors, KEYS, "f", grid).collect()}
+            assert {(r.run, k): c for r in mine.collect() for k, c in zip(grid, r.reached)} == first
+
+
+def test_lagging_levels_equal_rows(series):
+    grid, rule = [0.5, 1.0, 1.5], LaggingRule(baseline_end=50)
+    got = calibrate.lagging_levels(series, KEYS, "form", rule, (2, 3), grid).where("sustain = 2")
+    floors = alarms.sustained_floor(alarms.output_drop(series, KEYS, "form", rule), KEYS, F.col("drop"), 2, 50, "f")
+    same(got, floors.groupBy("run").agg(F.max("f").alias("top")), ["run"], ["top"])
+    first = {(r.run, r.k): r.alarm_cycle for r in calibrate.alarm_by_threshold(floors, KEYS, "f", grid, strict=True).collect()}
+    assert {(r.run, k): c for r in got.collect() for k, c in zip(grid, r.reached)} == first

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewatch.operators import rolling
+from tidewatch.operators.alarms import LaggingRule
+
 
 def grid_values(start: float, stop: float, step: float) -> list[float]:
     return [round(start + step * i, 3) for i in range(int(round((stop - start) / step)) + 1)]
@@ -75,3 +80,75 @@ def alarm_by_threshold(floors: DataFrame, keys: Sequence[str], x: str, grid: Seq
     records = ranked.where(F.col("_now") > F.col("_before"))
     ks = F.slice(_grid(grid), F.col("_before") + 1, F.col("_now") - F.col("_before"))
     return records.select(*keys, F.explode(ks).alias("k"), F.col("cycle").alias("alarm_cycle"))
+
+
+LEVELS = "array<struct<top: double, most: double, reached: array<int>>>"
+
+
+def held_levels(cycle: np.ndarray, x: np.ndarray, sustain: int, start: int, grid: Sequence[float], strict: bool = False) -> list[tuple]:
+    """For each series of a matrix the largest level held for ``sustain`` cycles from ``start`` on, the largest value there, and the
+    cycles at which it first holds each of the ascending thresholds, as many as it reaches."""
+    usable = np.where(cycle >= start, x, np.nan)
+    floor = np.full(x.shape, -np.inf)
+    if x.shape[1] >= sustain:
+        frames = [usable[:, j:x.shape[1] - sustain + 1 + j] for j in range(sustain)]
+        held = frames[0]
+        for f in frames[1:]:
+            held = np.minimum(held, f)  # NaN if one is
+        floor[:, sustain - 1:] = np.where(np.isnan(held), -np.inf, held)
+    best = np.maximum.accumulate(floor, axis=1)
+    first = np.stack([((best <= k) if strict else (best < k)).sum(axis=1) for k in grid], axis=1)
+    most = np.where(np.isnan(usable), -np.inf, usable).max(axis=1)
+    finite = lambda v: float(v) if v > -np.inf else None
+    return [(finite(top), finite(m), cycle[at[at < len(cycle)]].tolist()) for top, m, at in zip(best[:, -1], most, first)]
+
+
+def _levels(arrays: DataFrame, keys: Sequence[str], values: dict[str, str], variants: Sequence[dict], work) -> DataFrame:
+    """Rows ``(variant…, keys…, top, most, reached)``; ``work`` gives :func:`held_levels` of every variant in their order."""
+    @F.pandas_udf(LEVELS)
+    def levels(rows: pd.DataFrame) -> pd.Series:
+        def of_stack(cycle, *xs):
+            per_series = zip(*work(cycle, *xs))
+            return {"levels": [[dict(zip(("top", "most", "reached"), v)) for v in one] for one in per_series]}
+        return rolling.by_axis(rows, ["levels"], of_stack)["levels"]
+
+    named = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in v.items()]) for v in variants])
+    each = arrays.select(*keys, F.explode(F.arrays_zip(named.alias("v"), levels(rolling.array_columns(values)).alias("l"))).alias("_z"))
+    return each.select("_z.v.*", *keys, "_z.l.*")
+
+
+def leading_levels(series: DataFrame, keys: Sequence[str], windows: Sequence[int], class_sets: dict[str, Sequence[str]], combines: Sequence[str],
+                   sustains: Sequence[int], start: int, grid: Sequence[float], min_frac: float = 0.5, max_gap: int = 3) -> DataFrame:
+    """Every variant of the leading rule on every run: rows ``(window, classes, combine, sustain, keys…, top, most, reached)``, see
+    :func:`held_levels`. A run's series stay the arrays of one row, so the variants never multiply its cycles."""
+    classes = list(dict.fromkeys(c for cls in class_sets.values() for c in cls))
+    combined = {"mean": lambda v, a: 0.5 * (v + a), "and": np.minimum, "var_only": lambda v, a: v}
+    variants = [{"window": w, "classes": name, "combine": h, "sustain": s} for w in windows for name in class_sets for h in combines for s in sustains]
+
+    def work(cycle, *xs):
+        ys, out = [rolling.filled(cycle, x, max_gap) for x in xs], []
+        for w in windows:
+            legs = dict(zip(classes, rolling.mixed_legs(cycle, ys, w, min_frac, start)))
+            for cls in class_sets.values():
+                v, a = (rolling.mean_known([legs[c][i] for c in cls]) for i in (0, 1))
+                out += [held_levels(cycle, combined[h](v, a), s, start, grid) for h in combines for s in sustains]
+        return out
+
+    return _levels(rolling.series_arrays(series, keys, classes), keys, {f"x{i}": c for i, c in enumerate(classes)}, variants, work)
+
+
+def lagging_levels(series: DataFrame, keys: Sequence[str], output: str, rule: LaggingRule, sustains: Sequence[int], grid: Sequence[float],
+                   min_baseline: int = 10) -> DataFrame:
+    """The same for the drop of :func:`alarms.output_drop`, strictly above each threshold: rows ``(sustain, keys…, top, most, reached)``."""
+    def work(cycle, x):
+        y = rolling.filled(cycle, x, rule.max_gap)
+        ref = y[:, cycle < rule.baseline_end]
+        known = ~np.isnan(ref)
+        n = known.sum(axis=1, keepdims=True)
+        mean = np.where(known, ref, 0.0).sum(axis=1, keepdims=True) / np.maximum(n, 1)
+        d = np.where(known, ref - mean, 0.0)
+        sd = np.sqrt((d * d).sum(axis=1, keepdims=True) / np.maximum(n - 1, 1))
+        drop = np.where(n >= min_baseline, (mean - y) / np.where(sd > 1e-12, sd, 1e-12), np.nan)
+        return [held_levels(cycle, drop, s, rule.baseline_end, grid, strict=True) for s in sustains]
+
+    return _levels(rolling.series_arrays(series, keys, [output]), keys, {"x0": output}, [{"sustain": s} for s in sustains], work)

@@ -123,11 +123,11 @@ lg AS (SELECT sustain, k, 1.0 * n_false / n_null AS fpr, coalesce(n_hit, 0) / nd
 
 def lagging_grid_table(spark, sf_dir):
     """False-alarm rate, detection rate and median alarm of every candidate, from one pass over the series."""
-    fl = drop_floors(spark, sf_dir)
-    tops = fl.groupBy("sustain", *RUN).agg(F.max("f").alias("top"))
+    tops = K.lagging_levels(T.supplier_series(spark, sf_dir), RUN, "out", RULE.lagging, (2, 3), KSD)
     null = K.fpr_curve(tops.where("scen = 'control'"), ["sustain"], "top", KSD)
     n_deg = tops.where("scen = 'degrade'").groupBy("sustain").agg(F.count(F.lit(1)).alias("n_deg"))
-    hits = K.alarm_by_threshold(fl.where("scen = 'degrade'"), [*RUN, "sustain"], "f", KSD, strict=True).groupBy("sustain", "k").agg(
+    fired = tops.where("scen = 'degrade'").select("sustain", F.posexplode("reached").alias("_i", "alarm_cycle"))
+    hits = fired.groupBy("sustain", F.get(F.array(*[F.lit(k) for k in KSD]), F.col("_i")).alias("k")).agg(
         F.count(F.lit(1)).alias("n_hit"), F.median("alarm_cycle").alias("median_t"))
     return null.join(hits, ["sustain", "k"], "left").join(n_deg, "sustain").withColumn(
         "detect_rate", F.coalesce("n_hit", F.lit(0)) / F.col("n_deg"))
@@ -161,28 +161,6 @@ WINDOWS, CLASS_SETS, SUSTAINS = (20, 30), {"both": ("form", "esc"), "form": ("fo
 V = ["window", "classes", "combine", "sustain"]
 
 
-def variant_floors(spark, sf_dir, windows=WINDOWS, sustains=SUSTAINS):
-    """Scores and sustained floors of every rule variant: rows ``(V…, run, scen, cycle, score, f)``."""
-    out = None
-    series = cut_lineage(T.supplier_series(spark, sf_dir))
-    for w in windows:
-        z = rolling.baseline_z(rolling.rolling_statistics(series, RUN, ("form", "esc"), w), RUN, w, 60)
-        pick = lambda leg, cls: F.avg(F.when(F.col("class").isin(*cls), F.col(leg)))
-        legs = z.groupBy(*RUN, "cycle").agg(*[
-            pick(leg, cls).alias(f"{leg}_{name}") for name, cls in CLASS_SETS.items() for leg in ("z_var", "z_ac")])
-        rows = F.explode(F.array(*[
-            F.struct(F.lit(w).alias("window"), F.lit(name).alias("classes"), F.lit(h).alias("combine"),
-                     combine_legs(F.col(f"z_var_{name}"), F.col(f"z_ac_{name}"), h).alias("score"))
-            for name in CLASS_SETS for h in COMBINE_SQL]))
-        one = legs.select(*RUN, "cycle", rows.alias("r")).select(*RUN, "cycle", "r.*")
-        out = one if out is None else out.unionByName(one)
-    keys = ["window", "classes", "combine", *RUN]
-    for s in sustains:
-        out = alarms.sustained_floor(out, keys, F.col("score"), s, 60, f"f{s}")
-    both = F.explode(F.array(*[F.struct(F.lit(s).alias("sustain"), F.col(f"f{s}").alias("f")) for s in sustains]))
-    return out.select(*keys, "cycle", "score", both.alias("x")).select(*keys, "cycle", "score", "x.*")
-
-
 def variants_sql() -> str:
     parts = [f"WITH {SUP}"]
     union = []
@@ -224,15 +202,14 @@ def leading_grid_search(spark, sf_dir):
 
 
 def search_table(spark, sf_dir):
-    """All variants from one materialised table of floors, which the thresholds, the detections and the AUC share."""
-    fl = cut_lineage(variant_floors(spark, sf_dir))
-    runs = fl.groupBy(*V, *RUN).agg(F.max("f").alias("top"), F.max(F.when(F.col("cycle") >= 60, F.col("score"))).alias("max_score"))
-    runs = cut_lineage(runs)
+    """All variants from one materialised table with a row for each variant and run, which the thresholds, the detections and the
+    AUC share."""
+    runs = cut_lineage(K.leading_levels(T.supplier_series(spark, sf_dir), RUN, WINDOWS, CLASS_SETS, list(COMBINE_SQL), SUSTAINS, 60, GRID))
     pick = K.smallest_admissible(K.fpr_curve(runs.where("scen = 'control'"), V, "top", GRID), V, TARGET, required=False)
-    hit = fl.where("scen = 'degrade'").join(pick.select(*V, "k", "fpr"), V).groupBy(*V, "k", "fpr", "run").agg(
-        alarms.first_cycle(F.col("f") >= F.col("k")).alias("t"))
+    at = F.array_position(F.array(*[F.lit(k) for k in GRID]), F.col("k")) - 1
+    hit = runs.where("scen = 'degrade'").join(F.broadcast(pick.select(*V, "k", "fpr")), V).withColumn("t", F.get("reached", at.cast("int")))
     table = hit.groupBy(*V, "k", "fpr").agg((F.count("t") / F.count(F.lit(1))).alias("detect_rate"), F.median("t").alias("median_t"))
-    a = auc(runs, V, "max_score", F.col("scen") == "degrade").select(*V, "auc")
+    a = auc(runs, V, "most", F.col("scen") == "degrade", buckets=256).select(*V, "auc")
     return table.join(a, V).select(*V, "k", rnd("fpr", 9).alias("fpr"), rnd("detect_rate", 9).alias("detect_rate"), "median_t",
                                    rnd("auc", 9).alias("auc"))
 
