@@ -87,6 +87,23 @@ def test_no_link_is_lost_across_centres(spark):
     assert got == label and len(set(label.values())) == 2
 
 
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    """Each copy is paired with one centre first: nearly every band's centre was before."""
+    rng, counts, compared = random.Random(29), [], near_dup.compared
+    base = prose(rng, 400).split()
+
+    def counted(pairs, sets, p):
+        counts.append(pairs.count())
+        return compared(pairs, sets, p)
+
+    monkeypatch.setattr(near_dup, "compared", counted)
+    rows = [(i, " ".join(f"new{i}" if k == (37 * i) % 400 else w for k, w in enumerate(base))) for i in range(80)]
+    rows += [(1000 + i, " ".join(base[:100 + 20 * i])) for i in range(10)]  # prefixes: many of them too short to be linked
+    _, label = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == label
+    assert sum(counts) <= 2 * len(rows), counts
+
+
 def test_pipeline_stage_drops_near_copies_from_080_on(spark, corpus):
     import corpus_pipeline
 

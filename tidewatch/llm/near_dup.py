@@ -3,10 +3,12 @@
 A document is the set of its distinct 5-word shingles. Documents with equal sets are one class from the start. The
 signatures of the classes are cut into bands; classes that share a band meet in a bucket.
 
-* In each bucket the smallest class is held against the others; in large ones, two more centres are held against what is
-  not in their component yet. Most buckets are one component by then and are done: n copies cost a few n pairs.
+* Each class is first held against the smallest one of its largest bucket, a pair for a class. After that the smallest class of
+  each bucket, and two more centres of large ones, are held against what is not in their component yet. Most buckets are one
+  component by then and are done: n copies cost a few n pairs.
 * What is still apart is compared across components: each class outside the bucket's largest component with those of other
   components. So no pair is passed over that could join two components.
+* Sets whose sizes alone keep them under the bound are never paired.
 * A pair is compared batch by batch of the signature and dropped as soon as the posterior probability that its similarity
   reaches the bound falls under the chosen miss probability; what survives is verified on the full sets.
 
@@ -21,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import components, mix64, stored, text_bytes
@@ -174,31 +176,37 @@ def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
     for each class, (doc_id, n_shingles, signature) and (doc_id, text)."""
     width = 4 * p.rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))))
-    rows = sets.select("doc_id", band.alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
-    members = stored(rows.join(shared, "bucket"))
+    rows = sets.select("doc_id", F.col("n_shingles").alias("size"), band.alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "size")).alias("c")).where("n > 1")
+    members = stored(rows.join(shared.select("bucket", "n", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "bucket"))
     pool = stored(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
 
+    def alike(x: str, y: str) -> Column:  # sets of other sizes cannot reach the bound
+        return 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
+
     def linked(pairs: DataFrame) -> DataFrame:
         maybe = stored(compared(pairs.distinct(), sets, p))
         exact = verified(maybe, pool, p)
         return stored(exact.where(100 * F.col("both") >= p.percent * F.col("either")).select("a", "b"))
 
-    found = [linked(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))]
-    # large buckets: other centres, each against what is not in its component yet
-    large = stored(labelled(members.where(F.col("n") > p.small), found))
-    for k in range(p.stars):
-        key = F.xxhash64("doc_id", F.lit(k))
-        centre = large.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "label"), key).alias("c"))
-        pairs = large.join(centre, "bucket").where("label <> c.label").select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b"))
-        found.append(linked(pairs))
+    # one pair for each class: the centre of its largest bucket
+    first = members.where((F.col("doc_id") != F.col("centre")) & alike("size", "centre_size")).groupBy("doc_id").agg(F.max_by("centre", F.struct("n", "bucket")).alias("a"))
+    found = [linked(first.select("a", F.col("doc_id").alias("b")))]
+    # the centres of all its buckets, and further ones of large buckets, that are not in its component yet
+    now = stored(labelled(members.drop("centre", "centre_size"), found))
+    one = F.struct("doc_id", "label", "size")
+    star = [F.min_by(one, F.xxhash64("doc_id", F.lit(k))) for k in range(p.stars)]
+    centres = now.groupBy("bucket").agg(F.min_by(one, "doc_id").alias("c"), F.max("n").alias("n"), *[c.alias(f"c{k}") for k, c in enumerate(star)])
+    several = F.when(F.col("n") > p.small, F.array("c", *[f"c{k}" for k in range(p.stars)])).otherwise(F.array("c"))
+    apart = now.join(centres.select("bucket", F.explode(F.array_distinct(several)).alias("c")), "bucket").where((F.col("label") != F.col("c.label")) & alike("size", "c.size"))
+    found.append(linked(apart.select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b"))))
     # every pair of different components that share a bucket; where all members are in one, there is none
-    now = labelled(members, found)
+    now = labelled(members.select("bucket", "doc_id", "size"), found)
     sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("k", "label")).alias("main")).where("parts > 1")
-    mixed = stored(now.join(split.select("bucket", "main"), "bucket").select("bucket", "main", "doc_id", "label"))
-    outside = mixed.where("label <> main").select("bucket", F.col("doc_id").alias("o"), F.col("label").alias("of"))
-    rest = mixed.join(outside, "bucket").where("label <> of AND (label = main OR o < doc_id)")
+    mixed = stored(now.join(split.select("bucket", "main"), "bucket").select("bucket", "main", "doc_id", "label", "size"))
+    outside = mixed.where("label <> main").select("bucket", F.col("doc_id").alias("o"), F.col("label").alias("of"), F.col("size").alias("o_size"))
+    rest = mixed.join(outside, "bucket").where(F.expr("label <> of AND (label = main OR o < doc_id)") & alike("size", "o_size"))
     found.append(linked(rest.select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b"))))
     return found
 
