@@ -104,6 +104,28 @@ def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
     assert sum(counts) <= 2 * len(rows), counts
 
 
+def test_copies_beyond_the_bound_are_not_paired_with_the_whole_group(spark, monkeypatch):
+    """Copies with one to six words changed: those that are not linked with their source share bands with hundreds of others."""
+    rng, counts, compared = random.Random(31), [], near_dup.compared
+    base = prose(rng, 150).split()
+    rows = [(1, " ".join(base))]
+    for i in range(2, 260):
+        at = set(rng.sample(range(150), rng.randrange(1, 7)))
+        rows.append((i, " ".join(f"new{rng.randrange(400)}" if k in at else w for k, w in enumerate(base))))
+    far = [t.split() for _, t in rows if sum(a != b for a, b in zip(t.split(), base)) == 6][:12]
+    rows += [(1000 + i, " ".join([*w[:70], "alone", *w[71:]])) for i, w in enumerate(far)]  # linked with a far copy alone
+    rows += [(2000 + i, " ".join(w[:140])) for i, w in enumerate(far)]
+
+    def counted(pairs, sets, p):
+        counts.append(pairs.count())
+        return compared(pairs, sets, p)
+
+    monkeypatch.setattr(near_dup, "compared", counted)
+    _, label = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == label
+    assert len({label[1000 + i] for i in range(12)}) > 3 and sum(counts) <= 20 * len(rows), counts
+
+
 def test_pipeline_stage_drops_near_copies_from_080_on(spark, corpus):
     import corpus_pipeline
 

@@ -3,11 +3,13 @@
 A document is the set of its distinct 5-word shingles. Documents with equal sets are one class from the start. The
 signatures of the classes are cut into bands; classes that share a band meet in a bucket.
 
-* Each class is first held against the smallest one of its largest bucket, a pair for a class. After that the smallest class of
+* Each class is first held against the heaviest one of its largest bucket, the one that meets most others. After that the heaviest of
   each bucket, and two more centres of large ones, are held against what is not in their component yet. Most buckets are one
   component by then and are done: n copies cost a few n pairs.
-* What is still apart is compared across components: each class outside the bucket's largest component with those of other
-  components. So no pair is passed over that could join two components.
+* What is still apart is compared across components: pair by pair in buckets of few members, else by what tells each class from
+  the heaviest one of the bucket's largest component. A class that is not linked with that one is linked only with classes that share
+  much of its difference, so a group of copies is not paired with all who lie just beyond the bound. No pair is passed over
+  that could join two components.
 * Sets whose sizes alone keep them under the bound are never paired.
 * A pair is compared batch by batch of the signature and dropped as soon as the posterior probability that its similarity
   reaches the bound falls under the chosen miss probability; what survives is verified on the full sets.
@@ -43,6 +45,7 @@ class NearDup:
     rows: int = 5
     stars: int = 2  # further centres of large buckets
     small: int = 64  # members up to which a bucket has one centre
+    few: int = 8  # members up to which a bucket's components are compared pair by pair
     miss: float = 1e-7  # posterior probability under which a pair is dropped
     seed: int = 20_231
 
@@ -171,15 +174,64 @@ def labelled(members: DataFrame, found: list[DataFrame]) -> DataFrame:
     return members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
+def deltas(refs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """What tells each member from its reference c, of ``refs`` (c, doc_id, label, same): a row for each shingle in a prefix of the
+    difference, in one order for all members of a reference (shingles that c lacks first), or one row with no ``pos`` for
+    a member of another component that is linked with c.
+
+    A pair of members is linked if and only if (100 + percent) * o >= (percent - 100) * |c| + percent * added + 100 * removed, with o
+    shingles of both differences, added and removed being those of the two members together. If one of them, f, is not linked
+    with c, that is positive for the other one alone, and o >= (percent * |f or c| - 100 * |f and c|) / 100. So the differences
+    meet in the first |difference| - (least o) + 1 shingles of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler(p.words)
+        last, kept = None, None
+        for x in batches:
+            for c, doc, label, same, s, t in zip(x["c"], x["doc_id"], x["label"], x["same"], x["text_c"], x["text"]):
+                if c != last:
+                    last, kept = c, shingles(s)
+                own = shingles(t)
+                more, less = np.setdiff1d(own, kept, assume_unique=True), np.setdiff1d(kept, own, assume_unique=True)
+                short = p.percent * (len(kept) + len(more)) - 100 * (len(kept) - len(less))  # above 0: not linked with c
+                far = short > 0 and not same
+                least = -(-short // 100) if far else (p.percent * len(more) + 100 * len(less)) // (100 + p.percent) + 1
+                elem = np.concatenate([np.sort(more), np.sort(less)])[:max(0, len(more) + len(less) - least + 1)].view(np.int64)
+                out = pd.DataFrame({"elem": elem, "pos": np.arange(len(elem), dtype=np.int32)}).astype({"pos": "Int32"})
+                if short <= 0 and not same:
+                    out = pd.concat([out, pd.DataFrame({"elem": [0], "pos": pd.array([None], "Int32")})])
+                if len(out):
+                    yield out.assign(c=c, doc_id=doc, label=label, far=far, added=len(more), removed=len(less), whole=len(kept))
+
+    kinds = "elem long, pos int, c long, doc_id long, label long, far boolean, added int, removed int, whole int"
+    first = refs.join(texts, "doc_id")
+    both = first.join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("text_c")), "c")
+    return both.select("c", "doc_id", "label", "same", "text_c", "text").mapInPandas(run, kinds)
+
+
+def met(rows: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs (a, b) of different components that :func:`deltas` leaves possible. From a shared shingle on, no more can be shared
+    than is left of the shorter difference; at the first one they share, that has to be enough."""
+    far = rows.where("far AND pos IS NOT NULL").select("c", "elem", F.col("doc_id").alias("o"), F.col("label").alias("of"), F.col("pos").alias("o_pos"),
+                                                       F.col("added").alias("o_added"), F.col("removed").alias("o_removed"))
+    left = F.least(F.col("added") + F.col("removed") - F.col("pos"), F.col("o_added") + F.col("o_removed") - F.col("o_pos"))
+    need = (p.percent - 100) * F.col("whole") + p.percent * (F.col("added") + F.col("o_added")) + 100 * (F.col("removed") + F.col("o_removed"))
+    shared = rows.where("pos IS NOT NULL").join(far, ["c", "elem"]).where(F.expr("label <> of AND (NOT far OR o < doc_id)") & ((100 + p.percent) * left >= need))
+    return shared.select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b")).distinct()
+
+
 def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
     """Tables (a, b) of links between classes whose components are those of all links. ``sets`` and ``texts`` have a row
     for each class, (doc_id, n_shingles, signature) and (doc_id, text)."""
     width = 4 * p.rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))))
     rows = sets.select("doc_id", F.col("n_shingles").alias("size"), band.alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "size")).alias("c")).where("n > 1")
-    members = stored(rows.join(shared.select("bucket", "n", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met_in = stored(rows.join(shared, "bucket"))
+    # the class that meets most others is the likeliest to be what the others are copies of
+    members = stored(met_in.join(met_in.groupBy("doc_id").agg(F.sum("n").alias("w")), "doc_id"))
     pool = stored(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    order = F.struct("w", (-F.col("doc_id")).alias("earlier"))
 
     def alike(x: str, y: str) -> Column:  # sets of other sizes cannot reach the bound
         return 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
@@ -190,24 +242,32 @@ def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
         return stored(exact.where(100 * F.col("both") >= p.percent * F.col("either")).select("a", "b"))
 
     # one pair for each class: the centre of its largest bucket
-    first = members.where((F.col("doc_id") != F.col("centre")) & alike("size", "centre_size")).groupBy("doc_id").agg(F.max_by("centre", F.struct("n", "bucket")).alias("a"))
-    found = [linked(first.select("a", F.col("doc_id").alias("b")))]
+    middle = members.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "size"), order).alias("c"))
+    beside = members.join(middle, "bucket").where((F.col("doc_id") != F.col("c.doc_id")) & alike("size", "c.size"))
+    first = beside.groupBy("doc_id").agg(F.max_by("c.doc_id", F.struct("n", "bucket")).alias("a"))
+    found = [linked(first.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")))]
     # the centres of all its buckets, and further ones of large buckets, that are not in its component yet
-    now = stored(labelled(members.drop("centre", "centre_size"), found))
+    now = stored(labelled(members, found))
     one = F.struct("doc_id", "label", "size")
     star = [F.min_by(one, F.xxhash64("doc_id", F.lit(k))) for k in range(p.stars)]
-    centres = now.groupBy("bucket").agg(F.min_by(one, "doc_id").alias("c"), F.max("n").alias("n"), *[c.alias(f"c{k}") for k, c in enumerate(star)])
+    centres = now.groupBy("bucket").agg(F.max_by(one, order).alias("c"), F.max("n").alias("n"), *[c.alias(f"c{k}") for k, c in enumerate(star)])
     several = F.when(F.col("n") > p.small, F.array("c", *[f"c{k}" for k in range(p.stars)])).otherwise(F.array("c"))
     apart = now.join(centres.select("bucket", F.explode(F.array_distinct(several)).alias("c")), "bucket").where((F.col("label") != F.col("c.label")) & alike("size", "c.size"))
     found.append(linked(apart.select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b"))))
-    # every pair of different components that share a bucket; where all members are in one, there is none
-    now = labelled(members.select("bucket", "doc_id", "size"), found)
-    sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-    split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("k", "label")).alias("main")).where("parts > 1")
-    mixed = stored(now.join(split.select("bucket", "main"), "bucket").select("bucket", "main", "doc_id", "label", "size"))
-    outside = mixed.where("label <> main").select("bucket", F.col("doc_id").alias("o"), F.col("label").alias("of"), F.col("size").alias("o_size"))
-    rest = mixed.join(outside, "bucket").where(F.expr("label <> of AND (label = main OR o < doc_id)") & alike("size", "o_size"))
-    found.append(linked(rest.select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b"))))
+    # what is still apart in a bucket: every pair of different components in buckets of few members
+    now = labelled(members, found)
+    sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), F.max("w").alias("w"))
+    split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("held"), F.max_by("label", F.struct("k", "w", "label")).alias("main")).where("parts > 1")
+    mixed = stored(now.join(split.select("bucket", "main", "held"), "bucket").select("bucket", "main", "held", "doc_id", "label", "size"))
+    few = mixed.where(F.col("held") <= p.few)
+    outside = few.where("label <> main").select("bucket", F.col("doc_id").alias("o"), F.col("label").alias("of"), F.col("size").alias("o_size"))
+    rest = few.join(outside, "bucket").where(F.expr("label <> of AND (label = main OR o < doc_id)") & alike("size", "o_size"))
+    # and in the others those whose differences from the heaviest class of the largest component have enough in common
+    heads = now.groupBy("label").agg(F.max_by("doc_id", order).alias("c")).withColumnRenamed("label", "main")
+    refs = mixed.where(F.col("held") > p.few).select("main", "doc_id", "label").distinct().join(heads, "main").where("doc_id <> c")
+    differing = stored(deltas(refs.select("c", "doc_id", "label", (F.col("label") == F.col("main")).alias("same")), pool, p))
+    found.append(stored(differing.where("pos IS NULL").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))))
+    found.append(linked(rest.select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b")).union(met(differing, p))))
     return found
 
 
