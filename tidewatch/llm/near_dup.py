@@ -230,14 +230,17 @@ def links(sets: DataFrame, texts: DataFrame, p: NearDup) -> list[DataFrame]:
     met_in = stored(rows.join(shared, "bucket"))
     # the class that meets most others is the likeliest to be what the others are copies of
     members = stored(met_in.join(met_in.groupBy("doc_id").agg(F.sum("n").alias("w")), "doc_id"))
-    pool = stored(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # only classes that share a bucket are looked at again; the same join at any size
+    ids = stored(members.select("doc_id").distinct())
+    pool = stored(texts.join(ids.hint("merge"), "doc_id", "left_semi"))
+    signed = stored(sets.join(ids.hint("merge"), "doc_id", "left_semi"))
     order = F.struct("w", (-F.col("doc_id")).alias("earlier"))
 
     def alike(x: str, y: str) -> Column:  # sets of other sizes cannot reach the bound
         return 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        maybe = stored(compared(pairs.distinct(), sets, p))
+        maybe = stored(compared(pairs.distinct(), signed, p))
         exact = verified(maybe, pool, p)
         return stored(exact.where(100 * F.col("both") >= p.percent * F.col("either")).select("a", "b"))
 
@@ -285,7 +288,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     heads = stored(usable.join(member.where("doc_id = first").select("doc_id", "set_key").distinct(), ["doc_id", "set_key"], "left_semi")
                    .dropDuplicates(["doc_id", "set_key"]).select("doc_id", "set_key", "n_shingles", "signature"))
     # a class is named by its smallest doc_id; where rows share one, by the first of its sets
-    sets = heads.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "signature")
+    sets = stored(heads.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "signature"))
     found = links(sets, base.where("doc_id IS NOT NULL AND text IS NOT NULL"), p)
     edges = member.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     for e in found:
