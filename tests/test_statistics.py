@@ -164,3 +164,25 @@ def test_gap_and_checks(spark):
     assert checks.table_difference(df, df).isEmpty() and checks.table_difference(df, other).count() == 5
     bad = checks.recompute_differences(other.where("g = 'a' AND x = 1"), other.where("g = 'b'"), ["g"], ["x"])
     assert {r["problem"] for r in bad.collect()} == {"only stored", "only fresh"}
+
+
+def test_a_step_of_the_mixture_fit_is_one_small_job(spark):
+    """Rows stay where they are: a step brings seven sums for a group to the driver and writes nothing."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 1, 300), rng.normal(2.5, 1, 300)])
+    rows = [(g, float(v)) for g in ("a", "b") for v in x] + [("one", 4.0), (None, 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE")
+    sc = spark.sparkContext
+    sc.setJobGroup("mixture-fit", "")
+    fit = {r["g"]: r for r in mixture.two_component_bic(df, "g", "x", max_iter=30, tol=1e-12).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("mixture-fit"))
+    sc.setJobGroup("", "")
+    assert fit["a"]["iterations"] == fit["b"]["iterations"] == 30 and fit["one"]["iterations"] == 1 and len(fit) == 3
+    pi, m1, s1, m2, s2 = 0.5, *(f(h) for h in np.split(np.sort(x), 2) for f in (np.mean, np.std))
+    for _ in range(30):
+        p, q = pi * np.exp(-0.5 * ((x - m1) / s1) ** 2) / s1, (1 - pi) * np.exp(-0.5 * ((x - m2) / s2) ** 2) / s2
+        w = p / (p + q)
+        pi, m1, m2 = w.mean(), (w @ x) / w.sum(), ((1 - w) @ x) / (1 - w).sum()
+        s1, s2 = np.sqrt(w @ (x - m1) ** 2 / w.sum()), np.sqrt((1 - w) @ (x - m2) ** 2 / (1 - w).sum())
+    assert [fit["a"][k] for k in ("weight_1", "m1", "m2", "s1", "s2")] == pytest.approx([pi, m1, m2, s1, s2], abs=1e-9)
+    assert jobs <= 2 * 30 + 30, jobs
