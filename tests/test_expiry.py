@@ -58,3 +58,14 @@ def test_score_is_updated_by_each_event_in_turn(spark):
         got = {r.k: (r.score, r.n_updates) for r in graph.weighted_score(df, "k", "x", width=width).collect()}
         assert got.keys() == expected.keys()
         assert all(abs(got[k][0] - expected[k][0]) < 1e-12 and got[k][1] == expected[k][1] for k in got)
+
+
+def test_lifetimes_keep_no_python_state(spark, tmp_path, capfd):
+    """A key costs rows of Spark's own windowed state, not calls of a Python worker for each key and timer."""
+    spark.createDataFrame([(i, "a", T0 + dt.timedelta(days=d)) for i in range(3) for d in (0, 4, 5, 9, 30)], SCHEMA).write.parquet(f"{tmp_path}/in")
+    stream = expiry.lifetimes(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), ["u", "v"], 5, "2024-01-01")
+    stream.explain()
+    assert "Python" not in capfd.readouterr().out and "Pandas" not in str(stream._jdf.queryExecution().logical())
+    with expiry.timed_state(spark):
+        out = streams.run_available(stream, "test-expiry-plan")
+    assert sorted(map(tuple, out.collect())) == [(i, "a", 0, 9) for i in range(3)]
