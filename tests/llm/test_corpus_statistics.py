@@ -7,6 +7,7 @@ from fractions import Fraction
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -202,6 +203,46 @@ def test_collocations_equal_counting_everything(spark, phrases, shards, filter_b
     assert sorted(map(tuple, got.collect())) == brute_collocations(phrases, p)
 
 
+def test_collocations_tell_phrases_of_one_hash_apart(spark, phrases):
+    p = collocations.Mining(hash_bits=7)
+    assert sorted(map(tuple, collocations.collocations(docs(spark, phrases), p).collect())) == brute_collocations(phrases, p)
+
+
+def test_a_scan_leaves_a_row_for_each_bucket_and_length(spark):
+    """However many phrases there are: a row for each of them was what a step shuffled, sorted and joined."""
+    p, n, buckets = collocations.Mining(), 3000, 16
+    text = " ".join(f"w{i}" for i in range(n)) + ". w0 w1. w0 w1"
+    blocks = collocations.blocks_of(spark.createDataFrame([(0, "en", text)], "shard int, lang string, text string"), p)
+    everything = np.full(p.filter_bits // 8, 255, dtype=np.uint8)
+    counts, sent = collocations.scanned(blocks, 0, everything, everything, {1, 2, 3}, buckets, p)
+    rows = counts.collect()
+    assert len(rows) <= p.longest * buckets and len(sent) == 1
+    for k, distinct in enumerate((n, n - 1, n - 2, n - 3), 1):
+        mine = sorted((r for r in rows if r.words == k), key=lambda r: r.bucket)
+        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in mine])
+        found = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in mine])
+        assert len(hashes) == distinct and (np.diff(hashes.astype(object)) > 0).all()
+        assert Counter(found.tolist()) == ({1: n - 2, 3: 2} if k == 1 else {1: n - 2, 3: 1} if k == 2 else {1: distinct})
+
+
+def test_a_phrase_reaches_the_threshold_once_over_a_cycle():
+    p = collocations.Mining()
+    schema = pa.schema([("step", pa.int32()), ("words", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("fresh", pa.list_(pa.int64()))])
+
+    def row(step, counts, fresh=()):
+        return {"step": step, "words": 2, "bucket": 3, "hashes": np.array(sorted(counts), np.uint64).tobytes(),
+                "counts": np.array([counts[h] for h in sorted(counts)], "<u4").tobytes(), "fresh": list(fresh)}
+
+    def at(step, *rows):
+        (r,) = collocations.reached_at(step, p)(pa.Table.from_pylist(list(rows), schema)).to_pylist()
+        return r["fresh"], dict(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), np.frombuffer(r["counts"], "<u4").tolist()))
+
+    # two tasks' counts of one step; 5 reaches it by itself, 6 with the step before, 7 has a complete cycle and too little, 8 is new
+    fresh, kept = at(2, row(2, {5: 20, 8: 3}), row(2, {5: 10, 6: 16, 7: 1}), row(1, {6: 14, 7: 28, 9: 29}))
+    assert sorted(fresh) == [5, 6] and kept == {5: 30, 8: 3}
+    assert at(3, row(3, {5: 30, 8: 26, 10: 14}), row(2, kept, fresh)) == ([], {10: 14})
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(docs(spark, [])).collect() == []
     assert collocations.collocations(docs(spark, [(1, "too rare to count", "en", "s")])).collect() == []

@@ -7,31 +7,42 @@ count is exact wherever it began. Scanning ends when no phrase can be active any
 
 A step needs no list of candidates: an occurrence in the scanned shard counts if both subphrases have reached the threshold and
 the later of them did so less than a cycle ago. Workers test that with two Bloom filters of fixed size (reached at all, reached
-within the last cycle), so they may count a phrase too often or too early; counts are kept by step, and the exact window of a
-phrase is applied to them before they are added up. Phrases are told apart by their text, never by a hash.
+within the last cycle), so they may count a phrase too often or too early. They agree on that for all places of a phrase, so what
+a step counts of it is its whole count in the shard, and the counts of a cycle's steps add up to its count or less.
+
+Texts are cut into words once, and kept as blocks of word numbers. The steps count 64-bit hashes, packed in buckets; two phrases
+of one hash can only make it reach the threshold too early. In the end the phrases whose hash reached it are counted once more by
+their text, which is what the report rests on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.llm.common import held_by_key, release, stored, text_bytes
+from tidewatch.llm.common import held_by_key, mix64, release, stored
 
 #: Characters that end a piece (the blanks between words are the space and the tab), the scale of a score.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 SCALE = 2_000_000
-#: Characters of text whose phrases are counted together, and words whose number a task keeps.
-BLOCK_CHARS = 8_000_000
-KEPT_WORDS = 1_000_000
-COUNTS = "lang string, phrase string, n long"
+#: Bytes of text of a block, and of all blocks that a task has begun.
+BLOCK_BYTES = 4_000_000
+BEGUN_BYTES = 8_000_000
+#: Occurrences that a task adds up at once; words of the corpus for each bucket of hashes, and the least number of buckets.
+AT_ONCE = 1 << 21
+BUCKET_WORDS = 1 << 22
+LEAST_BUCKETS = 256
+BLOCKS = "shard int, lang string, n long, ids binary, hashes binary, words binary"
+COUNTS = "words int, bucket int, hashes binary, counts binary"
+REACHED = f"{COUNTS}, fresh array<long>"
+PHRASES = "lang string, words int, phrase string, total long"
 KEY = ["lang", "phrase"]
 
 
@@ -44,228 +55,323 @@ class Mining:
     most: int = 2000  # rows of the report for each language
     filter_bits: int = 1 << 24  # of each Bloom filter
     probes: int = 3
+    hash_bits: int = 64  # of a phrase's hash
 
 
 # ------------------------------------------------------------------------------------------------------------ Bloom filters
-def phrase_hash(lang: Column, phrase: Column) -> Column:
-    return F.xxhash64(lang, phrase)
-
-
-def probes_of(hashes: np.ndarray, p: Mining) -> np.ndarray:
-    """(hash, probe) places in a filter; double hashing on the two halves, as in :func:`filters_of`."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
-    return ((low[:, None] + np.arange(p.probes, dtype=np.uint64) * (high | np.uint64(1))[:, None]) % np.uint64(p.filter_bits)).astype(np.int64)
-
-
-def filters_of(phrases: DataFrame, live: Column, p: Mining) -> tuple[np.ndarray, np.ndarray]:
-    """Bloom filters of all (lang, phrase) rows and of the ``live`` ones: made of bitmaps of 32,768 bits on the executors;
-    ``filter_bits`` bounds what comes back."""
-    h = phrase_hash(F.col("lang"), F.col("phrase"))
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("long"))
+def filter_of(hashes: DataFrame, p: Mining) -> np.ndarray:
+    """A Bloom filter of the rows (hash), made of bitmaps of 32,768 bits on the executors; ``filter_bits`` bounds what comes back."""
+    low, high = F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("hash", 32).bitwiseOR(F.lit(1).cast("long"))
     place = F.explode(F.array(*[F.pmod(low + high * i, F.lit(p.filter_bits)) for i in range(p.probes)]))
-    kinds = F.explode(F.when(live, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    places = phrases.select(kinds.alias("kind"), "lang", "phrase").select("kind", place.alias("place")).select("kind", (F.col("place") + 1).alias("at"))
-    maps = places.groupBy("kind", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros((2, -(-p.filter_bits // 8)), dtype=np.uint8)
+    places = hashes.select(place.alias("place")).select((F.col("place") + 1).alias("at"))
+    maps = places.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(-(-p.filter_bits // 8), dtype=np.uint8)
     for r in maps.collect():
         # Spark's buckets hold the numbers 1 to 32,768, 32,769 to 65,536 and so on
         part, start = np.frombuffer(r.bits, np.uint8), (r.bucket - 1) * 4096
-        out[r.kind, start:start + 4096] = part[:out.shape[1] - start]
-    return out[0], out[1]
+        out[start:start + 4096] = part[:len(out) - start]
+    return out
 
 
 def in_filter(bits: np.ndarray, hashes: np.ndarray, p: Mining) -> np.ndarray:
-    at = probes_of(hashes, p)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+    """Whether each hash passes; double hashing on its two halves, as in :func:`filter_of`."""
+    size, whole = np.uint64(p.filter_bits), p.filter_bits & (p.filter_bits - 1)
+    at, step = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
+    out = np.ones(len(hashes), dtype=np.uint8)
+    for _ in range(p.probes):
+        place = at % size if whole else at & (size - np.uint64(1))
+        out &= bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)
+        at = at + step
+    return (out & 1).astype(bool)
+
+
+# ----------------------------------------------------------------------------------------------------------------- blocks
+TO_END = bytes.maketrans(ENDS, b"." * len(ENDS))
 
 
-# --------------------------------------------------------------------------------------------------------------- scanning
-class Scanner:
-    """Counts the active phrases of one language in a task."""
-
-    def __init__(self, lang: str, step: int, known: np.ndarray | None, live: np.ndarray | None, live_lengths: set[int], p: Mining):
-        from xxhash import xxh64_intdigest
-
-        self.lang, self.step, self.known, self.live, self.live_lengths, self.p = lang, step, known, live, live_lengths, p
-        self.hash, self.seed = xxh64_intdigest, xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
-        self.index: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.status = np.zeros((2, 0), dtype=bool)
-
-    def tested(self, phrases: list[bytes]) -> np.ndarray:
-        """(known, live) of each phrase."""
-        if self.known is None or not phrases:
-            return np.zeros((2, len(phrases)), dtype=bool)
-        h, seed = self.hash, self.seed
-        hashes = np.fromiter((h(x, seed) for x in phrases), np.uint64, len(phrases))
-        known = in_filter(self.known, hashes, self.p)
-        live = np.zeros(len(phrases), dtype=bool)
-        live[known] = in_filter(self.live, hashes[known], self.p)
-        return np.stack([known, live])
-
-    def numbered(self, texts: list[str | None]) -> np.ndarray:
-        """The texts' words by number, -1 at the end of each piece."""
-        tokens: list[bytes] = []
-        for t in texts:
-            tokens += text_bytes(t).lower().translate(TO_END).replace(b".", b" . ").split()
-            tokens.append(b".")
-        index, words = self.index, self.words
-        index[b"."] = -1
-        for w in set(tokens).difference(index):
-            index[w] = len(words)
-            words.append(w)
-        fresh = words[self.status.shape[1]:]
-        self.status = np.concatenate([self.status, self.tested(fresh)], axis=1)
-        return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-
-    def count(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        """(phrases, counts) for each length that is active."""
-        at = self.numbered(texts)
-        if self.step < self.p.shards:
-            n = np.bincount(at[at >= 0], minlength=len(self.words))
-            seen = np.flatnonzero(n)
-            yield [self.words[i] for i in seen], n[seen]
-        if self.known is None:
-            return
-        inside = np.flatnonzero(at >= 0)
-        known, live = np.zeros(len(at) + 1, dtype=bool), np.zeros(len(at) + 1, dtype=bool)
-        known[inside], live[inside] = self.status[0, at[inside]], self.status[1, at[inside]]
-        number, phrases = at, self.words  # of the phrase of length k - 1 that starts at each place
-        for k in range(2, self.p.longest + 1):
-            start = np.flatnonzero(known[:-1] & known[1:])
-            if not len(start):
-                return
-            active = live[start] | live[start + 1]
-            deeper = k < self.p.longest and any(x >= k for x in self.live_lengths)
-            if not deeper:
-                start, active = start[active], active[active]
-            if not len(start):
-                return
-            # a phrase of k words is its first k - 1 words and the last one
-            last = at[start + k - 1]
-            pair, first_at, which, n = np.unique(number[start] << 32 | last, return_index=True, return_inverse=True, return_counts=True)
-            found = [phrases[i] + b" " + self.words[j] for i, j in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist())]
-            counted = np.flatnonzero(active[first_at])
-            if len(counted):
-                yield [found[i] for i in counted], n[counted]
-            if not deeper:
-                return
-            status = self.tested(found)
-            number = np.full(len(at), -1, dtype=np.int64)
-            number[start] = which
-            known, live = np.zeros(len(at) + 1, dtype=bool), np.zeros(len(at) + 1, dtype=bool)
-            known[start], live[start] = status[0, which], status[1, which]
-            phrases = found
+def cut(hashes: np.ndarray, p: Mining) -> np.ndarray:
+    return hashes if p.hash_bits == 64 else hashes & np.uint64((1 << p.hash_bits) - 1)
 
 
-TO_END = bytes.maketrans(ENDS, b"." * len(ENDS))
+def joined(hashes: np.ndarray, last: np.ndarray, p: Mining) -> np.ndarray:
+    """Hashes of phrases from those of all but their last word, and of that."""
+    return cut(mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + last), p)
 
 
-def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndarray | None, live_lengths: set[int], p: Mining) -> DataFrame:
-    """(lang, phrase, step, n), stored: counts of the phrases that may be active at ``step`` in the rows (lang, text) of
-    ``shard``. The two filters go to the executors once and are taken back."""
-    spark = shard.sparkSession
-    sent = None if known is None else spark.sparkContext.broadcast((known, live))
+def block(lang: str, texts: list[bytes], p: Mining) -> tuple[int, bytes, bytes, bytes]:
+    """(number of words, the texts' words by number and -1 at the end of each piece, the words' hashes, the words)."""
+    from xxhash import xxh64_intdigest
+
+    tokens: list[bytes] = []
+    for t in texts:
+        tokens += t.lower().translate(TO_END).replace(b".", b" . ").split()
+        tokens.append(b".")
+    words = [w for w in dict.fromkeys(tokens) if w != b"."]
+    index = dict(zip(words, range(len(words))))
+    index[b"."] = -1
+    ids = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
+    seed = xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
+    hashes = cut(np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), p)
+    return int(np.count_nonzero(ids >= 0)), ids.tobytes(), hashes.tobytes(), b" ".join(words)
+
+
+def blocks_of(docs: DataFrame, p: Mining) -> DataFrame:
+    """The words of ``docs`` (shard, lang, text) in blocks of one language and shard, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = (None, None) if sent is None else sent.value
-        scanners: dict[str, Scanner] = {}
-        waiting: dict[str, list[str | None]] = {}
-        chars: dict[str, int] = {}
-
-        def rows(lang: str) -> Iterator[pa.RecordBatch]:
-            if sum(len(s.words) for s in scanners.values()) > KEPT_WORDS:
-                scanners.clear()
-            scanner = scanners.get(lang)
-            if scanner is None:
-                scanner = scanners[lang] = Scanner(lang, step, *filters, live_lengths, p)
-            chars.pop(lang)
-            for phrases, n in scanner.count(waiting.pop(lang)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
-                    names=["lang", "phrase", "n"])
+        waiting: dict[tuple[int, str], list[bytes]] = {}
+        begun: dict[tuple[int, str], int] = {}
+        total = 0
+
+        def row(key: tuple[int, str]) -> pa.RecordBatch:
+            made = block(key[1], waiting.pop(key), p)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip((*key, *made), (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                names=["shard", "lang", "n", "ids", "hashes", "words"])
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
-                waiting.setdefault(lang, []).append(text)
-                chars[lang] = chars.get(lang, 0) + len(text or "")
-                if sum(chars.values()) > BLOCK_CHARS:
-                    yield from rows(max(chars, key=chars.get))
-        for lang in list(waiting):
-            yield from rows(lang)
-
-    counted = shard.select("lang", "text").mapInArrow(run, COUNTS)
-    out = stored(counted.groupBy(*KEY).agg(F.sum("n").alias("n")).withColumn("step", F.lit(step)))
-    if sent is not None:
-        sent.destroy()
-    return out
+            for shard, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                text, key = text.as_py() or b"", (shard, lang)
+                waiting.setdefault(key, []).append(text)
+                begun[key] = begun.get(key, 0) + len(text)
+                total += len(text)
+                if begun[key] > BLOCK_BYTES or total > BEGUN_BYTES:
+                    key = key if begun[key] > BLOCK_BYTES else max(begun, key=begun.get)
+                    total -= begun.pop(key)
+                    yield row(key)
+        for key in list(waiting):
+            yield row(key)
 
+    return stored(docs.select("shard", "lang", "text").mapInArrow(run, BLOCKS), "shard")
 
-# ---------------------------------------------------------------------------------------------------------- what was counted
-def windowed(counts: DataFrame, known: DataFrame, p: Mining) -> DataFrame:
-    """(lang, words, phrase, total, last, before) of all phrases whose counts within their own window reach the threshold; ``last``
-    is the last step that added to the total and ``before`` what it was until then.
 
-    ``counts`` is (lang, phrase, step, n). A phrase that reaches the threshold within a cycle has a
-    cycle's share of it in some step, so only phrases with such a step are looked at.
-    """
-    share = -(-p.least // p.shards)
-    maybe = counts.where(F.col("n") >= share).select(*KEY).distinct()
-    steps = counts.join(maybe, KEY, "left_semi").groupBy(*KEY).agg(
-        F.collect_list(F.struct("step", "n")).alias("steps")).withColumn("words", F.size(F.split("phrase", " ")))  # one entry a step
-    reach = known.select("lang", F.col("phrase").alias("part"), "reached")
-    words = F.split("phrase", " ")
-    longer = steps.where("words > 1").select(
-        "*", F.array_join(F.slice(words, 1, F.col("words") - 1), " ").alias("head"), F.array_join(F.slice(words, 2, F.col("words") - 1), " ").alias("tail"))
-    for side in ("head", "tail"):
-        longer = longer.join(reach.select("lang", F.col("part").alias(side), F.col("reached").alias(f"{side}_reached")), ["lang", side])
-    started = longer.select("lang", "words", "phrase", "steps", (F.greatest("head_reached", "tail_reached") + 1).alias("starts")).unionByName(
-        steps.where("words = 1").withColumn("starts", F.lit(0)))
-    inside = started.withColumn("in", F.filter("steps", lambda s: (s["step"] >= F.col("starts")) & (s["step"] < F.col("starts") + p.shards)))
+# --------------------------------------------------------------------------------------------------------------- scanning
+def active_hashes(ids: np.ndarray, own: np.ndarray, known: np.ndarray, live: np.ndarray, live_lengths: set[int], p: Mining) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes at all places) of the active phrases of two words and more in a block of word numbers and words' hashes."""
+    inside = np.flatnonzero(ids >= 0)
+    here = ids[inside]
+    word = np.zeros(len(ids), dtype=np.uint64)
+    word[inside] = own[here]
+
+    def tested(length: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        passed = in_filter(known, hashes, p)
+        return passed, passed & in_filter(live, hashes, p) if length in live_lengths else np.zeros(len(hashes), dtype=bool)
+
+    def at_places(places: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids) + 1, dtype=bool)
+        out[places] = flags
+        return out
+
+    reached, lately = (at_places(inside, flags[here]) for flags in tested(1, own))
+    hashes = word  # of the phrase of length k - 1 that starts at each place
+    for k in range(2, p.longest + 1):
+        start = np.flatnonzero(reached[:-1] & reached[1:])
+        active = lately[start] | lately[start + 1]
+        deeper = k < p.longest and any(x >= k for x in live_lengths)
+        if not deeper:
+            start, active = start[active], active[active]
+        if not len(start):
+            return
+        found = joined(hashes[start], word[start + k - 1], p)
+        if active.any():
+            yield k, found[active]
+        if not deeper:
+            return
+        reached, lately = (at_places(start, flags) for flags in tested(k, found))
+        hashes = np.zeros(len(ids), dtype=np.uint64)
+        hashes[start] = found
+
+
+def added_up(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and their counts; without ``counts`` each entry counts one."""
+    if not len(hashes):
+        return hashes, np.zeros(0, dtype=np.int64)
+    if counts is None:
+        hashes = np.sort(hashes)
+    else:
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[first], np.diff(first, append=len(hashes)) if counts is None else np.add.reduceat(counts, first)
+
+
+def packed(length: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row of ``COUNTS`` for each bucket of the ordered ``hashes``; buckets are ranges of their upper bits."""
+    bits = buckets.bit_length() - 1
+    edges = np.searchsorted(hashes, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits))
+    edges = np.append(edges, len(hashes))
+    full = np.flatnonzero(np.diff(edges))
+    offsets = np.append(edges[full], len(hashes))
+
+    def cells(values: np.ndarray) -> pa.Array:
+        at = (offsets * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(full), length, dtype=np.int32)), pa.array(full.astype(np.int32)), cells(hashes), cells(counts.astype("<u4"))],
+        names=["words", "bucket", "hashes", "counts"])
+
+
+def scanned(shard: DataFrame, step: int, known: np.ndarray | None, live: np.ndarray | None, live_lengths: set[int], buckets: int, p: Mining) -> tuple[DataFrame, list]:
+    """Counts of the phrases that may be active at ``step`` in the blocks of ``shard``, a row for each bucket that a task has met,
+    and what to take back once they are stored. The two filters go to the executors once."""
+    sent = None if known is None else shard.sparkSession.sparkContext.broadcast((known, live))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[tuple[np.ndarray, np.ndarray]] = []
+        longer: dict[int, list[np.ndarray]] = {}
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if words:
+                yield packed(1, *added_up(*map(np.concatenate, zip(*words))), buckets)
+                words.clear()
+            for k in list(longer):
+                yield packed(k, *added_up(np.concatenate(longer.pop(k))), buckets)
+
+        for b in batches:
+            for ids, own in zip(b.column(0), b.column(1)):
+                ids, own = np.frombuffer(ids.as_buffer(), np.int32), np.frombuffer(own.as_buffer(), np.uint64)
+                if step < p.shards and len(own):
+                    words.append((own, np.bincount(ids[ids >= 0], minlength=len(own))))
+                    held += len(own)
+                if sent is not None:
+                    for k, hashes in active_hashes(ids, own, *sent.value, live_lengths, p):
+                        longer.setdefault(k, []).append(hashes)
+                        held += len(hashes)
+                if held > AT_ONCE:
+                    yield from out()
+                    held = 0
+        yield from out()
+
+    return shard.select("ids", "hashes").mapInArrow(run, COUNTS), [] if sent is None else [sent]
 
-    def added(steps: Column) -> Column:
-        return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
 
-    out = inside.withColumn("last", F.array_max("in.step")).where(added(F.col("in")) >= p.least)
-    return out.select("lang", "words", "phrase", added(F.col("in")).alias("total"), "last",
-                      added(F.filter("in", lambda s: s["step"] < F.col("last"))).alias("before"))
+# ---------------------------------------------------------------------------------------------------------- what was counted
+def counts_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and counts packed in ``rows``."""
+    hashes, counts = (b"".join(rows[name].to_pylist()) for name in ("hashes", "counts"))
+    return np.frombuffer(hashes, np.uint64), np.frombuffer(counts, "<u4").astype(np.int64)
 
 
-def together(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+def looked_up(hashes: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Counts of ``some`` in the ordered ``hashes``; 0 for what is not there."""
+    if not len(hashes):
+        return np.zeros(len(some), dtype=np.int64)
+    at = np.minimum(np.searchsorted(hashes, some), len(hashes) - 1)
+    return np.where(hashes[at] == some, counts[at], 0).astype(np.int64)
 
 
-def cycles(shards: list[DataFrame], p: Mining) -> tuple[DataFrame, DataFrame]:
-    """(counts by step, phrases that reached the threshold and the step at which they did)."""
-    known = shards[0].sparkSession.createDataFrame([], "lang string, words int, phrase string, reached int")
+def reached_at(step: int, p: Mining) -> Callable[[pa.Table], pa.Table]:
+    """Finds what reaches the threshold at ``step`` in a bucket, by length, and the counts that later steps of a cycle need.
+
+    It is given rows (step, words, bucket, hashes, counts, fresh): the tasks' counts of this step, a row for each earlier step of a
+    cycle, and what had reached the threshold before. A phrase that reaches it within a cycle has a cycle's share of it in some
+    step, so only phrases with such a step are added up. Counts that complete a cycle are not kept.
+    """
+    share = -(-p.least // p.shards)
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, lengths, steps = rows["bucket"][0].as_py(), rows["words"].to_numpy(), rows["step"].to_numpy()
+        out: list[tuple] = []
+        for k in np.unique(lengths[steps == step]).tolist():
+            now = added_up(*counts_of(rows.filter(pa.array((lengths == k) & (steps == step)))))
+            before = [counts_of(rows.filter(pa.array((lengths == k) & (steps == at)))) for at in range(max(0, step - p.shards + 1), step)]
+            some = np.unique(np.concatenate([h[n >= share] for h, n in (now, *before)]))
+            total = sum(looked_up(*c, some) for c in (now, *before))
+            had = rows["fresh"].filter(pa.array(lengths == k)).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            fresh = some[(total >= p.least) & ~np.isin(some, had.view(np.uint64))]
+            done = np.full(len(now[0]), len(before) == p.shards - 1)
+            for earlier in before:
+                done &= looked_up(*earlier, now[0]) > 0
+            out.append((k, bucket, now[0][~done].tobytes(), now[1][~done].astype("<u4").tobytes(), fresh.view(np.int64)))
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, types)], names=["words", "bucket", "hashes", "counts", "fresh"])
+
+    return run
+
+
+def cycles(shards: list[DataFrame], buckets: int, p: Mining) -> np.ndarray | None:
+    """The Bloom filter of the hashes that reached the threshold, after the steps by which all that can have done so."""
     last = {0: -1}  # last step at which a phrase of each length reached the threshold; words may start at step 0
-    by_step: list[DataFrame] = []
-    filters, step = (None, None), 0
+    states: list[DataFrame] = []  # by step
+    lately: list[np.ndarray] = []  # filters of what reached it, by step
+    known, live, step = None, None, 0
     while any(k < p.longest and step <= at + p.shards for k, at in last.items()):
         recent = {k for k, at in last.items() if 0 < k < p.longest and at >= step - p.shards}
-        by_step.append(scanned(shards[step % p.shards], step, *filters, recent, p))
-        # what reaches the threshold for the first time does so by this step's counts
-        fresh = windowed(together(by_step[-p.shards:]), known, p).where((F.col("last") == step) & (F.col("before") < p.least)).select(
-            "lang", "words", "phrase", F.col("last").alias("reached"))
-        known = stored(known.unionByName(fresh).repartition(*KEY))
-        new = [r["words"] for r in known.where(F.col("reached") == step).select("words").distinct().collect()]  # a few lengths
+        counts, sent = scanned(shards[step % p.shards], step, known, live, recent, buckets, p)
+        nothing = F.lit(None)
+        rows = [counts.select(F.lit(step).alias("step"), "*", nothing.cast("array<long>").alias("fresh"))]
+        rows += [s.select(F.lit(i).alias("step"), "words", "bucket", *["hashes", "counts"] if i > step - p.shards else [
+            nothing.cast("binary").alias("hashes"), nothing.cast("binary").alias("counts")], "fresh") for i, s in enumerate(states)]
+        states.append(stored(reduce(DataFrame.unionByName, rows).groupBy("bucket").applyInArrow(reached_at(step, p), REACHED)))
+        for s in sent:
+            s.destroy()
+        fresh = states[-1].where(F.size("fresh") > 0)
+        new = [r["words"] for r in fresh.select("words").distinct().collect()]  # a few lengths
         last.update({k: step for k in new})
+        lately.append(filter_of(fresh.select(F.explode("fresh").alias("hash")), p))
         step += 1
         if len(last) > 1:
-            filters = filters_of(known, F.col("reached") >= step - p.shards, p)
-        release(known.sparkSession)
-    return together(by_step), known
+            known, live = lately[-1] if known is None else known | lately[-1], reduce(np.bitwise_or, lately[-p.shards:])
+        release(shards[0].sparkSession)
+    return known
+
+
+# ------------------------------------------------------------------------------------------------------------------- texts
+def block_phrases(ids: np.ndarray, own: np.ndarray, words: list[bytes], known: np.ndarray, p: Mining) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(length, phrases, counts) of the phrases in a block whose hash passes the filter, told apart by their words."""
+    inside = np.flatnonzero(ids >= 0)
+    here, passed = ids[inside], in_filter(known, own, p)
+    seen = np.flatnonzero(passed)
+    yield 1, [words[i] for i in seen], np.bincount(here, minlength=len(words))[seen]
+    word, reached = np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids) + 1, dtype=bool)
+    word[inside], reached[inside] = own[here], passed[here]
+    number, phrases, hashes = ids.astype(np.int64), words, word  # of the phrase of length k - 1 that starts at each place
+    for k in range(2, p.longest + 1):
+        start = np.flatnonzero(reached[:-1] & reached[1:])
+        found = joined(hashes[start], word[start + k - 1], p)
+        passed = in_filter(known, found, p)
+        start, found = start[passed], found[passed]
+        if not len(start):
+            return
+        # a phrase of k words is its first k - 1 words and the last one
+        pair, which, n = np.unique(number[start] << 32 | ids[start + k - 1], return_inverse=True, return_counts=True)
+        phrases = [phrases[i] + b" " + words[j] for i, j in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist())]
+        yield k, phrases, n
+        number, hashes, reached = np.full(len(ids), -1, dtype=np.int64), np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids) + 1, dtype=bool)
+        number[start], hashes[start], reached[start] = which, found, True
+
+
+def by_text(blocks: DataFrame, known: np.ndarray, p: Mining) -> DataFrame:
+    """(lang, words, phrase, total), stored: the phrases that reach the threshold, among those whose hash passes the filter."""
+    sent = blocks.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, ids, own, words in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
+                ids, own = np.frombuffer(ids.as_buffer(), np.int32), np.frombuffer(own.as_buffer(), np.uint64)
+                for k, phrases, n in block_phrases(ids, own, words.as_py().split(b" ") if len(own) else [], sent.value, p):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, dtype=np.int32)),
+                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "total"])
+
+    counted = blocks.select("lang", "ids", "hashes", "words").mapInArrow(run, PHRASES)
+    out = stored(counted.groupBy("lang", "words", "phrase").agg(F.sum("total").alias("total")).where(F.col("total") >= p.least))
+    sent.destroy()
+    return out
 
 
 def frequencies(docs: DataFrame, p: Mining) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, total) of all phrases with ``least`` occurrences or more, and (lang, n) of all words."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    dealt = stored(docs.select(lang.alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p.shards)).cast("int").alias("shard")), "shard")
-    counts, known = cycles([dealt.where(F.col("shard") == i) for i in range(p.shards)], p)
-    totals = windowed(counts, known, p)
-    words = counts.where(~F.col("phrase").contains(" ")).groupBy("lang").agg(F.sum("n").alias("n"))
-    return stored(totals.select("lang", "words", "phrase", "total")), stored(words)
+    blocks = blocks_of(docs.select(lang.alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p.shards)).cast("int").alias("shard")), p)
+    words = stored(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
+    n = words.agg(F.sum("n")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, 1 << (n // BUCKET_WORDS).bit_length())
+    known = cycles([blocks.where(F.col("shard") == i) for i in range(p.shards)], buckets, p)
+    totals = docs.sparkSession.createDataFrame([], PHRASES) if known is None else by_text(blocks, known, p)
+    return totals, words
 
 
 # ------------------------------------------------------------------------------------------------------------------ scores
