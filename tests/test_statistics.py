@@ -9,6 +9,7 @@ from tidewatch.functions.columns import mixed
 from tidewatch.functions.intervals import two_proportion_z, wilson
 from tidewatch.functions.tails import _chi2, chi2_upper, normal_two_sided
 from tidewatch.operators import cells, checks, graph, inference, mixture, recovery, resample, visibility
+from tidewatch.plans import ORACLES, QUERIES, load_all, resampling
 
 
 def test_multiplicity_golden(spark):
@@ -73,6 +74,19 @@ def test_bootstrap_error_near_theory(spark):
     assert p["se"] == pytest.approx(se, rel=0.15)
 
 
+def test_bootstrap_mean_takes_all_draws_of_all_groups(spark, monkeypatch):
+    """2,000 draws, as the study's bootstrap of a mean has; the query and its SQL took 1,000."""
+    seen, sums = [], resample.bootstrap_sums
+    monkeypatch.setattr(resample, "bootstrap_sums", lambda *a: seen.append(sums(*a)) or seen[-1])
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["bootstrap_mean"](spark, sf).collect()
+    drawn = {(r.c, r.arm): (r.draws, r.n) for r in seen[0].groupBy("c", "arm").agg(F.count_distinct("draw").alias("draws"), F.max("n").alias("n")).collect()}
+    groups = resampling.group_leads(spark, sf).groupBy("c", "arm").count().collect()
+    assert drawn == {(r.c, r.arm): (2000, r["count"]) for r in groups} and len(rows) == len(groups)
+    assert "range(2000) d" in ORACLES["bootstrap_mean"]
+
+
 def test_poisson_weights_are_hashed_once_and_follow_the_number(spark):
     df = spark.range(300).select(F.lit(1).alias("s"), F.col("id").alias("key"), F.col("id").cast("double").alias("x"))
     sums = resample.poisson_sums(df, ["s"], "key", ["x"], 40, 9)
