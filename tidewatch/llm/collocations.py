@@ -42,6 +42,7 @@ LEAST_BUCKETS = 256
 BLOCKS = "shard int, lang string, n long, ids binary, hashes binary, words binary"
 COUNTS = "words int, bucket int, hashes binary, counts binary"
 REACHED = f"{COUNTS}, fresh array<long>"
+PACKED_PHRASES = "lang string, words int, bucket int, phrases binary, counts binary"
 PHRASES = "lang string, words int, phrase string, total long"
 KEY = ["lang", "phrase"]
 
@@ -76,17 +77,25 @@ def filter_of(hashes: DataFrame, p: Mining) -> np.ndarray:
 def in_filter(bits: np.ndarray, hashes: np.ndarray, p: Mining) -> np.ndarray:
     """Whether each hash passes; double hashing on its two halves, as in :func:`filter_of`."""
     size, whole = np.uint64(p.filter_bits), p.filter_bits & (p.filter_bits - 1)
-    at, step = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
-    out = np.ones(len(hashes), dtype=np.uint8)
-    for _ in range(p.probes):
-        place = at % size if whole else at & (size - np.uint64(1))
-        out &= bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)
-        at = at + step
-    return (out & 1).astype(bool)
+    def probed(i: int, some: np.ndarray) -> np.ndarray:
+        place = (some & np.uint64(0xFFFFFFFF)) + np.uint64(i) * (some >> np.uint64(32) | np.uint64(1))
+        place = (place % size if whole else place & (size - np.uint64(1))).view(np.int64)
+        return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+    out = probed(0, hashes)
+    for i in range(1, p.probes):
+        if 2 * np.count_nonzero(out) > len(out):
+            out &= probed(i, hashes)
+        else:  # few are left
+            left = np.flatnonzero(out)
+            out[left] = probed(i, hashes[left])
+    return out
 
 
 # ----------------------------------------------------------------------------------------------------------------- blocks
-TO_END = bytes.maketrans(ENDS, b"." * len(ENDS))
+A_TO_Z = bytes(range(ord("A"), ord("Z") + 1))
+#: Lower case; a space for a blank, a line feed for a character that ends a piece.
+PLAIN = bytes.maketrans(A_TO_Z + b"\t" + ENDS, A_TO_Z.lower() + b" " + b"\n" * len(ENDS))
 
 
 def cut(hashes: np.ndarray, p: Mining) -> np.ndarray:
@@ -99,20 +108,27 @@ def joined(hashes: np.ndarray, last: np.ndarray, p: Mining) -> np.ndarray:
 
 
 def block(lang: str, texts: list[bytes], p: Mining) -> tuple[int, bytes, bytes, bytes]:
-    """(number of words, the texts' words by number and -1 at the end of each piece, the words' hashes, the words)."""
+    """(number of words, the texts' words by number and -1 between pieces, the words' hashes, the words)."""
     from xxhash import xxh64_intdigest
 
-    tokens: list[bytes] = []
-    for t in texts:
-        tokens += t.lower().translate(TO_END).replace(b".", b" . ").split()
-        tokens.append(b".")
-    words = [w for w in dict.fromkeys(tokens) if w != b"."]
-    index = dict(zip(words, range(len(words))))
-    index[b"."] = -1
-    ids = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
+    plain = (b"\n" + b"\n".join(texts) + b"\n").translate(PLAIN)
+    chars = np.frombuffer(plain, np.uint8)
+    ends = chars == ord("\n")
+    between = ends | (chars == ord(" "))
+    edges = np.flatnonzero(between[1:] != between[:-1]) + 1  # starts of words and of what is between them, by turns
+    starts = edges[::2]
+    cells = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(np.append(edges, len(plain)).astype(np.int32)), pa.py_buffer(plain)])
+    coded = cells.take(pa.array(np.arange(0, len(edges), 2))).dictionary_encode()
+    _, offsets, letters = coded.dictionary.buffers()
+    offsets, letters = np.frombuffer(offsets, np.int32)[:len(coded.dictionary) + 1].tolist() if len(starts) else [0], letters.to_pybytes() if letters else b""
+    words = [letters[i:j] for i, j in zip(offsets, offsets[1:])]
+    piece = np.cumsum(ends, dtype=np.int32)[starts]
+    at = np.arange(len(starts)) + np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
+    ids = np.full(at[-1] + 2 if len(at) else 1, -1, dtype=np.int32)
+    ids[at] = coded.indices.to_numpy()
     seed = xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
     hashes = cut(np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), p)
-    return int(np.count_nonzero(ids >= 0)), ids.tobytes(), hashes.tobytes(), b" ".join(words)
+    return len(starts), ids.tobytes(), hashes.tobytes(), b" ".join(words)
 
 
 def blocks_of(docs: DataFrame, p: Mining) -> DataFrame:
@@ -148,38 +164,24 @@ def blocks_of(docs: DataFrame, p: Mining) -> DataFrame:
 # --------------------------------------------------------------------------------------------------------------- scanning
 def active_hashes(ids: np.ndarray, own: np.ndarray, known: np.ndarray, live: np.ndarray, live_lengths: set[int], p: Mining) -> Iterator[tuple[int, np.ndarray]]:
     """(length, hashes at all places) of the active phrases of two words and more in a block of word numbers and words' hashes."""
-    inside = np.flatnonzero(ids >= 0)
-    here = ids[inside]
+    fits = ids >= 0
+    here = ids[fits]
     word = np.zeros(len(ids), dtype=np.uint64)
-    word[inside] = own[here]
-
-    def tested(length: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        passed = in_filter(known, hashes, p)
-        return passed, passed & in_filter(live, hashes, p) if length in live_lengths else np.zeros(len(hashes), dtype=bool)
-
-    def at_places(places: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids) + 1, dtype=bool)
-        out[places] = flags
-        return out
-
-    reached, lately = (at_places(inside, flags[here]) for flags in tested(1, own))
-    hashes = word  # of the phrase of length k - 1 that starts at each place
+    word[fits] = own[here]
+    hashes = word  # of the phrase of k - 1 words that starts at each place; fits: it ends within the piece
     for k in range(2, p.longest + 1):
-        start = np.flatnonzero(reached[:-1] & reached[1:])
-        active = lately[start] | lately[start + 1]
-        deeper = k < p.longest and any(x >= k for x in live_lengths)
-        if not deeper:
-            start, active = start[active], active[active]
-        if not len(start):
+        longer = fits[:-1] & fits[1:]
+        if k - 1 in live_lengths:
+            lately = np.zeros(len(fits), dtype=bool)
+            lately[fits] = in_filter(live, own, p)[here] if k == 2 else in_filter(live, hashes[fits], p)
+            start = np.flatnonzero((lately[:-1] | lately[1:]) & longer)
+            start = start[in_filter(known, hashes[start], p)]
+            start = start[in_filter(known, hashes[start + 1], p)]
+            if len(start):
+                yield k, joined(hashes[start], word[start + k - 1], p)
+        if not any(x >= k for x in live_lengths):
             return
-        found = joined(hashes[start], word[start + k - 1], p)
-        if active.any():
-            yield k, found[active]
-        if not deeper:
-            return
-        reached, lately = (at_places(start, flags) for flags in tested(k, found))
-        hashes = np.zeros(len(ids), dtype=np.uint64)
-        hashes[start] = found
+        hashes, fits = joined(hashes[:len(longer)], word[k - 1:], p), longer
 
 
 def added_up(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -195,16 +197,20 @@ def added_up(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.n
     return hashes[first], np.diff(first, append=len(hashes)) if counts is None else np.add.reduceat(counts, first)
 
 
-def packed(length: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row of ``COUNTS`` for each bucket of the ordered ``hashes``; buckets are ranges of their upper bits."""
+def bucket_edges(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that the ordered ``hashes`` meet, and where each begins and the last ends; buckets are ranges of their upper bits."""
     bits = buckets.bit_length() - 1
-    edges = np.searchsorted(hashes, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits))
-    edges = np.append(edges, len(hashes))
+    edges = np.append(np.searchsorted(hashes, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits)), len(hashes))
     full = np.flatnonzero(np.diff(edges))
-    offsets = np.append(edges[full], len(hashes))
+    return full, np.append(edges[full], len(hashes))
+
+
+def packed(length: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row of ``COUNTS`` for each bucket of the ordered ``hashes``."""
+    full, edges = bucket_edges(hashes, buckets)
 
     def cells(values: np.ndarray) -> pa.Array:
-        at = (offsets * values.itemsize).astype(np.int32)
+        at = (edges * values.itemsize).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
     return pa.RecordBatch.from_arrays(
@@ -319,12 +325,12 @@ def cycles(shards: list[DataFrame], buckets: int, p: Mining) -> np.ndarray | Non
 
 
 # ------------------------------------------------------------------------------------------------------------------- texts
-def block_phrases(ids: np.ndarray, own: np.ndarray, words: list[bytes], known: np.ndarray, p: Mining) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(length, phrases, counts) of the phrases in a block whose hash passes the filter, told apart by their words."""
+def block_phrases(ids: np.ndarray, own: np.ndarray, words: list[bytes], known: np.ndarray, p: Mining) -> Iterator[tuple[int, np.ndarray, list[bytes], np.ndarray]]:
+    """(length, hashes, phrases, counts) of the phrases in a block whose hash passes the filter, told apart by their words."""
     inside = np.flatnonzero(ids >= 0)
     here, passed = ids[inside], in_filter(known, own, p)
     seen = np.flatnonzero(passed)
-    yield 1, [words[i] for i in seen], np.bincount(here, minlength=len(words))[seen]
+    yield 1, own[seen], [words[i] for i in seen], np.bincount(here, minlength=len(words))[seen]
     word, reached = np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids) + 1, dtype=bool)
     word[inside], reached[inside] = own[here], passed[here]
     number, phrases, hashes = ids.astype(np.int64), words, word  # of the phrase of length k - 1 that starts at each place
@@ -336,28 +342,45 @@ def block_phrases(ids: np.ndarray, own: np.ndarray, words: list[bytes], known: n
         if not len(start):
             return
         # a phrase of k words is its first k - 1 words and the last one
-        pair, which, n = np.unique(number[start] << 32 | ids[start + k - 1], return_inverse=True, return_counts=True)
+        pair, first, which, n = np.unique(number[start] << 32 | ids[start + k - 1], return_index=True, return_inverse=True, return_counts=True)
         phrases = [phrases[i] + b" " + words[j] for i, j in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist())]
-        yield k, phrases, n
+        yield k, found[first], phrases, n
         number, hashes, reached = np.full(len(ids), -1, dtype=np.int64), np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids) + 1, dtype=bool)
         number[start], hashes[start], reached[start] = which, found, True
 
 
-def by_text(blocks: DataFrame, known: np.ndarray, p: Mining) -> DataFrame:
-    """(lang, words, phrase, total), stored: the phrases that reach the threshold, among those whose hash passes the filter."""
+def by_text(blocks: DataFrame, known: np.ndarray, buckets: int, p: Mining) -> DataFrame:
+    """(lang, words, phrase, total), stored: the phrases that reach the threshold, among those whose hash passes the filter.
+    A bucket's phrases go there packed, and are added up by their text."""
     sent = blocks.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, ids, own, words in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
                 ids, own = np.frombuffer(ids.as_buffer(), np.int32), np.frombuffer(own.as_buffer(), np.uint64)
-                for k, phrases, n in block_phrases(ids, own, words.as_py().split(b" ") if len(own) else [], sent.value, p):
+                for k, hashes, phrases, n in block_phrases(ids, own, words.as_py().split(b" ") if len(own) else [], sent.value, p):
+                    order = np.argsort(hashes)
+                    full, edges = bucket_edges(hashes[order], buckets)
+                    phrases, n = [phrases[i] for i in order.tolist()], n[order].astype("<u4")
+                    parts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, dtype=np.int32)),
-                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "total"])
-
-    counted = blocks.select("lang", "ids", "hashes", "words").mapInArrow(run, PHRASES)
-    out = stored(counted.groupBy("lang", "words", "phrase").agg(F.sum("total").alias("total")).where(F.col("total") >= p.least))
+                        [pa.array([lang] * len(full), pa.string()), pa.array(np.full(len(full), k, dtype=np.int32)), pa.array(full.astype(np.int32)),
+                         pa.array([b"\n".join(phrases[i:j]) for i, j in parts], pa.binary()), pa.array([n[i:j].tobytes() for i, j in parts], pa.binary())],
+                        names=["lang", "words", "bucket", "phrases", "counts"])
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        totals: dict[tuple[str, int], dict[bytes, int]] = {}
+        for lang, k, phrases, n in zip(*(rows[x].to_pylist() for x in ("lang", "words", "phrases", "counts"))):
+            own = totals.setdefault((lang, k), {})
+            for phrase, count in zip(phrases.split(b"\n"), np.frombuffer(n, "<u4").tolist()):
+                own[phrase] = own.get(phrase, 0) + count
+        found = [(lang, k, phrase, n) for (lang, k), own in totals.items() for phrase, n in own.items() if n >= p.least]
+        lang, k, phrase, n = zip(*found) if found else [[]] * 4
+        return pa.Table.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+                                    names=["lang", "words", "phrase", "total"])
+
+    counted = blocks.select("lang", "ids", "hashes", "words").mapInArrow(run, PACKED_PHRASES)
+    out = stored(counted.groupBy("bucket").applyInArrow(add_up, PHRASES))
     sent.destroy()
     return out
 
@@ -370,7 +393,7 @@ def frequencies(docs: DataFrame, p: Mining) -> tuple[DataFrame, DataFrame]:
     n = words.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, 1 << (n // BUCKET_WORDS).bit_length())
     known = cycles([blocks.where(F.col("shard") == i) for i in range(p.shards)], buckets, p)
-    totals = docs.sparkSession.createDataFrame([], PHRASES) if known is None else by_text(blocks, known, p)
+    totals = docs.sparkSession.createDataFrame([], PHRASES) if known is None else by_text(blocks, known, buckets, p)
     return totals, words
 
 
